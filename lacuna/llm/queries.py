@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import crc_mod, documents
 from .exact_dedup import exact_dedup
+from .language_id import language_id
+from .quality import quality_scores
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").withColumnRenamed("quality", "label")
+    return quality_scores(documents(spark, sf_dir), labels, crc_mod("doc_id", 5) == 0)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir), crc_mod("doc_id", 4) == 2)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +26,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
+    "op4_language_id": op4_language_id,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
