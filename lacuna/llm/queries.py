@@ -10,6 +10,7 @@ from .common import crc_mod, documents
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .quality import quality_scores
+from .secrets import secret_scan
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +26,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
