@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Tables, batched, column, small_batches, utf8
 
@@ -95,7 +96,7 @@ def statistics(b: bytes) -> list[float]:
 
 def document_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``x``, the array of statistics."""
-    spark_schema = docs.select(*keep).schema.add("x", "array<double>")
+    spark_schema = docs.select(*keep).schema.add("x", T.ArrayType(T.DoubleType()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +131,7 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
 
 
-def fit(labelled: DataFrame, shrink_pooled: float = 0.1, shrink_diagonal: float = 0.02) -> Discriminant:
+def fit(labelled: DataFrame, shrink_pooled: float = 0.25, shrink_diagonal: float = 0.02) -> Discriminant:
     """Learns from rows (x, label in 0/1); tasks return sums of x and of its outer products only."""
     schema = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("p", pa.list_(pa.float64()))])
 
@@ -192,7 +193,7 @@ def score(stats: DataFrame, model: Discriminant, keep: list[str]) -> DataFrame:
                 names=[*keep, "score"],
             )
 
-    return stats.select(*keep, "x").mapInArrow(rows, stats.select(*keep).schema.add("score", "double"))
+    return stats.select(*keep, "x").mapInArrow(rows, stats.select(*keep).schema.add("score", T.DoubleType()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.3) -> DataFrame:
