@@ -10,6 +10,7 @@ from .common import crc_mod, documents
 from .exact_dedup import exact_dedup
 from .fingerprint import edited_fingerprints
 from .language_id import language_id
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
 from .secrets import secret_scan
@@ -25,6 +26,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir), crc_mod("doc_id", 4) == 2)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
@@ -48,6 +53,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
+    "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_fingerprints": op8_fingerprints,
