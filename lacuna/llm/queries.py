@@ -10,6 +10,8 @@ from .common import crc_mod, documents
 from .exact_dedup import exact_dedup
 from .fingerprint import edited_fingerprints
 from .language_id import language_id
+from .licenses import license_scan
+from .licenses import oracle_sql as license_sql
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
@@ -17,6 +19,10 @@ from .secrets import secret_scan
 from .suffix_dedup import suffix_dedup
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").withColumnRenamed("quality", "label")
     return quality_scores(documents(spark, sf_dir), labels, crc_mod("doc_id", 5) == 0)
@@ -51,6 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license_sql(),
     "op7_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
