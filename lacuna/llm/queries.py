@@ -16,9 +16,14 @@ from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
 from .secrets import secret_scan
+from .sentence_pieces import sentence_pieces
 from .suffix_dedup import suffix_dedup
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces(documents(spark, sf_dir))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
@@ -57,6 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_pieces": op1_sentence_pieces,
     "op2_license_scan": op2_license_scan,
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
