@@ -1,15 +1,67 @@
-"""Corpus pipeline: the stages are added as their operators are built."""
+"""Corpus pipeline: language ID, exact dedup, near-duplicate removal, secret redaction, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of documents.
+
+* language: rows without a recognised language go (null text, no letter); ``lang`` is not touched;
+* exact: of equal texts (after white-space normalisation) the row with the least doc_id stays;
+* near: of near-duplicates (five-word shingles, similarity 0.8 or more) the row with the least doc_id stays;
+* secrets: found spans are replaced in the text, ``n_chars`` follows; no row goes;
+* packing: one row for each piece of a document in a sequence.
+
+Rows with a null doc_id pass the dedup stages unless their text equals that of another row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lacuna.llm.common import Tables, crc_mod, small_batches
+from lacuna.llm.exact_dedup import exact_dedup
+from lacuna.llm.language_id import fit, predict
+from lacuna.llm.near_dedup import near_duplicates, only_ids
+from lacuna.llm.packing import pack_documents
+from lacuna.llm.secrets import redact
+
+
+def _without(spark: SparkSession, docs: DataFrame, decisions: DataFrame, goes: Column) -> DataFrame:
+    """``docs`` without the documents whose decision says so; the decisions are computed once, in a table."""
+    gone = Tables(spark, "stage").write(decisions.where(goes & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
+    return only_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = predict(docs, fit(docs.where(crc_mod("doc_id", 4) != 2)))
+    kept = docs.where(F.col("text").isNotNull())
+    return _without(spark, kept, found, F.col("lang_pred") == "und")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(spark, docs, exact_dedup(docs), ~F.col("kept")).dropDuplicates(["doc_id"])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(spark, docs, near_duplicates(docs), ~F.col("kept"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [("language ID", language), ("exact dedup", exact), ("near dedup", near), ("secret scan", secrets), ("packing", packing)]
 
-STAGES: list = []
-ORACLE_SQL = None
+ORACLE_SQL = None  # the classifier, the field and the packing are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    tables = Tables(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = tables.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
