@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: which bounds every table of hot groups that is broadcast.
 HOT_SHARE = 1000
 
+#: Spark's setting for removing an execution's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: str | None = None
 _owned: dict[str, SparkSession] = {}
 
@@ -65,7 +68,12 @@ class Tables:
     def write(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = f"{self.root}/{self.n:03d}-{label}"
         self.n += 1
-        df.write.mode("overwrite").parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(CLEAN_UP, None)
+        try:  # once the table stands, the shuffles that led to it are not read again
+            conf.set(CLEAN_UP, "true")
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lacuna_path = path  # type: ignore[attr-defined]
         return out
