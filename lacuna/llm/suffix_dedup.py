@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,14 +75,16 @@ def leading(b: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-# --- binary values: a count, then each array's bytes ---
+# --- binary values: the arrays' lengths, then their bytes, compressed ---
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], dtype="<u4").tobytes(), *(a.tobytes() for a in arrays)])
+    plain = b"".join([np.array([len(a) for a in arrays], dtype="<u4").tobytes(), *(a.tobytes() for a in arrays)])
+    return zstandard.ZstdCompressor(level=1).compress(plain)
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     sizes, at, out = np.frombuffer(blob, dtype="<u4", count=len(kinds)), 4 * len(kinds), []
     for n, kind in zip(sizes, kinds, strict=True):
         out.append(np.frombuffer(blob, dtype=kind, count=int(n), offset=at))
