@@ -1 +1 @@
-"""functions."""
+"""Scalar building blocks as column expressions."""

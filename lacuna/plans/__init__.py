@@ -1 +1 @@
-"""plans."""
+"""Registered queries, their DuckDB equivalents, and pipeline wiring."""
