@@ -7,8 +7,8 @@ deviation of 0.03).
 
 Inside a bucket not all pairs are made.  First every class meets the bucket's centre: the class whose buckets are most populous.  Pairs
 that the sketches admit are confirmed on the full sets and give components.  Then only buckets that still hold several components are
-revisited, and there only classes outside the bucket's largest component meet the others of another component, again admitted by sketches
-inside the join.  So every pair that shares a bucket has been confirmed, refuted, or lies within one component already.
+revisited, and there only classes outside the bucket's largest component meet the others of another component.  Inside that join a pair must be
+admitted by its sketches and by a bound: shingles that no other revisited class has cannot be common to a pair.  So every pair that shares a bucket has been confirmed, refuted, or lies within one component already.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; texts with fewer words than a shingle have one
 element, their whole sequence; rows repeating a doc_id count as one document (the row kept is each of them); a null doc_id is linked
@@ -174,6 +174,22 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, tables:
     return tables.write(dealt.mapInArrow(lambda b: batched(check(b), schema), "u long, v long"), "links")
 
 
+def _own_shingles(reps: DataFrame, docs: DataFrame, size: int, tables: Tables) -> DataFrame:
+    """(rep, own): how many of a class's shingles no other of the classes ``reps`` has."""
+    texts = only_ids(docs.select("doc_id", "text"), reps.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    schema = pa.schema([("rep", pa.int64()), ("h", pa.int64())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            for i, b in zip(column(batch, "doc_id"), utf8(batch, "text"), strict=True):
+                h = shingles(b, size, words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h)], schema=schema)
+
+    single = texts.mapInArrow(rows, "rep long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
+    return tables.write(single.groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "own")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
@@ -208,13 +224,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     held = tables.write(held.select("key", "rep", F.coalesce("component", "rep").alias("component")), "held")
     counted = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = counted.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main")
-    mixed = held.join(largest, "key").join(classes.drop("keys"), "rep")
-    mixed = tables.write(mixed, "mixed")
-    cols = ("rep", "component", "n", *(f"s{i}" for i in range(WORDS)))
+    mixed = tables.write(held.join(largest, "key"), "mixed")
+    own = _own_shingles(mixed.select("rep").distinct(), docs, size, tables)
+    able = classes.drop("keys").join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    mixed = tables.write(mixed.join(able.where(F.col("most") * 100 >= F.col("n") * percent), "rep"), "able")
+    cols = ("rep", "component", "n", "most", *(f"s{i}" for i in range(WORDS)))
     outer = mixed.where("component <> main").select("key", *[F.col(c).alias(f"a_{c}") for c in cols])
     inner = mixed.select("key", F.col("main").alias("b_main"), *[F.col(c).alias(f"b_{c}") for c in cols])
     once = (F.col("b_component") == F.col("b_main")) | (F.col("a_rep") < F.col("b_rep"))
-    meets = (outer["key"] == inner["key"]) & (F.col("a_component") != F.col("b_component")) & once & _admitted("a_", "b_", percent)
+    most = F.least("a_most", "b_most")  # of shingles in common
+    fits = most * 100 >= (F.col("a_n") + F.col("b_n") - most) * percent
+    meets = (outer["key"] == inner["key"]) & (F.col("a_component") != F.col("b_component")) & once & fits & _admitted("a_", "b_", percent)
     rest = outer.join(inner, meets).select(F.col("b_rep").alias("u"), F.col("a_rep").alias("v")).distinct()
     done = near.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
     rest = rest.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).join(done, ["x", "y"], "left_anti")
