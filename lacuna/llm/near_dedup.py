@@ -2,8 +2,8 @@
 
 Texts become sets of word shingles; equal sets are one class from the start and only one member of a class goes on.  A class's
 signature has ``HASHES`` minima.  ``BANDS`` bands of ``ROWS`` minima deal classes into buckets (a pair at similarity 0.8 misses all buckets
-with a probability of about 2e-6), and one bit of every minimum makes a sketch for verification (its error at 0.8 has a standard
-deviation of 0.03).
+with a probability of about 2e-6), and four bits of every minimum make a sketch for verification (its error at 0.8 has a standard
+deviation of 0.021).
 
 Inside a bucket not all pairs are made.  First every class meets the bucket's centre: the class whose buckets are most populous.  Pairs
 that the sketches admit are confirmed on the full sets and give components.  Then only buckets that still hold several components are
@@ -29,14 +29,15 @@ from .common import Tables, attach_group, batched, column, small_batches, utf8
 from .components import connected_components
 
 ROWS, BANDS, HASHES = 6, 44, 384
-WORDS = HASHES // 64  # 64-bit words of a sketch
 BLOCK = 512
-#: Sketches admit a pair from this estimated similarity on, 4.6 standard deviations under 0.8.
-ADMIT = 0.66
+#: Sketches admit a pair from this estimated similarity on, 4.6 standard deviations (of 0.0212) under 0.8.
+ADMIT = 0.7025
 #: Ids that a semi-join may broadcast: 16 MB.
 BROADCAST_IDS = 1_000_000
-#: Members that one salted stretch of a centre's pairs holds on average.
-STRETCH = 256
+#: Least number of stretches over which a centre's members are dealt.
+STRETCHES = 16
+#: Rows of a bucket that meet in one block.
+MEET = 4096
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -98,13 +99,25 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return _mix((used * _K[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _K[ROWS]).view(np.int64)
 
 
-def sketch(least: np.ndarray) -> np.ndarray:
-    return np.packbits((least & 1).astype(np.uint8)).view("<i8")
+def sketch(least: np.ndarray) -> bytes:
+    """Four bits of every minimum."""
+    low = (least & 15).astype(np.uint8)
+    return (low[::2] | low[1::2] << 4).tobytes()
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches, row by row."""
+    d = a ^ b
+    equal = ((d & 15) == 0).sum(axis=1) + ((d >> 4) == 0).sum(axis=1)
+    return (equal / HASHES - 1 / 16) * 16 / 15
+
+
+def _sketches(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, HASHES // 2)
 
 
 _SIGNED = pa.schema([
-    ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), *((f"s{i}", pa.int64()) for i in range(WORDS)),
-    ("keys", pa.list_(pa.int64())),
+    ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64())),
 ])
 
 
@@ -115,24 +128,77 @@ def _signatures(size: int):
             for i, b in zip(column(batch, "doc_id"), utf8(batch, "text"), strict=True):
                 s = shingles(b, size, words)
                 if not len(s) or i is None:
-                    yield (i, len(s), None, *[None] * WORDS, None)
+                    yield (i, len(s), None, None, None)
                     continue
                 least = minima(s)
-                yield (i, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), *sketch(least).tolist(), band_keys(least).tolist())
+                yield (i, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), sketch(least), band_keys(least).tolist())
 
     return lambda batches: batched(rows(batches), _SIGNED, 512)
 
 
-def _admitted(a: str, b: str, percent: int) -> Column:
-    """Sketches agree enough, and sizes can reach the threshold."""
-    differ = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
-    sizes = F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * percent
-    slack = (ADMIT - 0.8) + percent / 100
-    return sizes & (differ <= int(HASHES * (1 - (1 + slack) / 2)))
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sizes can reach the threshold and whose sketches agree enough."""
+    side = lambda name, key: classes.select(F.col("rep").alias(key), F.col("n").alias(f"{name}n"), F.col("sketch").alias(f"{name}s"))
+    fits = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent
+    joined = pairs.join(side("a", "u"), "u").join(side("b", "v"), "v").where(fits)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = agreeing(_sketches(column(batch, "as")), _sketches(column(batch, "bs"))) >= ADMIT - 0.8 + percent / 100
+            yield batch.select(["u", "v"]).filter(pa.array(good))
+
+    return joined.select("u", "v", "as", "bs").mapInArrow(rows, "u long, v long")
 
 
-def _side(classes: DataFrame, name: str) -> DataFrame:
-    return classes.select(*[F.col(c).alias(f"{name}{c}") for c in ("rep", "n", *(f"s{i}" for i in range(WORDS)))])
+_MEETING = ("key", "ob", "ib", "inner", "band", "rep", "component", "main", "n", "most", "sketch", "keys")
+
+
+def _met(percent: int):
+    """Pairs of a block: its outer rows come first and are held, inner rows stream past them."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def pairs(held: dict, inner: list) -> tuple[np.ndarray, np.ndarray]:
+        """``held`` has arrays of the outer rows, ``inner`` the columns of some inner rows."""
+        rep, comp, main, n, most = (np.array(x, dtype=np.int64) for x in inner[:5])
+        a = held
+        both = np.minimum(a["most"][:, None], most[None, :])
+        fits = (a["comp"][:, None] != comp[None, :]) & (both * 100 >= (a["n"][:, None] + n[None, :] - both) * percent)
+        fits &= ((comp == main)[None, :]) | (a["rep"][:, None] < rep[None, :])
+        i, j = np.nonzero(fits)
+        if not len(i):
+            return i, j
+        near = agreeing(a["sketch"][i], _sketches(inner[5])[j]) >= ADMIT - 0.8 + percent / 100
+        i, j = i[near], j[near]
+        keys = np.array(inner[6], dtype=np.int64).reshape(-1, BANDS)
+        first = (a["keys"][i] == keys[j]).argmax(axis=1) == a["band"]  # in the first of their buckets only
+        return a["rep"][i[first]], rep[j[first]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, outer, held = None, [], None
+        for batch in batches:
+            cols = {c: column(batch, c) for c in _MEETING}
+            ids = list(zip(cols["key"], cols["ob"], cols["ib"], cols["inner"], strict=True))
+            at = 0
+            while at < len(ids):
+                end = at
+                while end < len(ids) and ids[end] == ids[at]:
+                    end += 1
+                if ids[at][:3] != key:
+                    key, outer, held = ids[at][:3], [], None
+                part = [cols[c][at:end] for c in ("rep", "component", "main", "n", "most", "sketch", "keys")]
+                if not ids[at][3]:
+                    outer.append(part)
+                    held = None
+                elif outer:
+                    if held is None:
+                        whole = [sum((p[k] for p in outer), []) for k in range(7)]
+                        held = {k: np.array(v, dtype=np.int64) for k, v in zip(("rep", "comp", "main", "n", "most"), whole, strict=False)}
+                        held |= {"sketch": _sketches(whole[5]), "keys": np.array(whole[6], dtype=np.int64).reshape(-1, BANDS), "band": cols["band"][at]}
+                    u, v = pairs(held, part)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=schema)
+                at = end
+
+    return run
 
 
 def only_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
@@ -144,18 +210,17 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi")
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, tables: Tables) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough.
 
-    Each centre u meets its members in stretches of bounded expected length, sorted so that its own text comes first; a task holds two
+    Each centre u meets its members in stretches whose number follows the partitions', sorted so that its own text comes first; a task holds two
     sets at a time.
     """
     pairs = tables.write(pairs.select("u", "v").distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     texts = tables.write(only_ids(docs.select("doc_id", "text"), ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("deg"))
-    salted = pairs.join(degree, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.ceil(F.col("deg") / STRETCH)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(max(STRETCHES, parts // 4))))
     members = salted.select("u", "salt", "v").join(texts.withColumnRenamed("doc_id", "v"), "v")
     centres = salted.select("u", "salt").distinct().join(texts.withColumnRenamed("doc_id", "u"), "u")
     rows = centres.select("u", "salt", F.lit(None).cast("long").alias("v"), "text").unionByName(members.select("u", "salt", "v", "text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -195,7 +260,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     small_batches(spark)
     tables = Tables(spark, "near-dedup")
-    spec = f"doc_id long, n long, digest string, {', '.join(f's{i} long' for i in range(WORDS))}, keys array<long>"
+    spec = "doc_id long, n long, digest string, sketch binary, keys array<long>"
     signed = tables.write(docs.select("doc_id", "text").mapInArrow(_signatures(size), spec), "signed")
     groups = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     total = signed.count()
@@ -206,38 +271,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = tables.write(classes, "classes")
 
     # buckets with more than one class
-    dealt = classes.select("rep", F.explode("keys").alias("key"))
+    dealt = classes.select("rep", F.posexplode("keys").alias("band", "key"))
     several = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     bands = tables.write(dealt.join(several, "key"), "bands")
     weight = bands.groupBy("rep").agg(F.sum("c").alias("weight"))
     weighed = bands.join(weight, "rep")
     centre = weighed.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("rep")).alias("neg"))).alias("top"))
     pairs = bands.join(centre.select("key", (-F.col("top.neg")).alias("u")), "key").where("rep <> u").select("u", F.col("rep").alias("v")).distinct()
-    near = pairs.join(_side(classes, "a_").withColumnRenamed("a_rep", "u"), "u").join(
-        _side(classes, "b_").withColumnRenamed("b_rep", "v"), "v"
-    ).where(_admitted("a_", "b_", percent))
+    near = tables.write(_near(pairs, classes, percent), "near")
     links = _confirm(near, docs, size, percent, tables)
     component = connected_components(links, tables)
 
     # buckets that still hold several components: what is outside the largest meets the others
-    held = bands.select("key", "rep").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    held = tables.write(held.select("key", "rep", F.coalesce("component", "rep").alias("component")), "held")
+    held = bands.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    held = tables.write(held.select("key", "band", "c", "rep", F.coalesce("component", "rep").alias("component")), "held")
     counted = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = counted.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main")
     mixed = tables.write(held.join(largest, "key"), "mixed")
     own = _own_shingles(mixed.select("rep").distinct(), docs, size, tables)
-    able = classes.drop("keys").join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    able = classes.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     mixed = tables.write(mixed.join(able.where(F.col("most") * 100 >= F.col("n") * percent), "rep"), "able")
-    cols = ("rep", "component", "n", "most", *(f"s{i}" for i in range(WORDS)))
-    outer = mixed.where("component <> main").select("key", *[F.col(c).alias(f"a_{c}") for c in cols])
-    inner = mixed.select("key", F.col("main").alias("b_main"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    once = (F.col("b_component") == F.col("b_main")) | (F.col("a_rep") < F.col("b_rep"))
-    most = F.least("a_most", "b_most")  # of shingles in common
-    fits = most * 100 >= (F.col("a_n") + F.col("b_n") - most) * percent
-    meets = (outer["key"] == inner["key"]) & (F.col("a_component") != F.col("b_component")) & once & fits & _admitted("a_", "b_", percent)
-    rest = outer.join(inner, meets).select(F.col("b_rep").alias("u"), F.col("a_rep").alias("v")).distinct()
+    blocks = F.ceil(F.col("c") / MEET)
+    mine, all_ = F.pmod(F.xxhash64("rep"), blocks), F.sequence(F.lit(0).cast("long"), blocks - 1)
+    outer = mixed.where("component <> main").withColumns({"ob": mine, "inner": F.lit(False)}).withColumn("ib", F.explode(all_))
+    inner = mixed.withColumns({"ib": mine, "inner": F.lit(True)}).withColumn("ob", F.explode(all_))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    meeting = outer.select(*_MEETING).unionByName(inner.select(*_MEETING)).repartition(parts, "key", "ob", "ib").sortWithinPartitions("key", "ob", "ib", "inner")
+    rest = meeting.mapInArrow(_met(percent), "u long, v long")
     done = near.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
-    rest = rest.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).join(done, ["x", "y"], "left_anti")
+    rest = rest.select(F.col("u").alias("x"), F.col("v").alias("y")).join(done, ["x", "y"], "left_anti")
     more = _confirm(rest.select(F.col("x").alias("u"), F.col("y").alias("v")), docs, size, percent, tables)
     if not more.isEmpty():
         component = connected_components(links.unionByName(more), tables)
