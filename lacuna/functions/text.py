@@ -18,7 +18,8 @@ def stable_id(prefix: str, *parts: Column | str) -> Column:
 
 
 def bounded(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x between low and high; null stays null (greatest and least alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def squash(x: Column | str) -> Column:
