@@ -4,8 +4,8 @@ The base spans come from three fixed patterns.  The field tags white-space separ
 are the token's shape (length, character classes, class changes, character variety), hashed shape strings and lower-case words of the token
 and of its neighbours, and features of the whole text.  Weights maximise the L2-regularised conditional likelihood of
 windows whose tags follow from the base spans, over a bounded sample of documents (``sample_rows``).  Texts are decoded whole by
-Viterbi: a token whose best begin or inside score cannot outweigh outside whatever its neighbours are is outside in every best path, so
-the text falls apart there into segments which are decoded exactly.
+Viterbi: a token whose best begin or inside score cannot outweigh outside, whatever its neighbours are and even if the token after it
+must begin anew, is outside in every best path, so the text falls apart there into segments which are decoded exactly.
 
 Defined cases: null text counts as empty and has no span; a text of any length is read whole; repeated rows give repeated results; without
 any base span in the sample the field adds nothing; an empty table gives an empty result; other columns are ignored (or
@@ -152,9 +152,9 @@ class Field:
 
     @property
     def slack(self) -> float:
-        """The most that a begin or inside token may gain over outside through its two transitions."""
+        """The most that three transitions can differ by; so many change when a token turns outside and an inside after it begins anew."""
         legal = self.trans[self.trans > NEVER / 2]
-        return 2 * float(legal.max() - legal.min())
+        return 3 * float(legal.max() - legal.min())
 
     def emissions(self, x: np.ndarray, word: np.ndarray, flags: tuple[int, int]) -> np.ndarray:
         e = x @ self.dense + self.own[word] + np.array(flags, dtype=np.float32) @ self.text
@@ -165,7 +165,8 @@ class Field:
     def decode(self, e: np.ndarray) -> np.ndarray:
         """Best tags; exact, by Viterbi over the segments between tokens that must be outside."""
         tags = np.zeros(len(e), dtype=np.int8)
-        open_ = np.flatnonzero(np.maximum(e[:, BEGIN], e[:, INSIDE]) + self.slack >= e[:, OUT])
+        after = np.append(np.maximum(e[1:, INSIDE] - e[1:, BEGIN], 0), 0)
+        open_ = np.flatnonzero(np.maximum(e[:, BEGIN], e[:, INSIDE]) + after + self.slack >= e[:, OUT])
         if not len(open_):
             return tags
         for part in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
