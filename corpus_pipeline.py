@@ -8,7 +8,8 @@ Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor ke
 * secrets: found spans are replaced in the text, ``n_chars`` follows; no row goes;
 * packing: one row for each piece of a document in a sequence.
 
-Rows with a null doc_id pass the dedup stages unless their text equals that of another row.
+Rows with a null doc_id pass the dedup stages.  Rows that repeat a doc_id and its text are one document, of which the exact stage leaves one row;
+other rows that repeat a doc_id share its decisions.
 """
 
 from __future__ import annotations
@@ -38,7 +39,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(spark, docs, exact_dedup(docs), ~F.col("kept")).dropDuplicates(["doc_id"])
+    kept = _without(spark, docs, exact_dedup(docs), ~F.col("kept"))
+    counts = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    again = Tables(spark, "stage").write(counts.where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    once = only_ids(kept, again, "doc_id").dropDuplicates(["doc_id", "text"])  # only these rows are shuffled
+    return only_ids(kept, again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
