@@ -128,7 +128,7 @@ def chunks(texts: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
     return rows.select("id", "chunk_id", F.substring(F.col("t"), F.col("chunk_id") * step + 1, F.lit(size)).alias("text"))
 
 
-def sections(texts: DataFrame, pattern: str = r"^(abstract|introduction|related work|method[s]?|experiments?|results|discussion|limitations?|conclusions?)\b") -> DataFrame:
+def sections(texts: DataFrame, pattern: str = r"^(abstract|introduction|related work|method[s]?|experiments?|results|discussion|limitations?|conclusions?)(?:[^\p{L}\p{N}_]|$)") -> DataFrame:
     """First line (id, heading, start) of every kind of heading, with its character offset; headings have 80 characters at most."""
     lines = F.split("text", "\n")
     starts = F.aggregate(

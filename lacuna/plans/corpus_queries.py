@@ -96,7 +96,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.sections(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), r"^(the|of|was|la|de|die|der|el)\b")
+    return retrieval.sections(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), r"^(the|of|was|la|de|die|der|el)(?:[^\p{L}\p{N}_]|$)")
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +234,7 @@ ORACLE_SQL = {
     "anchor_terms": "WITH t AS (SELECT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]{5,}')) AS term FROM part) SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT 100",
     "chunks": f"WITH {_CHUNKS} SELECT id, CAST(chunk_id AS BIGINT) AS chunk_id, length(text) AS n_chars, sha1(text) AS digest FROM ch",
     "sections": r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, string_split(text, chr(10)) AS ls FROM documents),
-        h AS (SELECT id, regexp_extract(lower(trim(line)), '^(the|of|was|la|de|die|der|el)\b', 1) AS heading, length(trim(line)) AS n,
+        h AS (SELECT id, regexp_extract(lower(trim(line)), '^(the|of|was|la|de|die|der|el)(?:[^\p{L}\p{N}_]|$)', 1) AS heading, length(trim(line)) AS n,
           coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS start FROM l)
         SELECT id, heading, CAST(min(start) AS BIGINT) AS start FROM h WHERE heading <> '' AND n <= 80 GROUP BY id, heading""",
     "snippets": """WITH p AS (SELECT doc_id AS id, text, list_min(list_filter([instr(lower(text), 'license'), instr(lower(text), 'token')], lambda x: x > 0)) AS pos FROM documents)

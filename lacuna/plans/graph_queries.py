@@ -47,7 +47,7 @@ def graph_degree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = evidence_graph(spark, sf_dir)
-    return graph.induced(edges, graph.degree_top(edges, 200)).select("source", "target", "relation")
+    return graph.induced(edges, graph.degree_top(edges, 4000)).select("source", "target", "relation")
 
 
 def field_norm_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +219,7 @@ ORACLE_SQL = {k: f"WITH {GRAPH_SQL} {v}" for k, v in _SQL.items()} | {
     "graph_edges_merged": f"WITH {GRAPH_SQL} SELECT source, target, relation, confidence, support_count, evidence, array_to_string(papers, ' ') AS paper_ids FROM edges",
     "graph_type_summary": f"WITH {GRAPH_SQL} SELECT type, count(*) AS n, 'node' AS part FROM nodes GROUP BY type UNION ALL SELECT relation, count(*), 'edge' FROM edges GROUP BY relation",
     "graph_degree_topk": f"WITH {GRAPH_SQL} SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id ORDER BY degree DESC, id LIMIT 25",
-    "graph_induced_edges": f"""WITH {GRAPH_SQL}, top AS (SELECT id FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id ORDER BY count(*) DESC, id LIMIT 200)
+    "graph_induced_edges": f"""WITH {GRAPH_SQL}, top AS (SELECT id FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id ORDER BY count(*) DESC, id LIMIT 4000)
         SELECT source, target, relation FROM edges WHERE source IN (SELECT id FROM top) AND target IN (SELECT id FROM top)""",
     "field_norm_flags": f"""WITH {GRAPH_SQL} SELECT id, label, round(len(papers) / (SELECT count(DISTINCT paper_id) FROM tuples), 3) AS field_norm_fraction,
         round(len(papers) / (SELECT count(DISTINCT paper_id) FROM tuples), 3) >= 0.002 AS field_norm FROM nodes WHERE type = 'Assumption'""",

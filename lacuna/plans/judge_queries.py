@@ -93,7 +93,7 @@ def plateau_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id")
+    done = table(spark, sf_dir, "events").where("event_id % 97 = 0").select("user_id")
     return judging.remaining(table(spark, sf_dir, "events").select("user_id").distinct(), done, "user_id")
 
 
@@ -204,7 +204,7 @@ ORACLE_SQL = {
           CASE WHEN papers < 90 OR types < 3 OR most / tuples > 0.95 THEN 'FAIL' WHEN NOT (tuples / papers >= 2 OR tuples >= 400) THEN 'LOW' ELSE 'PASS' END AS status FROM g, u""",
     "plateau_lag": """WITH d AS (SELECT user_id, abs(round(value, 0) - lag(round(value, 0)) OVER (PARTITION BY user_id ORDER BY event_id)) AS d FROM events)
         SELECT user_id, count(*) AS steps, count(*) FILTER (WHERE d < 5) AS flat FROM d GROUP BY 1""",
-    "resume_anti": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
+    "resume_anti": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0)",
     "referential_audit": """WITH p AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 9 <> 0), c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1)
         SELECT CASE WHEN p.k IS NULL THEN 'invented' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' ELSE 'once' END AS status, count(*) AS n FROM p FULL JOIN c ON p.k = c.k GROUP BY 1""",
     "survival_scores": """WITH g AS (SELECT l_orderkey AS gap_id, count(DISTINCT l_suppkey) AS np, count(DISTINCT l_partkey) AS nn,
