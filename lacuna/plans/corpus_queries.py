@@ -153,12 +153,14 @@ def seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark spans stand verbatim in which documents; meets on the span's first 40 characters, as every document has them as windows."""
-    spans = table(spark, sf_dir, "benchmark").select("item_id", T.squash("text").alias("span")).where(F.length("span") >= 40)
-    keys = spans.withColumn("k", F.substring("span", 1, 40))
-    d = table(spark, sf_dir, "documents").select("doc_id", T.squash("text").alias("t")).where(F.length("t") >= 40)
-    w = d.select("doc_id", "t", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 39), lambda i: F.substring(F.col("t"), i, F.lit(40)))).alias("k"))
-    return w.join(keys, "k").where(F.contains("t", "span")).select("item_id", "doc_id").distinct()
+    """Which benchmark spans stand in which documents, word for word; they meet on six words, so a document gives a row for each of its words."""
+    six = lambda w, i: F.array_join(F.slice(w, i + 1, F.lit(6)), " ")
+    spans = table(spark, sf_dir, "benchmark").select("item_id", T.squash("text").alias("span"), T.words("text").alias("w")).where(F.size("w") >= 6)
+    keys = spans.select("item_id", "span", six(F.col("w"), F.lit(0)).alias("k"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"), T.squash("text").alias("t")).where(F.size("w") >= 6)
+    places = d.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 6), lambda i: six(F.col("w"), i)))).alias("k"))
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return places.join(keys, "k").where(F.contains(padded("t"), padded("span"))).select("item_id", "doc_id").distinct()
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +257,8 @@ ORACLE_SQL = {
         SELECT doc_id, sha1(x) AS digest, x <> text AS changed FROM c""",
     "seed_alignment": f"""WITH s AS (SELECT DISTINCT unnest({_TOK.format('substr(text, 1, 200)', 3)}) AS t FROM benchmark), d AS (SELECT doc_id, unnest({_TOK.format('text', 3)}) AS t FROM documents)
         SELECT doc_id, round(count(*) FILTER (WHERE t IN (SELECT t FROM s)) / count(*), 6) AS share FROM d GROUP BY doc_id""",
-    "contamination": f"SELECT item_id, doc_id FROM (SELECT item_id, {_SQ.format('text')} AS s FROM benchmark) b JOIN (SELECT doc_id, {_SQ.format('text')} AS t FROM documents) d ON contains(t, s) AND length(s) >= 40",
+    "contamination": f"""SELECT item_id, doc_id FROM (SELECT item_id, {_SQ.format('text')} AS s FROM benchmark) b JOIN (SELECT doc_id, {_SQ.format('text')} AS t FROM documents) d
+        ON contains(' ' || t || ' ', ' ' || s || ' ') AND len(string_split(s, ' ')) >= 6""",
     "cosine_topk": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.v, b.v), 5) AS c FROM e a JOIN e b ON b.vec_id < 20 AND a.vec_id <> b.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, other) AS rank FROM n) SELECT vec_id, other, rank FROM r WHERE rank <= 5""",
     "rerank_topk": """SELECT vec_id, round(vec_id % 7 + 12 * list_dot_product(embedding::DOUBLE[], list_transform(range(64), lambda x: 0.125::DOUBLE)), 4) AS score FROM embeddings
