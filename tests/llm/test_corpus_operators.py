@@ -385,13 +385,15 @@ def test_pipeline(spark, texts, tmp_path):
 
     langs = ["aa" if t and len(t) > 3 else None for t in texts]
     docs = frame(spark, texts, langs).select("doc_id", "text", "lang", "source", "n_chars")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.unionByName(docs.where("doc_id in (10, 12)")).write.parquet(f"{tmp_path}/documents.parquet")  # rows that repeat
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns = now.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
         assert now.columns == columns
-    kept = {r.doc_id for r in now.collect()}
+    rows = [r.doc_id for r in now.collect()]
+    kept = set(rows)
+    assert len(rows) == len(kept)
     lettered = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
     norm = {}
     for i in lettered:
