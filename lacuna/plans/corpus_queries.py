@@ -164,14 +164,9 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closest five labelled centroids of every vector."""
-    e = table(spark, sf_dir, "embeddings")
-    unit = F.transform("embedding", lambda x: x.cast("double"))
-    centre = e.where("vec_id < 20").select(F.col("vec_id").alias("other"), unit.alias("c"))  # twenty rows by the filter
-    near = e.select("vec_id", unit.alias("v")).join(F.broadcast(centre), F.col("vec_id") != F.col("other")).withColumn("cosine", F.round(T.dot("v", "c"), 5))
-    from lacuna.operators.graph import top_per
-
-    return top_per(near, ["vec_id"], [F.desc("cosine"), F.col("other")], 5).select("vec_id", "other", F.col("rank").cast("long").alias("rank"))
+    """Closest five others of every vector, among all vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return similarity.nearest(e, 5).select(F.col("id").alias("vec_id"), "other", "rank")
 
 
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from lacuna.operators import similarity
 from lacuna.plans import catalogue
 from tests.test_engine import SF, plain
 
@@ -39,3 +40,18 @@ def test_complete_rankings_of_all_batches(spark):
     want = rows_by("""WITH r AS (SELECT l_orderkey AS batch, l_linenumber AS rank, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS position FROM lineitem)
         SELECT batch, count(*) = count(DISTINCT rank) AND min(rank) = 1 AND max(rank) = count(*) AS complete, bool_and(rank = position) AS input_order FROM r GROUP BY 1""")
     assert rows_of(spark, "complete_rankings") == want
+
+
+def test_cosine_topk_among_all_vectors(spark):
+    want = rows_by("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.v, b.v), 5) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, other) AS rank FROM n) SELECT vec_id, other, rank FROM r WHERE rank <= 5""")
+    assert rows_of(spark, "cosine_topk") == want
+
+
+def test_nearest_with_ties_and_few_rows(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(200)], "id long, vector array<double>")
+    got = {}
+    for r in similarity.nearest(rows, 3).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.other)
+    assert got == {i: [j for j in range(i % 2, 200, 2) if j != i][:3] for i in range(200)}
+    assert sorted(map(tuple, similarity.nearest(rows.where("id < 2"), 3).collect())) == [(0, 1, 1), (1, 0, 1)]
