@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,25 +156,44 @@ def rerank(rows: DataFrame, query: list[float], weight: float = 12.0) -> DataFra
     return rows.withColumn("score", F.col("base") + weight * cosine)
 
 
-def mmr(rows: DataFrame, k: int, balance: float = 0.75, pool: int = 1000) -> DataFrame:
-    """Maximal marginal relevance over the ``pool`` most relevant rows (id, score, embedding): (id, position).
+def mmr(rows: DataFrame, k: int, balance: float = 0.75) -> DataFrame:
+    """Maximal marginal relevance over all rows (id, score, embedding): (id, position).
 
-    The greedy choice is sequential; Spark cuts the candidates, whose number bounds what the driver holds.  Ties go to the earlier row.
+    The greedy choice is sequential: each of k rounds reads the rows once, compares them with the vectors chosen so far and sends the best row to the
+    driver.  Ties go to the larger score, then to the lesser id.
     """
-    best = rows.orderBy(F.desc("score"), "id").limit(pool).select("id", "score", "embedding").collect()
+    rows = rows.select("id", F.col("score").cast("double").alias("score"), "embedding")
     schema = f"id {dict(rows.dtypes)['id']}, position int"
-    if len(best) <= k:
-        return rows.sparkSession.createDataFrame([(r["id"], i) for i, r in enumerate(best, 1)], schema)
-    rel = np.array([r["score"] for r in best], dtype=float)
-    rel = (rel - rel.min()) / (rel.max() - rel.min()) if rel.max() > rel.min() else rel
-    v = np.array([r["embedding"] for r in best], dtype=float)
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    chosen, closest, free = [int(rel.argmax())], np.full(len(best), -np.inf), np.ones(len(best), dtype=bool)
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min("score"), F.max("score")).first()
+    if n <= k:
+        all_rows = rows.orderBy(F.desc("score"), "id").collect()
+        return rows.sparkSession.createDataFrame([(r["id"], i) for i, r in enumerate(all_rows, 1)], schema)
+    chosen: list[tuple] = []
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = [i for i, _ in chosen], [_unit(np.array([v]))[0] for _, v in chosen]
+        for p in parts:
+            p = p[~p["id"].isin(ids)]
+            if not len(p):
+                continue
+            score = p["score"].to_numpy(float)
+            value = balance * ((score - low) / (high - low) if high > low else score)
+            if vectors:
+                v = _unit(np.stack(p["embedding"].to_numpy()).astype(float))
+                # sums by row: equal vectors get equal similarities wherever they stand
+                value = value - (1 - balance) * np.max([(v * c).sum(axis=1) for c in vectors], axis=0)
+            p = p.assign(value=value)
+            yield p[p["value"] == p["value"].max()].sort_values(["score", "id"], ascending=[False, True]).head(1)
+
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     while len(chosen) < k:
-        free[chosen[-1]] = False
-        closest = np.maximum(closest, v @ v[chosen[-1]])
-        chosen.append(int(np.where(free, balance * rel - (1 - balance) * closest, -np.inf).argmax()))
-    return rows.sparkSession.createDataFrame([(best[i]["id"], n) for n, i in enumerate(chosen, 1)], schema)
+        found = rows.mapInPandas(best, f"{kinds}, value double").orderBy(F.desc("value"), F.desc("score"), "id").limit(1).first()
+        chosen.append((found["id"], found["embedding"]))
+    return rows.sparkSession.createDataFrame([(i, n) for n, (i, _) in enumerate(chosen, 1)], schema)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
 def abstract_from_index(rows: DataFrame) -> DataFrame:

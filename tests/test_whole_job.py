@@ -2,9 +2,10 @@
 
 import os
 
+import numpy as np
 import pytest
 
-from lacuna.operators import similarity
+from lacuna.operators import retrieval, similarity
 from lacuna.plans import catalogue
 from tests.test_engine import SF, plain
 
@@ -55,3 +56,23 @@ def test_nearest_with_ties_and_few_rows(spark):
         got.setdefault(r.id, []).append(r.other)
     assert got == {i: [j for j in range(i % 2, 200, 2) if j != i][:3] for i in range(200)}
     assert sorted(map(tuple, similarity.nearest(rows.where("id < 2"), 3).collect())) == [(0, 1, 1), (1, 0, 1)]
+
+
+def test_mmr_over_all_rows(spark):
+    """Rows of the top score beyond the first 1000 by id are chosen for their direction; the minimum is the table's."""
+    turn = lambda i: [1.0, 0.0, 0.0] if i < 1200 else [0.0, 1.0, 0.0] if i < 1300 else [0.0, 0.0, 1.0]
+    rows = [(i, 5.0 if i < 1300 else 4.0 if i < 1400 else -5.0, turn(i)) for i in range(1500)]
+    got = retrieval.mmr(spark.createDataFrame(rows, "id long, score double, embedding array<double>").repartition(5), 3).orderBy("position").collect()
+    assert [r.id for r in got] == [0, 1200, 1300]
+
+
+def test_mmr_equals_greedy_choice(spark):
+    rng = np.random.default_rng(1)
+    v, score = rng.normal(size=(1500, 8)), (np.arange(1500) % 11).astype(float)
+    got = retrieval.mmr(spark.createDataFrame([(i, float(score[i]), v[i].tolist()) for i in range(1500)], "id long, score double, embedding array<double>"), 12)
+    u, rel, want = v / np.linalg.norm(v, axis=1, keepdims=True), score / 10, []
+    while len(want) < 12:
+        value = 0.75 * rel - (0.25 * (u @ u[want].T).max(axis=1) if want else 0)
+        value[want] = -np.inf
+        want.append(int(value.argmax()))
+    assert [r.id for r in got.orderBy("position").collect()] == want
