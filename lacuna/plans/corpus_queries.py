@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import text as T
+from lacuna.functions import vectorised
 from lacuna.operators import retrieval, similarity
 from lacuna.plans.views import table
 
@@ -153,14 +154,22 @@ def seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark spans stand in which documents, word for word; they meet on six words, so a document gives a row for each of its words."""
-    six = lambda w, i: F.array_join(F.slice(w, i + 1, F.lit(6)), " ")
-    spans = table(spark, sf_dir, "benchmark").select("item_id", T.squash("text").alias("span"), T.words("text").alias("w")).where(F.size("w") >= 6)
-    keys = spans.select("item_id", "span", six(F.col("w"), F.lit(0)).alias("k"))
-    d = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"), T.squash("text").alias("t")).where(F.size("w") >= 6)
-    places = d.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 6), lambda i: six(F.col("w"), i)))).alias("k"))
-    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return places.join(keys, "k").where(F.contains(padded("t"), padded("span"))).select("item_id", "doc_id").distinct()
+    """Which benchmark spans of 15 characters or more stand in which documents, both in the reference's form.
+
+    Where a span stands, its interior words are whole words of the text, whatever is glued to its ends.  So spans of six words or more meet the
+    documents on their second to fifth word, and a plain search confirms; the others are sought in every document.
+    """
+    four = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(4)), " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = table(spark, sf_dir, "benchmark").where(F.length("text") >= 15).select("item_id", vectorised.span_form("text").alias("span")).where("span <> ''")
+    spans = spans.withColumn("w", F.split("span", " "))
+    keys = spans.where(F.size("w") >= 6).select("item_id", "span", four(F.col("w"), F.lit(1)).alias("k"))
+    d = docs.select("doc_id", F.split(vectorised.span_form("text"), " ").alias("w")).where(F.size("w") >= 4)
+    places = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: four(F.col("w"), i)))).alias("k"))
+    met = places.join(keys, "k").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "span")).alias("spans"))
+    long = docs.join(met, "doc_id").select("doc_id", "spans", vectorised.span_form("text").alias("t")).select("doc_id", "t", F.explode("spans").alias("s"))
+    short = docs.select("doc_id", vectorised.span_form("text").alias("t")).join(spans.where(F.size("w") < 6), F.contains("t", "span"))
+    return long.where(F.contains("t", "s.span")).select("s.item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Queries against statements of the whole job, which no filter or cut shortens."""
 
 import os
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -76,3 +78,32 @@ def test_mmr_equals_greedy_choice(spark):
         value[want] = -np.inf
         want.append(int(value.argmax()))
     assert [r.id for r in got.orderBy("position").collect()] == want
+
+
+def span_form(t):
+    t = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii")
+    return re.sub(r"\s+", " ", re.sub(r"-\s+", "", t)).strip().lower()
+
+
+def standing(spark, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    docs = [(r.doc_id, span_form(r.text or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    spans = [(r.item_id, span_form(r.text)) for r in items if len(r.text) >= 15]
+    return sorted((i, d) for i, s in spans for d, t in docs if s and s in t)
+
+
+def test_contamination_by_containment(spark, tmp_path):
+    bench = [(1, "Who came first, the hen or its egg?"), (2, "a short passage"), (3, "tiny"), (4, "one naïve re-\nsult of three"), (5, "supercalifragilistic")]
+    docs = [
+        (1, 'He asked: "who came  FIRST, the hen or its egg?".'), (2, "Who came first, the hen and its egg?"), (3, "(A short\npassage)"), (4, "tiny"),
+        (5, "xone naive result of threes"), (6, "unsupercalifragilistically"), (7, ""), (8, None),
+    ]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["contamination"](spark, str(tmp_path)).select("item_id", "doc_id").collect())
+    assert got == [(1, 1), (2, 3), (4, 5), (5, 6)] == standing(spark, str(tmp_path))
+
+
+def test_contamination_equals_plain_search(spark):
+    got = sorted(tuple(r) for r in catalogue.QUERIES["contamination"](spark, SF).select("item_id", "doc_id").collect())
+    assert got == standing(spark, SF)
