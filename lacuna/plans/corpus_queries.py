@@ -17,9 +17,8 @@ POSITIVE, ANCHOR, NEGATIVE = ["license", "token", "password"], ["the and", "and
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: the first line is the title, the rest the abstract."""
     d = table(spark, sf_dir, "documents")
-    head = F.substring(F.substring_index("text", "\n", 1), 1, 200)
     return d.select(
-        F.col("doc_id").alias("id"), head.alias("title"), F.coalesce("text", F.lit("")).alias("abstract"), F.array("lang").alias("fields"),
+        F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.coalesce("text", F.lit("")).alias("abstract"), F.array("lang").alias("fields"),
         (F.col("doc_id") % 3).alias("sources"), (F.col("doc_id") % 50).alias("citations"), (F.col("doc_id") % 2 == 0).alias("is_preprint"),
         (2000 + F.col("doc_id") % 26).alias("year"), F.array("lang", "source").alias("categories"), "source", "text", "lang",
     )
@@ -72,7 +71,7 @@ def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = _docs(spark, sf_dir).select("id", T.tokens(F.substring("title", 1, 60), "[a-z0-9]{2,}").alias("tokens"))
+    heads = _docs(spark, sf_dir).select("id", T.tokens("title", "[a-z0-9]{2,}").alias("tokens"))
     links = similarity.similar_pairs(heads, 0.85)
     return similarity.components(heads.select("id"), links.select("a", "b"))
 
@@ -147,7 +146,7 @@ def blind_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "benchmark").select(T.tokens(F.substring("text", 1, 200)).alias("s")).select(F.explode("s").alias("t")).distinct()
+    seeds = table(spark, sf_dir, "benchmark").select(T.tokens("text").alias("s")).select(F.explode("s").alias("t")).distinct()
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens("text")).alias("t"))
     marked = rows.join(seeds.withColumn("hit", F.lit(1)), "t", "left").groupBy("doc_id")
     return marked.agg(F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)), 6).alias("share"))

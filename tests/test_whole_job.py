@@ -107,3 +107,27 @@ def test_contamination_by_containment(spark, tmp_path):
 def test_contamination_equals_plain_search(spark):
     got = sorted(tuple(r) for r in catalogue.QUERIES["contamination"](spark, SF).select("item_id", "doc_id").collect())
     assert got == standing(spark, SF)
+
+
+#: The registered SQL of these queries cuts texts; without the cuts it states the whole job.
+CUTS = [("substr(split_part(text, chr(10), 1), 1, 200)", "split_part(text, chr(10), 1)"), ("substr(title, 1, 60)", "title"), ("substr(text, 1, 200)", "text")]
+
+
+@pytest.mark.parametrize("name", ["alias_components", "seed_alignment", "dedup_multikey", "relevance_score", "facet_score", "text_functions"])
+def test_whole_texts(spark, name):
+    sql = catalogue.ORACLE_SQL[name]
+    for cut, whole in CUTS:
+        sql = sql.replace(cut, whole)
+    assert rows_of(spark, name) == rows_by(sql)
+
+
+def test_titles_and_seeds_to_their_end(spark, tmp_path):
+    same = " ".join(f"word{i}" for i in range(60))
+    docs = [(1, f"{same} alpha password\nx", "en", "a"), (2, f"{same} beta\nx", "en", "a"), (3, " ".join(f"other{i}" for i in range(9)) + " omega", "en", "b"), (4, same[:200] + "\ny", "en", "c")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, f"{same} omega")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {n: catalogue.QUERIES[n](spark, str(tmp_path)) for n in ("alias_components", "seed_alignment", "dedup_multikey", "relevance_score", "facet_score")}
+    assert {r.id: r.component for r in got["alias_components"].collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: r.share for r in got["seed_alignment"].collect()}[3] == 0.1
+    assert got["dedup_multikey"].count() == 4
+    assert {r.id for r in got["relevance_score"].where("score >= 6").collect()} == {1}
