@@ -5,13 +5,17 @@ signature has ``HASHES`` minima.  ``BANDS`` bands of ``ROWS`` minima deal classe
 with a probability of about 2e-6), and four bits of every minimum make a sketch for verification (its error at 0.8 has a standard
 deviation of 0.021).
 
-Inside a bucket not all pairs are made.  First every class meets the bucket's centre: the class whose buckets are most populous.  Pairs
-that the sketches admit are confirmed on the full sets and give components.  Then only buckets that still hold several components are
-revisited, and there only classes outside the bucket's largest component meet the others of another component.  Inside that join a pair must be
-admitted by its sketches and by a bound: shingles that no other revisited class has cannot be common to a pair.  So every pair that shares a bucket has been confirmed, refuted, or lies within one component already.
+Inside a bucket pairs are never made into rows.  First every class meets the bucket's centre: the class whose buckets are most populous.
+Pairs that the sketches admit are confirmed on the full sets and give components.  Then only buckets that still hold several components are
+revisited, and there only classes outside the bucket's largest component meet the others of another component, in bounded blocks and twice.
+The first meeting names the classes with an admitted partner: sketches and a bound (shingles that no other revisited class has cannot
+be common to a pair) must admit it.  Those classes meet again with their full sets beside them, where the pairs are confirmed, and a link
+is written only if it unites two components that the task has not yet united.  So every pair that shares a bucket has been confirmed, refuted, or
+lies within one component already, and the rows written grow with the classes, whatever the number of pairs.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; texts with fewer words than a shingle have one
-element, their whole sequence; rows repeating a doc_id count as one document (the row kept is each of them); a null doc_id is linked
+element, their whole sequence; rows repeating a doc_id count as one document (the row kept is each of them; the
+text with the least hash is compared with others); a null doc_id is linked
 with nothing and kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -36,8 +40,8 @@ ADMIT = 0.7025
 BROADCAST_IDS = 1_000_000
 #: Least number of stretches over which a centre's members are dealt.
 STRETCHES = 16
-#: Rows of a bucket that meet in one block.
-MEET = 4096
+#: Rows of a bucket, and shingles of their sets, on either side of one block.
+MEET, MEET_SHINGLES = 512, 1 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -117,7 +121,7 @@ def _sketches(values: list[bytes]) -> np.ndarray:
 
 
 _SIGNED = pa.schema([
-    ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64())),
+    ("doc_id", pa.int64()), ("version", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64())),
 ])
 
 
@@ -125,13 +129,13 @@ def _signatures(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         words = _Words()
         for batch in batches:
-            for i, b in zip(column(batch, "doc_id"), utf8(batch, "text"), strict=True):
+            for i, version, b in zip(column(batch, "doc_id"), column(batch, "version"), utf8(batch, "text"), strict=True):
                 s = shingles(b, size, words)
                 if not len(s) or i is None:
-                    yield (i, len(s), None, None, None)
+                    yield (i, version, len(s), None, None, None)
                     continue
                 least = minima(s)
-                yield (i, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), sketch(least), band_keys(least).tolist())
+                yield (i, version, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), sketch(least), band_keys(least).tolist())
 
     return lambda batches: batched(rows(batches), _SIGNED, 512)
 
@@ -150,57 +154,141 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "as", "bs").mapInArrow(rows, "u long, v long")
 
 
-_MEETING = ("key", "ob", "ib", "inner", "band", "rep", "component", "main", "n", "most", "sketch", "keys")
+_MEETING = ("key", "band", "rep", "component", "main", "n", "most", "sketch", "keys")
 
 
-def _met(percent: int):
-    """Pairs of a block: its outer rows come first and are held, inner rows stream past them."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _deal(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows of every bucket dealt into blocks (key, ob, ib) that hold each outer row (of a component other than the main one) beside each row.
 
-    def pairs(held: dict, inner: list) -> tuple[np.ndarray, np.ndarray]:
-        """``held`` has arrays of the outer rows, ``inner`` the columns of some inner rows."""
-        rep, comp, main, n, most = (np.array(x, dtype=np.int64) for x in inner[:5])
-        a = held
-        both = np.minimum(a["most"][:, None], most[None, :])
-        fits = (a["comp"][:, None] != comp[None, :]) & (both * 100 >= (a["n"][:, None] + n[None, :] - both) * percent)
-        fits &= ((comp == main)[None, :]) | (a["rep"][:, None] < rep[None, :])
-        i, j = np.nonzero(fits)
-        if not len(i):
-            return i, j
-        near = agreeing(a["sketch"][i], _sketches(inner[5])[j]) >= ADMIT - 0.8 + percent / 100
-        i, j = i[near], j[near]
-        keys = np.array(inner[6], dtype=np.int64).reshape(-1, BANDS)
-        first = (a["keys"][i] == keys[j]).argmax(axis=1) == a["band"]  # in the first of their buckets only
-        return a["rep"][i[first]], rep[j[first]]
+    A bucket's blocks follow the number and the size of its outer rows and of all its rows; outer rows come first in a block.
+    """
+    blocks = lambda side: F.ceil(F.greatest(F.sum(side) / MEET, F.sum(side * F.col("n")) / MEET_SHINGLES, F.lit(1)))
+    out = (F.col("component") != F.col("main")).cast("long")
+    counts = rows.groupBy("key").agg(blocks(out).alias("obs"), blocks(F.lit(1)).alias("ibs"), F.sum(out).alias("outside")).where("outside > 0").drop("outside")
+    rows = rows.join(counts, "key")
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    outer = rows.where("component <> main").withColumns({"ob": mine("obs"), "inner": F.lit(False)}).withColumn("ib", every("ibs"))
+    inner = rows.withColumns({"ib": mine("ibs"), "inner": F.lit(True)}).withColumn("ob", every("obs"))
+    both = outer.unionByName(inner).drop("obs", "ibs")
+    return both.repartition(parts, "key", "ob", "ib").sortWithinPartitions("key", "ob", "ib", "inner", "rep")
+
+
+class _Side:
+    """Columns of some rows of a block as arrays."""
+
+    def __init__(self, parts: list[dict[str, list]]):
+        whole = {c: sum((p[c] for p in parts), []) for c in parts[0]}
+        for c in ("rep", "component", "main", "n", "most"):
+            setattr(self, c, np.array(whole[c], dtype=np.int64))
+        self.band = whole["band"][0]
+        self.sketch = _sketches(whole["sketch"])
+        self.keys = np.array(whole["keys"], dtype=np.int64).reshape(-1, BANDS)
+        self.sets = [np.frombuffer(x, dtype=np.uint64) for x in whole.get("set", [])]
+
+
+def _admitted(a: _Side, b: _Side, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in a (outer) and b (inner) of the pairs to be confirmed in this bucket, and their estimated similarity."""
+    both = np.minimum(a.most[:, None], b.most[None, :])
+    fits = (a.component[:, None] != b.component[None, :]) & (both * 100 >= (a.n[:, None] + b.n[None, :] - both) * percent)
+    fits &= (b.component == b.main)[None, :] | (a.rep[:, None] < b.rep[None, :])
+    i, j = np.nonzero(fits)
+    like = agreeing(a.sketch[i], b.sketch[j]) if len(i) else np.zeros(0)
+    near = like >= ADMIT - 0.8 + percent / 100
+    i, j, like = i[near], j[near], like[near]
+    first = (a.keys[i] == b.keys[j]).argmax(axis=1) == a.band if len(i) else near[:0]  # in the first of their buckets only
+    return i[first], j[first], like[first]
+
+
+def _sides(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[_Side, _Side]]:
+    """(outer, some inner) rows of every block: the outer ones are held, the inner ones stream past them."""
+    key, outer, held = None, [], None
+    for batch in batches:
+        cols = {c: column(batch, c) for c in (*columns, "ob", "ib", "inner")}
+        ids = list(zip(cols["key"], cols["ob"], cols["ib"], cols["inner"], strict=True))
+        at = 0
+        while at < len(ids):
+            end = at
+            while end < len(ids) and ids[end] == ids[at]:
+                end += 1
+            if ids[at][:3] != key:
+                key, outer, held = ids[at][:3], [], None
+            part = {c: cols[c][at:end] for c in columns}
+            if not ids[at][3]:
+                outer.append(part)
+                held = None
+            elif outer:
+                held = held or _Side(outer)
+                yield held, _Side([part])
+            at = end
+
+
+_NEEDED = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
+
+
+def _sift(percent: int):
+    """(key, rep) of the classes that have an admitted partner in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, outer, held = None, [], None
-        for batch in batches:
-            cols = {c: column(batch, c) for c in _MEETING}
-            ids = list(zip(cols["key"], cols["ob"], cols["ib"], cols["inner"], strict=True))
-            at = 0
-            while at < len(ids):
-                end = at
-                while end < len(ids) and ids[end] == ids[at]:
-                    end += 1
-                if ids[at][:3] != key:
-                    key, outer, held = ids[at][:3], [], None
-                part = [cols[c][at:end] for c in ("rep", "component", "main", "n", "most", "sketch", "keys")]
-                if not ids[at][3]:
-                    outer.append(part)
-                    held = None
-                elif outer:
-                    if held is None:
-                        whole = [sum((p[k] for p in outer), []) for k in range(7)]
-                        held = {k: np.array(v, dtype=np.int64) for k, v in zip(("rep", "comp", "main", "n", "most"), whole, strict=False)}
-                        held |= {"sketch": _sketches(whole[5]), "keys": np.array(whole[6], dtype=np.int64).reshape(-1, BANDS), "band": cols["band"][at]}
-                    u, v = pairs(held, part)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=schema)
-                at = end
+        held, keys, seen = None, 0, np.zeros(0, dtype=bool)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if seen.any():
+                reps = held.rep[seen]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), keys)), pa.array(reps)], schema=_NEEDED)
+
+        for a, b in _sides(batches, _MEETING):
+            if a is not held:
+                yield from flush()
+                held, keys, seen = a, int(a.keys[0][a.band]), np.zeros(len(a.rep), dtype=bool)
+            i, j, _ = _admitted(a, b, percent)
+            seen[i] = True
+            if len(j):
+                reps = b.rep[np.unique(j)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), keys)), pa.array(reps)], schema=_NEEDED)
+        yield from flush()
 
     return run
 
 
+def _unite(percent: int):
+    """Links (u, v) confirmed on the full sets, each of which unites two components that the task has not yet united."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        for a, b in _sides(batches, (*_MEETING, "set")):
+            i, j, like = _admitted(a, b, percent)
+            for k in np.argsort(-like, kind="stable"):
+                s, t = a.sets[i[k]], b.sets[j[k]]
+                x, y = find(int(a.component[i[k]])), find(int(b.component[j[k]]))
+                if x != y:
+                    if len(s) > len(t):
+                        s, t = t, s
+                    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        root[max(x, y)] = min(x, y)
+                        yield int(a.rep[i[k]]), int(b.rep[j[k]])
+
+    return lambda batches: batched(run(batches), schema)
+
+
+def _version() -> Column:
+    return F.xxhash64("text").alias("version")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents ``ids`` (doc_id); of rows that repeat an id the one with the least version."""
+    rows = only_ids(docs.select("doc_id", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), ids, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", _version()).alias("text"))
+
+
 def only_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Semi- or anti-join on distinct ids; they are broadcast only if counted as few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -215,7 +303,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, tables:
     """
     pairs = tables.write(pairs.select("u", "v").distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = tables.write(only_ids(docs.select("doc_id", "text"), ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    texts = tables.write(_texts(docs, ids), "texts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(max(STRETCHES, parts // 4))))
     members = salted.select("u", "salt", "v").join(texts.withColumnRenamed("doc_id", "v"), "v")
@@ -241,7 +329,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, tables:
 
 def _own_shingles(reps: DataFrame, docs: DataFrame, size: int, tables: Tables) -> DataFrame:
     """(rep, own): how many of a class's shingles no other of the classes ``reps`` has."""
-    texts = only_ids(docs.select("doc_id", "text"), reps.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    texts = _texts(docs, reps.select(F.col("rep").alias("doc_id")))
     schema = pa.schema([("rep", pa.int64()), ("h", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,20 +343,35 @@ def _own_shingles(reps: DataFrame, docs: DataFrame, size: int, tables: Tables) -
     return tables.write(single.groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "own")
 
 
+def _sets(reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(rep, set): the sorted shingle hashes of the classes ``reps``."""
+    texts = _texts(docs, reps.select(F.col("rep").alias("doc_id")))
+    schema = pa.schema([("rep", pa.int64()), ("set", pa.binary())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        words = _Words()
+        for batch in batches:
+            for i, b in zip(column(batch, "doc_id"), utf8(batch, "text"), strict=True):
+                yield i, shingles(b, size, words).tobytes()
+
+    return texts.mapInArrow(lambda batches: batched(rows(batches), schema, 64), "rep long, set binary")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     tables = Tables(spark, "near-dedup")
-    spec = "doc_id long, n long, digest string, sketch binary, keys array<long>"
-    signed = tables.write(docs.select("doc_id", "text").mapInArrow(_signatures(size), spec), "signed")
+    spec = "doc_id long, version long, n long, digest string, sketch binary, keys array<long>"
+    signed = tables.write(docs.select("doc_id", _version(), "text").mapInArrow(_signatures(size), spec), "signed")
     groups = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     total = signed.count()
-    members = attach_group(signed.select("doc_id", "n", "digest"), groups, "digest", "copies", total)
-    members = tables.write(members.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    first = members.where("doc_id = rep").select("rep").distinct()
-    classes = signed.where("digest is not null").dropDuplicates(["doc_id"]).join(first, F.col("doc_id") == F.col("rep")).drop("doc_id", "digest")
-    classes = tables.write(classes, "classes")
+    members = attach_group(signed.select("doc_id", "version", "n", "digest"), groups, "digest", "copies", total)
+    members = tables.write(members.select("doc_id", "version", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    first = members.where("doc_id = rep and n > 0").groupBy("rep").agg(F.min("version").alias("chosen"))
+    members = members.drop("version")
+    classes = signed.where("digest is not null").join(first, (F.col("doc_id") == F.col("rep")) & (F.col("version") == F.col("chosen")))
+    classes = tables.write(classes.dropDuplicates(["rep"]).select("rep", "n", "sketch", "keys"), "classes")
 
     # buckets with more than one class
     dealt = classes.select("rep", F.posexplode("keys").alias("band", "key"))
@@ -291,16 +394,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     own = _own_shingles(mixed.select("rep").distinct(), docs, size, tables)
     able = classes.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     mixed = tables.write(mixed.join(able.where(F.col("most") * 100 >= F.col("n") * percent), "rep"), "able")
-    blocks = F.ceil(F.col("c") / MEET)
-    mine, all_ = F.pmod(F.xxhash64("rep"), blocks), F.sequence(F.lit(0).cast("long"), blocks - 1)
-    outer = mixed.where("component <> main").withColumns({"ob": mine, "inner": F.lit(False)}).withColumn("ib", F.explode(all_))
-    inner = mixed.withColumns({"ib": mine, "inner": F.lit(True)}).withColumn("ob", F.explode(all_))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    meeting = outer.select(*_MEETING).unionByName(inner.select(*_MEETING)).repartition(parts, "key", "ob", "ib").sortWithinPartitions("key", "ob", "ib", "inner")
-    rest = meeting.mapInArrow(_met(percent), "u long, v long")
-    done = near.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
-    rest = rest.select(F.col("u").alias("x"), F.col("v").alias("y")).join(done, ["x", "y"], "left_anti")
-    more = _confirm(rest.select(F.col("x").alias("u"), F.col("y").alias("v")), docs, size, percent, tables)
+    needed = tables.write(_deal(mixed.select(*_MEETING), parts).mapInArrow(_sift(percent), "key long, rep long").distinct(), "needed")
+    rows = mixed.select(*_MEETING).join(needed, ["key", "rep"]).join(_sets(needed.select("rep").distinct(), docs, size), "rep")
+    rows = tables.write(rows, "meeting")
+    more = tables.write(_deal(rows, parts).mapInArrow(_unite(percent), "u long, v long").distinct(), "more")
     if not more.isEmpty():
         component = connected_components(links.unionByName(more), tables)
     named = component.select(F.col("node").alias("rep"), "component")
