@@ -1,21 +1,28 @@
 """Secret scans: rule spans, and a linear-chain conditional random field that tags further secret tokens.
 
-The base spans come from three fixed patterns.  The field tags white-space separated tokens as outside, begin or inside; features
-are the token's shape (length, character classes, class changes, character variety), hashed shape strings and lower-case words of the token
-and of its neighbours, and features of the whole text.  Weights maximise the L2-regularised conditional likelihood of
-windows whose tags follow from the base spans, over a bounded sample of documents (``sample_rows``).  Texts are decoded whole by
-Viterbi: a token whose best begin or inside score cannot outweigh outside, whatever its neighbours are and even if the token after it
-must begin anew, is outside in every best path, so the text falls apart there into segments which are decoded exactly.
-
-Defined cases: null text counts as empty and has no span; a text of any length is read whole; repeated rows give repeated results; without
-any base span in the sample the field adds nothing; an empty table gives an empty result; other columns are ignored (or
-kept by :func:`redact`).
+The base spans come from three fixed patterns.  The field tags tokens (runs without white space, quotes, brackets and marks such as ``=``
+or ``:``) as outside, begin or inside; features are the token's shape (length, character classes, class changes, character
+variety), the marks before it, hashed lower-case words of the token and of its neighbours, and features of the whole text.
+
+The patterns' own spans cannot teach more than the patterns find, so the field learns from three kinds of windows: places of the corpus around
+base values, half of them with the announcing word and marks hidden, so that shape counts by itself; plain places of the corpus; and
+the same plain places with a made statement put in, which holds a secret of some other shape or a look-alike (``secret_examples``).  Weights
+maximise the L2-regularised conditional likelihood over a bounded sample of documents (``sample_rows``, ``windows_per_row``).  ``MARGIN`` is added to
+outside before decoding, for the sake of clean text.  Texts are decoded whole by Viterbi: a token whose best begin or inside score cannot outweigh
+outside, whatever its neighbours are and even if the token after it must begin anew, is outside in every best path, so the text falls
+apart there into segments which are decoded exactly; equal paths go to the lower tag.  Field spans that overlap a base span are left out.
+
+Defined cases: null text counts as empty and has no span; a text of any length is read whole; a null or repeated doc_id gives a row like any
+other, and repeated rows repeated results; without any text the field adds nothing; an empty table gives an empty result; other columns are
+ignored (or kept by :func:`redact`).
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import secret_examples
 from .common import batched, column, small_batches
 
 KINDS = ("assign", "access", "hex", "field")
@@ -39,10 +47,17 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 HASHED = 1 << 12
 LONGEST = 60_000  # characters of a token that are counted together; longer tokens are read in parts
 NEVER = -1e9
+#: Added to every token's score for outside.
+MARGIN = 2.0
+#: Characters before a token in which its marks are sought.
+REACH = 4
 
 # Per character (all from 256 on share one entry): separator, class, counters packed four to a word of 16 bits each.
 _SEP = np.zeros(257, dtype=bool)
 _SEP[:33] = _SEP[127] = True
+_SEP[[ord(c) for c in "\"'`=:,;()[]{}<>|"]] = True
+_MARK = np.zeros((3, 257), dtype=np.int32)  # assignment, quote, end of line
+_MARK[0, [ord(c) for c in "=:>"]] = _MARK[1, [ord(c) for c in "\"'`"]] = _MARK[2, [10, 13]] = 1
 _CODE = np.zeros(257, dtype=np.uint8)
 _LOW = np.arange(257, dtype=np.uint32)
 _LOW[0x41:0x5B] += 32
@@ -52,7 +67,7 @@ for _i in range(257):
     if not _SEP[_i]:
         _kinds = (
             _c.isdigit(), _c.isupper(), _c.isalpha() and not _c.isupper(), _c in "0123456789abcdef",
-            _c in "=:", _c in "\"'", _c in "+/_-", _i > 127,
+            _c == ".", _c in "@#$%&*!?~^", _c in "+/_-", _i > 127,
         )
         _CODE[_i] = 1 if _kinds[0] else 2 if _kinds[1] else 3 if _kinds[2] else 4
         for _k, _hit in enumerate(_kinds):
@@ -76,7 +91,7 @@ def digest_form(spans: list[tuple[int, int, int]]) -> str:
 
 
 def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and character indices (code points, all from 256 on as 256) of the tokens between white space and controls."""
+    """Starts, ends and character indices (code points, all from 256 on as 256) of the tokens between separators."""
     at = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"), 256)
     inside = np.concatenate(([False], ~_SEP[at], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -88,7 +103,9 @@ def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, at
 
 
-SHAPES = 46
+SHAPES = 52
+#: The first of the features that tell of marks before the token.
+MARKED = 46
 
 
 def token_features(starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +115,7 @@ def token_features(starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tupl
     for table in _PACK:
         packed = np.add.reduceat(table[at], starts)
         counts += [((packed >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.float32) for k in range(4)]
-    digit, upper, lower, hexes, marks, quotes, joins, high = counts
+    digit, upper, lower, hexes, dots, signs, joins, high = counts
     code = _CODE[at]
     turn = np.zeros(len(at), dtype=np.uint32)
     turn[1:] = (code[1:] != code[:-1]) & (code[1:] > 0) & (code[:-1] > 0)
@@ -119,8 +136,8 @@ def token_features(starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tupl
     x[:, 8] = np.where(n >= 16, hexes / n, 0)
     x[:, 9] = (digit > 0) & (upper + lower > 0)
     x[:, 10] = (digit > 0) & (upper > 0) & (lower > 0)
-    x[:, 11] = marks > 0
-    x[:, 12] = quotes > 0
+    x[:, 11] = dots > 0
+    x[:, 12] = signs > 0
     x[:, 13] = joins > 0
     x[:, 14] = np.minimum(turns, 32) / 8
     x[:, 15] = (n >= 16) & (digit > 1) & (upper + lower > 1) & (high == 0)
@@ -130,6 +147,12 @@ def token_features(starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tupl
     x[rows, 25 + np.minimum((8 * digit / n).astype(np.int64), 7)] = 1
     x[rows, 33 + np.minimum(turns / 2, 7).astype(np.int64)] = 1
     x[rows, 41 + code[starts]] = 1  # class of the first character
+    for k, table in enumerate(_MARK):
+        upto = np.concatenate(([0], np.cumsum(table[at], dtype=np.int32)))
+        x[:, MARKED + k] = upto[starts] > upto[np.maximum(starts - REACH, 0)]
+    x[:, 49] = (upper > 0) & (lower > 0) & (digit > 0) & (signs > 0)
+    x[:, 50] = (n >= 20) & (turns * 4 >= n)
+    x[:, 51] = (n >= 20) & (lower == 0) & (digit > 1) & (upper > 1)
     return x, word
 
 
@@ -158,6 +181,7 @@ class Field:
 
     def emissions(self, x: np.ndarray, word: np.ndarray, flags: tuple[int, int]) -> np.ndarray:
         e = x @ self.dense + self.own[word] + np.array(flags, dtype=np.float32) @ self.text
+        e[:, OUT] += MARGIN
         e[1:] += self.prev[word[:-1]]
         e[:-1] += self.next[word[1:]]
         return e
@@ -199,7 +223,7 @@ class Field:
                 found.append([int(starts[t]), int(ends[t])])
             elif found:
                 found[-1][1] = int(ends[t])
-        return [(s, 3, e) for s, e in found]
+        return [(s, 3, s + len(text[s:e].rstrip("."))) for s, e in found if text[s:e].strip(".")]
 
 
 def tags_from(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -215,59 +239,134 @@ def tags_from(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int,
     return tags
 
 
-def windows(text: str, radius: int = 12, plain: int = 2) -> list[tuple]:
-    """Training windows (features, words, tags, text features): around each base span, and ``plain`` others by position."""
-    starts, ends, at = tokens(text)
-    if not len(starts):
-        return []
-    x, word = token_features(starts, ends, at)
-    tags, flags = tags_from(starts, ends, base_spans(text)), text_features(text)
-    marks = [*np.flatnonzero(tags == BEGIN), *((2 * i + 1) * len(starts) // (2 * plain) for i in range(plain))]
-    return [(x[a:b], word[a:b], tags[a:b], flags) for i in marks for a, b in [(max(0, i - radius), min(len(starts), i + radius))]]
+def _values(text: str) -> list[tuple[int, int, int]]:
+    """The base spans without what announces an assigned value."""
+    low = text.lower()
+    assigned = [(m.start(2), 0, m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if any(w in low for w in WORDS) else []
+    return assigned + [x for x in base_spans(text) if x[1]]
+
+
+def _window(text: str, spans: list[tuple[int, int, int]], flags: tuple[int, int], at: int, radius: int) -> tuple:
+    """(features, words, tags, text features) of the tokens around a place of the text."""
+    starts, ends, codes = tokens(text)
+    x, word = token_features(starts, ends, codes)
+    i = int(np.searchsorted(starts, at))
+    a, b = max(0, i - radius), min(len(starts), i + radius)
+    return x[a:b], word[a:b], tags_from(starts, ends, spans)[a:b], flags
+
+
+def _hidden(window: tuple) -> tuple:
+    """The window without what announces its secrets: marks go, and the words before them become those of other places."""
+    x, word, tags, _ = window
+    x, word, begins = x.copy(), word.copy(), np.flatnonzero(tags == BEGIN)
+    x[begins, MARKED : MARKED + 3] = 0
+    other = word[::-1].copy()
+    for i in begins[begins > 0]:
+        word[i - 1] = other[i]
+    return x, word, tags, (0, 0)
+
+
+def windows(text: str, seed: str, limit: int = 8, radius: int = 12, reach: int = 240) -> list[tuple]:
+    """``limit`` training windows of a text at most: half of them around base values (in turn as they are and hidden), the rest plain and with made statements.
+
+    Places, statements and which values are taken follow from ``seed``.
+    """
+    r = random.Random(seed)
+    found, flags, out = _values(text), text_features(text), []
+    marks = sorted(found) if len(found) <= limit // 2 else r.sample(sorted(found), limit // 2)
+    for k, (s, _, e) in enumerate(marks):
+        a, b = max(0, s - reach), e + reach
+        near = _window(text[a:b], [(x - a, k, y - a) for x, k, y in found if a <= x and y <= b], flags, s - a, radius)
+        out.append(_hidden(near) if k % 2 or r.random() < 0.5 else near)
+    while len(out) < limit and text:
+        at = r.randrange(len(text))
+        a = max(0, at - reach)
+        at = text.rfind(" ", a, at) + 1 or a
+        left, right = text[a:at], text[at : at + reach]
+        spans = [(x - a, k, y - a) for x, k, y in found if a <= x and y <= at + reach]
+        out.append(_window(left + right, spans, flags, at - a, radius))
+        made, secrets = secret_examples.statement(r, re.findall(r"[^\W\d_]{2,14}", left + right)[:60])
+        right = " " + right
+        spans = [(x, k, y) if y <= len(left) else (x + len(made) + 1, k, y + len(made) + 1) for x, k, y in spans if y <= len(left) or x >= len(left)]
+        spans += [(len(left) + x, 3, len(left) + y) for x, y in secrets]
+        whole = left + made + right
+        out.append(_window(whole, spans, text_features(whole) if r.random() < 0.5 else flags, len(left) + len(made) // 2, radius))
+    return [w for w in out[:limit] if len(w[2])]
+
+
+@dataclass
+class _Examples:
+    """Windows padded to one length."""
+
+    dense: np.ndarray
+    word: np.ndarray  # with one more place at either end; HASHED where there is no token
+    gold: np.ndarray
+    mask: np.ndarray
+    flags: np.ndarray
+
+    @classmethod
+    def of(cls, examples: list[tuple]) -> _Examples:
+        n, longest = len(examples), max(len(tags) for _, _, tags, _ in examples)
+        dense, word = np.zeros((n, longest, SHAPES), dtype=np.float32), np.full((n, longest + 2), HASHED)
+        gold, mask = np.zeros((n, longest), dtype=np.int64), np.zeros((n, longest), dtype=bool)
+        for i, (x, h, tags, _) in enumerate(examples):
+            dense[i, : len(tags)], word[i, 1 : len(tags) + 1], gold[i, : len(tags)], mask[i, : len(tags)] = x, h, tags, True
+        return cls(dense, word, gold, mask, np.array([f for *_, f in examples], dtype=np.float32))
 
+    @property
+    def places(self) -> dict[str, np.ndarray]:
+        return {"own": self.word[:, 1:-1], "prev": self.word[:, :-2], "next": self.word[:, 2:]}
+
+
+ILLEGAL = np.zeros((3, 3))
+ILLEGAL[OUT, INSIDE] = NEVER
+WEIGHTS = {"dense": (SHAPES, 3), "own": (HASHED, 3), "prev": (HASHED, 3), "next": (HASHED, 3), "text": (2, 3), "trans": (3, 3)}
 
-def train(examples: list[tuple], rounds: int = 80, l2: float = 1e-4, rate: float = 0.1) -> Field:
-    """Maximises the regularised likelihood by Adam over all windows, padded to one length."""
-    illegal = np.zeros((3, 3))
-    illegal[OUT, INSIDE] = NEVER
-    shapes = {"dense": (SHAPES, 3), "own": (HASHED, 3), "prev": (HASHED, 3), "next": (HASHED, 3), "text": (2, 3), "trans": (3, 3)}
-    w = {k: np.zeros(v) for k, v in shapes.items()}
+
+def likelihood(w: dict[str, np.ndarray], of: _Examples) -> tuple[float, dict[str, np.ndarray]]:
+    """Conditional log-likelihood of the windows' tags and its gradient by every weight."""
+    trans = w["trans"] + ILLEGAL
+    e = (of.dense @ w["dense"].astype(of.dense.dtype)).astype(float) + (of.flags @ w["text"])[:, None, :]
+    for k, at in of.places.items():
+        e += np.vstack([w[k], np.zeros(3)])[at]
+    marginal, pair, z = _marginals(e, trans, of.mask)
+    one_hot = np.eye(3)[of.gold] * of.mask[..., None]
+    both = of.mask[:, 1:] & of.mask[:, :-1]
+    pair_gold = np.zeros((3, 3))
+    np.add.at(pair_gold, (of.gold[:, :-1][both], of.gold[:, 1:][both]), 1.0)
+    first = np.bincount(of.gold[:, 0], minlength=3)
+    pair_gold[OUT] += first
+    pair[OUT] += marginal[:, 0].sum(axis=0)
+    value = float((one_hot * e).sum() + (pair_gold * trans).sum() - z.sum())
+    g = one_hot - marginal
+    grads = {k: np.stack([np.bincount(at.ravel(), g[..., c].ravel(), HASHED + 1)[:HASHED] for c in range(3)], 1) for k, at in of.places.items()}
+    grads |= {"dense": of.dense.reshape(-1, SHAPES).T @ g.reshape(-1, 3).astype(of.dense.dtype), "text": of.flags.T @ g.sum(axis=1), "trans": np.where(ILLEGAL < 0, 0, pair_gold - pair)}
+    return value, grads
+
+
+def train(examples: list[tuple], rounds: int = 100, l2: float = 1e-4, rate: float = 0.1) -> Field:
+    """Maximises the regularised likelihood by Adam over all windows."""
+    w = {k: np.zeros(v) for k, v in WEIGHTS.items()}
+    dense = ("dense", "own", "prev", "next", "text")
     if not any(tags.any() for _, _, tags, _ in examples):
         w["dense"][0, OUT] = 10.0
-        return Field(*(w[k] for k in ("dense", "own", "prev", "next", "text")), illegal)
-    n, longest = len(examples), max(len(tags) for _, _, tags, _ in examples)
-    dense, word = np.zeros((n, longest, SHAPES), dtype=np.float32), np.full((n, longest + 2), HASHED)
-    gold, mask = np.zeros((n, longest), dtype=np.int64), np.zeros((n, longest), dtype=bool)
-    for i, (x, h, tags, _) in enumerate(examples):
-        dense[i, : len(tags)], word[i, 1 : len(tags) + 1], gold[i, : len(tags)], mask[i, : len(tags)] = x, h, tags, True
-    flags = np.array([f for *_, f in examples], dtype=np.float32)
-    one_hot = np.eye(3)[gold] * mask[..., None]
-    both = mask[:, 1:] & mask[:, :-1]
-    pair_gold = np.zeros((3, 3))
-    np.add.at(pair_gold, (gold[:, :-1][both], gold[:, 1:][both]), 1.0)
-    scale = max(1, int((gold == BEGIN).sum()))
+        return Field(*(w[k] for k in dense), ILLEGAL)
+    of = _Examples.of(examples)
+    scale = max(1, int((of.gold == BEGIN).sum()))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-    places = {"own": word[:, 1:-1], "prev": word[:, :-2], "next": word[:, 2:]}
     for step in range(1, rounds + 1):
-        trans = w["trans"] + illegal
-        e = dense @ w["dense"] + (flags @ w["text"])[:, None, :]
-        for k, at in places.items():
-            e += np.vstack([w[k], np.zeros(3)])[at]
-        marginal, pair = _marginals(e, trans, mask)
-        g = (one_hot - marginal) / scale
-        grads = {k: np.stack([np.bincount(at.ravel(), g[..., c].ravel(), HASHED + 1)[:HASHED] for c in range(3)], 1) for k, at in places.items()}
-        grads |= {"dense": np.tensordot(dense, g, ((0, 1), (0, 1))), "text": flags.T @ g.sum(axis=1), "trans": np.where(illegal < 0, 0, (pair_gold - pair) / scale)}
+        _, grads = likelihood(w, of)
         for k, v in w.items():
-            d = grads[k] - l2 * v
+            d = grads[k] / scale - l2 * v
             m, s = moments[k]
             m[:] = 0.9 * m + 0.1 * d
             s[:] = 0.999 * s + 0.001 * d * d
             v += rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return Field(*(w[k].astype(np.float32) for k in ("dense", "own", "prev", "next", "text")), w["trans"] + illegal)
+    return Field(*(w[k].astype(np.float32) for k in dense), w["trans"] + ILLEGAL)
 
 
-def _marginals(e: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tag marginals and summed transition expectations by forward-backward over padded windows."""
+def _marginals(e: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tag marginals, summed transition expectations and log partitions by forward-backward over padded windows."""
 
     def lse(x: np.ndarray, axis: int) -> np.ndarray:
         top = x.max(axis=axis, keepdims=True)
@@ -287,10 +386,10 @@ def _marginals(e: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.n
     for t in range(1, t_max):
         p = f[:, t - 1, :, None] + trans + (e[:, t] + b[:, t])[:, None, :] - z[:, None, None]
         pair += (np.exp(np.clip(p, -700, 0)) * mask[:, t, None, None]).sum(axis=0)
-    return marg, pair
+    return marg, pair, z
 
 
-def fit(docs: DataFrame, sample_rows: int = 2000, windows_per_row: int = 8) -> Field:
+def fit(docs: DataFrame, sample_rows: int = 1500, windows_per_row: int = 8) -> Field:
     """Learns from about ``sample_rows`` documents, half of them with a key-like word or a long run if there are so many."""
     rows = docs.where(F.col("text").isNotNull())
     likely = F.lower("text").rlike("passw|secret|token|api_?key|[0-9a-f]{24}") | F.col("text").contains("AKIA")
@@ -305,7 +404,7 @@ def fit(docs: DataFrame, sample_rows: int = 2000, windows_per_row: int = 8) -> F
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
-                for k, (x, word, tags, flags) in enumerate(windows(text)[-windows_per_row:]):
+                for k, (x, word, tags, flags) in enumerate(windows(text, f"{i}:{zlib.crc32(text.encode())}", windows_per_row)):
                     yield (f"{i}:{k:02d}", x.tobytes(), word.tobytes(), tags.tobytes(), *flags)
 
     got = sample.mapInArrow(
