@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -33,16 +34,17 @@ def normalized_title(x: Column | str) -> Column:
 
 
 def bare_arxiv(x: Column | str) -> Column:
-    return F.regexp_replace(F.lower(F.trim(_c(x))), r"v\d+$", "")
+    """Without its version."""
+    return F.regexp_replace(F.trim(_c(x)), r"v\d+$", "")
 
 
-#: Fixed value: characters stripped from the left of a DOI.
-DOI_LEAD = "https://doi.org/"
+# resolvers' addresses; their characters are stripped from the left of a DOI, one address after the other.
+DOI_LEADS = ("https://doi.org/", "http://dx.doi.org/")
 
 
 def bare_doi(x: Column | str) -> Column:
-    """Lower case; every leading character that occurs in the resolver's address is stripped."""
-    return F.ltrim(F.lower(F.trim(_c(x))), F.lit(DOI_LEAD))
+    """Lower case; leading characters that occur in the first resolver's address go, then those of the second."""
+    return functools.reduce(lambda c, lead: F.ltrim(c, F.lit(lead)), DOI_LEADS, F.trim(F.lower(_c(x))))
 
 
 def tokens(x: Column | str, pattern: str = "[a-z0-9]{3,}") -> Column:

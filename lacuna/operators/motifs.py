@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import bounded, contains_any, stable_id
+from lacuna.scratch import kept
 
 # Words that mark an assumption as idealised.
 IDEALIZED = [
@@ -270,13 +271,17 @@ def activation(default: str = "normal", enabled: list[str] = (), strict: list[st
 
 
 def all_motifs(nodes: DataFrame, edges: DataFrame, states: dict[str, str] | None = None, thresholds: dict[str, dict] | None = None) -> DataFrame:
-    """Hits of all active motifs; raises if none is active."""
+    """Hits of all active motifs; raises if none is active.
+
+    The graph is written once, by type and relation, and every detector reads the parts it needs.
+    """
     states, out = states or activation(), None
+    if all(s == "off" for s in states.values()):
+        raise ValueError("no motif is active")
+    nodes, edges = kept(nodes, "nodes", "type"), kept(edges, "edges", "relation")
     for name in sorted(DETECTORS):
         if states[name] != "off":
             settings = (thresholds or {}).get(name, {}) | (STRICT.get(name, {}) if states[name] == "strict" else {})
             hits = DETECTORS[name](nodes, edges, **settings)
             out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        raise ValueError("no motif is active")
     return out

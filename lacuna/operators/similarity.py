@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import jaccard
+from lacuna.scratch import shared_dir
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -46,9 +47,7 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 32) -> DataFram
     """
     spark = nodes.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lacuna-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("component")).distinct()
     for _ in range(rounds):

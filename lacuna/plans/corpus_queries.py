@@ -24,7 +24,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_REC = """rec AS (SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 200) AS title, coalesce(text, '') AS abstract, lang, source, text,
+_REC = """rec AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, coalesce(text, '') AS abstract, lang, source, text,
     doc_id % 3 AS sources, doc_id % 50 AS citations, doc_id % 2 = 0 AS is_preprint, 2000 + doc_id % 26 AS year FROM documents)"""
 
 
@@ -49,7 +49,8 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
-    doi = F.when(F.col("id") % 4 == 0, F.concat(F.lit("https://doi.org/10.1/"), (F.col("id") / 8).cast("long"))).otherwise("")
+    lead = F.when(F.col("id") % 16 == 4, "http://dx.doi.org/10.1/").otherwise("https://doi.org/10.1/")
+    doi = F.when(F.col("id") % 4 == 0, F.concat(lead, (F.col("id") / 8).cast("long"))).otherwise("")
     arxiv = F.when(F.col("id") % 5 == 0, F.concat(F.lit("2401."), (F.col("id") / 10).cast("long"), F.lit("v"), F.col("id") % 3 + 1)).otherwise("")
     return d.select("id", "title", "abstract", doi.alias("doi"), arxiv.alias("arxiv"), "source", "citations")
 
@@ -192,6 +193,7 @@ _TOK = r"list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]{{{1},}}'))"
 _SQ = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _CHUNKS = f"""ch AS (SELECT id, c AS chunk_id, substr(t, c * 1050 + 1, 1200) AS text FROM (SELECT id, t, unnest(range(0, CAST(greatest(0, ceil((length(t) - 1200) / 1050.0)) AS BIGINT) + 1)) AS c
     FROM (SELECT doc_id AS id, {_SQ.format('text')} AS t FROM documents) WHERE t <> ''))"""
+_FORM = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents({0}), '[^\x00-\x7F]', '', 'g'), '-\s+', '', 'g'), '\s+', ' ', 'g')))"
 _ASKED = ["licensed", "under", "the", "apache", "license", "version"]
 
 ORACLE_SQL = {
@@ -207,10 +209,10 @@ ORACLE_SQL = {
         SELECT id, reason, CASE WHEN reason <> '' THEN -999.0::DOUBLE ELSE round(CAST(least(5, 2.5 * {_n('title', ['license', 'apache'])}) + least(3, 1.5 * {_n('abstract', ['license', 'apache'])})
           + least(4, {_n("title || ' ' || abstract", ['token', 'version'])}) + least(3, 1.5 * (CAST(lang IN ('en', 'src1') AS INTEGER) + CAST(source IN ('en', 'src1') AS INTEGER))) AS DOUBLE), 4) END AS score FROM r""",
     "dedup_exact": "SELECT sha256(text) AS digest, min(doc_id) AS keep_id, count(*) AS n FROM documents GROUP BY 1",
-    "dedup_multikey": rf"""WITH RECURSIVE {_REC}, r AS (SELECT id, title, abstract, source, citations, CASE WHEN id % 4 = 0 THEN 'https://doi.org/10.1/' || (id // 8) ELSE '' END AS doi,
+    "dedup_multikey": rf"""WITH RECURSIVE {_REC}, r AS (SELECT id, title, abstract, source, citations, CASE WHEN id % 4 = 0 THEN CASE WHEN id % 16 = 4 THEN 'http://dx.doi.org/10.1/' ELSE 'https://doi.org/10.1/' END || (id // 8) ELSE '' END AS doi,
           CASE WHEN id % 5 = 0 THEN '2401.' || (id // 10) || 'v' || (id % 3 + 1) ELSE '' END AS arxiv FROM rec),
-        k AS (SELECT id, 'd' || ltrim(lower(trim(doi)), 'https://doi.org/') AS key FROM r WHERE ltrim(lower(trim(doi)), 'https://doi.org/') <> ''
-          UNION ALL SELECT id, 'a' || regexp_replace(lower(arxiv), 'v\d+$', '') FROM r WHERE arxiv <> ''
+        k AS (SELECT id, 'd' || ltrim(ltrim(lower(trim(doi)), 'https://doi.org/'), 'http://dx.doi.org/') AS key FROM r WHERE doi <> ''
+          UNION ALL SELECT id, 'a' || regexp_replace(arxiv, 'v\d+$', '') FROM r WHERE arxiv <> ''
           UNION ALL SELECT id, 't' || t FROM (SELECT id, trim(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS t FROM r) WHERE t <> ''),
         l AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b USING (key)),
         w AS (SELECT id AS a, id AS c FROM r UNION SELECT l.b, w.c FROM w JOIN l ON l.a = w.a WHERE w.c < l.b),
@@ -222,7 +224,7 @@ ORACLE_SQL = {
           ON a.id < b.id AND len(a.t) * 100 >= 85 * len(b.t) AND len(b.t) * 100 >= 85 * len(a.t))
         SELECT a, b, round(i / (n - i), 6) AS similarity FROM p WHERE i / (n - i) >= 0.85
         UNION ALL SELECT c.id, k.id, 1.0 FROM k JOIN c USING (t) WHERE k.id <> c.id""",
-    "alias_components": f"""WITH RECURSIVE {_REC}, s AS (SELECT id, list_sort({_TOK.format('substr(title, 1, 60)', 2)}) AS t FROM rec), c AS (SELECT t, min(id) AS id FROM s WHERE len(t) > 0 GROUP BY t),
+    "alias_components": f"""WITH RECURSIVE {_REC}, s AS (SELECT id, list_sort({_TOK.format('title', 2)}) AS t FROM rec), c AS (SELECT t, min(id) AS id FROM s WHERE len(t) > 0 GROUP BY t),
         l0 AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id < b.id AND len(a.t) * 100 >= 85 * len(b.t) AND len(b.t) * 100 >= 85 * len(a.t)
           WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.85 UNION SELECT c.id, s.id FROM s JOIN c USING (t) WHERE s.id <> c.id),
         l AS (SELECT a, b FROM l0 UNION SELECT b, a FROM l0), w AS (SELECT id AS a, id AS c FROM s UNION SELECT l.b, w.c FROM w JOIN l ON l.a = w.a WHERE w.c < l.b)
@@ -258,11 +260,11 @@ ORACLE_SQL = {
         UNION ALL SELECT doc_id, 'long_hex', len(regexp_extract_all(text, '\b[0-9a-f]{32,}\b')) FROM documents) SELECT id, kind, n FROM f WHERE n > 0""",
     "blind_sanitize": r"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bapache\b', 'SYSTEM', 'g'), '(?i)\blicense\b', 'METHOD', 'g'), '(?i)\btoken\b', 'ITEM', 'g') AS x FROM documents)
         SELECT doc_id, sha1(x) AS digest, x <> text AS changed FROM c""",
-    "seed_alignment": f"""WITH s AS (SELECT DISTINCT unnest({_TOK.format('substr(text, 1, 200)', 3)}) AS t FROM benchmark), d AS (SELECT doc_id, unnest({_TOK.format('text', 3)}) AS t FROM documents)
+    "seed_alignment": f"""WITH s AS (SELECT DISTINCT unnest({_TOK.format('text', 3)}) AS t FROM benchmark), d AS (SELECT doc_id, unnest({_TOK.format('text', 3)}) AS t FROM documents)
         SELECT doc_id, round(count(*) FILTER (WHERE t IN (SELECT t FROM s)) / count(*), 6) AS share FROM d GROUP BY doc_id""",
-    "contamination": f"""SELECT item_id, doc_id FROM (SELECT item_id, {_SQ.format('text')} AS s FROM benchmark) b JOIN (SELECT doc_id, {_SQ.format('text')} AS t FROM documents) d
-        ON contains(' ' || t || ' ', ' ' || s || ' ') AND len(string_split(s, ' ')) >= 6""",
-    "cosine_topk": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.v, b.v), 5) AS c FROM e a JOIN e b ON b.vec_id < 20 AND a.vec_id <> b.vec_id),
+    "contamination": rf"""SELECT item_id, doc_id FROM (SELECT item_id, {_FORM.format('text')} AS s FROM benchmark WHERE length(text) >= 15) b
+        JOIN (SELECT doc_id, {_FORM.format('text')} AS t FROM documents) d ON s <> '' AND contains(t, s)""",
+    "cosine_topk": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.v, b.v), 5) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, other) AS rank FROM n) SELECT vec_id, other, rank FROM r WHERE rank <= 5""",
     "rerank_topk": """SELECT vec_id, round(vec_id % 7 + 12 * list_dot_product(embedding::DOUBLE[], list_transform(range(64), lambda x: 0.125::DOUBLE)), 4) AS score FROM embeddings
         ORDER BY score DESC, vec_id LIMIT 50""",

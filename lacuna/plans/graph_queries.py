@@ -68,7 +68,7 @@ def gap_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def motif_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = motifs.all_motifs(*evidence_graph(spark, sf_dir))
-    return hits.groupBy("motif_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
+    return hits.groupBy("motif_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 def diverse_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +226,7 @@ ORACLE_SQL = {k: f"WITH {GRAPH_SQL} {v}" for k, v in _SQL.items()} | {
     "gap_rows": f"WITH {GRAPH_SQL}, g AS ({_GAPS}) SELECT gap_id, motif_type, CAST(novelty_score AS DOUBLE) AS novelty_score, CAST(feasibility_score AS DOUBLE) AS feasibility_score, CAST(impact_score AS DOUBLE) AS impact_score, {_OVERALL} AS overall_score, n_papers FROM g",
     "gap_supports": f"""WITH {GRAPH_SQL}, h AS ({_SQL['motif_shared_failure']}) SELECT unnest(string_split(node_ids, ' ')) AS source,
         'gap:' || substr(sha1(motif_id), 1, 16) AS target, 'supports_gap' AS relation FROM h""",
-    "motif_counts": f"WITH {GRAPH_SQL}, h AS ({_ALL}) SELECT motif_type, count(*) AS n, round(avg(score), 4) AS mean_score FROM h GROUP BY motif_type",
+    "motif_counts": f"WITH {GRAPH_SQL}, h AS ({_ALL}) SELECT motif_type, count(*) AS n, round(avg(score), 6) AS mean_score FROM h GROUP BY motif_type",
     "diverse_slots": f"""WITH {GRAPH_SQL}, g AS ({_GAPS}), r AS (SELECT *, row_number() OVER (PARTITION BY motif_type ORDER BY n_papers DESC, {_OVERALL} DESC, gap_id) AS rn,
           count(*) OVER (PARTITION BY motif_type) AS size FROM g), m AS (SELECT motif_type, row_number() OVER (ORDER BY max(size) DESC, motif_type) AS mr, count(*) OVER () AS mm FROM r GROUP BY motif_type),
         s AS (SELECT r.*, mr, greatest(1, 40 // mm) + CASE WHEN mr <= 40 - greatest(1, 40 // mm) * mm THEN 1 ELSE 0 END AS quota FROM r JOIN m USING (motif_type)),

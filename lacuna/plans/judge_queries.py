@@ -177,7 +177,7 @@ _TOTAL = " + ".join(f"coalesce({x} * {w}::DOUBLE, 0)" for x, w in _SUB)
 ORACLE_SQL = {
     "group_stats": """SELECT l_suppkey, l_returnflag, count(*) AS n, round(avg(l_quantity), 4) AS l_quantity_mean, round(stddev_samp(l_quantity), 4) AS l_quantity_std,
         round(stddev_samp(l_quantity) / sqrt(count(*)), 4) AS l_quantity_stderr, round(avg(l_discount), 4) AS l_discount_mean, round(stddev_samp(l_discount), 4) AS l_discount_std,
-        round(stddev_samp(l_discount) / sqrt(count(*)), 4) AS l_discount_stderr FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1, 2""",
+        round(stddev_samp(l_discount) / sqrt(count(*)), 4) AS l_discount_stderr FROM lineitem GROUP BY 1, 2""",
     "action_pivot": "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (WHERE o_orderkey % 4 = {i}) AS {a.lower()}" for i, a in enumerate(ACTIONS)) + ", count(*) AS total FROM orders GROUP BY 1",
     "unblind": """SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment ELSE 'UNKNOWN' END AS method, count(*) AS n, round(avg(o_totalprice), 2) AS mean_score
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
@@ -196,8 +196,8 @@ ORACLE_SQL = {
     "score_validation": f"""WITH c AS ({_CRIT}), m AS (SELECT o_orderkey, CASE WHEN c = 'overall' AND o_orderkey % 10 = 0 THEN 'missing:overall' WHEN v NOT BETWEEN 0 AND 10 THEN 'range:' || c END AS x FROM c)
         SELECT o_orderkey, coalesce(array_to_string(list_sort(list(x) FILTER (WHERE x IS NOT NULL)), ';'), '') AS violations FROM m GROUP BY 1""",
     "complete_rankings": """WITH r AS (SELECT l_orderkey AS batch, l_linenumber AS rank, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS position
-          FROM lineitem WHERE l_orderkey % 20 < 3) SELECT batch, count(*) = count(DISTINCT rank) AND min(rank) = 1 AND max(rank) = count(*) AS complete, bool_and(rank = position) AS input_order FROM r GROUP BY 1""",
-    "extraction_quality": """WITH t AS (SELECT l_orderkey AS p, (l_partkey + 3 * l_linenumber + l_suppkey) % 10 AS r FROM lineitem WHERE (l_orderkey * 7 + l_linenumber) % 8 = 0),
+          FROM lineitem) SELECT batch, count(*) = count(DISTINCT rank) AND min(rank) = 1 AND max(rank) = count(*) AS complete, bool_and(rank = position) AS input_order FROM r GROUP BY 1""",
+    "extraction_quality": """WITH t AS (SELECT l_orderkey AS p, (l_partkey + 3 * l_linenumber + l_suppkey) % 10 AS r FROM lineitem WHERE (l_orderkey * 7 + l_linenumber) % 8 % 2 = 0),
         g AS (SELECT count(*) AS types, max(n) AS most, CAST(sum(n) AS BIGINT) AS tuples FROM (SELECT r, count(*) AS n FROM t GROUP BY r)), u AS (SELECT count(DISTINCT p) AS papers FROM t)
         SELECT papers, tuples, types, round(tuples / papers, 4) AS mean_tuples, round(most / tuples, 4) AS largest_share,
           CASE WHEN papers < 90 OR types < 3 OR most / tuples > 0.95 THEN 'FAIL' WHEN NOT (tuples / papers >= 2 OR tuples >= 400) THEN 'LOW' ELSE 'PASS' END AS status FROM g, u""",
@@ -224,8 +224,8 @@ ORACLE_SQL = {
         SELECT CASE WHEN r = 'DROP' OR c < 0.4 OR t > 0.6 THEN 'DROP' WHEN c >= 0.7 AND s >= 0.6 AND t <= 0.3 AND r = 'KEEP' THEN 'STRONG' WHEN c >= 0.5 AND r IN ('KEEP', 'MAYBE') THEN 'USABLE' ELSE 'WEAK' END AS label, count(*) AS n FROM v GROUP BY 1""",
     "capped_per_source": """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) SELECT * FROM r WHERE rank <= 2""",
     "acronym_aliases": r"""WITH l AS (SELECT n_name || ' (' || upper(substr(n_name, 1, 3)) || ')' AS label FROM nation UNION SELECT upper(substr(n_name, 1, 3)) FROM nation),
-        a AS (SELECT label, regexp_extract(label, '\(([A-Z][A-Za-z0-9-]{1,9})\)\s*$', 1) AS acr FROM l), b AS (SELECT acr, arg_max(label, length(label) * 1000 + rn) AS canonical FROM
-          (SELECT *, row_number() OVER (ORDER BY label) AS rn FROM a WHERE acr <> '') GROUP BY acr) SELECT label, canonical FROM l JOIN b ON label = b.acr""",
+        a AS (SELECT label, regexp_extract(label, '\(([A-Z][A-Z0-9\-]+)\)\s*$', 1) AS acr FROM l), b AS (SELECT acr, arg_min(label, (-length(label), label)) AS canonical FROM
+          (SELECT * FROM a WHERE acr <> '') GROUP BY acr) SELECT label, canonical FROM l JOIN b ON label = b.acr""",
 }
 
 QUERIES = {
