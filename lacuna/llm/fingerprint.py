@@ -6,8 +6,9 @@ hashes of the phrase set (bottom-k minimum-hash signature); two fingerprints are
 smallest of their union, which estimates the Jaccard similarity of the phrase sets.
 
 Defined cases: null text counts as empty; empty texts have the empty fingerprint, whose likeness is 1 to itself and 0 to any other;
-equal texts have equal fingerprints; texts are parsed whole whatever their length; rows repeating a doc_id follow one another; an
-empty table gives an empty result; with one document the next document is itself; other columns are ignored.
+equal texts have equal fingerprints; texts are parsed whole whatever their length; rows repeating a doc_id follow one another in the order of
+their texts' hashes; null doc_ids come after all others; an empty table gives an empty result; with one document the next document is itself;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, column, small_batches
@@ -126,28 +127,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lambda b: batched(rows(b), schema), "doc_id long, fingerprint string")
 
 
+#: Stands for a null doc_id in the order: after all others.
+LAST = -(1 << 63)
+
+
+def _rank(sorted_values: list[int], x: Column) -> Column:
+    """How many of the ascending values are less than x, by binary search over one literal array."""
+    if not sorted_values:
+        return F.lit(0)
+    values = F.array(*[F.lit(int(v)) for v in sorted_values])
+    steps = F.array(*[F.lit(1 << k) for k in range(len(sorted_values).bit_length() - 1, -1, -1)])
+    further = lambda at, step: (at + step <= len(sorted_values)) & (F.get(values, at + step - 1) < x)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+
+
 def followed(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (part, doc_id, text, tail): each part holds a range of ids, descending, and one more row (tail) that follows its last.
 
-    The texts are shuffled once.  The driver sees bounds and the largest id of each part only; null ids come last.
+    The texts are shuffled once, every part into a partition of its own.  The driver sees bounds and the largest id of each part only; null ids
+    come last; rows that repeat an id follow one another by their texts' hashes, then by the texts.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"))
+    ids = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"))
     bounds = sorted(set(ids.approxQuantile("_id", [i / parts for i in range(1, parts)], 0.0005))) if parts > 1 else []
-    edges = F.array(*[F.lit(int(x)) for x in bounds]) if bounds else F.array().cast("array<long>")
-    #: rank of the range, ascending ids
-    part = F.size(F.filter(edges, lambda x: x < F.col("_id"))) if bounds else F.lit(0)
-    heads = ids.groupBy(part.alias("part")).agg(F.max("_id").alias("head")).collect()  # a row for each part
-    order = sorted(((r["part"], r["head"]) for r in heads), reverse=True)
-    rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "doc_id", "text").withColumn("part", part)
-    if not order:
+    part = _rank([int(x) for x in bounds], F.col("_id"))  # rank of the range, ascending ids
+    heads = {r["part"]: r["head"] for r in ids.select("_id", part.alias("part")).groupBy("part").agg(F.max("_id").alias("head")).collect()}  # a row for each part
+    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "doc_id", "text").withColumn("part", part)
+    if not heads:
         return rows.select("part", "doc_id", "_id", "text", F.lit(False).alias("tail"))
-    before = {head: order[k - 1][0] for k, (_, head) in enumerate(order)}  # the part that the head's row follows
-    follows = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_id")]
+    order = sorted(heads, reverse=True)
+    above = {k: order[i - 1] for i, k in enumerate(order)}  # the part that a part's head follows; the last one for the first
+    table = lambda found: F.get(F.array(*[F.lit(found.get(k)).cast("long") for k in range(len(bounds) + 1)]), F.col("part"))
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("tail"))
-    extra = F.struct(follows.cast("int").alias("part"), F.lit(True).alias("tail"))
-    both = F.explode(F.when(follows.isNull(), F.array(own)).otherwise(F.array(own, extra)))
+    extra = F.struct(table(above).cast("int").alias("part"), F.lit(True).alias("tail"))
+    both = F.explode(F.when(F.col("_id") == table(heads), F.array(own, extra)).otherwise(F.array(own)))
     dealt = rows.withColumn("_to", both).select(F.col("_to.part").alias("part"), "doc_id", "_id", "text", F.col("_to.tail").alias("tail"))
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "tail", F.desc("_id"))
+    return dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "tail", F.desc("_id"), F.xxhash64("text"), "text")
 
 
 def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
