@@ -6,22 +6,24 @@ corrected for that language's false-positive rate (its slice's fill to the power
 corrected share decides.
 
 Learning: document frequencies of n-grams per language, over a bounded sample of labelled rows (``sample_per_language``
-rows expected per language, chosen by a hash of the id); each language's ``grams_per_language`` most frequent n-grams enter the filter.
+rows expected per language, chosen by a hash of the id); every n-gram that the share ``least_share`` of a language's sampled rows hold enters the filter.
 
-Defined cases: null text, or text without any letter, gives ``und`` and score 0; text too short for an n-gram gives the most
-frequent learned language with score 0; ties go to the language learned from more rows, then to the lesser name; no labelled row at all
-gives ``und`` throughout; empty tables give empty results; other columns are ignored.
+Defined cases: null text, or text without any letter, gives ``und`` and score 0; text without evidence (too short for an n-gram, or none of
+its n-grams in any filter) gives the language learned from most rows with score 0; ties go to the language learned from more rows, then to the
+lesser name; no labelled row at all gives ``und`` throughout; a null or repeated doc_id gives a row like any other; empty tables give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, column, small_batches
@@ -84,16 +86,17 @@ class Filter:
                 out[i] = np.count_nonzero(masks & np.uint64(1 << (i % 64)))
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, int, float]:
+        """Language, score, n-grams read, and the corrected number of them that the language's slice holds."""
         if not text or not self.languages or not LETTER.search(text):
-            return "und", 0.0
+            return "und", 0.0, 0, 0.0
         total, hits = 0, np.zeros(len(self.languages))
         for g in grams(text):
             total += len(g)
             hits += self.counts(g)
         share = np.clip((hits - total * self.false_rate) / (1 - self.false_rate), 0, None)
         best = int(np.argmax(share))
-        return self.languages[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0
+        return self.languages[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0, total, float(share[best])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +122,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def fit(labelled: DataFrame, sample_per_language: int = 1000, grams_per_language: int = 4096) -> Filter:
+def fit(labelled: DataFrame, sample_per_language: int = 1000, least_share: float = 0.005) -> Filter:
     """Learns from the rows' text and lang; rows where either is null teach nothing."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -129,20 +132,21 @@ def fit(labelled: DataFrame, sample_per_language: int = 1000, grams_per_language
     bars = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(scale, sample_per_language * scale // n))])
     sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(scale)) < bars[F.col("lang")])
     counted = sample.repartition(16, F.xxhash64("doc_id")).mapInArrow(_frequencies, "lang string, gram long, df long")
-    ranked = counted.groupBy("lang", "gram").agg(F.sum("df").alias("df")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "gram"))
-    )
+    # the table of n-grams is bounded by the sample: a language has at most 1 / least_share times its mean number of n-grams a row
+    drawn = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    need = F.create_map(*[F.lit(x) for k in sizes for x in (k, max(1, math.ceil(least_share * drawn.get(k, 0))))])
+    common = counted.groupBy("lang", "gram").agg(F.sum("df").alias("df")).where(F.col("df") >= need[F.col("lang")])
     got: dict[str, list[int]] = {k: [] for k in sizes}
-    for r in ranked.where(F.col("rank") <= grams_per_language).select("lang", "gram").collect():
+    for r in common.select("lang", "gram").collect():
         got[r["lang"]].append(r["gram"])
     order = sorted(sizes, key=lambda k: (-sizes[k], k))
     return Filter.build(order, {k: np.array(got[k], dtype=np.int64).astype(np.uint64) for k in order})
 
 
 def predict(docs: DataFrame, model: Filter, held_out: Column | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row."""
+    """doc_id, held_out, lang_pred, score, n_grams, evidence for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_grams", pa.int64()), ("evidence", pa.float64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         known = sent.value
@@ -152,7 +156,7 @@ def predict(docs: DataFrame, model: Filter, held_out: Column | None = None) -> D
 
     held_out = F.lit(False) if held_out is None else held_out
     return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(
-        lambda batches: batched(rows(batches), schema), "doc_id long, held_out boolean, lang_pred string, score double"
+        lambda batches: batched(rows(batches), schema), "doc_id long, held_out boolean, lang_pred string, score double, n_grams long, evidence double"
     )
 
 
