@@ -1,14 +1,18 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A text's words are cut into overlapping blocks.  Template tokens are ordered by their document frequency over the whole corpus, rarest first; a block
-that contains a template to the threshold t must hold one of its first |T| - ceil(t |T|) + 1 tokens (prefix filter), in a place that
-belongs to the block (positional filter), and must have ceil(t |T|) words (length filter).  The blocks left are verified by the intersection with the
-template.  Everything happens within a document's row: the templates are a fixed list, so nothing but the token frequencies is shuffled.
+A block is any ``BLOCK`` consecutive words of a text (fewer where the text ends), at every place.  It matches a template T if it contains the share t
+of T's tokens.  Template tokens are ordered by their frequency over the whole corpus, rarest first, and three filters go before the count:
 
-Base phrases are templates with threshold 1, followed by a check that their words stand consecutively.
+* prefix: a block that matches holds one of T's first |T| - ceil(t |T|) + 1 tokens, so a text without them is done, and so is every block;
+* position: a block that matches can be moved on to its first token of T without losing any, so only blocks that begin at such a token count;
+* length: from its begin on a block must have ceil(t |T|) words.
 
-Defined cases: a null text counts as empty; an empty text has no words and no label and score 0; repeated rows give repeated results; an empty table
-gives an empty result; other columns are ignored.
+Blocks left are verified by the intersection with the template.  Everything happens within a document's row: the templates are a fixed list, so nothing
+but the token frequencies is shuffled.  Base phrases are templates with threshold 1, followed by a check that their words stand consecutively; so they
+begin a block of their own.
+
+Defined cases: a null text counts as empty; an empty text has no words and no label and score 0; a null or repeated doc_id gives a row like any other,
+and repeated rows repeated results; equal frequencies order by the token; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, STEP = 64, 32  # words of a block, and between the starts of blocks
-LONGEST = BLOCK - STEP + 1  # words that surely lie within one block
+BLOCK = 64  # words of a block; templates have as many different ones at most
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,8 +69,6 @@ class Template:
 def templates(threshold: float = 0.8) -> list[Template]:
     out = [Template(tuple(p.split()), label, 1.0, True) for p, label in BASE]
     out += [Template(tuple(p.split()), label, threshold, False) for p, label in NOTICES]
-    if any(len(t.words) > LONGEST for t in out):
-        raise ValueError(f"a template may have {LONGEST} words at most")
     return out
 
 
@@ -83,23 +84,15 @@ def words(text: Column) -> Column:
 
 
 def token_frequencies(docs: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
-    """In how many documents each token stands; the result has a row for each token at most."""
-    found = docs.select(F.explode(F.array_intersect(words(F.col("text")), _strings(tokens))).alias("token"))
+    """How often each token stands in the texts; the result has a row for each token at most."""
+    found = docs.select(F.explode(words(F.col("text"))).alias("token")).where(F.col("token").isin(*tokens))
     return {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}
 
 
-def _of(i: int):
-    return lambda p: p["t"] == i
-
-
 def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _lookup(values: list[Column]) -> Column:
-    return F.array(*values)
-
-
 def _stands(t: Template):
     """Whether the template's words stand consecutively from a place on."""
 
@@ -112,63 +105,45 @@ def _stands(t: Template):
     return test
 
 
-def license_scan(docs: DataFrame, known: list[Template] | None = None) -> DataFrame:
+def _blocks(t: Template, prefix: Sequence[str], block: int) -> Column:
+    """(s, k) of the blocks that match: their first word and how many of the template's tokens they hold."""
+    tokens, rare = _strings(t.tokens), _strings(prefix)
+    part = lambda s: F.slice("w", s + 1, F.lit(block))
+    starts = F.filter(
+        F.sequence(F.lit(0), F.col("n_words") - t.need),
+        lambda s: F.get("w", s).isin(*t.tokens) & F.arrays_overlap(part(s), rare),
+    )
+    counted = F.transform(starts, lambda s: F.struct(s.alias("s"), F.size(F.array_intersect(part(s), tokens)).alias("k")))
+    found = F.filter(counted, lambda x: x["k"] >= t.need)
+    return F.when((F.col("n_words") >= t.need) & F.arrays_overlap("w", rare), found)
+
+
+def license_scan(docs: DataFrame, known: list[Template] | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
     known = templates() if known is None else known
-    vocabulary = sorted({w for t in known for w in t.tokens})
-    often = token_frequencies(docs, vocabulary)
+    if any(len(t.tokens) > block or t.phrase and len(t.words) > block for t in known):
+        raise ValueError(f"a template may have {block} different words at most")
+    often = token_frequencies(docs, sorted({w for t in known for w in t.tokens}))
     ordered = [sorted(t.tokens, key=lambda w: (often.get(w, 0), w)) for t in known]
-    prefix: dict[str, list[int]] = {}
-    for i, (t, tokens) in enumerate(zip(known, ordered, strict=True)):
-        for w in tokens[: len(tokens) - t.need + 1]:
-            prefix.setdefault(w, []).append(i)
-    marks = sorted(prefix)
-    by_mark = F.create_map(*[x for w in marks for x in (F.lit(w), F.array(*[F.lit(i) for i in prefix[w]]))])
-    token_sets = _lookup([_strings(t.tokens) for t in known])
-    needs = _lookup([F.lit(t.need) for t in known])
-    sizes = _lookup([F.lit(len(t.tokens)) for t in known])
+    prefix = [tokens[: len(tokens) - t.need + 1] for t, tokens in zip(known, ordered, strict=True)]
+    marks = sorted({w for p in prefix for w in p})
     n = F.col("n_words")
 
     rows = docs.select("doc_id", words(F.col("text")).alias("w"))
     rows = rows.select("doc_id", "w", F.size("w").alias("n_words"), F.arrays_overlap("w", _strings(marks)).alias("any"))
-    # (block, template) pairs that pass the filters
-    places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", i).isin(marks))
-    pairs = F.flatten(F.transform(places, lambda i: F.flatten(F.transform(
-        F.when(i >= STEP, F.array((i / STEP).cast("int"), (i / STEP).cast("int") - 1)).otherwise(F.array(F.lit(0))),
-        lambda b: F.transform(by_mark[F.get("w", i)], lambda t: F.struct(b.alias("b"), t.alias("t"))),
-    ))))
-    passed = F.filter(F.array_distinct(pairs), lambda p: F.least(n - p["b"] * STEP, F.lit(BLOCK)) >= F.get(needs, p["t"]))
-    rows = rows.select("doc_id", "w", "n_words", F.when(F.col("any"), passed).alias("pairs"))
-    verified = F.filter(
-        F.transform("pairs", lambda p: F.struct(
-            p["b"].alias("b"), p["t"].alias("t"),
-            F.size(F.array_intersect(F.slice("w", p["b"] * STEP + 1, F.lit(BLOCK)), F.get(token_sets, p["t"]))).alias("k"),
-        )),
-        lambda p: p["k"] >= F.get(needs, p["t"]),
-    )
-    rows = rows.select("doc_id", "w", "n_words", verified.alias("hits"))
-    # base phrases stand consecutively where a verified block begins to hold them
-    starts = []
-    for i, t in enumerate(known):
-        if t.phrase:
-            near = F.flatten(F.transform(
-                F.filter("hits", _of(i)),
-                lambda p: F.sequence(p["b"] * STEP, F.least(p["b"] * STEP + BLOCK, n) - 1),
-            ))
-
-            starts.append(F.filter(F.array_distinct(near), _stands(t)))
-    rows = rows.select("doc_id", "n_words", "hits", *[s.alias(f"p{k}") for k, s in enumerate(starts)])
-    phrases = [t for t in known if t.phrase]
-    every = F.concat(*[F.coalesce(f"p{k}", F.array().cast("array<int>")) for k in range(len(phrases))])
-    base = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(t.label)) for k, t in enumerate(phrases)]))
-    notices = [i for i, t in enumerate(known) if not t.phrase]
-    own = F.transform(
-        F.filter("hits", lambda p: p["t"].isin(notices)), lambda p: F.get(_strings([t.label for t in known]), p["t"])
-    )
-    shares = F.transform(F.filter("hits", lambda p: p["t"].isin(notices)), lambda p: p["k"] / F.get(sizes, p["t"]))
+    found = {f"m{i}": F.when(F.col("any"), _blocks(t, p, block)) for i, (t, p) in enumerate(zip(known, prefix, strict=True))}
+    rows = rows.select("doc_id", "w", "n_words", *[c.alias(k) for k, c in found.items()])
+    phrases = [(i, t) for i, t in enumerate(known) if t.phrase]
+    notices = [(i, t) for i, t in enumerate(known) if not t.phrase]
+    none = F.array().cast("array<int>")
+    begins = [F.filter(F.coalesce(F.transform(f"m{i}", lambda x: x["s"]), none), _stands(t)).alias(f"p{i}") for i, t in phrases]
+    shares = [F.coalesce(F.array_max(F.transform(f"m{i}", lambda x: x["k"])), F.lit(0)).alias(f"k{i}") for i, _ in notices]
+    rows = rows.select("doc_id", "n_words", *begins, *shares)
+    base = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(t.label)) for i, t in phrases]))
+    own = F.array_compact(F.array(*[F.when(F.col(f"k{i}") > 0, F.lit(t.label)) for i, t in notices])) if notices else F.array().cast("array<string>")
+    share = F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(f"k{i}") / len(t.tokens) for i, t in notices])
     rows = rows.select(
-        "doc_id", "n_words", every.alias("every"), F.array_sort(F.array_distinct(base)).alias("base"),
-        F.coalesce(own, F.array().cast("array<string>")).alias("own"), F.coalesce(F.array_max(shares), F.lit(0.0)).alias("share"),
+        "doc_id", "n_words", (F.concat(*[f"p{i}" for i, _ in phrases]) if phrases else none).alias("every"), F.array_sort(F.array_distinct(base)).alias("base"), own.alias("own"), share.alias("share"),
     )
     return rows.select(
         "doc_id",
@@ -187,7 +162,7 @@ def _sql_list(values: Sequence) -> str:
 
 
 def oracle_sql(known: list[Template] | None = None) -> str:
-    """DuckDB SQL for :func:`license_scan`: every block against every template, without filters."""
+    """DuckDB SQL for :func:`license_scan`: the blocks that begin at any of a template's tokens, without other filters."""
     known = templates() if known is None else known
     rows = ", ".join(f"({i}, {_sql_list(t.tokens)}, {t.need}, {t.phrase}, '{t.label}')" for i, t in enumerate(known))
     places = " UNION ALL ".join(
@@ -200,17 +175,18 @@ def oracle_sql(known: list[Template] | None = None) -> str:
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         templates(id, tokens, need, phrase, label) AS (VALUES {rows}),
-        blocks AS (
-          SELECT doc_id, list_distinct(w[b * {STEP} + 1 : b * {STEP} + {BLOCK}]) AS s
-          FROM (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil(len(w) / {STEP}) AS BIGINT)))) AS b FROM t)),
+        places AS (SELECT doc_id, w[i + 1] AS token, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM t)),
+        tokens AS (SELECT id, need, len(tokens) AS size, label, unnest(tokens) AS token FROM templates WHERE NOT phrase),
+        stands AS (SELECT doc_id, id, need, size, label, i, token FROM places JOIN tokens USING (token)),
         matched AS (
-          SELECT doc_id, label, len(list_intersect(s, tokens)) / len(tokens)::DOUBLE AS share
-          FROM blocks, templates WHERE NOT phrase AND len(list_intersect(s, tokens)) >= need),
+          SELECT a.doc_id, a.label, count(DISTINCT b.token) / any_value(a.size)::DOUBLE AS share
+          FROM stands a JOIN stands b ON b.doc_id = a.doc_id AND b.id = a.id AND b.i BETWEEN a.i AND a.i + {BLOCK - 1}
+          GROUP BY a.doc_id, a.id, a.label, a.i HAVING count(DISTINCT b.token) >= any_value(a.need)),
         notices AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM matched GROUP BY doc_id),
-        places AS ({places}),
+        phrases AS ({places}),
         base AS (
           SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels
-          FROM places GROUP BY doc_id)
+          FROM phrases GROUP BY doc_id)
         SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
           CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
           array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
