@@ -31,6 +31,8 @@ FEATURES = (
     "capital_words", "stops_per_word", "repeat_bigrams", "pure_words", "short_words",
 )
 D = len(FEATURES)
+#: Least variance of a statistic: well above what rounding leaves of a constant one.
+LEAST_VARIANCE = 1e-6
 
 _CLASS = np.zeros(256, dtype=np.int64)
 for _i, _set in enumerate((
@@ -167,7 +169,7 @@ def fit(labelled: DataFrame, shrink_pooled: float = 0.25, shrink_diagonal: float
         flat = 0.5 if not n.sum() else float(n[1] / n.sum())
         return Discriminant(none[:, 0], none, np.zeros((2, D, D)), none[:, 0], none[0], none[0] + 1, flat)
     center = s.sum(axis=0) / n.sum()
-    scale = np.sqrt(np.maximum(np.diagonal(p.sum(axis=0)) / n.sum() - center**2, 1e-9))
+    scale = np.sqrt(np.maximum(np.diagonal(p.sum(axis=0)) / n.sum() - center**2, LEAST_VARIANCE))
     mean = (s / n[:, None] - center) / scale
     cov = np.array([(p[c] / n[c] - np.outer(s[c], s[c]) / n[c] ** 2) / np.outer(scale, scale) for c in (0, 1)])
     pooled = (cov * n[:, None, None]).sum(axis=0) / n.sum()
