@@ -44,7 +44,9 @@ def by_id(rows):
     return {r["doc_id"]: r for r in rows.collect()}
 
 
-def test_exact_dedup(spark, texts):
+@pytest.mark.parametrize("broadcast_bits", [1 << 28, 1 << 10])
+def test_exact_dedup(spark, texts, monkeypatch, broadcast_bits):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BITS", broadcast_bits)
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
     got = by_id(exact_dedup.exact_dedup(frame(spark, texts)))
     for i, n in enumerate(norm):
@@ -246,7 +248,7 @@ def brute_licenses(text, known):
             starts += at
             base |= {t.label} if at else set()
         else:
-            for b in range(0, max(1, len(w)), licenses.STEP):
+            for b in range(max(1, len(w))):
                 k = len(set(w[b : b + licenses.BLOCK]) & set(t.tokens))
                 if k >= t.need:
                     labels.add(t.label)
@@ -259,7 +261,8 @@ def test_license_scan(spark, texts):
     more = [
         *texts, "Apache License", "the GNU General Public\nLicense. MIT license; mit licenses CC-BY", "x " * 31 + "apache license " + "y " * 70 + "Apache LICENSE",
         notice, "word " * 40 + notice.replace("hereby", "") + " word" * 40, "Licensed under the Apache License, Version 2.0.", "redistribution and use in source and binary forms with or without modification are allowed",
-        "ßapache licensé apache license",
+        "ßapache licensé apache license", "x " * 50 + notice.replace(" ", " # 7 ") + " x" * 50, notice.replace(" ", " lorem ipsum "), " ".join(notice.split()[::-1]),
+        " ".join([*notice.split()[:8], *["pad"] * 40, *notice.split()[8:]]),
     ]
     known = licenses.templates()
     got = by_id(licenses.license_scan(frame(spark, more)))
