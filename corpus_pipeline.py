@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of documents.
 
-* language: rows without a recognised language go (null text, no letter); ``lang`` is not touched;
+* language: rows without a recognised language go (null text, no letter, or ``ENOUGH`` n-grams of which no learned language's filter holds any, after
+  correction); shorter texts are kept, and so is every text if no language could be learned; ``lang`` is not touched;
 * exact: of equal texts (after white-space normalisation) the row with the least doc_id stays;
 * near: of near-duplicates (five-word shingles, similarity 0.8 or more) the row with the least doc_id stays;
 * secrets: found spans are replaced in the text, ``n_chars`` follows; no row goes;
@@ -31,14 +32,23 @@ def _without(spark: SparkSession, docs: DataFrame, decisions: DataFrame, goes: C
     return only_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+#: N-grams after which a text without evidence for any language is rejected.
+ENOUGH = 32
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose language is not recognised."""
     small_batches(spark)
-    found = predict(docs, fit(docs.where(crc_mod("doc_id", 4) != 2)))
+    model = fit(docs.where(crc_mod("doc_id", 4) != 2))
     kept = docs.where(F.col("text").isNotNull())
-    return _without(spark, kept, found, F.col("lang_pred") == "und")
+    if not model.languages:
+        return kept
+    rejected = (F.col("lang_pred") == "und") | ((F.col("n_grams") >= ENOUGH) & (F.col("evidence") == 0))
+    return _without(spark, kept, predict(docs, model), rejected)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without all but the first of equal documents, and without rows that repeat an id and its text."""
     kept = _without(spark, docs, exact_dedup(docs), ~F.col("kept"))
     counts = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     again = Tables(spark, "stage").write(counts.where("n > 1").select("doc_id"), "again")
@@ -49,14 +59,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without all but the first of every near-duplicate component."""
     return _without(spark, docs, near_duplicates(docs), ~F.col("kept"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced."""
     return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences."""
     return pack_documents(docs)
 
 
