@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The ten criteria of a formulation's score.
-CRITERIA = (
-    "overall", "well_posedness", "formalizability", "boundary_clarity", "ambiguity_hygiene", "source_grounding", "scope_control",
-    "nontriviality", "significance", "tractability",
-)
-
-
 def group_stats(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Mean, sample deviation and standard error of each value, to four places, and the group's size; blank for groups of one."""
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -78,32 +71,6 @@ def ordered_pairs(rows: DataFrame, by: str, order: Column) -> DataFrame:
     )
 
 
-def cap_violations(vague: Column, formal: Column, setup: Column, ambiguity: Column, source: Column, loose: Column, apply_x: Column, skeleton: Column) -> Column:
-    """Names of the cap rules that a score row breaks; the arguments describe the candidate, the scores are columns named as in CRITERIA."""
-    c = F.col
-    return F.array_compact(F.array(
-        F.when(vague & (c("overall") > 6), "vague_overall"),
-        F.when(~formal & (c("well_posedness") > 6), "informal_well_posedness"),
-        F.when(~formal & (c("formalizability") > 6), "informal_formalizability"),
-        F.when(~setup & (c("well_posedness") > 6), "no_setup_well_posedness"),
-        F.when(~setup & (c("boundary_clarity") > 6), "no_setup_boundary"),
-        F.when(~ambiguity & (c("ambiguity_hygiene") > 6), "no_ambiguity_hygiene"),
-        F.when(~source & (c("source_grounding") > 4), "no_source_grounding"),
-        F.when((loose >= 8) & (c("scope_control") > 4), "loose_scope"),
-        F.when(apply_x & (c("nontriviality") > 6), "apply_nontriviality"),
-        F.when(~skeleton & (c("overall") > 7), "no_skeleton_overall"),
-    ))
-
-
-def invalid_scores(scores: Column, names: tuple[str, ...] = CRITERIA, low: int = 0, high: int = 10) -> Column:
-    """Violations of a map criterion -> integer: missing, unknown and out-of-range keys."""
-    known = F.array(*[F.lit(n) for n in names])
-    missing = F.transform(F.array_except(known, F.map_keys(scores)), lambda k: F.concat(F.lit("missing:"), k))
-    unknown = F.transform(F.array_except(F.map_keys(scores), known), lambda k: F.concat(F.lit("unknown:"), k))
-    bad = F.transform(F.filter(F.map_entries(scores), lambda e: e["value"].isNull() | ~e["value"].between(low, high)), lambda e: F.concat(F.lit("range:"), e["key"]))
-    return F.array_sort(F.concat(missing, unknown, bad))
-
-
 def complete_ranking(rows: DataFrame) -> DataFrame:
     """Per batch (batch, candidate_id, rank, position): whether ranks are 1..n without ties, and not just the input's order."""
     return rows.groupBy("batch").agg(

@@ -56,22 +56,6 @@ def ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.ordered_pairs(table(spark, sf_dir, "conversations").withColumn("id", F.col("turn")), "conv_id", F.col("turn"))
 
 
-def cap_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    rows = _orders(spark, sf_dir).withColumns({c: (k * (i + 3) + i) % 11 for i, c in enumerate(judging.CRITERIA)})
-    flags = [k % p == 0 for p in (3, 2, 5, 7, 4)]
-    broken = judging.cap_violations(flags[0], flags[1], flags[2], flags[3], flags[4], k % 12, k % 6 == 0, k % 9 == 0)
-    return rows.select("o_orderkey", F.array_join(broken, ";").alias("violations"))
-
-
-def score_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    scores = F.map_filter(
-        F.create_map(*[x for i, c in enumerate(judging.CRITERIA) for x in (F.lit(c), ((k * (i + 1)) % 13 - 1).cast("int"))]), lambda n, v: ~((k % 10 == 0) & (n == "overall"))
-    )
-    return _orders(spark, sf_dir).select("o_orderkey", F.array_join(judging.invalid_scores(scores), ";").alias("violations"))
-
-
 def complete_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("batch"), F.col("l_partkey").alias("candidate_id"), F.col("l_linenumber").cast("long").alias("rank"),
@@ -165,11 +149,6 @@ def soft_cap_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.soft_capped(rows)
 
 
-_CRIT = " UNION ALL ".join(f"SELECT o_orderkey, '{c}' AS c, {i} AS i, (o_orderkey * {i + 1}) % 13 - 1 AS v FROM orders" for i, c in enumerate(judging.CRITERIA))
-_CAPS = [("o_orderkey % 3 = 0 AND overall > 6", "vague_overall"), ("o_orderkey % 2 <> 0 AND well_posedness > 6", "informal_well_posedness"), ("o_orderkey % 2 <> 0 AND formalizability > 6", "informal_formalizability"),
-         ("o_orderkey % 5 <> 0 AND well_posedness > 6", "no_setup_well_posedness"), ("o_orderkey % 5 <> 0 AND boundary_clarity > 6", "no_setup_boundary"), ("o_orderkey % 7 <> 0 AND ambiguity_hygiene > 6", "no_ambiguity_hygiene"),
-         ("o_orderkey % 4 <> 0 AND source_grounding > 4", "no_source_grounding"), ("o_orderkey % 12 >= 8 AND scope_control > 4", "loose_scope"), ("o_orderkey % 6 = 0 AND nontriviality > 6", "apply_nontriviality"),
-         ("o_orderkey % 9 <> 0 AND overall > 7", "no_skeleton_overall")]
 _SUB = [(f"(CASE WHEN o_orderkey % {i + 2} <> 0 THEN ((o_orderkey * {i + 1}) % 10) / 10.0::DOUBLE END)", w) for i, w in enumerate(gaps.SUB_SCORES)]
 _WEIGHT = " + ".join(f"CASE WHEN {x} IS NOT NULL THEN {w}::DOUBLE ELSE 0 END" for x, w in _SUB)
 _TOTAL = " + ".join(f"coalesce({x} * {w}::DOUBLE, 0)" for x, w in _SUB)
@@ -191,10 +170,6 @@ ORACLE_SQL = {
     "domain_total_rollup": "SELECT coalesce(o_orderstatus, 'TOTAL') AS domain, " + ", ".join(f"count(*) FILTER (WHERE o_orderpriority = '{p}') AS \"{p}\"" for p in PRIORITIES) + ", count(*) AS total FROM orders GROUP BY ROLLUP (o_orderstatus)",
     "ordered_pairs": r"""WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
         SELECT conv_id, k // 2 AS pair, max(turn) FILTER (WHERE k % 2 = 0) AS first, max(turn) FILTER (WHERE k % 2 = 1) AS second FROM n GROUP BY 1, 2""",
-    "cap_violations": "WITH s AS (SELECT o_orderkey, " + ", ".join(f"(o_orderkey * {i + 3} + {i}) % 11 AS {c}" for i, c in enumerate(judging.CRITERIA)) + ") ".replace(") ", " FROM orders) ")
-        + "SELECT o_orderkey, concat_ws(';', " + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for t, n in _CAPS) + ") AS violations FROM s",
-    "score_validation": f"""WITH c AS ({_CRIT}), m AS (SELECT o_orderkey, CASE WHEN c = 'overall' AND o_orderkey % 10 = 0 THEN 'missing:overall' WHEN v NOT BETWEEN 0 AND 10 THEN 'range:' || c END AS x FROM c)
-        SELECT o_orderkey, coalesce(array_to_string(list_sort(list(x) FILTER (WHERE x IS NOT NULL)), ';'), '') AS violations FROM m GROUP BY 1""",
     "complete_rankings": """WITH r AS (SELECT l_orderkey AS batch, l_linenumber AS rank, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS position
           FROM lineitem) SELECT batch, count(*) = count(DISTINCT rank) AND min(rank) = 1 AND max(rank) = count(*) AS complete, bool_and(rank = position) AS input_order FROM r GROUP BY 1""",
     "extraction_quality": """WITH t AS (SELECT l_orderkey AS p, (l_partkey + 3 * l_linenumber + l_suppkey) % 10 AS r FROM lineitem WHERE (l_orderkey * 7 + l_linenumber) % 8 % 2 = 0),
@@ -231,7 +206,7 @@ ORACLE_SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        group_stats, action_pivot, unblind, win_rates, mean_ranks, domain_total_rollup, ordered_pairs, cap_violations, score_validation,
+        group_stats, action_pivot, unblind, win_rates, mean_ranks, domain_total_rollup, ordered_pairs,
         complete_rankings, extraction_quality, plateau_lag, resume_anti, referential_audit, survival_scores, verification_gate,
         agent_confidence, quality_labels, capped_per_source, acronym_aliases, soft_cap_selection,
     )
