@@ -1,22 +1,54 @@
-"""Evolution of hypotheses: operators as projections, fitness, diverse final selection.
+"""Evolution of hypotheses: operators as projections, lineage, duplicates, fitness with diversity, generations.
 
-Random choices follow a hash of (generation, id), so runs repeat whatever the partitioning.
+Random choices follow a hash of (generation, id), so runs repeat whatever the partitioning.  A population is bounded by its setting (tens to some hundred
+candidates), which bounds what the driver's loop holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.text import bounded
+from lacuna.functions.text import bounded, stable_id
+from lacuna.operators.selection import diverse_finals  # noqa: F401
 
 # What each mutation adds to which score.
 MUTATIONS = {
-    "narrow": ("feasibility", 0.08), "broaden": ("impact", 0.08), "domain_shift": ("novelty", 0.05), "mechanism": ("feasibility", 0.04),
-    "evidence": ("novelty", 0.03), "scope_narrowing": ("feasibility", 0.07), "scope_broadening": ("impact", 0.07), "substitution": ("novelty", 0.04),
-    "swap": ("feasibility", 0.03), "protocol": ("specificity", 0.08), "contradiction": ("impact", 0.05), "limitation": ("novelty", 0.04), "merge": (None, 0.0),
+    "narrow_scope": ("feasibility", 0.08), "broaden_scope": ("impact", 0.08), "change_target_domain": ("novelty", 0.05), "add_mechanism": ("feasibility", 0.04),
+    "strengthen_evidence_requirement": ("novelty", 0.03), "merge_compatible_gaps": (None, 0.0), "scope_narrowing": ("feasibility", 0.07), "scope_broadening": ("impact", 0.07),
+    "mechanism_substitution": ("novelty", 0.04), "failure_condition_swap": ("feasibility", 0.03), "evaluation_protocol_generation": ("specificity", 0.08),
+    "contradiction_to_benchmark": ("impact", 0.05), "limitation_to_method": ("novelty", 0.04),
+}
+CROSSOVERS = ("combine_mechanism_and_gap", "merge_evidence_sets", "combine_target_scope")
+# What mutations write into the candidate's texts; {} is the parent's text.
+TEXTS: dict[str, dict[str, str]] = {
+    "scope": {
+        "narrow_scope": "{}; narrowed to the most traceable setting", "broaden_scope": "{}; broadened to adjacent tasks or datasets",
+        "scope_narrowing": "{}; narrowed to the most evidence-dense setting", "scope_broadening": "{}; broadened to include adjacent tasks",
+    },
+    "target": {"change_target_domain": "adjacent domain for {}", "failure_condition_swap": "robustness under: {}"},
+    "mechanism": {"mechanism_substitution": "Alternative mechanism: {}"},
+    "problem_statement": {
+        "strengthen_evidence_requirement": "{} Require replication across at least two independent papers or benchmarks.",
+        "merge_compatible_gaps": "{} Merge with compatible recurring limitations when supported by traceable evidence.",
+        "evaluation_protocol_generation": "{} Propose a systematic evaluation protocol across at least three diverse settings.",
+        "contradiction_to_benchmark": "{} Design a benchmark to directly measure this contradiction.",
+        "limitation_to_method": "{} Propose a method that directly addresses this limitation.",
+    },
 }
+NO_MECHANISM = "Potential mechanism: mismatch between training/evaluation assumptions and deployment perturbations."
 SCORES = ("novelty", "feasibility", "impact", "specificity")
+CONTENT_STOPS = (
+    "about", "above", "after", "again", "against", "being", "between", "could", "doing", "during", "every", "from", "further", "have", "having", "here", "itself", "might", "more",
+    "most", "other", "over", "same", "should", "some", "such", "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "through", "under", "until", "very",
+    "was", "were", "what", "when", "where", "which", "while", "will", "with", "would", "your", "problem", "designing", "achieves", "despite", "using", "based", "toward", "without",
+    "across", "within", "proposed", "novel", "approach", "method", "algorithm", "framework", "system", "model", "existing", "current",
+)
+#: Thresholds of a duplicate: statements; gaps and mechanisms of one gap; content words of one gap.
+SAME_STATEMENT, SAME_TEXTS, SAME_CONTENT = 0.45, 0.90, 0.60
 
 
 def draw(generation: int, *by: Column | str) -> Column:
@@ -24,36 +56,119 @@ def draw(generation: int, *by: Column | str) -> Column:
     return F.pmod(F.xxhash64(F.lit(generation), *by), F.lit(1 << 20)) / float(1 << 20)
 
 
-def mutated(rows: DataFrame, generation: int) -> DataFrame:
-    """One child of every row by a drawn mutation."""
-    names = F.array(*[F.lit(n) for n in MUTATIONS])
-    out = rows.withColumn("operator", F.get(names, (draw(generation, "id") * len(MUTATIONS)).cast("int")))
+def drawn_mutation(generation: int) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in MUTATIONS]), (draw(generation, "id") * len(MUTATIONS)).cast("int"))
+
+
+def mutated(rows: DataFrame, generation: int, operator: Column | None = None) -> DataFrame:
+    """One child of every row by its operator (drawn if none is given): moved scores, and texts where the rows have them."""
+    out = rows.withColumn("operator", drawn_mutation(generation) if operator is None else operator)
     for s in SCORES:
         delta = F.lit(0.0)
         for n, (target, d) in MUTATIONS.items():
             if target == s:
                 delta = F.when(F.col("operator") == n, d).otherwise(delta)
         out = out.withColumn(s, bounded(F.col(s) + delta))
+    for name, forms in TEXTS.items():
+        if name in rows.columns:
+            text = F.col(name)
+            for n, form in forms.items():
+                head, tail = form.split("{}")
+                text = F.when(F.col("operator") == n, F.concat(F.lit(head), F.col(name), F.lit(tail))).otherwise(text)
+            if name == "mechanism":
+                text = F.when((F.col("operator") == "add_mechanism") & (F.col(name) == "insufficient evidence"), NO_MECHANISM).otherwise(text)
+            out = out.withColumn(name, text)
     return out.withColumns({"parents": F.array("id"), "generation": F.lit(generation)})
 
 
 def crossed(rows: DataFrame, generation: int) -> DataFrame:
-    """Children of drawn pairs: neighbours in the drawn order within a motif bucket; origins are united."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("motif_type").orderBy(draw(generation, "id"), "id")
-    numbered = rows.withColumn("k", F.row_number().over(order) - 1)
-    a = numbered.where("k % 2 = 0").select("motif_type", F.floor(F.col("k") / 2).alias("pair"), F.struct(*rows.columns).alias("a"))
-    b = numbered.where("k % 2 = 1").select("motif_type", F.floor(F.col("k") / 2).alias("pair"), F.struct(*rows.columns).alias("b"))
-    both = a.join(b, ["motif_type", "pair"])
+    """Children of drawn pairs: neighbours in the drawn order within a motif's bucket; mean scores with a bonus, the better survival.
+
+    Buckets with one motif are numbered by stretches of the drawn order, so a bucket of any size is dealt over tasks.
+    """
+    stretch = F.floor(draw(generation, "id") * 64)
+    order = Window.partitionBy("motif_type", "stretch").orderBy(draw(generation, "id"), "id")
+    numbered = rows.withColumn("stretch", F.when(F.lit(rows.count() > 4096), stretch).otherwise(0)).withColumn("k", F.row_number().over(order) - 1)
+    side = lambda parity, name: numbered.where(F.col("k") % 2 == parity).select("motif_type", "stretch", F.floor(F.col("k") / 2).alias("pair"), F.struct(*rows.columns).alias(name))
+    both = side(0, "a").join(side(1, "b"), ["motif_type", "stretch", "pair"])
+    operator = F.get(F.array(*[F.lit(c) for c in CROSSOVERS]), (draw(generation, "a.id", "b.id") * len(CROSSOVERS)).cast("int"))
+    more = {}
+    if "mechanism" in rows.columns:
+        swap = (F.col("operator") == "combine_mechanism_and_gap") & (F.col("b.mechanism") != "insufficient evidence")
+        more["mechanism"] = F.when(swap, F.col("b.mechanism")).otherwise(F.col("a.mechanism"))
+    if "scope" in rows.columns:
+        more["scope"] = F.when(F.col("operator") == "combine_target_scope", F.concat("a.scope", F.lit("; related scope: "), "b.scope")).otherwise(F.col("a.scope"))
+    if "evidence_list" in rows.columns:
+        more["evidence_list"] = F.when(F.col("operator") == "merge_evidence_sets", distinct_evidence(F.concat("a.evidence_list", "b.evidence_list"))).otherwise(F.col("a.evidence_list"))
+    both = both.withColumn("operator", operator)
     return both.select(
-        F.least("a.id", "b.id").alias("id"), "motif_type", F.array_sort(F.array("a.id", "b.id")).alias("parents"),
-        bounded((F.col("a.novelty") + F.col("b.novelty")) / 2 + 0.02).alias("novelty"), ((F.col("a.feasibility") + F.col("b.feasibility")) / 2).alias("feasibility"),
+        F.least("a.id", "b.id").alias("id"), "motif_type", F.array_sort(F.array("a.id", "b.id")).alias("parents"), "operator",
+        bounded((F.col("a.novelty") + F.col("b.novelty")) / 2 + 0.02).alias("novelty"), bounded((F.col("a.feasibility") + F.col("b.feasibility")) / 2).alias("feasibility"),
         bounded((F.col("a.impact") + F.col("b.impact")) / 2 + 0.02).alias("impact"), F.greatest("a.survival", "b.survival").alias("survival"),
-        F.lit(generation).alias("generation"),
+        F.lit(generation).alias("generation"), *[c.alias(k) for k, c in more.items()],
     )
 
 
+def distinct_evidence(x: Column) -> Column:
+    """Evidence (paper_id, evidence_text, ...) without repeats of paper and text; the first stays."""
+    key = lambda e: F.struct(e["paper_id"].alias("p"), e["evidence_text"].alias("t"))
+    return F.aggregate(x, F.slice(x, 1, 0), lambda out, e: F.when(F.exists(out, lambda o: key(o).eqNullSafe(key(e))), out).otherwise(F.array_append(out, e)))
+
+
+def seed_signature(motif: Column, gap_id: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(F.nullif(motif, F.lit("")), F.lit("unknown_motif")), gap_id)
+
+
+def combined_lineage(operator: Column, roots: Column, gap_ids: Column, motifs: Column) -> Column:
+    """Lineage of a child of several parents: united origins, a signature that they decide, and whether no origin could be recovered."""
+    clean = lambda x: F.array_sort(F.array_distinct(F.filter(x, lambda v: v.isNotNull() & (v != ""))))
+    g, m, own = clean(gap_ids), clean(motifs), clean(roots)
+    r = F.when(F.size(own) > 0, own).otherwise(F.transform(g, lambda x: F.concat(F.lit("recovered:"), x)))
+    key = F.concat_ws("|", operator, F.array_join(r, ","), F.array_join(g, ","), F.array_join(m, ","))
+    tag = F.when(F.size(m) > 0, F.array_join(m, "+")).otherwise("unknown")
+    return F.struct(
+        F.concat(F.lit("synth["), tag, F.lit("]:"), F.substring(F.sha1(key), 1, 10)).alias("origin_signature"), F.coalesce(F.get(r, F.lit(0)), F.lit("")).alias("primary_origin_signature"),
+        r.alias("root_origin_signatures"), g.alias("origin_gap_ids"), m.alias("origin_motif_types"), (F.size(r) == 0).alias("lineage_invalid"),
+    )
+
+
+def content_words(x: Column) -> Column:
+    """Words of five characters or more that carry content."""
+    return F.array_distinct(F.filter(F.split(F.lower(x), r"\s+"), lambda w: (F.length(w) >= 5) & ~w.isin(*CONTENT_STOPS)))
+
+
+def problem_statement(gap: Column, target: Column, scope: Column, papers: Column) -> Column:
+    """What a gap asks to investigate; the scope stands in where the target only repeats the gap."""
+    t, g = F.trim(F.coalesce(target, F.lit(""))), F.trim(gap)
+    hint = F.trim(F.replace(F.split_part(F.coalesce(scope, F.lit("")), F.lit(";"), F.lit(1)), F.lit("Motif type:"), F.lit("")))
+    context = F.when((t == "") | F.contains(F.lower(g), F.lower(t)), F.when(hint != "", F.concat(F.lit("within "), hint)).otherwise("across the evaluated corpus")).otherwise(F.concat(F.lit("targeting "), t))
+    attested = F.when(F.size(papers) > 0, F.concat(F.lit(" (attested in "), F.size(papers).cast("string"), F.lit(" paper(s))"))).otherwise("")
+    return F.concat(F.lit("Investigate: "), g, F.lit(" — "), context, attested, F.lit("."))
+
+
+# Mutations and endings of the first variants of a gap.
+SEED_MUTATIONS = ("narrow_scope", "broaden_scope", "add_mechanism", "change_target_domain", "evaluation_protocol_generation")
+SEED_ENDINGS = (
+    " Require controlled evaluation across diverse settings.", " Propose a mechanism to address this gap.", " Generalize to adjacent tasks and domains.",
+    " Design a benchmark to directly measure this gap.", " Provide theoretical analysis of the failure mode.",
+)
+
+
+def seeds(gaps: DataFrame, size: int, variants: int = 1) -> DataFrame:
+    """The first population: gaps by survival, each with its variants, ``size`` rows in all.
+
+    ``gaps`` has gap_id, gap, target, scope, mechanism, motif_type, paper_ids, the scores, survival and overall; a missing survival is the overall score.
+    """
+    r = gaps.withColumns({"survival": F.coalesce("survival", "overall"), "statement": problem_statement(F.col("gap"), F.col("target"), F.col("scope"), F.col("paper_ids"))})
+    best = r.orderBy(F.desc("survival"), "gap_id").limit(size)  # one row of each gap at least
+    each = best.select("*", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("variant"))
+    operator = F.when(F.col("variant") > 0, F.get(F.array(*[F.lit(m) for m in SEED_MUTATIONS]), F.col("variant") % len(SEED_MUTATIONS)))
+    ending = F.when(F.col("variant") > 0, F.get(F.array(*[F.lit(e) for e in SEED_ENDINGS]), (F.col("variant") - 1) % len(SEED_ENDINGS))).otherwise("")
+    out = each.withColumns({"id": stable_id("cand", "gap_id", F.lit("seed"), "variant"), "problem_statement": F.concat("statement", ending), "origin": seed_signature(F.col("motif_type"), F.col("gap_id"))})
+    made = mutated(out, 0, operator).withColumn("problem_statement", F.concat("statement", ending))  # a variant's statement is its own ending
+    return made.drop("statement").orderBy(F.desc("survival"), "gap_id", "variant").limit(size)
+
+
 def base_fitness() -> Column:
     c = F.col
     return bounded(
@@ -61,27 +176,86 @@ def base_fitness() -> Column:
     )
 
 
-def diverse_finals(rows: DataFrame, limit: int, penalty: float = 0.35, pool: int = 2000) -> DataFrame:
-    """Greedy choice of (id, fitness, tokens, origin, cluster, combined) with caps; over-cap rows leave the pool.
+def with_fitness(rows: DataFrame, diversity: float = 0.10) -> DataFrame:
+    """Adds fitness: the base, and the mean Jaccard distance of the statement's words to all others' of the population.
+
+    A population's words are sent once; each task compares its rows with them, so no pairs become rows.
+    """
+    rows = rows.withColumn("fitness", base_fitness())
+    words = {r["id"]: frozenset((r["problem_statement"] or "").lower().split()) for r in rows.select("id", "problem_statement").collect()}  # a population
+    sent = rows.sparkSession.sparkContext.broadcast(words)
+    schema = rows.select("id").schema.add("distance", "double")
+
+    def distances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = sent.value
+        for frame in frames:
+            out = []
+            for i in frame["id"]:
+                own = every[i]
+                d = [1 - len(own & w) / len(own | w) for j, w in every.items() if j != i and w] if own else []
+                out.append(sum(d) / len(d) if d else 0.0)
+            yield pd.DataFrame({"id": frame["id"], "distance": out})
+
+    far = rows.select("id").mapInPandas(distances, schema)
+    return rows.join(far, "id").withColumn("fitness", F.round(bounded(F.col("fitness") + diversity * F.col("distance")), 9)).drop("distance")
+
 
-    Sequential by nature: the driver sees the ``pool`` fittest rows only.
+def _jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def is_duplicate(child: dict, population: list[dict]) -> bool:
+    """Too like a member: statements; gap and mechanism of one gap; content words of one gap."""
+    words = lambda r, k: set((r[k] or "").lower().split())
+    content = lambda r: {w for w in words(r, "problem_statement") if len(w) >= 5 and w not in CONTENT_STOPS}
+    mine, own = words(child, "problem_statement"), content(child)
+    for other in population:
+        if _jaccard(mine, words(other, "problem_statement")) >= SAME_STATEMENT:
+            return True
+        if child["gap_id"] == other["gap_id"]:
+            if _jaccard(words(child, "gap"), words(other, "gap")) >= SAME_TEXTS and _jaccard(words(child, "mechanism"), words(other, "mechanism")) >= SAME_TEXTS:
+                return True
+            if _jaccard(own, content(other)) >= SAME_CONTENT:
+                return True
+    return False
+
+
+def interleaved(gaps: DataFrame, count: int, generation: int) -> DataFrame:
+    """``count`` gaps for immigrants: one of each motif in turn, larger motifs first, in a drawn order within a motif."""
+    size = gaps.groupBy("motif_type").agg(F.count(F.lit(1)).alias("size"))
+    order = Window.partitionBy("motif_type").orderBy(draw(generation, "gap_id"), "gap_id")
+    first = gaps.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= count)
+    return first.join(F.broadcast(size), "motif_type").orderBy("turn", F.desc("size"), "motif_type").limit(count)  # a row for each motif
+
+
+def evolved(population: DataFrame, generations: int, size: int, elite: float = 0.2) -> list[list[dict]]:
+    """Generations of a population (list of rows each): elites stay, drawn parents mutate, duplicates are rejected, the fittest ``size`` go on.
+
+    The loop is sequential and its state a population, so it runs over small frames; children come from :func:`mutated` and :func:`crossed`.
     """
-    left = [r.asDict() for r in rows.orderBy(F.desc("fitness"), "id").limit(pool).collect()]
-    chosen: list[dict] = []
-    cluster_cap, combined_cap = max(1, int(0.40 * limit)), int(0.35 * limit)
-    sets = {r["id"]: set(r["tokens"]) for r in left}
-    near = {r["id"]: 0.0 for r in left}
-    while left and len(chosen) < limit:
-        best = max(left, key=lambda r: (r["fitness"] - penalty * near[r["id"]], -left.index(r)))
-        left.remove(best)
-        if (
-            sum(c["origin"] == best["origin"] for c in chosen) >= 2
-            or sum(c["cluster"] == best["cluster"] for c in chosen) >= cluster_cap
-            or (best["combined"] and sum(c["combined"] for c in chosen) >= combined_cap)
-        ):
-            continue
-        chosen.append(best)
-        for r in left:
-            both = sets[r["id"]] | sets[best["id"]]
-            near[r["id"]] = max(near[r["id"]], len(sets[r["id"]] & sets[best["id"]]) / len(both) if both else 0.0)
-    return rows.sparkSession.createDataFrame([(r["id"], i) for i, r in enumerate(chosen, 1)], f"id {dict(rows.dtypes)['id']}, position int")
+    spark, schema = population.sparkSession, population.schema
+    now = [r.asDict(True) for r in with_fitness(population).orderBy(F.desc("fitness"), "id").limit(size).collect()]
+    history = [now]
+    for g in range(1, generations + 1):
+        elites = now[: max(1, int(size * elite))]
+        frame = spark.createDataFrame([{f.name: r.get(f.name) for f in schema.fields} for r in now], schema)
+        children = [r.asDict(True) for r in mutated(frame, g).withColumn("id", stable_id("cand", "id", "operator", F.lit(g))).orderBy(draw(g, "id"), "id").collect()]
+        next_ = list(elites)
+        for child in children:
+            if len(next_) < size and not is_duplicate(child, next_):
+                next_.append(child)
+        frame = spark.createDataFrame([{f.name: r.get(f.name) for f in schema.fields} for r in next_], schema)
+        now = [r.asDict(True) for r in with_fitness(frame).orderBy(F.desc("fitness"), "id").collect()]
+        history.append(now)
+    return history
+
+
+def reviewed(rows: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
+    """Adds impossibility_risk by keywords in the evidence (0, 0.7, 1) and the review label that it, or evidence from one paper, overrides."""
+    text = F.lower("evidence_text")
+    hits = F.lit(0)
+    for k in keywords:
+        hits = hits + F.contains(text, F.lit(k)).cast("int")
+    risk = F.when(hits >= 2, 1.0).when(hits == 1, 0.7).otherwise(0.0)
+    label = F.when(F.col("impossibility_risk") >= 0.7, "DROP_IMPOSSIBLE").when((F.size("supporting_papers") <= 1) & (F.col("review_label") == "KEEP"), "DROP_TOO_SINGLE_PAPER_FRAGILE").otherwise(F.col("review_label"))
+    return rows.withColumn("impossibility_risk", risk).withColumn("review_label", label)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import bounded, stable_id
+from lacuna.operators.selection import soft_capped  # noqa: F401
 
 #: Motifs whose hits carry text spans.
 WITH_SPANS = (
@@ -129,30 +130,3 @@ def quality_label(coherence: Column, specificity: Column, soup: Column, recommen
         .when((coherence >= 0.5) & rec.isin("KEEP", "MAYBE"), "USABLE")
         .otherwise("WEAK")
     )
-
-
-def soft_capped(rows: DataFrame, limit: int = 12, per_source: int = 2, share: float = 0.4) -> DataFrame:
-    """Greedy diverse selection of (id, title, source, kind, label, ni, risk): two of a source, distinct titles, few boundary results.
-
-    Candidates are cut to a bounded number in Spark first: the best per_source * limit rows of a source cannot all be passed over.
-    """
-    rank = F.when(F.col("label") == "STRONG", 0).when(F.col("label") == "MODEST", 1).otherwise(2)
-    ranked = rows.withColumn("rank", rank)
-    keys = ("rank", F.desc("ni"), "risk", "id")
-    best = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy(*keys))).where(F.col("_k") <= per_source * limit)
-    pool = [r.asDict() for r in best.orderBy(*keys).limit(40 * limit).collect()]
-    chosen: list[dict] = []
-    titles: set[str] = set()
-    while len(chosen) < limit:
-        free = [r for r in pool if r["title"].lower() not in titles and sum(c["source"] == r["source"] for c in chosen) < per_source]
-        if not free:
-            break
-        pick, used = free[0], sum(c["kind"] == "impossibility_boundary" for c in chosen)
-        if pick["kind"] == "impossibility_boundary" and used + 1 > int(share * (len(chosen) + 1)):
-            other = [r for r in free if r["kind"] != "impossibility_boundary" and r["rank"] <= pick["rank"] and r["ni"] >= pick["ni"] - 0.10]
-            pick = other[0] if other else pick
-        chosen.append(pick)
-        titles.add(pick["title"].lower())
-        pool.remove(pick)
-    chosen.sort(key=lambda r: (r["rank"], -r["ni"], r["risk"], r["id"]))
-    return rows.sparkSession.createDataFrame([(r["id"], i) for i, r in enumerate(chosen, 1)], f"id {dict(rows.dtypes)['id']}, position int")
