@@ -10,8 +10,11 @@ significant digits and drops a suffix as soon as its group lies in one document:
   differ are split by (digit, place in the window), then eight bytes at a time through the whole window, and every equal group yields its smallest document.
 
 A window of a document with a larger id than its group's smallest is repeated; the bytes under repeated windows go.  What hashes decide
-is only which rows meet, never that windows are equal.  Rows travel as one binary value for each pair of task and target,
-merged as far as the task sees.
+is only which rows meet, never that windows are equal.  Rows travel as one binary value for each pair of task and target.
+
+Both passes combine before they shuffle, so a digit or passage that a large share of documents has costs its part a few rows for each task and not a
+row for each document: a task that sees a digit in two documents sends two of its rows as witnesses and the others straight back to their
+documents; a task that sees equal rows sends the smallest document's and knows that the others are repeated.
 
 Defined cases: null text counts as empty; texts under ``window`` bytes stay whole; matches never cross documents; rows repeating a
 doc_id are one document for the comparison (never each other's source) and are cut each by itself; rows with a null doc_id stay whole and are no source;
@@ -97,21 +100,32 @@ def _gather(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=k) for i, k in enumerate(kinds)]
 
 
+def _ends(edges: np.ndarray, n: int) -> np.ndarray:
+    """Where the groups end that begin at ``edges``."""
+    return np.append(edges[1:], n) if len(edges) else edges
+
+
 def _dealt(target: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(target, binary value) for every target that has rows; rows of one target keep their order."""
     order = np.argsort(target, kind="stable")
     target = target[order]
     edges = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if len(target) else np.zeros(0, dtype=int)
-    for a, b in zip(edges, np.append(edges[1:], len(target)), strict=True):
+    for a, b in zip(edges, _ends(edges, len(target)), strict=True):
         at = order[a:b]
         yield int(target[a]), _pack(*(x[at] for x in arrays))
 
 
-_BLOBS = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+_BLOBS = pa.schema([("part", pa.int32()), ("decided", pa.bool_()), ("blob", pa.binary())])
 
 
-def _table(rows: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_BLOBS)
+def _table(rows: list[tuple[int, bytes]], decided: list[tuple[int, bytes]] = ()) -> pa.Table:
+    """Rows for the pass that follows, and decided ones, which only pass through it to their documents' part."""
+    both = [*((p, False, b) for p, b in rows), *((p, True, b) for p, b in decided)]
+    return pa.table([pa.array([r[k] for r in both], f.type) for k, f in enumerate(_BLOBS)], schema=_BLOBS)
+
+
+def _blobs(table: pa.Table, decided: bool) -> list[bytes]:
+    return [b for b, d in zip(table.column("blob").to_pylist(), table.column("decided").to_pylist(), strict=True) if d is decided]
 
 
 INSTANCE = ("<u8", "<i8", "<u4", "<u4")  # digit, document, text's crc, place
@@ -128,7 +142,16 @@ def _digits(parts: int, window: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             g, doc, crc, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            out = _table(list(_dealt((g >> np.uint64(40)) % np.uint64(parts), g, doc, crc, place)))
+            order = np.lexsort((doc, g))
+            sorted_g, sorted_doc = g[order], doc[order]
+            edges = _groups(sorted_g)
+            ends = _ends(edges, len(g)) - 1
+            known = np.repeat(sorted_doc[edges] != sorted_doc[ends], ends - edges + 1)
+            known[edges] = known[ends] = False  # the witnesses
+            back = np.zeros(len(g), dtype=bool)
+            back[order] = known  # rows keep their texts' order, in which they compress well
+            rows = _dealt((g[~back] >> np.uint64(40)) % np.uint64(parts), g[~back], doc[~back], crc[~back], place[~back])
+            out = _table(list(rows), list(_dealt(doc[back] % parts, doc[back], crc[back], place[back])))
             held.clear()
             yield from out.to_batches()
 
@@ -157,16 +180,18 @@ def _repeated(docs_parts: int):
     """Digit groups that span documents: their rows' places, dealt by document."""
 
     def run(table: pa.Table) -> pa.Table:
-        g, doc, crc, place = _gather(table.column("blob").to_pylist(), *INSTANCE)
+        g, doc, crc, place = _gather(_blobs(table, False), *INSTANCE)
         order = np.argsort(g, kind="stable")
         g, doc = g[order], doc[order]
         edges = _groups(g)
-        if not len(edges):
-            return _table([])
-        several = np.minimum.reduceat(doc, edges) != np.maximum.reduceat(doc, edges)
-        keep = np.repeat(several, np.diff(np.append(edges, len(g))))
-        doc, at = doc[keep], order[keep]
-        return _table(list(_dealt(doc % docs_parts, doc, crc[at], place[at])))
+        keep = np.zeros(0, dtype=bool)
+        if len(edges):
+            several = np.minimum.reduceat(doc, edges) != np.maximum.reduceat(doc, edges)
+            keep = np.repeat(several, _ends(edges, len(g)) - edges)
+        known = _gather(_blobs(table, True), *PLACES)
+        at = order[keep]
+        doc, crc, place = (np.concatenate(x) for x in zip((doc[keep], crc[at], place[at]), known, strict=True))
+        return _table(list(_dealt(doc % docs_parts, doc, crc, place)))
 
     return run
 
@@ -178,7 +203,7 @@ def _by_text(doc: np.ndarray, crc: np.ndarray, *rest: np.ndarray) -> dict[tuple[
     edges = np.flatnonzero(new)
     return {
         (int(doc[a]), int(crc[a])): tuple(x[order[a:b]] for x in rest)
-        for a, b in zip(edges, np.append(edges[1:], len(doc)), strict=True)
+        for a, b in zip(edges, _ends(edges, len(doc)), strict=True)
     }
 
 
@@ -188,18 +213,28 @@ def _contexts(parts: int, window: int):
     def run(texts: pa.Table, blobs: pa.Table) -> pa.Table:
         wanted = _by_text(*_gather(blobs.column("blob").to_pylist(), *PLACES))
         rows: list[tuple[int, bytes]] = []
+        known: list[tuple[int, bytes]] = []
         by_part: dict[int, tuple[dict, list]] = {}
         size = 0
 
         def flush() -> None:
+            sure = []
             for part, (kinds, found) in by_part.items():
                 keys = list(kinds)
                 inst = np.array(found, dtype=np.int64).reshape(-1, 4)
+                least = np.full(len(keys), np.iinfo(np.int64).max)
+                np.minimum.at(least, inst[:, 0], inst[:, 1])
+                later = inst[:, 1] > least[inst[:, 0]]
+                count = np.array([len(k[2]) - window + 1 for k in keys], dtype=np.int64)
+                sure.append(np.column_stack([inst[later, 1:], count[inst[later, 0]]]))
+                inst = inst[~later]
                 rows.append((part, _pack(
                     np.array([k[0] for k in keys], "<u8"), np.array([k[1] for k in keys], np.uint8),
                     np.array([len(k[2]) - window + 1 for k in keys], np.uint8), np.frombuffer(b"".join(k[2] for k in keys), np.uint8),
                     inst[:, 0].astype("<u4"), inst[:, 1].astype("<i8"), inst[:, 2].astype("<u4"), inst[:, 3].astype("<u4"),
                 )))
+            if sure and len(run := np.concatenate(sure)):
+                known.extend(_dealt(run[:, 0] % parts, run[:, 0].astype("<i8"), *(run[:, k].astype("<u4") for k in (1, 2, 3))))
             by_part.clear()
 
         for i, b in zip(texts.column("doc_id").to_pylist(), texts.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -217,7 +252,7 @@ def _contexts(parts: int, window: int):
                 flush()
                 size = 0
         flush()
-        return _table(rows)
+        return _table(rows, known)
 
     return run
 
@@ -259,7 +294,7 @@ def _decided(docs_parts: int, window: int):
         ids: dict[tuple, int] = {}
         texts: list[bytes] = []
         inst: list[list[np.ndarray]] = []
-        for blob in table.column("blob").to_pylist():
+        for blob in _blobs(table, False):
             digit, off, count, data, k, doc, crc, first = _unpack(blob, *CONTEXT)
             ends = np.cumsum(count.astype(np.int64) + window - 1)
             whole = data.tobytes()
@@ -273,8 +308,9 @@ def _decided(docs_parts: int, window: int):
                 mine[j] = got
                 a = e
             inst.append([mine[k], doc, crc, first])
+        known = _gather(_blobs(table, True), *RUNS)
         if not inst:
-            return _table([])
+            return _table(list(_dealt(known[0] % docs_parts, *known)))
         k, doc, crc, first = (np.concatenate(x) for x in zip(*inst, strict=True))
         digit = np.fromiter((x[0] for x in ids), dtype=np.uint64, count=len(ids))
         off = np.fromiter((x[1] for x in ids), dtype=np.int64, count=len(ids))
@@ -296,7 +332,7 @@ def _decided(docs_parts: int, window: int):
             source[at] = least_documents(group[own[at]] * 256 + place, begin[own[at]] + step[at], source[at], data, window)
         low, high = np.minimum.reduceat(source, base[:-1]), np.maximum.reduceat(source, base[:-1])
         every, none = doc > high[k], doc <= low[k]
-        runs = [(doc[every], crc[every], first[every], count[k[every]])]
+        runs = [tuple(known), (doc[every], crc[every], first[every], count[k[every]])]
         rest = np.flatnonzero(~every & ~none)
         if len(rest):
             n = count[k[rest]]
@@ -353,11 +389,12 @@ def suffix_dedup(docs: DataFrame, window: int = 50, parts: int | None = None, wi
     tables = Tables(spark, "suffix-dedup")
     rows = docs.select("doc_id", "text")
     texts = rows.withColumn("part", F.coalesce(F.pmod("doc_id", F.lit(parts)), F.lit(0)).cast("int"))
-    blobs = "part int, blob binary"
+    blobs = "part int, decided boolean, blob binary"
     instances = rows.mapInArrow(_digits(parts, window), blobs)
-    places = tables.write(instances.groupBy("part").applyInArrow(_repeated(parts), blobs), "places")
-    contexts = texts.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(_contexts(parts, window), blobs)
-    runs = tables.write(contexts.groupBy("part").applyInArrow(_decided(parts, window), blobs), "runs")
+    by = lambda df: df.repartitionById(parts, "part").groupBy("part")  # noqa: E731  # a task for each part
+    places = tables.write(by(instances).applyInArrow(_repeated(parts), blobs), "places")
+    contexts = by(texts).cogroup(by(places)).applyInArrow(_contexts(parts, window), blobs)
+    runs = tables.write(by(contexts).applyInArrow(_decided(parts, window), blobs), "runs")
     tables.drop(places)
     spec = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return texts.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(_cut(window, with_text), spec)
+    return by(texts).cogroup(by(runs)).applyInArrow(_cut(window, with_text), spec)
