@@ -72,10 +72,14 @@ def templates(threshold: float = 0.8) -> list[Template]:
     return out
 
 
+def _parts(text: Column) -> Column:
+    """Words of the whole text, A-Z lower-cased: runs of digits, letters and non-ASCII characters; a separator at either end leaves one empty part there."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
+
+
 def words(text: Column) -> Column:
-    """Words of the whole text: A-Z lower-cased, runs of digits, letters and non-ASCII characters."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
-    # a separator at either end leaves one empty part there
+    """The parts without empty ones.  The split stands in it several times, which only code that shares subexpressions evaluates once."""
+    parts = _parts(text)
     return F.slice(
         parts,
         F.when(parts[0] == "", 2).otherwise(1),
@@ -85,7 +89,7 @@ def words(text: Column) -> Column:
 
 def token_frequencies(docs: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
     """How often each token stands in the texts; the result has a row for each token at most."""
-    found = docs.select(F.explode(words(F.col("text"))).alias("token")).where(F.col("token").isin(*tokens))
+    found = docs.select(F.explode(_parts(F.col("text"))).alias("token")).where(F.col("token").isin(*tokens))
     return {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}
 
 
