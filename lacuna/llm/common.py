@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.scratch import remove, shared_dir
+
 #: Groups holding at least 1/HOT_SHARE of all rows are hot; there are HOT_SHARE of them at most,
 #: which bounds every table of hot groups that is broadcast.
 HOT_SHARE = 1000
@@ -18,36 +19,16 @@ HOT_SHARE = 1000
 #: Spark's setting for removing an execution's shuffle files at its end.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_own_dir: str | None = None
 _owned: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    A temporary folder is used only where that setting is absent (local mode, tests).
-    """
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="lacuna-")
-    return _own_dir
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _clean_up() -> None:
     for path, spark in list(_owned.items()):
         try:
-            _remove(spark, path)
+            remove(spark, path)
         except Exception:  # the session may have ended first
             pass
+        _owned.pop(path, None)
 
 
 atexit.register(_clean_up)
@@ -56,7 +37,7 @@ atexit.register(_clean_up)
 class Tables:
     """Intermediate Parquet tables in the shared folder, cutting lineage so that lost executors cost a re-read.
 
-    Superseded tables are dropped with :meth:`drop`; the rest go when the driver ends.
+    Superseded tables are dropped with :meth:`drop`; the rest go when the driver ends, as results are read from them after the operator has returned.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -81,16 +62,20 @@ class Tables:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_lacuna_path", None)
         if path:
-            _remove(self.spark, path)
+            remove(self.spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds what one Arrow batch holds, as texts may be long."""
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 32 << 20) -> None:
+    """Bounds what one Arrow batch holds by rows and by bytes, as texts may be long.
+
+    The settings belong to the session and stay: results are computed after the operator has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def crc_mod(doc_id: Column | str, k: int) -> Column:
