@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import count_phrases, dot, matched_phrases, squash, words
+from lacuna.scratch import kept
 
 
 @dataclass
@@ -74,36 +78,40 @@ def facet_scores(rows: DataFrame, include: list[str], keywords: list[str], exclu
     return rows.withColumns({"reason": reason, "score": F.when(reason.isNull(), F.round(score, 4)).otherwise(-999.0)})
 
 
-def _is(value: str):
-    return lambda x: x == value
+def bm25(chunks: DataFrame, query: str, k: int, per_paper: int = 3, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Best k chunks (paper_id, chunk_id, text) for the query's words of three letters and digits or more, at most ``per_paper`` of a paper; scores over 0 only.
 
-
-def bm25(chunks: DataFrame, query: str, k: int, per_paper: int = 3, k1: float = 1.5, b: float = 0.75, pattern: str = "[a-z0-9]{3,}") -> DataFrame:
-    """Best k chunks (paper_id, chunk_id, text) for the query, at most ``per_paper`` of a paper; scores over 0 only.
-
-    Chunks shrink to the counts of the query's terms before anything is shuffled; document frequencies are one row for each term.
+    Chunks become counts of the query's terms in one pass over the texts; the counts are written once and serve the statistics and the scores.
+    Without any match the first k chunks come with falling scores.
     """
-    import re
-
-    asked = re.findall(pattern, query.lower())
-    if not asked:
-        return chunks.select("paper_id", "chunk_id").withColumn("score", F.lit(0.0)).limit(0)
+    asked = re.findall("[a-z0-9]{3,}", query.lower())
     terms = {t: asked.count(t) for t in asked}
-    found = F.regexp_extract_all(F.lower("text"), F.lit(f"({pattern})"), F.lit(1))
-    tf = {t: F.size(F.filter("w", _is(t))) for t in terms}
-    rows = chunks.select("paper_id", "chunk_id", found.alias("w")).select("paper_id", "chunk_id", F.size("w").alias("dl"), *[v.alias(f"tf{i}") for i, v in enumerate(tf.values())])
+    low = F.lower("text")
+    tf = {t: F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")) for t in terms}
+    rows = kept(chunks.select("paper_id", "chunk_id", F.regexp_count(low, F.lit("[a-z0-9]{3,}")).alias("dl"), *[v.alias(f"tf{i}") for i, v in enumerate(tf.values())]), "bm25")
+    if not terms:
+        return _in_order(rows, k)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i, q in enumerate(terms.values()):
         t, d = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5))
         score = score + q * idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1.0))))
-    scored = rows.crossJoin(F.broadcast(stats)).withColumn("score", score).where("score > 0")  # stats: one row
+    hits = rows.where(functools.reduce(operator.or_, [F.col(f"tf{i}") > 0 for i in range(len(terms))]))
+    scored = hits.crossJoin(F.broadcast(stats)).withColumn("score", score).where("score > 0")  # stats: one row
+    if not scored.limit(1).count():
+        return _in_order(rows, k)
     by = Window.partitionBy("paper_id").orderBy(F.desc("score"), "chunk_id")
     first = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_paper)
     return first.select("paper_id", "chunk_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "paper_id", "chunk_id").limit(k)
 
 
+def _in_order(rows: DataFrame, k: int) -> DataFrame:
+    """The first k chunks with scores 1, 1/2, 1/3 ..."""
+    first = rows.select("paper_id", "chunk_id").orderBy("paper_id", "chunk_id").limit(k)
+    return first.withColumn("score", F.round(1.0 / F.row_number().over(Window.orderBy("paper_id", "chunk_id")), 6))  # k rows
+
+
 def keyphrases(texts: DataFrame, k: int, stops: list[str]) -> DataFrame:
     """Most frequent bigrams, then unigrams, of lower-case words of four letters or more that are no stop words."""
     w = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)), lambda x: ~x.isin(*stops))
@@ -132,14 +140,13 @@ def chunks(texts: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
 
 def sections(texts: DataFrame, pattern: str = r"^(abstract|introduction|related work|method[s]?|experiments?|results|discussion|limitations?|conclusions?)(?:[^\p{L}\p{N}_]|$)") -> DataFrame:
     """First line (id, heading, start) of every kind of heading, with its character offset; headings have 80 characters at most."""
-    lines = F.split("text", "\n")
-    starts = F.aggregate(
-        lines, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line:string,start:int>>").alias("out")),
-        lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.array_append(s["out"], F.struct(x.alias("line"), s["at"].alias("start"))).alias("out")),
-    )["out"]
-    head = F.regexp_extract(F.lower(F.trim("l.line")), pattern, 1)
-    rows = texts.select("id", F.explode(starts).alias("l")).select("id", head.alias("heading"), F.col("l.start").alias("start"), F.length(F.trim("l.line")).alias("n"))
-    return rows.where("heading <> '' AND n <= 80").groupBy("id", "heading").agg(F.min("start").cast("long").alias("start"))
+    lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    head = F.regexp_extract(F.lower(F.trim("line")), pattern, 1)
+    found = lines.select("id", "i", head.alias("heading"), F.length(F.trim("line")).alias("n")).where("heading <> '' AND n <= 80")
+    first = found.groupBy("id", "heading").agg(F.min("i").alias("i"))
+    # the offset of a line is the length of what stands before it, read from the text itself
+    start = F.length(F.array_join(F.slice(F.split("text", "\n"), 1, F.col("i")), "\n")) + F.when(F.col("i") > 0, 1).otherwise(0)
+    return first.join(texts, "id").select("id", "heading", start.cast("long").alias("start"))
 
 
 def snippets(texts: DataFrame, terms: list[str], window: int = 600) -> DataFrame:

@@ -14,29 +14,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import jaccard
-from lacuna.scratch import shared_dir
+from lacuna.scratch import kept, shared_dir
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of rows (id, tokens) with a < b; equal sets are one class, whose least id stands for it.
 
-    Rows of one class are linked to that id instead of to one another, so links stay linear in a class's size.
+    Rows of one class are linked to that id instead of to one another, so links stay linear in a class's size.  Tokens are compared as 64-bit hashes; the sets are
+    read once and written.
     """
-    rows = sets.select("id", F.sort_array(F.array_distinct("tokens")).alias("tokens")).where(F.size("tokens") > 0)
-    classes = rows.groupBy("tokens").agg(F.min("id").alias("id"))
-    copies = rows.join(classes.withColumnRenamed("id", "a"), "tokens").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    df = classes.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    # tokens of one set only cannot meet another
-    marked = classes.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(df, "t")
-    ordered = marked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    prefix = ordered.select("id", "n", F.explode(F.slice("o", 1, keep)).alias("p")).where("p.df > 1").select("id", "n", F.col("p.t").alias("t"))
+    hashed = F.array_sort(F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)))
+    rows = kept(sets.select("id", hashed.alias("t")).where(F.size("tokens") > 0).withColumns({"n": F.size("t"), "digest": F.sha2(F.array_join(F.transform("t", lambda x: x.cast("string")), ","), 256)}), "sets")
+    least = rows.groupBy("digest").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("copies"))
+    copies = rows.select("id", "digest").join(least.where("copies > 1"), "digest").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    classes = kept(rows.join(least.select(F.col("a").alias("id")), "id", "left_semi").select("id", "n", "t"), "classes")
+    each = classes.select("id", "n", F.explode("t").alias("t"))
+    df = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")  # tokens of one set only cannot meet another
+    # a set's rarest tokens: those of one set only come first, and as many tokens of the prefix are spent on them
+    ordered = each.join(df, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
+    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("o"))
+    prefix = kept(ordered.where(keep > 0).select("id", "n", F.explode(F.slice("o", 1, keep)).alias("p")).select("id", "n", F.col("p.t").alias("t")), "prefix")
     a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
     fits = (F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - 1e-9)) & (F.col("a") < F.col("b"))
     pairs = a.join(b, "t").where(fits).select("a", "b").distinct()
-    full = classes.select("id", "tokens")
-    checked = pairs.join(full.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    near = checked.select("a", "b", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+    side = lambda k, v: classes.select(F.col("id").alias(k), F.col("t").alias(v))
+    near = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
     return near.unionByName(copies)
 
 

@@ -163,13 +163,15 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = table(spark, sf_dir, "benchmark").where(F.length("text") >= 15).select("item_id", vectorised.span_form("text").alias("span")).where("span <> ''")
     spans = spans.withColumn("w", F.split("span", " "))
-    keys = spans.where(F.size("w") >= 6).select("item_id", "span", four(F.col("w"), F.lit(1)).alias("k"))
+    keys = spans.where(F.size("w") >= 6).select("item_id", four(F.col("w"), F.lit(1)).alias("k"))
     d = docs.select("doc_id", F.split(vectorised.span_form("text"), " ").alias("w")).where(F.size("w") >= 4)
     places = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: four(F.col("w"), i)))).alias("k"))
-    met = places.join(keys, "k").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "span")).alias("spans"))
-    long = docs.join(met, "doc_id").select("doc_id", "spans", vectorised.span_form("text").alias("t")).select("doc_id", "t", F.explode("spans").alias("s"))
-    short = docs.select("doc_id", vectorised.span_form("text").alias("t")).join(spans.where(F.size("w") < 6), F.contains("t", "span"))
-    return long.where(F.contains("t", "s.span")).select("s.item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
+    met = places.join(F.broadcast(keys.select("item_id", "k")) if keys.count() <= 100_000 else keys.select("item_id", "k"), "k").select("item_id", "doc_id").distinct()
+    # texts and spans join the pairs that met only
+    hits = met.join(docs, "doc_id").join(spans.select("item_id", "span"), "item_id").select("item_id", "doc_id", "span", vectorised.span_form("text").alias("t"))
+    few = spans.where(F.size("w") < 6).select("item_id", "span")
+    short = docs.select("doc_id", vectorised.span_form("text").alias("t")).join(few, F.contains("t", "span"))
+    return hits.where(F.contains("t", "span")).select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
