@@ -114,11 +114,11 @@ def truncated(x: Column | str, n: int) -> Column:
     return F.when(F.length(t) > n, F.concat(F.rtrim(F.substring(t, 1, n - 3)), F.lit("..."))).otherwise(t)
 
 
-def replaced_words(x: Column | str, table: dict[str, str]) -> Column:
-    """Whole-word replacements whatever the case, in the table's order."""
+def replaced_words(x: Column | str, table: dict[str, str], inner: str = r"A-Za-z0-9_\-") -> Column:
+    """Whole-word replacements whatever the case, in the table's order; words end where no ``inner`` character follows."""
     out = _c(x)
     for word, by in table.items():
-        out = F.regexp_replace(out, rf"(?i)\b{re.escape(word)}\b", by)
+        out = F.regexp_replace(out, rf"(?i)(?<![{inner}]){re.escape(word)}(?![{inner}])", by)
     return out
 
 

@@ -184,3 +184,12 @@ def audit(records: DataFrame, families: DataFrame) -> DataFrame:
     one = own.crossJoin(F.broadcast(ids))  # a row each
     passed = (F.col("families_missing_formalization") == 0) & (F.col("invented_families") == 0) & (F.col("invalid_variables") == 0)
     return one.withColumn("status", F.when(passed, "PASS").otherwise("FAILED"))
+
+
+def families_with(families: DataFrame, direct: DataFrame, problems: DataFrame) -> DataFrame:
+    """Families (family_id, representative, members) with their representative's row, their members' rows and their formal problem; what is missing is null or empty."""
+    row = F.struct(*direct.columns)
+    of = families.select("family_id", F.explode(F.array_distinct("members")).alias("formulation_id")).join(direct, "formulation_id").groupBy("family_id").agg(F.collect_list(row).alias("member_rows"))
+    named = direct.select(F.col("formulation_id").alias("representative"), row.alias("representative_row"))
+    out = families.join(named, "representative", "left").join(of, "family_id", "left").join(problems, "family_id", "left")
+    return out.withColumn("member_rows", F.coalesce("member_rows", F.array().cast(of.schema["member_rows"].dataType)))

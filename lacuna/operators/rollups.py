@@ -215,3 +215,9 @@ def safe_context(x: Column | str) -> Column:
 def packet_counts(rows: DataFrame) -> DataFrame:
     """One row: for every field how many candidates provide it."""
     return rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(provided(f)).alias(f) for f in FIELDS if f not in ("candidate_id", "domain")])
+
+
+def progress(rows: DataFrame) -> DataFrame:
+    """(generation, ok, fitness) to calls, successes, failures and the best fitness of every generation."""
+    ok = F.coalesce("ok", F.lit(False))
+    return rows.groupBy("generation").agg(F.count(F.lit(1)).alias("calls"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.round(F.max("fitness"), 6).alias("best_fitness"))

@@ -198,6 +198,14 @@ _CHUNKS = f"""ch AS (SELECT id, c AS chunk_id, substr(t, c * 1050 + 1, 1200) AS
 _FORM = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents({0}), '[^\x00-\x7F]', '', 'g'), '-\s+', '', 'g'), '\s+', ' ', 'g')))"
 _ASKED = ["licensed", "under", "the", "apache", "license", "version"]
 
+def _whole(x: str, word: str, by: str) -> str:
+    """Whole words replaced; twice, for words that share the character between them."""
+    one = lambda y: f"regexp_replace({y}, '(?i)(^|[^A-Za-z0-9_\\-]){word}($|[^A-Za-z0-9_\\-])', '\\1{by}\\2', 'g')"
+    return one(one(x))
+
+
+_SANITISED = _whole(_whole(_whole("text", "apache", "SYSTEM"), "license", "METHOD"), "token", "ITEM")
+
 ORACLE_SQL = {
     "relevance_score": f"""WITH {_REC}, s AS (SELECT *, {_n('title', POSITIVE)} AS pt, {' + '.join(f"CAST(contains(lower(abstract), '{p}') AND NOT contains(lower(title), '{p}') AS INTEGER)" for p in POSITIVE)} AS pa,
         {_n('title', ANCHOR)} AS ta, {_n('abstract', ANCHOR)} AS aa, {_n('title', NEGATIVE)} AS nt, {_n('abstract', NEGATIVE)} AS na, CAST(lang = 'en' AS INTEGER) AS good, CAST(lang = 'de' AS INTEGER) AS off FROM rec),
@@ -260,7 +268,7 @@ ORACLE_SQL = {
         UNION ALL SELECT doc_id, 'email', len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) FROM documents
         UNION ALL SELECT doc_id, 'private_path', len(regexp_extract_all(text, '/(?:home|Users)/[A-Za-z0-9_.-]+')) FROM documents
         UNION ALL SELECT doc_id, 'long_hex', len(regexp_extract_all(text, '\b[0-9a-f]{32,}\b')) FROM documents) SELECT id, kind, n FROM f WHERE n > 0""",
-    "blind_sanitize": r"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bapache\b', 'SYSTEM', 'g'), '(?i)\blicense\b', 'METHOD', 'g'), '(?i)\btoken\b', 'ITEM', 'g') AS x FROM documents)
+    "blind_sanitize": f"""WITH c AS (SELECT doc_id, text, {_SANITISED} AS x FROM documents)
         SELECT doc_id, sha1(x) AS digest, x <> text AS changed FROM c""",
     "seed_alignment": f"""WITH s AS (SELECT DISTINCT unnest({_TOK.format('text', 3)}) AS t FROM benchmark), d AS (SELECT doc_id, unnest({_TOK.format('text', 3)}) AS t FROM documents)
         SELECT doc_id, round(count(*) FILTER (WHERE t IN (SELECT t FROM s)) / count(*), 6) AS share FROM d GROUP BY doc_id""",

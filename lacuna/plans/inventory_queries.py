@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.operators import inventory, models
+from lacuna.functions import text as T
+from lacuna.operators import formal, inventory, models, rollups
 from lacuna.plans.extraction_queries import _pick, _sql_list, _sql_pick
 from lacuna.plans.views import GRAPH_SQL, evidence_graph, table
+from lacuna.sources import runs
 
 _MOTIFS = ["shared_failure_condition", "assumption_mismatch", "sparse_evaluation", "repeated_unaddressed_limitation", "unrealistic_assumption", "theory_practice_gap", "shared_unrealistic_assumption", "missing_stress_test", "other"]
 _CUES = ["It is impossible: a lower bound rules it out", "an intractable case", "nothing", "NP-hard and unavoidable"]
@@ -94,6 +96,53 @@ def _two(prompt: str) -> str:
     return '{"classifications": [{"gap_index": 1, "class": "Trivial"}, {"gap_index": 2, "class": "odd"}]}'
 
 
+def tokenisers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of a text's token sets by every tokeniser of the engine."""
+    t = F.col("text")
+    plain = F.array_except(T.tokens(t, "[a-z0-9]{2,}"), F.array(*[F.lit(w) for w in inventory.PROFILE_STOPS]))
+    hyphened = T.tokens(t, r"[a-z][a-z\-]+")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(T.tokens(t)).alias("three"), F.size(plain).alias("content"), F.size(F.split(F.trim(F.regexp_replace(t, r"[ \n\t]+", " ")), " ")).alias("spaced"), F.size(hyphened).alias("hyphened"),
+        F.size(T.tokens(t, "[a-z]{5,}")).alias("five"), (F.size(F.array_except(T.tokens(F.lit("the file is code")), T.tokens(t))) == 0).alias("holds"),
+    )
+
+
+def min_max_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account balances between 0 and 1 over the whole table; the bounds are scalar subqueries."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("x"))
+    low, high = rows.agg(F.min("x")).scalar(), rows.agg(F.max("x")).scalar()
+    return rows.select("c_custkey", F.round(F.when(high > low, (F.col("x") - low) / (high - low)).otherwise(F.lit(1.0)), 9).alias("score"))
+
+
+def verified_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as gaps that their line items verify and do not know as solved."""
+    seen = table(spark, sf_dir, "lineitem").where("l_linenumber > 3").select(F.col("l_orderkey").alias("gap_id"), F.when(F.col("l_returnflag") == "R", "known_solved").otherwise("novel").alias("novelty_class"))
+    gaps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("gap_id"), "o_orderpriority")
+    return runs.verified_gaps(gaps, seen).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+def family_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as families with their representative's and their problem's fields; families without either stay."""
+    families = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("family_id"), (F.col("p_partkey") % 100).alias("representative"), F.array(F.col("p_partkey") % 7, F.col("p_partkey") % 300).alias("members"))
+    direct = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("formulation_id"), "s_name")
+    problems = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").groupBy(F.col("l_partkey").alias("family_id")).agg(F.count(F.lit(1)).alias("problems"))
+    return formal.families_with(families, direct, problems).select("family_id", F.col("representative_row.s_name").alias("representative"), F.size("member_rows").alias("members"), F.coalesce("problems", F.lit(0)).alias("problems"))
+
+
+def titled_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their order's priority as title, the id where there is none."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("paper_id"), F.col("l_linenumber").alias("n"))
+    manifest = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("title"))
+    titled = rows.join(manifest, "paper_id", "left").withColumn("title", F.coalesce("title", F.col("paper_id").cast("string")))
+    return titled.groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("lines"))
+
+
+def generation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as calls and hypotheses of generations (months): calls, successful ones, failures, best fitness."""
+    rows = table(spark, sf_dir, "orders").select(F.month("o_orderdate").cast("long").alias("generation"), (F.col("o_orderstatus") != "P").alias("ok"), (F.col("o_totalprice") / 1000).cast("double").alias("fitness"))
+    return rollups.progress(rows)
+
+
 # --- DuckDB ---
 
 _ARMS = {
@@ -135,11 +184,22 @@ ORACLE_SQL = {
           || CASE WHEN k % 2 = 0 THEN 'A possible approach is suggested by the mechanism: why.' ELSE 'A possible approach would formalize the gap and test it against the supporting evidence.' END || CASE WHEN k % 5 = 0 THEN ' The remaining open scope is: rest.' ELSE '' END
           || ' A successful outcome would clarify when the underlying assumptions hold and provide a concrete, testable account of the gap.' AS t FROM v)
         SELECT k AS doc_id, sha1(CASE WHEN k % 3 = 1 THEN 'A plan.' WHEN len(string_split(t, ' ')) < 100 THEN t || ' This project would investigate the conditions, evidence, and falsifiable predictions needed to turn the observed gap into a well-posed research problem.' ELSE t END) AS digest FROM t""",
+    "tokenisers": f"""WITH t AS (SELECT doc_id, text, lower(text) AS x, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS three FROM documents)
+        SELECT doc_id, len(three) AS three, len(list_filter(list_distinct(regexp_extract_all(x, '[a-z0-9]{{2,}}')), lambda w: NOT list_contains({_PSTOP}, w))) AS content, len(string_split(trim(regexp_replace(text, '[ \\n\\t]+', ' ', 'g')), ' ')) AS spaced,
+        len(list_distinct(regexp_extract_all(x, '[a-z][a-z\\-]+'))) AS hyphened, len(list_distinct(regexp_extract_all(x, '[a-z]{{5,}}'))) AS five, list_has_all(three, ['the', 'file', 'code']) AS holds FROM t""",
+    "min_max_scores": "SELECT c_custkey, round((c_acctbal::DOUBLE - min(c_acctbal::DOUBLE) OVER ()) / (max(c_acctbal::DOUBLE) OVER () - min(c_acctbal::DOUBLE) OVER ()), 9) AS score FROM customer",
+    "verified_gaps": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3 AND l_returnflag <> 'R') GROUP BY 1",
+    "family_problems": """WITH m AS (SELECT DISTINCT p_partkey, unnest([p_partkey % 7, p_partkey % 300]) AS s FROM part), k AS (SELECT p_partkey, count(*) AS n FROM m JOIN supplier ON s_suppkey = s GROUP BY 1)
+        SELECT p.p_partkey AS family_id, s_name AS representative, coalesce(k.n, 0)::INTEGER AS members, (SELECT count(*) FROM lineitem WHERE l_linenumber = 2 AND l_partkey = p.p_partkey) AS problems
+        FROM part p LEFT JOIN supplier ON s_suppkey = p.p_partkey % 100 LEFT JOIN k ON k.p_partkey = p.p_partkey""",
+    "titled_extractions": """SELECT coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END, CAST(l_partkey AS VARCHAR)) AS title, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem LEFT JOIN orders ON o_orderkey = l_partkey GROUP BY 1""",
+    "generation_progress": """SELECT month(o_orderdate) AS generation, count(*) AS calls, count(*) FILTER (WHERE o_orderstatus <> 'P') AS succeeded, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed, round(max(o_totalprice::DOUBLE / 1000), 6) AS best_fitness FROM orders GROUP BY 1""",
 }
 
 QUERIES = {
     f.__name__: f
     for f in (
-        axis_labels, axis_comparators, axis_words, profile_phrases, paper_pool, role_words, commonest_author, mechanisms, viability_labels, tuple_overview, proposal_abstracts, novelty_batches,
+        axis_labels, axis_comparators, axis_words, profile_phrases, paper_pool, role_words, commonest_author, mechanisms, viability_labels, tuple_overview, proposal_abstracts, novelty_batches, tokenisers, min_max_scores,
+        verified_gaps, family_problems, titled_extractions, generation_progress,
     )
 }
