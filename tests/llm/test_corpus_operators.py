@@ -344,7 +344,7 @@ def test_quality(spark):
 
 
 def brute_pieces(known, s):
-    """Best segmentation, longest last piece first among equals, without units, chunks or the library."""
+    """Best segmentation of a unigram model, longest last piece first among equals, without units or chunks."""
     best, start = [0] + [None] * len(s), [0] * (len(s) + 1)
     for p in range(1, len(s) + 1):
         for q in range(max(0, p - known.longest), p):
@@ -355,27 +355,55 @@ def brute_pieces(known, s):
     while p:
         cuts.append((start[p], p))
         p = start[p]
-    return known.spell(s, cuts[::-1])[0], best[-1]
+    return list(known.spell([s[a:b] for a, b in cuts[::-1]])), best[-1]
+
+
+HARD = ["日本 naïve  run\n\nnew\tline", "q" * 700, "ab " * 300, "▁marks ▁", "the  of   and    a" * 20, "aaaa" * 50 + "bbbb", "🎉🎉x🎉  ", "   ", "undschtzzuein,überber" * 30, " ".join(["intionan"] * 40) + "\r\n"]
 
 
 def test_sentence_pieces(spark, texts):
+    """Ids are those of the model's own library, whatever the chunks."""
     import public_tokenizers
+    import sentencepiece
 
-    known = sentence_pieces.pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    rows = [*texts, "日本 naïve  run\n\nnew\tline", "q" * 700, "ab " * 300, "▁marks ▁", "the  of   and    a" * 20]
-    for chunk in (64, 1 << 15):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, known = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.pieces(path)
+    rows = [*texts, *HARD]
+    for chunk in (64, 97, 1 << 15):
         got = by_id(sentence_pieces.sentence_pieces(frame(spark, rows), chunk=chunk))
         for i, t in enumerate(rows):
-            ids, score = brute_pieces(known, sentence_pieces.MARK + t.replace(" ", sentence_pieces.MARK)) if t else ([], 0)
+            ids = own.encode(t or "")
+            score = sum(own.get_score(x) for x in ids if not own.is_byte(x)) + known.unknown * sum(c not in known.ids for c in (t or "").replace(" ", "▁"))
             assert (got[i].n_pieces, got[i].score, got[i].ids_hash) == (len(ids), score, sentence_pieces._signed(sentence_pieces.digest(ids))), (chunk, t)
             assert got[i].round_trip == (sentence_pieces.MARK not in (t or ""))
     assert sentence_pieces.sentence_pieces(frame(spark, [])).count() == 0
     plain = [t or "" for t in rows if sentence_pieces.MARK not in (t or "")]
     docs = frame(spark, plain)
+    ids = by_id(sentence_pieces.encode(docs))
+    assert all(ids[i].ids == own.encode(t) for i, t in enumerate(plain))
     back = by_id(sentence_pieces.decode(sentence_pieces.encode(docs)))
     assert [back[i].text for i in range(len(plain))] == plain
 
 
+def test_unigram_pieces(spark, texts, tmp_path):
+    import public_tokenizers
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        m.ParseFromString(f.read())
+    m.trainer_spec.model_type = sentence_pieces.UNIGRAM
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    known, rows = sentence_pieces.pieces(path), [*texts, *HARD]
+    for chunk in (64, 1 << 15):
+        got = by_id(sentence_pieces.sentence_pieces(frame(spark, rows), path, chunk))
+        for i, t in enumerate(rows):
+            ids, score = brute_pieces(known, sentence_pieces.MARK + t.replace(" ", sentence_pieces.MARK)) if t else ([], 0)
+            assert (got[i].n_pieces, got[i].score, got[i].ids_hash) == (len(ids), score, sentence_pieces._signed(sentence_pieces.digest(ids))), (chunk, t)
+
+
 def test_max_plus_is_associative():
     r = np.random.default_rng(6)
     a, b, c = (r.integers(-50, 0, (5, 5)) for _ in range(3))
