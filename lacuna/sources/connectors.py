@@ -162,3 +162,34 @@ def searched(spark: SparkSession, search: Search, queries: list[str], limit: int
 
     spark.dataSource.register(Papers)
     return spark.read.format("papers").load()
+
+
+def command(args: list[str], wait: float = 60.0) -> Search:
+    """A search function that runs a local program with the query and the limit as last arguments and reads a JSON list from its output."""
+
+    def search(query: str, limit: int) -> list[dict]:
+        import subprocess
+
+        done = subprocess.run([*args, query, str(limit)], capture_output=True, text=True, timeout=wait, check=True)
+        items = json.loads(done.stdout or "[]")
+        if not isinstance(items, list):
+            raise ValueError("the program's output is no list")
+        return items
+
+    return search
+
+
+def chosen(config: dict, known: dict[str, Search]) -> list[tuple[str, Search]]:
+    """The configuration's backends in its order; without any, all known ones. Unknown names are an error."""
+    names = config.get("backends") or list(known)
+    missing = [n for n in names if n not in known]
+    if missing:
+        raise ValueError(f"unknown backends: {', '.join(missing)}")
+    return [(n, known[n]) for n in dict.fromkeys(names)]
+
+
+def first_seen(spark: SparkSession, search: Search, queries: list[str], limit: int, key: str) -> DataFrame:
+    """Items of several queries, every key once, with the first query that found it."""
+    rank = F.array_position(F.array(*[F.lit(q) for q in queries]), F.col("query"))
+    found = searched(spark, search, queries, limit).where("error IS NULL").withColumn("key", F.get_json_object("body", f"$.{key}"))
+    return found.where("key IS NOT NULL").groupBy("key").agg(F.min_by(F.struct("body", "query"), rank).alias("r")).select("key", "r.*")

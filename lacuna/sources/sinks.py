@@ -97,3 +97,26 @@ def latex(rows: list[dict], columns: list[str], caption: str) -> str:
     body = [" & ".join(safe(r.get(c, "")) for c in columns) + r" \\" for r in rows]
     head = " & ".join(map(safe, columns)) + r" \\"
     return "\n".join([r"\begin{table}", rf"\caption{{{safe(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(columns)}}}", head, r"\hline", *body, r"\end{tabular}", r"\end{table}"])
+
+
+def generation(population: DataFrame, number: int, path: str) -> None:
+    """A population as the snapshot of one generation; a generation written again replaces only itself."""
+    rows = population.withColumn("generation", F.lit(number))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("generation").parquet(path)
+
+
+def events(rows: DataFrame, path: str) -> None:
+    """Appends events (type, payload columns) with the time of writing."""
+    payload = F.to_json(F.struct(*[c for c in rows.columns if c != "type"])) if len(rows.columns) > 1 else F.lit("{}")
+    rows.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("at"), "type", payload.alias("payload")).write.mode("append").json(path)
+
+
+def failures(log: DataFrame) -> DataFrame:
+    """The failures among logged events."""
+    return log.where("type = 'failure'")
+
+
+def report_rows(rows: DataFrame, always: list[str], optional: list[str]) -> DataFrame:
+    """A report's rows: the columns it always has (null where missing), optional ones where there are any, nested values as JSON."""
+    first = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in always]
+    return flat(rows.select(*first, *[c for c in optional if c in rows.columns]))
