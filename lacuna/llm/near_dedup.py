@@ -42,6 +42,8 @@ BROADCAST_IDS = 1_000_000
 STRETCHES = 16
 #: Rows of a bucket, and shingles of their sets, on either side of one block.
 MEET, MEET_SHINGLES = 512, 1 << 20
+#: Pairs of a block that are compared at once: 6 MB.
+COMPARED = 1 << 13
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -192,12 +194,17 @@ def _admitted(a: _Side, b: _Side, percent: int) -> tuple[np.ndarray, np.ndarray,
     both = np.minimum(a.most[:, None], b.most[None, :])
     fits = (a.component[:, None] != b.component[None, :]) & (both * 100 >= (a.n[:, None] + b.n[None, :] - both) * percent)
     fits &= (b.component == b.main)[None, :] | (a.rep[:, None] < b.rep[None, :])
-    i, j = np.nonzero(fits)
-    like = agreeing(a.sketch[i], b.sketch[j]) if len(i) else np.zeros(0)
-    near = like >= ADMIT - 0.8 + percent / 100
-    i, j, like = i[near], j[near], like[near]
-    first = (a.keys[i] == b.keys[j]).argmax(axis=1) == a.band if len(i) else near[:0]  # in the first of their buckets only
-    return i[first], j[first], like[first]
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    rows, columns = np.nonzero(fits)
+    for at in range(0, len(rows), COMPARED):
+        i, j = rows[at : at + COMPARED], columns[at : at + COMPARED]
+        like = agreeing(a.sketch[i], b.sketch[j])
+        near = like >= ADMIT - 0.8 + percent / 100
+        i, j, like = i[near], j[near], like[near]
+        first = (a.keys[i] == b.keys[j]).argmax(axis=1) == a.band  # in the first of their buckets only
+        found.append((i[first], j[first], like[first]))
+    i, j, like = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j, like
 
 
 def _sides(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[_Side, _Side]]:
