@@ -6,7 +6,8 @@ import sys
 
 import pytest
 
-from lacuna.sources import connectors, html, sinks
+from lacuna.operators import gates
+from lacuna.sources import connectors, html, runs, sinks
 
 
 def test_generations_replace_only_themselves(spark, tmp_path):
@@ -49,3 +50,17 @@ def test_programs_and_backends(spark):
     assert [n for n, _ in connectors.chosen({"backends": ["two", "two"]}, known)] == ["two"] and len(connectors.chosen({}, known)) == 2
     with pytest.raises(ValueError):
         connectors.chosen({"backends": ["three"]}, known)
+
+
+def test_run_documents(spark, tmp_path):
+    run = tmp_path / "run"
+    (run / "verification").mkdir(parents=True)
+    assert runs.read_json(run / "none.json", {"a": 1}) == {"a": 1} and runs.first_existing(str(run), ("x", "y")) is None
+    runs.write_json(f"{run}/verification/verification_summary.json", [{"gap_id": "g1", "label": "A"}, {"id": "g2"}, "odd"])
+    (run / "verification" / f"{gates.AGENTS[0]}_results.jsonl").write_text('{"gap_id": "g1"}\n\n{"gap_id": "g3"}\n')
+    summaries, lines = runs.agent_sources(spark, str(run))
+    assert sorted(r["gap_id"] for r in summaries.collect()) == ["g1", "g2"] and {(r["gap_id"], r["agent"]) for r in lines.collect()} >= {("g1", gates.AGENTS[0]), ("g3", gates.AGENTS[0])}
+    runs.write_manifest(spark.createDataFrame([("p", ["a", "b"])], "paper_id string, authors array<string>"), str(run))
+    assert runs.read_json(run / "papers_manifest.json") == [{"paper_id": "p", "authors": ["a", "b"]}] and runs.first_existing(str(run), ("x", "papers_manifest.json")) == f"{run}/papers_manifest.json"
+    assert spark.read.option("header", True).csv(f"{run}/papers_manifest_csv").first()["paper_id"] == "p"
+    assert "Extracted papers: 0" in runs.summary_text(runs.summarize(str(run))) and runs.summary_text(runs.summarize(str(run))).endswith("not found")
