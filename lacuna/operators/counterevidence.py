@@ -11,6 +11,9 @@ from lacuna.functions.text import bounded, jaccard
 NOVELTY_DELTA = {"novel": 0.15, "known_open": 0.05, "known_solved": -0.20, "trivial": -0.30, "solved_in_corpus": -0.30, "partially_addressed": -0.05}
 NOVELTY_KEPT = ("novel", "known_open", "partially_addressed")
 
+#: Frequent tokens that are broadcast at most; more are joined by a shuffle.
+FREQUENT = 100_000
+
 
 def candidates(gaps: DataFrame, records: DataFrame, frequent: DataFrame, minimum: float = 0.20, per_gap: int = 20) -> DataFrame:
     """(gap_id, record_id, score, rank) over gaps (gap_id, paper_id, tokens) and records (record_id, paper_id, tokens).
@@ -23,7 +26,9 @@ def candidates(gaps: DataFrame, records: DataFrame, frequent: DataFrame, minimum
     g = gaps.select("gap_id", F.col("paper_id").alias("gp"), F.col("tokens").alias("gt"))
     r = records.select("record_id", F.col("paper_id").alias("rp"), F.col("tokens").alias("rt"))
     shared = g.select("gap_id", F.explode("gt").alias("t")).join(r.select("record_id", F.explode("rt").alias("t")), "t")
-    hot = shared.join(F.broadcast(frequent.withColumn("hot", F.lit(1))), "t", "left")  # frequent: a bounded top list
+    marked = frequent.select("t", F.lit(1).alias("hot"))
+    few = frequent.limit(FREQUENT + 1).count() <= FREQUENT
+    hot = shared.join(F.broadcast(marked) if few else marked, "t", "left")
     pairs = hot.groupBy("gap_id", "record_id").agg(F.sum(F.coalesce("hot", F.lit(0))).alias("hot"))
     both = pairs.join(g, "gap_id").join(r, "record_id")
     score = jaccard("gt", "rt") + F.when(F.col("gp") == F.col("rp"), -0.1).otherwise(0.1) + F.when(F.col("hot") >= 2, 0.1).otherwise(0.0)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import bounded
+from lacuna.scratch import ranked
 
 
 def merged_corpus(seeds: DataFrame, retrieved: DataFrame, key: str, total: int) -> DataFrame:
@@ -34,7 +35,5 @@ def blended(rows: DataFrame) -> DataFrame:
     """Personalised score and both ranks of (id, overall, alignment, survival, novelty)."""
     c = F.col
     score = bounded(0.35 * c("overall") + 0.30 * c("alignment") + 0.20 * c("survival") + 0.15 * c("novelty"))
-    rows = rows.withColumn("personal", F.round(score, 6))
-    return rows.withColumns({
-        "original_rank": F.row_number().over(Window.orderBy(F.desc("overall"), "id")), "personal_rank": F.row_number().over(Window.orderBy(F.desc("personal"), "id")),
-    })
+    rows = ranked(rows.withColumn("personal", F.round(score, 6)), [F.desc("overall"), F.col("id")], "original_rank")
+    return ranked(rows, [F.desc("personal"), F.col("id")], "personal_rank")

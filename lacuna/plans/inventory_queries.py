@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import text as T
-from lacuna.operators import formal, inventory, models, rollups
+from lacuna.operators import formal, inventory, models, profiles, rollups
 from lacuna.plans.extraction_queries import _pick, _sql_list, _sql_pick
 from lacuna.plans.views import GRAPH_SQL, evidence_graph, table
 from lacuna.sources import runs
@@ -143,6 +143,14 @@ def generation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.progress(rows)
 
 
+def personal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as gaps, ranked by their overall score and by the personalised one."""
+    k = F.col("o_orderkey")
+    part = lambda n: ((k % n) / n).alias
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), part(101)("overall"), part(7)("alignment"), part(13)("survival"), part(29)("novelty"))
+    return profiles.blended(rows).select("id", "personal", "original_rank", "personal_rank")
+
+
 # --- DuckDB ---
 
 _ARMS = {
@@ -193,6 +201,8 @@ ORACLE_SQL = {
         SELECT p.p_partkey AS family_id, s_name AS representative, coalesce(k.n, 0)::INTEGER AS members, (SELECT count(*) FROM lineitem WHERE l_linenumber = 2 AND l_partkey = p.p_partkey) AS problems
         FROM part p LEFT JOIN supplier ON s_suppkey = p.p_partkey % 100 LEFT JOIN k ON k.p_partkey = p.p_partkey""",
     "titled_extractions": """SELECT coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END, CAST(l_partkey AS VARCHAR)) AS title, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem LEFT JOIN orders ON o_orderkey = l_partkey GROUP BY 1""",
+    "personal_ranks": """WITH s AS (SELECT o_orderkey AS id, (o_orderkey % 101) / 101 AS o, least(1, greatest(0, 0.35::DOUBLE * ((o_orderkey % 101) / 101) + 0.30::DOUBLE * ((o_orderkey % 7) / 7) + 0.20::DOUBLE * ((o_orderkey % 13) / 13) + 0.15::DOUBLE * ((o_orderkey % 29) / 29))) AS p FROM orders),
+        r AS (SELECT id, o, round(p, 6) AS personal FROM s) SELECT id, personal, row_number() OVER (ORDER BY o DESC, id) AS original_rank, row_number() OVER (ORDER BY personal DESC, id) AS personal_rank FROM r""",
     "generation_progress": """SELECT month(o_orderdate) AS generation, count(*) AS calls, count(*) FILTER (WHERE o_orderstatus <> 'P') AS succeeded, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed, round(max(o_totalprice::DOUBLE / 1000), 6) AS best_fitness FROM orders GROUP BY 1""",
 }
 
@@ -200,6 +210,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         axis_labels, axis_comparators, axis_words, profile_phrases, paper_pool, role_words, commonest_author, mechanisms, viability_labels, tuple_overview, proposal_abstracts, novelty_batches, tokenisers, min_max_scores,
-        verified_gaps, family_problems, titled_extractions, generation_progress,
+        verified_gaps, family_problems, titled_extractions, generation_progress, personal_ranks,
     )
 }

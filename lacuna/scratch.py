@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _local: str | None = None
 _written: dict[str, SparkSession] = {}
@@ -39,6 +40,16 @@ def kept(df: DataFrame, label: str, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the place of every row in a total order, from 1: a sort over ranges, and the ranges' sizes (a row for each) added up."""
+    placed = kept(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    joined = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return joined.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_at", "_before")
+
+
 @atexit.register
 def clean_up() -> None:
     """Removes what :func:`kept` wrote; long sessions may call it between queries whose results they have taken."""
