@@ -42,7 +42,7 @@ def _n(test: Column) -> Column:
 
 
 def _papers(test: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(test, F.col("paper_ids"))))))
+    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(test, F.col("paper_ids"))))))
 
 
 def _set(test: Column, column: str) -> Column:
