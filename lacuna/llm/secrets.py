@@ -49,6 +49,8 @@ LONGEST = 60_000  # characters of a token that are counted together; longer toke
 NEVER = -1e9
 #: Added to every token's score for outside.
 MARGIN = 2.0
+#: Windows whose likelihood is worked out at once in learning, which bounds the driver's memory.
+AT_ONCE = 1024
 #: Characters before a token in which its marks are sought.
 REACH = 4
 
@@ -306,12 +308,16 @@ class _Examples:
 
     @classmethod
     def of(cls, examples: list[tuple]) -> _Examples:
-        n, longest = len(examples), max(len(tags) for _, _, tags, _ in examples)
+        n, longest = len(examples), max((len(tags) for _, _, tags, _ in examples), default=1)
         dense, word = np.zeros((n, longest, SHAPES), dtype=np.float32), np.full((n, longest + 2), HASHED)
         gold, mask = np.zeros((n, longest), dtype=np.int64), np.zeros((n, longest), dtype=bool)
         for i, (x, h, tags, _) in enumerate(examples):
             dense[i, : len(tags)], word[i, 1 : len(tags) + 1], gold[i, : len(tags)], mask[i, : len(tags)] = x, h, tags, True
-        return cls(dense, word, gold, mask, np.array([f for *_, f in examples], dtype=np.float32))
+        return cls(dense, word, gold, mask, np.array([f for *_, f in examples], dtype=np.float32).reshape(n, 2))
+
+    def parts(self, size: int) -> Iterator[_Examples]:
+        for a in range(0, len(self.gold), size):
+            yield _Examples(*(x[a : a + size] for x in (self.dense, self.word, self.gold, self.mask, self.flags)))
 
     @property
     def places(self) -> dict[str, np.ndarray]:
@@ -346,16 +352,23 @@ def likelihood(w: dict[str, np.ndarray], of: _Examples) -> tuple[float, dict[str
 
 def train(examples: list[tuple], rounds: int = 100, l2: float = 1e-4, rate: float = 0.1) -> Field:
     """Maximises the regularised likelihood by Adam over all windows."""
+    return trained(_Examples.of(examples), rounds, l2, rate)
+
+
+def trained(of: _Examples, rounds: int = 100, l2: float = 1e-4, rate: float = 0.1) -> Field:
+    """:func:`train` over padded windows, a part of them at a time."""
     w = {k: np.zeros(v) for k, v in WEIGHTS.items()}
     dense = ("dense", "own", "prev", "next", "text")
-    if not any(tags.any() for _, _, tags, _ in examples):
+    if not of.gold.any():
         w["dense"][0, OUT] = 10.0
         return Field(*(w[k] for k in dense), ILLEGAL)
-    of = _Examples.of(examples)
     scale = max(1, int((of.gold == BEGIN).sum()))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     for step in range(1, rounds + 1):
-        _, grads = likelihood(w, of)
+        grads = {k: np.zeros(v) for k, v in WEIGHTS.items()}
+        for part in of.parts(AT_ONCE):
+            for k, g in likelihood(w, part)[1].items():
+                grads[k] += g
         for k, v in w.items():
             d = grads[k] / scale - l2 * v
             m, s = moments[k]
@@ -410,10 +423,12 @@ def fit(docs: DataFrame, sample_rows: int = 1500, windows_per_row: int = 8) -> F
     got = sample.mapInArrow(
         lambda batches: batched(cut(batches), schema), "key string, x binary, word binary, tags binary, f0 int, f1 int"
     ).collect()  # windows_per_row windows of 24 tokens for each sampled row at most
-    return train([
+    of = _Examples.of([
         (np.frombuffer(r["x"], np.float32).reshape(-1, SHAPES), np.frombuffer(r["word"], np.int64), np.frombuffer(r["tags"], np.int64), (r["f0"], r["f1"]))
         for r in sorted(got, key=lambda r: (r["key"], r["tags"]))
     ])
+    del got  # the padded copy is enough
+    return trained(of)
 
 
 def _scan(texts: list[str | None], known: Field) -> Iterator[tuple[list, list]]:
