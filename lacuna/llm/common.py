@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +79,19 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 32 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, size: int = 32 << 20) -> Iterator[None]:
+    """The same bounds for what is computed inside the block; the session's own settings hold again after it."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(x, None) for x in names]
+    small_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def crc_mod(doc_id: Column | str, k: int) -> Column:
     """crc32 of the decimal id, modulo k: the split between learning and held-out rows."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

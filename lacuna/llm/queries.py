@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_pairs import byte_pair_digests
 from .common import crc_mod, documents
 from .exact_dedup import exact_dedup
 from .fingerprint import edited_fingerprints
 from .language_id import language_id
 from .licenses import license_scan
 from .licenses import oracle_sql as license_sql
+from .middle import middle_digests
+from .middle import oracle_sql as middle_sql
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
+from .ranked_ties import oracle_sql as ranks_sql
+from .ranked_ties import sale_line_ranks
 from .secrets import secret_scan
 from .sentence_pieces import sentence_pieces
 from .suffix_dedup import suffix_dedup
@@ -61,6 +66,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
 
+def op11_ranked_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sale_line_ranks(spark.read.parquet(f"{sf_dir}/sale_lines.parquet"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(documents(spark, sf_dir))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pair_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_license_scan": op2_license_scan,
@@ -72,9 +89,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_ranked_ties": op11_ranked_ties,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_byte_pairs": op13_byte_pairs,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_ties": ranks_sql(),
+    "op12_fill_in_middle": middle_sql(),
     "op2_license_scan": license_sql(),
     "op7_exact_dedup": r"""
         WITH n AS (
