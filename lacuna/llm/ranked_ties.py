@@ -148,7 +148,7 @@ class Machine:
         if self.group_at is None:
             return
         number = self.in_run
-        yield from self._let_go(None if self.long else number, True)
+        yield from self._let_go(None if self.long else number)
         yield self._count(RUN, self.group_at, self.pair_at, number)
         yield self._count(GROUP, self.group_at, None, self.in_group)
 
@@ -172,20 +172,20 @@ class Machine:
         self.n_held += len(pos)
         if self.long or self.n_held > HOLD:
             self.long = True
-            yield from self._let_go(None, True)
+            yield from self._let_go(None)
 
-    def _let_go(self, number: int | None, open_: bool) -> Iterator[pa.RecordBatch]:
+    def _let_go(self, number: int | None) -> Iterator[pa.RecordBatch]:
         for rows, pos in self.held:
             n = len(pos)
             tied = pa.nulls(n, pa.int64()) if number is None else pa.array(np.full(n, number, dtype=np.int64))
-            yield self._lines(rows, np.full(n, self.group_no), np.full(n, self.run_no), pos, np.full(n, self.place), tied, np.full(n, open_))
+            yield self._lines(rows, np.full(n, self.group_no), np.full(n, self.run_no), pos, np.full(n, self.place), tied)
         self.held, self.n_held = [], 0
 
     def _close(self) -> Iterator[pa.RecordBatch]:
         """Ends the pair of the batch before."""
         if self.group_at is None:
             return
-        yield from self._let_go(None if self.long else self.in_run, self.long or self.group_no == 0)
+        yield from self._let_go(None if self.long else self.in_run)
         if self.long or self.run_no == 0:
             yield self._count(RUN, self.group_at, self.pair_at, self.in_run)
 
@@ -200,7 +200,7 @@ class Machine:
         mask = ended & (place <= self.most)
         rows = batch.slice(first).filter(pa.array(mask))
         if rows.num_rows:
-            yield self._lines(rows, group_no[mask], run_no[mask], pos[mask], place[mask], pa.array(tied[mask]), group_no[mask] == 0)
+            yield self._lines(rows, group_no[mask], run_no[mask], pos[mask], place[mask], pa.array(tied[mask]))
         if self.run_no < 0 and last > first:  # the task's first pair and group
             yield self._count(RUN, self._row(batch, 0, self.order.group), self._row(batch, 0, self.order.pair), int(sizes[0]))
         if self.group_no < 0 and (more := np.flatnonzero(new_group)[1:]).size:
@@ -209,15 +209,15 @@ class Machine:
         self.in_group, self.in_run, self.place, self.long = int(pos[-1]), int(sizes[-1]), int(place[-1]), False
         yield from self._hold(batch.slice(last), pos[last - first :])
 
-    def _lines(self, rows, group_no, run_no, pos, place, tied, open_) -> pa.RecordBatch:
+    def _lines(self, rows, group_no, run_no, pos, place, tied) -> pa.RecordBatch:
         n = rows.num_rows
         own = [rows.column(rows.schema.get_field_index(c)) for c in self.order.columns]
         numbers = [np.full(n, self.task), group_no, run_no, pos, place]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, LINE, np.int32)), *own, *(pa.array(np.asarray(x, np.int64)) for x in numbers), tied, pa.array(open_)], schema=self.schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, LINE, np.int32)), *own, *(pa.array(np.asarray(x, np.int64)) for x in numbers), tied], schema=self.schema)
 
     def _count(self, kind: int, group: tuple, pair: tuple | None, n: int) -> pa.RecordBatch:
         run = self.run_no if self.run_no >= 0 else 0
-        values = [kind, *group, *(pair or [None] * len(self.order.pair)), *[None] * len(self.order.ties), self.task, max(self.group_no, 0), run, None, None, n, True]
+        values = [kind, *group, *(pair or [None] * len(self.order.pair)), *[None] * len(self.order.ties), self.task, max(self.group_no, 0), run, None, None, n]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, self.schema, strict=True)], schema=self.schema)
 
 
@@ -228,7 +228,7 @@ def ranked_ties(rows: DataFrame, order: Order, most: int, tasks: int | None = No
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select(*[F.col(c).cast("long") for c in order.columns])
     numbers = ["task", "group_no", "run_no", "pos", "place", "tied"]
-    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in (*order.columns, *numbers)), ("open", pa.bool_())])
+    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in (*order.columns, *numbers))])
 
     def machine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = Machine(order, most, schema)
@@ -236,7 +236,7 @@ def ranked_ties(rows: DataFrame, order: Order, most: int, tasks: int | None = No
             yield from state.feed(batch)
         yield from state.end()
 
-    ddl = ", ".join(["kind int", *(f"`{c}` long" for c in (*order.columns, *numbers)), "open boolean"])
+    ddl = ", ".join(["kind int", *(f"`{c}` long" for c in (*order.columns, *numbers))])
     with arrow_batches(spark, 10_000):
         found = kept(placed(rows, order, tasks).mapInArrow(machine, ddl), "ranked-ties", "kind")
     return repaired(found, order, most)
@@ -254,11 +254,10 @@ def repaired(found: DataFrame, order: Order, most: int) -> DataFrame:
         F.coalesce(F.sum("tied").over(by_pair.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("same_before"),
         F.sum("tied").over(by_pair).alias("in_all"),
     )
-    lines = found.where(F.col("kind") == LINE)
-    mended = lines.where("open").join(groups, ["task", "group_no"], "left").join(runs, ["task", "run_no"], "left")
+    lines = found.where(F.col("kind") == LINE).join(groups, ["task", "group_no"], "left").join(runs, ["task", "run_no"], "left")
     before, same = F.coalesce("before", F.lit(0)), F.coalesce("same_before", F.lit(0))
-    mended = mended.withColumns({"pos": F.col("pos") + before, "place": F.col("place") + before - same, "tied": F.coalesce("in_all", "tied")})
-    return lines.where(~F.col("open")).select(*out).unionByName(mended.where(F.col("place") <= most).select(*out))
+    mended = lines.withColumns({"pos": F.col("pos") + before, "place": F.col("place") + before - same, "tied": F.coalesce("in_all", "tied")})
+    return mended.where(F.col("place") <= most).select(*out)
 
 
 # --- sale lines ---
