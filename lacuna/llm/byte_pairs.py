@@ -5,9 +5,9 @@ the positions of every token pair by the rank of its merge, and applies the merg
 to the left and right of a merged one are looked up anew.  A merge that opens a pair of lower rank is interrupted for it, so every word goes through the
 same merges as alone.  A word that is a token itself is that token.
 
-Over a corpus: one pass counts the words; those that make up at least 1/``COMMON`` of all word places (so ``COMMON`` at most, and ``SHORT``
-bytes long at most) are dealt out, replayed by Spark's tasks over their share of the vocabulary, and broadcast.  A second pass replaces words by ids;
-words that are not common are replayed together, batch by batch, and remembered up to ``KNOWN``.  Which words are common changes no result.
+Over a corpus: one pass counts the words; the most frequent ones (``COMMON`` at most, by their counts, and ``SHORT`` bytes long at most) are replayed by
+Spark's tasks, each over its share of the vocabulary, and broadcast.  A second pass replaces words by ids; words that are not common are
+replayed together, batch by batch, and remembered up to ``KNOWN``.  Which words are common changes no result.
 
 Ids are kept as little-endian unsigned 32-bit integers, one binary value a document; decoding joins the ids' bytes.
 
@@ -18,7 +18,12 @@ empty table gives an empty result; other columns are ignored; ids that the vocab
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+import sys
+import uuid
+from array import array
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -27,14 +32,16 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, column, small_batches
+from .common import Tables, batched, column, small_batches
 
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
-#: Common words at most, and their greatest length; words a worker remembers besides, and their greatest length; words a batch of counts holds.
-COMMON, SHORT, KNOWN, COUNTED = 50_000, 64, 300_000, 200_000
+#: Common words at most; the greatest length of a word that is remembered; words a worker remembers besides; words that a batch of counts holds.
+COMMON, SHORT, KNOWN, COUNTED = 250_000, 64, 400_000, 200_000
 
 
 @lru_cache(maxsize=2)
@@ -56,25 +63,36 @@ def tokens(path: str) -> list[bytes | None]:
     return out
 
 
+def _bytes_paired(text: bytes, ends: np.ndarray, known: dict[bytes, int]) -> dict[int, list[int]]:
+    """Rank of every merge of two bytes, and where they stand, in order; none reaches into or over an end."""
+    ranked = np.full(1 << 16, -1, dtype=np.int64)
+    for token, r in known.items():
+        if len(token) == 2:
+            ranked[token[0] << 8 | token[1]] = r
+    byte = np.frombuffer(text, dtype=np.uint8).astype(np.int64)
+    found = np.append(ranked[byte[:-1] << 8 | byte[1:]], -1)
+    found[ends], found[ends - 1] = -1, -1
+    at = np.flatnonzero(found >= 0)
+    at = at[np.argsort(found[at], kind="stable")]
+    of = found[at]
+    cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(at)).tolist()
+    where = at.tolist()
+    return {int(of[i]): where[i:j] for i, j in zip(cuts, cuts[1:], strict=False)}
+
+
 def replay(words: list[bytes], known: dict[bytes, int]) -> list[list[int]]:
     """Ids of every word, all merged together in rank order."""
     out: list[list[int] | None] = [[known[w]] if w in known else None if w else [] for w in words]
     open_ = [w for w, ids in zip(words, out, strict=True) if ids is None]
+    if not open_:
+        return out
     text = b"\0".join([*open_, b""])  # a byte behind every word stands for its end
-    after, before = list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
-    spots: dict[int, list[int]] = {}  # rank of a merge: positions of the pairs it joins
-    starts, at = [], 0
     rank = known.get
-    for w in open_:
-        starts.append(at)
-        before[at] = -1
-        end = at + len(w)
-        after[end] = 0  # no pair begins at an end
-        for i in range(at, end - 1):
-            r = rank(text[i : i + 2])
-            if r is not None:
-                spots.setdefault(r, []).append(i)
-        at = end + 1
+    ends = np.cumsum([len(w) + 1 for w in open_]) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    follows, precedes = np.arange(1, len(text) + 1), np.arange(-1, len(text) - 1)
+    follows[ends], precedes[starts] = 0, -1  # no pair begins at an end
+    after, before, spots = follows.tolist(), precedes.tolist(), _bytes_paired(text, ends, known)
     size = {}
     waiting = list(spots)
     heapify(waiting)
@@ -109,7 +127,7 @@ def replay(words: list[bytes], known: dict[bytes, int]) -> list[list[int]]:
                 spots.setdefault(r, []).extend(where[k + 1 :])
                 heappush(waiting, r)
                 break
-    cut = iter(zip(open_, starts, strict=True))
+    cut = iter(zip(open_, starts.tolist(), strict=True))
     for place, ids in enumerate(out):
         if ids is None:
             word, i = next(cut)
@@ -123,7 +141,14 @@ def replay(words: list[bytes], known: dict[bytes, int]) -> list[list[int]]:
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
+
+
+def splitter() -> Callable[[str], list[str]]:
+    """A text's words; ASCII texts are cut by the same pattern's ASCII classes, which is faster."""
+    plain = re.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")).findall
+    every = regex.compile(public_tokenizers.PATTERN).findall
+    return lambda text: plain(text) if text.isascii() else every(text)
 
 
 @dataclass
@@ -135,7 +160,7 @@ class Encoder:
     rest: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.known, self.split = ranks(self.path), regex.compile(public_tokenizers.PATTERN).findall
+        self.known, self.split = ranks(self.path), splitter()
         self.memo = dict(self.common)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -153,18 +178,26 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str, run_id: str, common: Broadcast) -> Encoder:
+    """The worker's encoder, kept from task to task of one run."""
+    if run_id not in _encoders:
+        _encoders.clear()
+        _encoders[run_id] = Encoder(path, common.value)
+    return _encoders[run_id]
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word, n: how often every word stands in the texts."""
-    split = regex.compile(public_tokenizers.PATTERN).findall
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
+        split = splitter()
+        held: Counter[str] = Counter()
         schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-        get = held.get
         for batch in batches:
             for text in column(batch, "text"):
-                for w in split(text or ""):
-                    held[w] = get(w, 0) + 1
+                held.update(split(text or ""))
             if len(held) > COUNTED:
                 yield from batched(iter(held.items()), schema, 8192)
                 held.clear()
@@ -174,13 +207,17 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame, path: str) -> dict[str, bytes]:
-    """Ids of the words that make up at least 1/COMMON of all word places; each task replays its share of them."""
-    from .common import Tables
-
+    """Ids of the COMMON most frequent words at most (all words of a count or none); each task replays its share of them."""
     tables = Tables(docs.sparkSession, "words")
-    words = tables.write(vocabulary(docs), "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    often = words.where((F.col("n") >= max(2, -(-total // COMMON))) & (F.octet_length("word") <= SHORT))
+    words = tables.write(vocabulary(docs).where((F.col("n") > 1) & (F.octet_length("word") <= SHORT)), "words")
+    steps = F.floor(8 * F.log2("n")).cast("int")  # counts within a twelfth of one another fall together: some hundreds of steps at most
+    least, total = None, 0
+    for r in sorted(words.groupBy(steps.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        total += r.words
+        if total > COMMON:
+            break
+        least = r.step
+    often = words.where(steps >= least) if least is not None else words.limit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,11 +235,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(DEFAULT)
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(common_words(docs, path))
+    shared, run_id = spark.sparkContext.broadcast(common_words(docs, path)), uuid.uuid4().hex
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, shared.value)
+        encoder = _encoder(path, run_id, shared)
         for batch in batches:
             ids = encoder.encode([t or "" for t in column(batch, "text")])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], schema=schema)
