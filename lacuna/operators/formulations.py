@@ -100,11 +100,29 @@ def without_framing(x: Column) -> Column:
     return F.array_join(F.filter(F.split(F.lower(squash(x)), " "), lambda w: ~w.isin(*FRAMING, *KINDS)), " ")
 
 
+#: Rows of one key that meet in one share; characters counted together for the ratio's bound.
+SPLIT = 2000
+COUNTED = ("a", "e", "i", "o", "u", "t", "n", "s", "r", "l", "dhc", "mpg", "bfywkv", "xqjz", "01234", "56789", " ")
+
+
+def counted(x: str) -> list[Column]:
+    """A text's length and how often it has the characters of each class, as columns."""
+    return [F.length(x).alias(f"{x}_n"), *[F.regexp_count(x, F.lit(f"[{c}]")).alias(f"{x}_{i}") for i, c in enumerate(COUNTED)]]
+
+
+def may_be_like(x: str, threshold: float) -> Column:
+    """Whether characters' counts (``counted`` columns of sides a and b) allow the ratio: matching blocks have no more of a class than the text with fewer."""
+    a, b = (lambda k: F.col(f"a_{x}_{k}")), (lambda k: F.col(f"b_{x}_{k}"))
+    classes = range(len(COUNTED))
+    rest = F.least(a("n") - sum(a(i) for i in classes), b("n") - sum(b(i) for i in classes))
+    return 2 * (sum(F.least(a(i), b(i)) for i in classes) + rest) >= threshold * (a("n") + b("n")) - 1e-9
+
+
 def merge_edges(rows: DataFrame, topic: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, rule) with a < b: the first of the hard anchors A to E that two variants share.
 
-    A and B link the variants of a key to its least id; C meets on papers, E on identity words (rarest first), D on words of titles and statements without
-    framing: titles without a common word are taken to differ.
+    A and B link the variants of a key to its least id; C meets on papers and E on identity words (both rarest first), D on words of titles and statements without
+    framing: titles without a common word are taken to differ.  Through a word that many share, only pairs go on whose characters' counts allow the ratio.
     """
     v = rows.select(
         F.col("variant_id").alias("id"), _t("source_formulation_id").alias("source"), _t("source_verified_gap_id").alias("gap"),
@@ -118,21 +136,31 @@ def merge_edges(rows: DataFrame, topic: tuple[str, ...] = ()) -> DataFrame:
         out = links if out is None else out.unionByName(links)
     side = lambda s: v.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("papers", "identity", "title", "statement", "kind")])
 
-    def met(keys: DataFrame) -> DataFrame:
-        """Pairs that share a key, once each, with their columns."""
-        pairs = keys.select(F.col("id").alias("a"), "key").join(keys.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    def met(keys: DataFrame, fit: Column | None = None) -> DataFrame:
+        """Pairs that share a key and fit, once each, with their columns; keys of many rows are dealt out, each share of one side meeting a copy of the other."""
+        many = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("shares"))
+        dealt = keys.join(many, "key")
+        own = [c for c in keys.columns if c not in ("id", "key")]
+        one = dealt.select(F.col("id").alias("a"), "key", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), *[F.col(c).alias(f"a_{c}") for c in own])
+        two = dealt.select(F.col("id").alias("b"), "key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), *[F.col(c).alias(f"b_{c}") for c in own])
+        on = (one["key"] == two["key"]) & (one["share"] == two["share"]) & (F.col("a") < F.col("b"))
+        pairs = one.join(two, on if fit is None else on & fit).select("a", "b").distinct()
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.withColumn("identity_overlap", F.size(F.array_intersect("a_identity", "b_identity")))
 
-    words_ = v.select("id", F.explode("identity").alias("key"))
-    often = words_.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    ranked = words_.join(often, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("o"))
-    # variants that share three words share one besides the two most frequent of either
-    rare = ranked.select("id", F.explode(F.slice("o", 1, F.greatest(F.size("o") - (IDENTITY_E - 1), F.lit(0)))).alias("k")).where("k.df > 1").select("id", "k.key")
-    said = v.select("id", F.explode(F.filter(F.array_union(F.split("title", " "), F.split("statement", " ")), lambda w: (w != "") & ~w.isin(*STOPS))).alias("key"))
+    def rarest(keys: DataFrame, n: Column) -> DataFrame:
+        """The first ``n`` keys of each row of (id, key), rarest first, of ``F.col("o")``; those of one row only meet nothing."""
+        often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+        ordered = keys.join(often, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("o"))
+        return ordered.select("id", F.explode(F.slice("o", 1, n)).alias("k")).where("k.df > 1").select("id", "k.key")
+
+    # variants that share three words share one besides the two most frequent of either; papers with a Jaccard similarity share one of either's first
+    rare = rarest(v.select("id", F.explode("identity").alias("key")), F.greatest(F.size("o") - (IDENTITY_E - 1), F.lit(0)))
+    first_papers = rarest(v.select("id", F.explode(F.array_distinct("papers")).alias("key")), F.size("o") - F.ceil(PAPERS * F.size("o") - 1e-9).cast("int") + 1)
+    said = v.select("id", F.explode(F.filter(F.array_union(F.split("title", " "), F.split("statement", " ")), lambda w: (w != "") & ~w.isin(*STOPS))).alias("key"), *counted("title"), *counted("statement"))
     fits = lambda x, y, t: 2 * F.least(F.length(x), F.length(y)) >= t * (F.length(x) + F.length(y))  # noqa: E731  # the ratio's bound by length
-    by_papers = met(v.select("id", F.explode("papers").alias("key"))).where((jaccard("a_papers", "b_papers") >= PAPERS) & (F.col("identity_overlap") >= IDENTITY_C))
-    titles = met(said).where(fits("a_title", "b_title", TITLE) | fits("a_statement", "b_statement", TITLE))
+    by_papers = met(first_papers).where((jaccard("a_papers", "b_papers") >= PAPERS) & (F.col("identity_overlap") >= IDENTITY_C))
+    titles = met(said, may_be_like("title", TITLE) | may_be_like("statement", TITLE))
     like = F.greatest(vectorised.sequence_ratio("a_title", "b_title"), vectorised.sequence_ratio("a_statement", "b_statement"))
     kinds = met(rare).where((F.col("identity_overlap") >= IDENTITY_E) & fits("a_kind", "b_kind", CLASS))
     near = by_papers.select("a", "b", F.lit("C_paper_jaccard_and_identity_overlap").alias("rule"))

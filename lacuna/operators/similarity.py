@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import jaccard
-from lacuna.scratch import kept, shared_dir
+from lacuna.operators.contraction import components  # noqa: F401  (part of this module's interface)
+from lacuna.scratch import kept
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -42,28 +43,6 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return near.unionByName(copies)
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 32) -> DataFrame:
-    """(id, component) by propagating least labels with pointer jumping; lineage is cut by checkpoints.
-
-    Labels reach everything in a logarithmic number of rounds, as every round also jumps to the label's own label.
-    """
-    spark = nodes.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("component")).distinct()
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("old"))
-        jump = labels.select(F.col("id").alias("c"), F.col("component").alias("j"))
-        after = step.join(jump, "c", "left").select("id", F.least("c", F.coalesce("j", "c")).alias("component"), "old").checkpoint()
-        changed = after.where("component <> old").limit(1).count()
-        labels = after.select("id", "component")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
 def key_links(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Links (a, b) between rows that share a non-empty key of the same kind; each links to the least id of its key."""
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in keys.items()])

@@ -137,6 +137,15 @@ def titled_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titled.groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("lines"))
 
 
+def title_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of every twentieth document, mistyped (third character lost, one doubled in the middle), resolved among the first lines of all documents."""
+    papers = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), "doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    n = F.length("title")
+    typed = F.concat(F.substring("title", 1, 2), F.substring(F.col("title"), F.lit(4), F.floor(n / 2).cast("int") - 2), F.substring(F.col("title"), F.floor(n / 2).cast("int") + 1, n))
+    found = inventory.title_matches(papers.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), F.when(n > 8, typed).otherwise(F.col("title")).alias("title")), papers)
+    return found.select("id", "resolved", "paper_id", F.array_join("alternatives", " ").alias("alternatives"), "reason", "score")
+
+
 def generation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as calls and hypotheses of generations (months): calls, successful ones, failures, best fitness."""
     rows = table(spark, sf_dir, "orders").select(F.month("o_orderdate").cast("long").alias("generation"), (F.col("o_orderstatus") != "P").alias("ok"), (F.col("o_totalprice") / 1000).cast("double").alias("fitness"))
@@ -210,6 +219,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         axis_labels, axis_comparators, axis_words, profile_phrases, paper_pool, role_words, commonest_author, mechanisms, viability_labels, tuple_overview, proposal_abstracts, novelty_batches, tokenisers, min_max_scores,
-        verified_gaps, family_problems, titled_extractions, generation_progress, personal_ranks,
+        verified_gaps, family_problems, titled_extractions, title_resolution, generation_progress, personal_ranks,
     )
 }

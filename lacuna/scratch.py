@@ -37,7 +37,17 @@ def kept(df: DataFrame, label: str, *partition: str) -> DataFrame:
     _written[path] = spark
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out._lacuna_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes a table of :func:`kept` that nothing reads any more."""
+    path = getattr(df, "_lacuna_path", None)
+    if path:
+        remove(df.sparkSession, path)
+        _written.pop(path, None)
 
 
 def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:

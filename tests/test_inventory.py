@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import inventory, models
+from lacuna.operators import inventory, likeness, models
 
 
 def test_profile_facets_and_ids():
@@ -26,7 +29,8 @@ def test_title_matches(spark):
     titles = spark.createDataFrame([(1, "Regret bounds for linear bandit"), (2, "Regret and else"), (3, "Quite unknown"), (4, None), (5, "")], "id int, title string")
     got = {r["id"]: r for r in inventory.title_matches(titles, papers).collect()}
     assert got[1]["resolved"] and got[1]["paper_id"] == "p1" and got[1]["alternatives"] == ["p2"]
-    assert [got[i]["reason"] for i in (2, 3, 4, 5)] == ["below threshold"] + ["no candidates"] * 3 and not any(got[i]["resolved"] for i in (2, 3, 4, 5))
+    assert [got[i]["reason"] for i in (2, 3, 4, 5)] == ["below threshold"] * 4 and not any(got[i]["resolved"] for i in (2, 3, 4, 5))
+    assert {r["reason"] for r in inventory.title_matches(titles, papers.limit(0)).collect()} == {"no candidates"}
 
 
 def test_rows_and_texts(spark):
@@ -87,3 +91,52 @@ def test_scoring_loop_asks_once_more(spark):
     check = lambda log: log.select("id", F.when(F.get_json_object("reply", "$.score").cast("int") > 5, F.array(F.lit("over cap"))).otherwise(F.array().cast("array<string>")).alias("violations"))
     got = {r["id"]: r for r in models.scored(prompts, _over, check).collect()}
     assert (got[1]["attempt"], got[1]["violations"]) == (2, []) and (got[2]["attempt"], got[2]["violations"]) == (1, []) and got[3]["violations"] == ["over cap"] and len(got) == 3
+
+
+# --- the exact ratio join ---
+
+
+def edited(r, text):
+    out = list(text)
+    for _ in range(r.randint(0, max(1, len(out) // 8))):
+        at = r.randrange(len(out) + 1)
+        if r.random() < 0.5 and out:
+            out.pop(min(at, len(out) - 1))
+        else:
+            out.insert(at, r.choice("abcdé z"))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("threshold", [0.92, 0.85, 0.72, 0.5, 1.0])
+def test_ratio_pairs_equal_brute_force(spark, threshold):
+    """Short and long texts, copies, near copies, one word in all of them."""
+    r = random.Random(int(100 * threshold))
+    words = ["".join(r.choice("abcdefghé") for _ in range(r.randint(1, 8))) for _ in range(40)]
+    some = [" ".join(["study", *(r.choice(words) for _ in range(r.randint(0, 9)))]) for _ in range(50)] + ["a", "b", "ab", "abc", "abcd", "", "x" * 300]
+    left = some + [edited(r, t) for t in some] + some[:5]
+    right = [edited(r, t) for t in some] + some[::2] + ["".join(r.sample(t, len(t))) for t in some[:20]]
+    got = likeness.ratio_pairs(spark.createDataFrame([(t,) for t in left], "text string"), spark.createDataFrame([(t,) for t in right], "text string"), threshold)
+    ratio = lambda a, b: 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+    want = {(a, b): ratio(a, b) for a in set(left) for b in set(right) if a and b and ratio(a, b) >= threshold}
+    assert {(x.a, x.b): x.ratio for x in got.collect()} == want and len(want) > 20
+
+
+def test_bounds_of_shared_grams():
+    """No pair of texts shares fewer q-grams than the bound says."""
+    r = random.Random(9)
+    for _ in range(3000):
+        a = "".join(r.choice("abc ") for _ in range(r.randint(1, 30)))
+        b = edited(r, a)
+        m = sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        t = 2 * m / max(1, len(a) + len(b))
+        for q in (1, 2, 3):
+            shared = (Counter(likeness.tokens(a, q)) & Counter(likeness.tokens(b, q))).total()
+            assert shared >= likeness.least_overlap(len(a), len(b), q, t)
+
+
+def test_matches_ranks_and_copies(spark):
+    left = spark.createDataFrame([(1, "graph neural networks"), (2, "graph neural networks"), (3, ""), (4, None)], "id int, text string")
+    right = spark.createDataFrame([(i, "graph neural network") for i in range(9)] + [(9, "graph neural networks"), (10, None)], "other int, text string")
+    got = {(x.id, x.rank): x.other for x in likeness.matches(left, right, 0.92, 3).collect()}
+    assert got == {(i, k): o for i in (1, 2) for k, o in ((1, 9), (2, 0), (3, 1))}
+    assert likeness.matches(left.limit(0), right, 0.92, 3).count() == 0
