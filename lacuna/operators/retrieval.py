@@ -86,7 +86,7 @@ def bm25(chunks: DataFrame, query: str, k: int, per_paper: int = 3, k1: float =
     """
     asked = re.findall("[a-z0-9]{3,}", query.lower())
     terms = {t: asked.count(t) for t in asked}
-    low = F.lower("text")
+    low = F.lower(F.coalesce("text", F.lit("")))
     tf = {t: F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")) for t in terms}
     rows = kept(chunks.select("paper_id", "chunk_id", F.regexp_count(low, F.lit("[a-z0-9]{3,}")).alias("dl"), *[v.alias(f"tf{i}") for i, v in enumerate(tf.values())]), "bm25")
     if not terms:

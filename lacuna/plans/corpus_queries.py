@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import text as T
 from lacuna.functions import vectorised
-from lacuna.operators import retrieval, similarity
+from lacuna.operators import retrieval, similarity, text_index
 from lacuna.plans.views import table
 
 STOPS = ["with", "that", "this", "from", "were", "have"]
@@ -83,8 +83,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(parts, "licensed under the apache license version", 20)
 
 
+def bm25_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of the documents for every twentieth benchmark text, through the inverted index."""
+    parts = retrieval.chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    index = text_index.Index.build(parts.select(F.col("id").alias("paper_id"), F.col("chunk_id").cast("long").alias("chunk_id"), "text"))
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), "text")
+    return index.search(asked, 10).select(F.col("qid").alias("item_id"), "paper_id", "chunk_id", "score")
+
+
 def keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.keyphrases(table(spark, sf_dir, "documents").where("lang = 'en'"), 40, STOPS).select(F.col("size").cast("int").alias("size"), "phrase", "n")
+    return retrieval.keyphrases(table(spark, sf_dir, "documents"), 40, STOPS).select(F.col("size").cast("int").alias("size"), "phrase", "n")
 
 
 def anchor_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +253,16 @@ ORACLE_SQL = {
         r AS (SELECT paper_id, chunk_id, {' + '.join(f'ln(1 + (n - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE)) * t{i} * 2.5::DOUBLE / (t{i} + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(a, 1)))' for i in range(len(_ASKED)))} AS score FROM t, s),
         f AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, chunk_id) AS k FROM r WHERE score > 0)
         SELECT paper_id, chunk_id, round(score, 6) AS score FROM f WHERE k <= 3 ORDER BY score DESC, paper_id, chunk_id LIMIT 20""",
-    "keyphrases": f"""WITH w AS (SELECT list_filter(regexp_extract_all(lower(text), '[a-z]{{4,}}'), lambda x: x NOT IN {tuple(STOPS)}) AS w FROM documents WHERE lang = 'en'),
+    "bm25_many": f"""WITH {_CHUNKS}, w AS (SELECT id AS paper_id, chunk_id, regexp_extract_all(lower(text), '[a-z0-9]{{3,}}') AS w FROM ch),
+        st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), p AS (SELECT paper_id, chunk_id, len(w) AS dl, t, count(*) AS tf FROM (SELECT paper_id, chunk_id, w, unnest(w) AS t FROM w) GROUP BY ALL),
+        d AS (SELECT t, count(*) AS df FROM p GROUP BY 1), q AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS t FROM benchmark WHERE item_id % 20 = 0) GROUP BY ALL),
+        r AS (SELECT item_id, paper_id, chunk_id, round(sum(q * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(a, 1)))), 9) AS score FROM q JOIN d USING (t) JOIN p USING (t), st GROUP BY ALL),
+        f AS (SELECT *, row_number() OVER (PARTITION BY item_id, paper_id ORDER BY score DESC, chunk_id) AS k FROM r WHERE score > 0),
+        g AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, paper_id, chunk_id) AS place FROM f WHERE k <= 3)
+        SELECT item_id, paper_id, chunk_id, round(score, 6) AS score FROM g WHERE place <= 10
+        UNION ALL SELECT item_id, paper_id, chunk_id, round(1.0::DOUBLE / row_number() OVER (PARTITION BY item_id ORDER BY paper_id, chunk_id), 6)
+          FROM (SELECT item_id FROM benchmark WHERE item_id % 20 = 0 AND item_id NOT IN (SELECT item_id FROM q JOIN d USING (t))), (SELECT id AS paper_id, CAST(chunk_id AS BIGINT) AS chunk_id FROM ch ORDER BY 1, 2 LIMIT 10)""",
+    "keyphrases": f"""WITH w AS (SELECT list_filter(regexp_extract_all(lower(text), '[a-z]{{4,}}'), lambda x: x NOT IN {tuple(STOPS)}) AS w FROM documents),
         g AS (SELECT 1 AS size, unnest(w) AS phrase FROM w UNION ALL SELECT 2, w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
         SELECT CAST(size AS INTEGER) AS size, phrase, count(*) AS n FROM g GROUP BY size, phrase ORDER BY size DESC, n DESC, phrase LIMIT 40""",
     "anchor_terms": "WITH t AS (SELECT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]{5,}')) AS term FROM part) SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT 100",
@@ -283,7 +300,7 @@ ORACLE_SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        relevance_score, facet_score, dedup_exact, dedup_multikey, near_dup_jaccard, alias_components, bm25_topk, keyphrases, anchor_terms, chunks,
+        relevance_score, facet_score, dedup_exact, dedup_multikey, near_dup_jaccard, alias_components, bm25_topk, bm25_many, keyphrases, anchor_terms, chunks,
         sections, snippets, text_functions, enum_coercion, confidence_parse, json_fields, html_titles, secret_scan, blind_sanitize,
         seed_alignment, contamination, cosine_topk, rerank_topk, mmr_selection,
     )
