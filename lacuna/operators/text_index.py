@@ -102,8 +102,8 @@ class Index:
     def candidates(self, asked: DataFrame, floors: DataFrame) -> DataFrame:
         """Blocks (qid, ...) in which a chunk of the answer may stand: of terms that are not among the least ones, which stay below the floor together."""
         together = F.sum("top").over(Window.partitionBy("qid").orderBy("top", "term"))
-        able = asked.withColumn("together", together).join(floors, "qid").where(F.col("together") >= F.col("floor") * (1 - 1e-9))
-        return able.join(self.blocks, ["part", "term"]).where(F.col("w") * self.blocks["most"] + F.col("rest") >= F.col("floor") * (1 - 1e-9))
+        able = asked.withColumn("together", together).join(floors, "qid").where(F.col("together") >= F.col("floor") - 1e-8)
+        return able.join(self.blocks.withColumnRenamed("most", "here"), ["part", "term"]).where(F.col("w") * F.col("here") + F.col("rest") >= F.col("floor") - 1e-8)
 
     def search(self, queries: DataFrame, k: int, per_paper: int = 3) -> DataFrame:
         """(qid, paper_id, chunk_id, score): the k best chunks of every query (qid, text), ``per_paper`` of a paper at most; the first k chunks for queries that match nothing."""

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.operators import extraction, gaps, gates, graph, motifs
+from lacuna.operators import extraction, gaps, gates, graph, model_stages, motifs
 from lacuna.sources import readers, runs, sinks
 
 Session = Callable[[], SparkSession]
@@ -29,18 +30,38 @@ def init_example(args, session: Session) -> int:
     return 0
 
 
+def _manifest(path: str) -> str:
+    """The manifest that a configuration names, beside it unless its path is absolute."""
+    from lacuna import config
+
+    settings = config.load([path])
+    corpus = settings.get("corpus") if isinstance(settings.get("corpus"), dict) else {}
+    return str(Path(path).resolve().parent / str(corpus.get("manifest_path") or settings.get("papers_manifest") or settings.get("papers_jsonl") or "papers.jsonl"))
+
+
 def smoke_test(args, session: Session) -> int:
-    print(runs.summary_text(runs.summarize(runs.mock_run(args.config, args.run))))
+    """A configuration's corpus through the stages that need no language model: texts, sections, tuples by pattern and their check."""
+    spark = session()
+    runs.prepared(spark, _manifest(args.config), args.run)
+    parse_papers(args, session)
+    found = model_stages.extracted(_texts(spark, args.run), model_stages.by_pattern)
+    sinks.json_lines(found.select("t.*"), f"{args.run}/extracted/all_tuples.jsonl")
+    extract(args, session)
+    print(runs.summary_text(runs.summarize(spark, args.run)))
     return 0
 
 
 def prepare(args, session: Session) -> int:
-    print(runs.prepare_corpus(args.config, args.out))
+    if "${" in args.out:
+        raise ValueError("the output folder uses a placeholder")
+    run = f"{args.out}/runs/{time.strftime('local_corpus_%Y%m%d_%H%M%S')}"
+    runs.prepared(session(), _manifest(args.config), run)
+    print(run)
     return 0
 
 
 def summarize(args, session: Session) -> int:
-    print(runs.summary_text(runs.summarize(args.run)))
+    print(runs.summary_text(runs.summarize(session(), args.run)))
     return 0
 
 
@@ -139,7 +160,7 @@ def audit_release(args, session: Session) -> int:
 
 
 def run_all(args, session: Session) -> int:
-    """A mock run and, over its folder, the stages that need no model."""
+    """The smoke test and, over its folder, the stages that follow."""
     smoke_test(args, session)
     for step in (detect_gaps, verify_gaps, report):
         step(args, session)

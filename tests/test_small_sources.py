@@ -63,4 +63,4 @@ def test_run_documents(spark, tmp_path):
     runs.write_manifest(spark.createDataFrame([("p", ["a", "b"])], "paper_id string, authors array<string>"), str(run))
     assert runs.read_json(run / "papers_manifest.json") == [{"paper_id": "p", "authors": ["a", "b"]}] and runs.first_existing(str(run), ("x", "papers_manifest.json")) == f"{run}/papers_manifest.json"
     assert spark.read.option("header", True).csv(f"{run}/papers_manifest_csv").first()["paper_id"] == "p"
-    assert "Extracted papers: 0" in runs.summary_text(runs.summarize(str(run))) and runs.summary_text(runs.summarize(str(run))).endswith("not found")
+    assert "Extracted papers: 0" in runs.summary_text(runs.summarize(spark, str(run))) and runs.summary_text(runs.summarize(spark, str(run))).endswith("not found")
