@@ -24,7 +24,7 @@ import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -157,7 +157,7 @@ class Encoder:
 
     path: str
     common: dict[str, bytes]
-    rest: dict[str, bytes] = field(default_factory=dict)
+    remembered: int = KNOWN
 
     def __post_init__(self) -> None:
         self.known, self.split = ranks(self.path), splitter()
@@ -167,7 +167,7 @@ class Encoder:
         memo = self.memo
         cut = [self.split(t) for t in texts]
         new = list({w for words in cut for w in set(words) if w not in memo})
-        if len(memo) + len(new) > len(self.common) + KNOWN:
+        if len(memo) + len(new) > len(self.common) + self.remembered:
             memo = self.memo = dict(self.common)
             new = list({w for words in cut for w in set(words) if w not in memo})
         memo.update(zip(new, map(packed, replay([w.encode() for w in new], self.known)), strict=True))
@@ -181,11 +181,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str, run_id: str, common: Broadcast) -> Encoder:
+def _encoder(path: str, run_id: str, common: Broadcast, remembered: int) -> Encoder:
     """The worker's encoder, kept from task to task of one run."""
     if run_id not in _encoders:
         _encoders.clear()
-        _encoders[run_id] = Encoder(path, common.value)
+        _encoders[run_id] = Encoder(path, common.value, remembered)
     return _encoders[run_id]
 
 
@@ -230,7 +230,7 @@ def common_words(docs: DataFrame, path: str) -> dict[str, bytes]:
     return out
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, remembered: int = KNOWN) -> DataFrame:
     """doc_id, ids (binary, 32 bits each)."""
     path = path or public_tokenizers.path(DEFAULT)
     spark = docs.sparkSession
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, run_id, shared)
+        encoder = _encoder(path, run_id, shared, remembered)
         for batch in batches:
             ids = encoder.encode([t or "" for t in column(batch, "text")])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], schema=schema)
@@ -260,7 +260,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(run, encoded.withColumn("decoded", F.lit(b"")).schema)
 
 
-def byte_pair_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+def byte_pair_digests(docs: DataFrame, path: str | None = None, remembered: int = KNOWN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    done = decode(encode(docs, path), path)
+    done = decode(encode(docs, path, remembered), path)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

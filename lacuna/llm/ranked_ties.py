@@ -109,6 +109,7 @@ class Machine:
     order: Order
     most: int
     schema: pa.Schema
+    hold: int = HOLD
     task: int = 0
     group_at: tuple | None = None  # the current group's and pair's values
     pair_at: tuple | None = None
@@ -170,7 +171,7 @@ class Machine:
             return
         self.held.append((rows, pos))
         self.n_held += len(pos)
-        if self.long or self.n_held > HOLD:
+        if self.long or self.n_held > self.hold:
             self.long = True
             yield from self._let_go(None)
 
@@ -221,9 +222,9 @@ class Machine:
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, self.schema, strict=True)], schema=self.schema)
 
 
-def ranked_ties(rows: DataFrame, order: Order, most: int, tasks: int | None = None) -> DataFrame:
+def ranked_ties(rows: DataFrame, order: Order, most: int, tasks: int | None = None, hold: int = HOLD, batch: int = 10_000) -> DataFrame:
     """The rows whose place is at most ``most``: the order's columns, ``pos`` (equal rows apart), ``place`` (1 plus the rows of earlier pairs) and
-    ``tied`` (rows of the pair), counted within groups."""
+    ``tied`` (rows of the pair), counted within groups.  ``tasks`` is the session's number of shuffle partitions unless given; ``hold`` and ``batch`` bound memory."""
     spark = rows.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select(*[F.col(c).cast("long") for c in order.columns])
@@ -231,13 +232,13 @@ def ranked_ties(rows: DataFrame, order: Order, most: int, tasks: int | None = No
     schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in (*order.columns, *numbers))])
 
     def machine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = Machine(order, most, schema)
+        state = Machine(order, most, schema, hold)
         for batch in batches:
             yield from state.feed(batch)
         yield from state.end()
 
     ddl = ", ".join(["kind int", *(f"`{c}` long" for c in (*order.columns, *numbers))])
-    with arrow_batches(spark, 10_000):
+    with arrow_batches(spark, batch):
         found = kept(placed(rows, order, tasks).mapInArrow(machine, ddl), "ranked-ties", "kind")
     return repaired(found, order, most)
 

@@ -48,21 +48,13 @@ def made(seed, n):
 
 
 @pytest.mark.parametrize(("tasks", "hold", "batch", "most"), [(1, 1 << 16, 10_000, 3), (7, 20, 16, 3), (40, 1, 7, 1), (40, 1 << 16, 50, 12), (300, 5, 10_000, 3)])
-def test_ranked_ties(spark, monkeypatch, tasks, hold, batch, most):
-    monkeypatch.setattr(ranked_ties, "HOLD", hold)
-    monkeypatch.setattr(ranked_ties, "arrow_batches", lambda s, rows: byte_pairs_batches(s, batch))
+def test_ranked_ties(spark, tasks, hold, batch, most):
     rows = made(tasks, 600)
     df = spark.createDataFrame(rows, "g long, h long, p long, q long, t long, u long").withColumns({"place": F.lit("x"), "task": F.lit("y")})
-    got = ranked_ties.ranked_ties(df.repartition(3), ORDER, most, tasks).collect()
+    got = ranked_ties.ranked_ties(df.repartition(3), ORDER, most, tasks, hold, batch).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_ranks(rows, most)
 
 
-def byte_pairs_batches(spark, rows):
-    from lacuna.llm.common import arrow_batches
-
-    return arrow_batches(spark, rows)
-
-
 def test_ranked_ties_spread_one_group(spark):
     """One group, most of it one pair of equal rows: no task gets more than a few times its share."""
     n, tasks = 20_000, 10
@@ -174,11 +166,10 @@ def test_replay_equals_library(library):
 @pytest.mark.parametrize(("common", "known"), [(50_000, 300_000), (10, 5), (1, 0)])
 def test_byte_pairs(spark, library, monkeypatch, common, known):
     monkeypatch.setattr(byte_pairs, "COMMON", common)
-    monkeypatch.setattr(byte_pairs, "KNOWN", known)
     r = random.Random(common)
     texts = [None, "", " ", "don't  stop\n\n now ", "x" * 20_000, " \t  　 é", "１２３ ٣٤ ½", "<|endoftext|> <P>", "​﻿\x85a\x1cb"]
     texts += ["".join(r.choice("abcdeiorst  \n'éßü日本1234.,!?\t") for _ in range(r.randint(0, 400))) for _ in range(80)] + ["the same text again"] * 5
-    got = by_id(byte_pairs.byte_pair_digests(frame(spark, texts)))
+    got = by_id(byte_pairs.byte_pair_digests(frame(spark, texts), remembered=known))
     for i, t in enumerate(texts):
         ids = np.array(library.encode_ordinary(t or ""), dtype="<u4")
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest()), repr(t)[:80]
