@@ -39,14 +39,14 @@ def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["paper_id", "chunk_id", "dl", "term", "tf"])
 
 
-def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(parts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     """Blocks of neighbouring postings of one term, whose impacts fall; ``first`` marks a term's first block in its task."""
     last = None
     for p in parts:
         terms, cuts = p["term"].to_numpy(), []
         edges = np.append(np.flatnonzero(np.append(True, terms[1:] != terms[:-1])), len(terms))
         for i, j in zip(edges, edges[1:], strict=False):
-            cuts += [(k, min(k + BLOCK, j)) for k in range(i, j, BLOCK)]
+            cuts += [(k, min(k + size, j)) for k in range(i, j, size)]
         papers, chunks, impacts, part = (p[c].tolist() for c in ("paper_id", "chunk_id", "impact", "part"))
         rows = []
         for i, j in cuts:
@@ -66,7 +66,7 @@ class Index:
     n: int
 
     @classmethod
-    def build(cls, chunks: DataFrame, k1: float = 1.5, b: float = 0.75) -> Index:
+    def build(cls, chunks: DataFrame, k1: float = 1.5, b: float = 0.75, block: int = BLOCK) -> Index:
         """The index of chunks (paper_id, chunk_id, text)."""
         kinds = dict(chunks.dtypes)
         key = f"paper_id {kinds['paper_id']}, chunk_id {kinds['chunk_id']}"
@@ -79,7 +79,7 @@ class Index:
         order = ["part", "term", F.desc("impact"), "paper_id", "chunk_id"]
         cut = postings.repartitionByRange(*order).sortWithinPartitions(*order)
         lists = f"paper_ids array<{kinds['paper_id']}>, chunk_ids array<{kinds['chunk_id']}>, impacts array<double>"
-        blocks = kept(cut.mapInPandas(_blocks, f"part int, term string, most double, first boolean, {lists}"), "blocks", "part")
+        blocks = kept(cut.mapInPandas(lambda parts: _blocks(parts, block), f"part int, term string, most double, first boolean, {lists}"), "blocks", "part")
         df = postings.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most"))
         return cls(postings, blocks, kept(df, "terms", "part"), sizes.select("paper_id", "chunk_id"), n)
 

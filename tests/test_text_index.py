@@ -22,10 +22,9 @@ def chunks(spark):
 
 
 @pytest.mark.parametrize(("block", "k"), [(128, 10), (4, 10), (1, 3), (7, 700)])
-def test_search_equals_scan(spark, chunks, monkeypatch, block, k):
-    monkeypatch.setattr(text_index, "BLOCK", block)
+def test_search_equals_scan(spark, chunks, block, k):
     asked = {1: "common word1 word250", 2: "Word3 word3 word7 nowhere", 3: "word299 word298", 4: "nowhere at all", 5: "", 6: "common"}
-    index = text_index.Index.build(chunks)
+    index = text_index.Index.build(chunks, block=block)
     found = index.search(spark.createDataFrame(list(asked.items()), "qid long, text string"), k)
     got = {}
     for x in found.collect():
@@ -56,13 +55,12 @@ def brute(chunks, text, k):
     return sorted(few, key=lambda x: (-x[0], x[1], x[2]))[:k]
 
 
-def test_blocks_are_skipped(spark, monkeypatch):
+def test_blocks_are_skipped(spark):
     """A word in every chunk beside a rare one: the common word's blocks are not read."""
-    monkeypatch.setattr(text_index, "BLOCK", 16)
     chunks = spark.range(4000).select(
         F.col("id").alias("paper_id"), F.lit(0).cast("long").alias("chunk_id"), F.concat(F.lit("everywhere "), F.when(F.col("id") % 100 == 0, "seldom seldom").otherwise("filler"), F.lit(" "), F.sha1(F.col("id").cast("string"))).alias("text")
     )
-    index = text_index.Index.build(chunks)
+    index = text_index.Index.build(chunks, block=16)
     asked = index.weighted(spark.createDataFrame([(1, "everywhere seldom")], "qid long, text string"))
     read = index.candidates(asked, index.floors(asked, 5, 3))
     assert index.blocks.where("term = 'everywhere'").count() >= 250 and read.where("term = 'everywhere'").count() == 0 and read.count() <= 6
