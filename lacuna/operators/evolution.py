@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.text import bounded, stable_id
 from lacuna.operators.selection import diverse_finals  # noqa: F401
+from lacuna.scratch import kept, ranked
 
 # What each mutation adds to which score.
 MUTATIONS = {
@@ -81,16 +82,52 @@ def mutated(rows: DataFrame, generation: int, operator: Column | None = None) ->
     return out.withColumns({"parents": F.array("id"), "generation": F.lit(generation)})
 
 
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``place``, from 0, in a total order; no task holds more than a range of it."""
+    return ranked(rows, order, "place").withColumn("place", F.col("place") - 1)
+
+
+def tournaments(rows: DataFrame, slots: int, size: int, generation: int) -> DataFrame:
+    """(slot, ...): winners of tournaments, each among ``size`` different drawn rows of (id, fitness, ...): the fittest, of equals the least id.
+
+    A tournament draws places in the order of ids; rows meet their places in a join, so the population is never gathered.
+    """
+    n = rows.count()
+    size = min(size, n)
+    drawn = lambda j: F.pmod(F.xxhash64(F.lit(generation), F.col("slot"), j), F.lit(1 << 40)) / float(1 << 40)
+    # the j-th of different places: a number below n - j, moved past those that are taken, in their order
+    other = lambda taken, j: F.aggregate(taken, F.floor(drawn(j) * (F.lit(n) - j)).cast("long"), lambda x, t: x + (x >= t).cast("long"))
+    places = F.aggregate(F.sequence(F.lit(0), F.lit(max(size - 1, 0))), F.array().cast("array<long>"), lambda taken, j: F.array_sort(F.array_append(taken, other(taken, j))))
+    entered = rows.sparkSession.range(slots if n else 0).select(F.col("id").alias("slot")).select("slot", F.explode(places).alias("place"))
+    met = entered.join(placed(rows, [F.asc("id")]), "place")
+    first = met.groupBy("slot").agg(F.max_by(F.struct(*rows.columns), F.struct("fitness", (-F.col("place")).alias("first"))).alias("r"))
+    return first.select("slot", "r.*")
+
+
+def partners(rows: DataFrame, generation: int) -> DataFrame:
+    """(a, b): for every row (id, motif_type, gap_id) a drawn partner of another motif, else of another gap; rows that have neither get none.
+
+    Rows are placed by motif, gap and draw, and each takes the row as many places on as the largest motif has rows: then no two of a motif meet
+    unless it holds more than half of all, and as few as can be if it does.
+    """
+    at = kept(placed(rows.select("id", "motif_type", "gap_id"), [F.asc("motif_type"), F.asc("gap_id"), draw(generation, "id"), F.asc("id")]), "partners")
+    n = at.count()
+    far = at.groupBy("motif_type").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    b = at.select(F.pmod(F.col("place") - far, F.lit(max(n, 1))).alias("place"), F.col("id").alias("b"), F.col("motif_type").alias("bm"), F.col("gap_id").alias("bg"))
+    different = (F.col("motif_type") != F.col("bm")) | (F.col("gap_id") != F.col("bg"))
+    return at.join(b, "place").where(different & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
+
+
 def crossed(rows: DataFrame, generation: int) -> DataFrame:
-    """Children of drawn pairs: neighbours in the drawn order within a motif's bucket; mean scores with a bonus, the better survival.
+    """Children of drawn pairs: neighbours in the drawn order of a motif's rows, the last of an odd number with the first; mean scores with a bonus, the better survival.
 
-    Buckets with one motif are numbered by stretches of the drawn order, so a bucket of any size is dealt over tasks.
+    Places come from one sort over ranges, so a motif of any size is dealt over tasks and every size follows the same rule.
     """
-    stretch = F.floor(draw(generation, "id") * 64)
-    order = Window.partitionBy("motif_type", "stretch").orderBy(draw(generation, "id"), "id")
-    numbered = rows.withColumn("stretch", F.when(F.lit(rows.count() > 4096), stretch).otherwise(0)).withColumn("k", F.row_number().over(order) - 1)
-    side = lambda parity, name: numbered.where(F.col("k") % 2 == parity).select("motif_type", "stretch", F.floor(F.col("k") / 2).alias("pair"), F.struct(*rows.columns).alias(name))
-    both = side(0, "a").join(side(1, "b"), ["motif_type", "stretch", "pair"])
+    at = kept(placed(rows, [F.asc("motif_type"), draw(generation, "id"), F.asc("id")]), "crossed")
+    first = at.groupBy("motif_type").agg(F.min("place").alias("from"), F.count(F.lit(1)).alias("n"))  # a row for each motif
+    numbered = at.join(F.broadcast(first), "motif_type").withColumn("k", F.col("place") - F.col("from"))
+    one = numbered.where("k % 2 = 0 AND n > 1").select("motif_type", F.when(F.col("k") + 1 < F.col("n"), F.col("k") + 1).otherwise(0).alias("with"), F.struct(*rows.columns).alias("a"))
+    both = one.join(numbered.select("motif_type", F.col("k").alias("with"), F.struct(*rows.columns).alias("b")), ["motif_type", "with"])
     operator = F.get(F.array(*[F.lit(c) for c in CROSSOVERS]), (draw(generation, "a.id", "b.id") * len(CROSSOVERS)).cast("int"))
     more = {}
     if "mechanism" in rows.columns:

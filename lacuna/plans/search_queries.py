@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.operators import model_stages, search_plans
+from lacuna.operators import evolution, model_stages, reply_rules, search_plans
 from lacuna.plans.views import table
+from lacuna.scratch import shared_dir
+from lacuna.sources import paged
 
 _KNOWN = ["and the", "of the", "the"]
 _CATEGORIES = ["cs.LG", "math.OC", "stat.ML"]
@@ -65,6 +68,54 @@ def direct_formulations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("gap_id", "title", "problem_statement", "recommendation", F.round("coherence_score", 6).alias("coherence_score"), "specificity_score", F.coalesce("error", F.lit("")).alias("error"))
 
 
+# --- paged listings ---
+
+
+def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents served in pages of 100 a language, from 2010 on, pages 1 and later."""
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("venue"), d.cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"), (2000 + d % 20).cast("int").alias("year"), d.alias("place"))
+    service = paged.Served.write(rows, f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}", 100)
+    found = paged.listed(spark, service, sorted(service.counts), 100)
+    return found.where("venue IN ('de', 'en', 'fr') AND year >= 2010 AND page >= 1").select("venue", "page", F.col("id").cast("long").alias("doc_id"), "title", "year")
+
+
+# --- partners ---
+
+
+def evolution_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as candidates of motifs (priorities) and gaps (clerks): how many have a partner of another motif, how many of another gap only."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("motif_type"), (F.col("o_custkey") % 50).cast("string").alias("gap_id"))
+    pairs = evolution.partners(rows, 3)
+    side = lambda s: rows.select(F.col("id").alias(s), F.col("motif_type").alias(f"{s}m"), F.col("gap_id").alias(f"{s}g"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.groupBy(F.col("am").alias("motif_type")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("b").alias("partners"), F.count_if(F.col("am") != F.col("bm")).alias("other_motif"), F.count_if((F.col("am") == F.col("bm")) & (F.col("ag") == F.col("bg"))).alias("same_gap"))
+
+
+# --- whole replies ---
+
+_CRITERIA = ("evidence_grounding", "formalizability", "overall_worth_reading", "actionability")
+
+
+def whole_reply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as whole replies of three modes: what is refused in them, special winners, justifications."""
+    k = F.col("o_orderkey")
+    s = lambda n: F.when(k % n == 0, F.lit("x"))
+    special = [F.when(k % 7 == i, F.lit(None)).otherwise(F.struct(F.when(k % 11 == i, "zz").otherwise(F.concat(F.lit("c"), k % 4)).alias("candidate_id"), F.when(k % 13 == i, " ").otherwise("why").alias("reason"))).alias(n) for i, n in enumerate(reply_rules.SPECIAL)]
+    why = F.map_filter(F.create_map(*[x for i, c in enumerate(_CRITERIA) for x in (F.lit(c), F.when(k % 5 == i, "").otherwise("because"))]), lambda c, _: ~((k % 17 == 0) & (c == "formalizability")))
+    reply = F.to_json(F.struct(
+        s(19).alias("scores"), s(23).alias("pairwise_preference"), F.when(k % 29 == 0, "Weighted_Composite 3").alias("notes"), F.array(*[F.concat(F.lit("c"), F.lit(str(i))) for i in range(3)], F.when(k % 6 == 0, "other").otherwise("c3")).alias("candidate_ids"),
+        *special, F.when(k % 10 == 0, "maybe").otherwise("HIGH").alias("confidence"), F.when(k % 31 == 0, "like the Baseline Method").otherwise("n").alias("domain_level_notes"), F.when(k % 37 != 0, why).alias("score_justification"),
+    ))
+    rows = table(spark, sf_dir, "orders").select(k, reply.alias("reply"))
+    joined = lambda x: F.array_join(F.array_sort(x), ";")
+    return rows.select(
+        "o_orderkey", joined(reply_rules.refused("preference")).alias("preference"), joined(F.concat(reply_rules.refused("ranking"), reply_rules.special_winners(F.array(*[F.lit(f"c{i}") for i in range(4)])))).alias("ranking"),
+        joined(F.concat(reply_rules.refused("independent"), reply_rules.justifications(_CRITERIA))).alias("independent"), joined(reply_rules.refused("batch")).alias("batch"),
+    )
+
+
 def _strings(xs) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]::VARCHAR[]"
 
@@ -102,7 +153,24 @@ def _facets_sql() -> str:
 
 _PROBLEM = "CASE WHEN {0} % 2 = 1 THEN 'ValueError: no JSON object in the reply' ELSE 'missing: {1}' END"
 
+
+
+def _whole_sql() -> str:
+    def listed(rules: list[tuple[str, str]]) -> str:
+        return "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for test, name in rules) + "], lambda x: x IS NOT NULL)), ';')"
+
+    scores, preference, composite = ("k % 19 = 0", "refused:scores"), ("k % 23 = 0", "refused:pairwise_preference"), ("k % 29 = 0", "refused:composite")
+    special = [(f"k % 7 = {i}", f"no_object:{n}") for i, n in enumerate(reply_rules.SPECIAL)]
+    special += [(f"k % 7 <> {i} AND k % 11 = {i}", f"unknown:{n}") for i, n in enumerate(reply_rules.SPECIAL)] + [(f"k % 7 <> {i} AND k % 13 = {i}", f"no_reason:{n}") for i, n in enumerate(reply_rules.SPECIAL)]
+    why = [("k % 37 = 0", "no_justifications")] + [(f"k % 37 <> 0 AND (k % 5 = {i}" + (" OR k % 17 = 0)" if c == "formalizability" else ")"), f"no_justification:{c}") for i, c in enumerate(_CRITERIA)]
+    ranking = [scores, preference, composite, ("k % 6 = 0", "candidate_ids"), *special, ("k % 10 = 0", "invalid_confidence"), ("k % 31 = 0", "method_label")]
+    return f"""SELECT k AS o_orderkey, {listed([scores, composite])} AS preference, {listed(ranking)} AS ranking, {listed([preference, composite, *why])} AS independent, {listed([preference, composite])} AS batch FROM (SELECT o_orderkey AS k FROM orders)"""
+
+
 ORACLE_SQL = {
+    "paged_listing": """SELECT lang AS venue, CAST(doc_id // 100 AS INTEGER) AS page, doc_id, split_part(text, chr(10), 1) AS title, CAST(2000 + doc_id % 20 AS INTEGER) AS year FROM documents WHERE lang IN ('de', 'en', 'fr') AND doc_id % 20 >= 10 AND doc_id // 100 >= 1""",
+    "evolution_partners": "SELECT o_orderpriority AS motif_type, count(*) AS n, count(*) AS partners, count(*) AS other_motif, 0::BIGINT AS same_gap FROM orders GROUP BY 1",
+    "whole_reply_rules": _whole_sql(),
     "query_phrases": f"""WITH {_LINES_SQL}, w AS (SELECT qid, list_filter({_WORDS_SQL}, lambda x: NOT list_contains({_strings(search_plans.STOPS)}, x)) AS w FROM q), l AS (SELECT qid, CASE WHEN len(w) > 0 THEN list_prepend(array_to_string(w, ' '), w) ELSE [] END AS l FROM w)
         SELECT qid, array_to_string(({_FIRSTS.format('l')})[:8], '|') AS phrases FROM l""",
     "fielded_queries": _fielded_sql(),
@@ -114,4 +182,4 @@ ORACLE_SQL = {
         CASE WHEN b THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, (p_partkey % 13)::DOUBLE / 10), 6) END AS coherence_score, 0.0::DOUBLE AS specificity_score, CASE WHEN b THEN {_PROBLEM.format('p_partkey', 'title, problem_statement')} ELSE '' END AS error FROM (SELECT *, p_partkey % 9 = 0 AS b FROM part)""",
 }
 
-QUERIES = {f.__name__: f for f in (query_phrases, fielded_queries, query_facets, model_extraction, direct_formulations)}
+QUERIES = {f.__name__: f for f in (query_phrases, fielded_queries, query_facets, model_extraction, direct_formulations, paged_listing, evolution_partners, whole_reply_rules)}
