@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import count_phrases, dot, matched_phrases, squash, words
-from lacuna.scratch import kept
+from lacuna.scratch import kept, ranked
 
 
 @dataclass
@@ -163,18 +163,27 @@ def rerank(rows: DataFrame, query: list[float], weight: float = 12.0) -> DataFra
     return rows.withColumn("score", F.col("base") + weight * cosine)
 
 
-def mmr(rows: DataFrame, k: int, balance: float = 0.75) -> DataFrame:
-    """Maximal marginal relevance over all rows (id, score, embedding): (id, position).
+#: Blocks of rows that a selection is divided into; blocks looked at together.
+BLOCKS, AT_ONCE = 512, 8
 
-    The greedy choice is sequential: each of k rounds reads the rows once, compares them with the vectors chosen so far and sends the best row to the
-    driver.  Ties go to the larger score, then to the lesser id.
+
+def mmr(rows: DataFrame, k: int, balance: float = 0.75, blocks: int = BLOCKS, seen: list[int] | None = None) -> DataFrame:
+    """Maximal marginal relevance over all rows (id, score, embedding): (id, position).  Ties go to the larger score, then to the lesser id.
+
+    A row's value only falls as more are chosen, so a value from an earlier round is an upper bound.  Rows are written in blocks by score, and the driver keeps one
+    bound for each of the ``blocks``; a round reads the blocks with the largest bounds until no other block can hold a better row.  ``seen`` takes
+    the number of blocks read in each round.
     """
     rows = rows.select("id", F.col("score").cast("double").alias("score"), "embedding")
-    schema = f"id {dict(rows.dtypes)['id']}, position int"
+    spark, schema = rows.sparkSession, f"id {dict(rows.dtypes)['id']}, position int"
     n, low, high = rows.agg(F.count(F.lit(1)), F.min("score"), F.max("score")).first()
     if n <= k:
         all_rows = rows.orderBy(F.desc("score"), "id").collect()
-        return rows.sparkSession.createDataFrame([(r["id"], i) for i, r in enumerate(all_rows, 1)], schema)
+        return spark.createDataFrame([(r["id"], i) for i, r in enumerate(all_rows, 1)], schema)
+    relevance = lambda score: (score - low) / (high - low) if high > low else score
+    place = ranked(rows, [F.desc("score"), F.asc("id")], "place").withColumn("block", F.floor((F.col("place") - 1) * blocks / n).cast("int"))
+    table = kept(place.drop("place").repartition("block"), "mmr", "block")
+    bounds = {r["block"]: balance * relevance(r["top"]) for r in table.groupBy("block").agg(F.max("score").alias("top")).collect()}  # a row for each block
     chosen: list[tuple] = []
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,20 +192,33 @@ def mmr(rows: DataFrame, k: int, balance: float = 0.75) -> DataFrame:
             p = p[~p["id"].isin(ids)]
             if not len(p):
                 continue
-            score = p["score"].to_numpy(float)
-            value = balance * ((score - low) / (high - low) if high > low else score)
+            value = balance * relevance(p["score"].to_numpy(float))
             if vectors:
                 v = _unit(np.stack(p["embedding"].to_numpy()).astype(float))
                 # sums by row: equal vectors get equal similarities wherever they stand
                 value = value - (1 - balance) * np.max([(v * c).sum(axis=1) for c in vectors], axis=0)
-            p = p.assign(value=value)
-            yield p[p["value"] == p["value"].max()].sort_values(["score", "id"], ascending=[False, True]).head(1)
+            p = p.assign(value=value).sort_values(["value", "score", "id"], ascending=[False, False, True])
+            yield p.groupby("block").head(1)
 
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    kinds = ", ".join(f"{c} {t}" for c, t in table.dtypes)
     while len(chosen) < k:
-        found = rows.mapInPandas(best, f"{kinds}, value double").orderBy(F.desc("value"), F.desc("score"), "id").limit(1).first()
-        chosen.append((found["id"], found["embedding"]))
-    return rows.sparkSession.createDataFrame([(i, n) for n, (i, _) in enumerate(chosen, 1)], schema)
+        top, fresh = None, set()
+        while True:
+            order = sorted((b for b in bounds if b not in fresh), key=lambda b: -bounds[b])
+            some = [b for b in order[:AT_ONCE] if top is None or bounds[b] >= top["value"] - 1e-12]
+            if not some:
+                break
+            found = table.where(F.col("block").isin(some)).mapInPandas(best, f"{kinds}, value double").orderBy(F.desc("value"), F.desc("score"), "id").collect()  # some rows for each of few blocks
+            fresh.update(some)
+            for b in some:
+                bounds[b] = max((r["value"] for r in found if r["block"] == b), default=-np.inf)
+            for r in found[:1]:
+                if top is None or (-r["value"], -r["score"], r["id"]) < (-top["value"], -top["score"], top["id"]):
+                    top = r
+        if seen is not None:
+            seen.append(len(fresh))
+        chosen.append((top["id"], top["embedding"]))
+    return spark.createDataFrame([(i, n) for n, (i, _) in enumerate(chosen, 1)], schema)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:

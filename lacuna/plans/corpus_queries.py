@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import text as T
 from lacuna.functions import vectorised
-from lacuna.operators import retrieval, similarity, text_index
+from lacuna.operators import patterns, retrieval, similarity, text_index
 from lacuna.plans.views import table
 
 STOPS = ["with", "that", "this", "from", "were", "have"]
@@ -165,7 +165,7 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which benchmark spans of 15 characters or more stand in which documents, both in the reference's form.
 
     Where a span stands, its interior words are whole words of the text, whatever is glued to its ends.  So spans of six words or more meet the
-    documents on their second to fifth word, and a plain search confirms; the others are sought in every document.
+    documents on their second to fifth word, and a plain search confirms; automata seek the others in every document.
     """
     four = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(4)), " "))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -177,9 +177,9 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = places.join(F.broadcast(keys.select("item_id", "k")) if keys.count() <= 100_000 else keys.select("item_id", "k"), "k").select("item_id", "doc_id").distinct()
     # texts and spans join the pairs that met only
     hits = met.join(docs, "doc_id").join(spans.select("item_id", "span"), "item_id").select("item_id", "doc_id", "span", vectorised.span_form("text").alias("t"))
-    few = spans.where(F.size("w") < 6).select("item_id", "span")
-    short = docs.select("doc_id", vectorised.span_form("text").alias("t")).join(few, F.contains("t", "span"))
-    return hits.where(F.contains("t", "span")).select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
+    few = spans.where(F.size("w") < 6).select(F.col("item_id").alias("key"), F.col("span").alias("pattern"))
+    short = patterns.first_places(few, docs.select(F.col("doc_id").alias("id"), vectorised.span_form("text").alias("text"))).select(F.col("key").alias("item_id"), F.col("id").alias("doc_id"))
+    return hits.where(F.contains("t", "span")).select("item_id", "doc_id").unionByName(short).distinct()
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

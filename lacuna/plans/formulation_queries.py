@@ -212,7 +212,7 @@ def counter_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counterevidence edges that gaps find by their nodes, traced edges, labels and references."""
     _, _, nodes, edges = _lookup(spark, sf_dir)
     p = F.col("p_partkey")
-    gaps = table(spark, sf_dir, "part").where("p_partkey < 100").select(
+    gaps = table(spark, sf_dir, "part").select(
         F.concat(F.lit("gap"), p).alias("gap_id"), F.lit(None).cast("string").alias("motif_id"), F.array(F.concat(F.lit("m"), p + 5)).alias("core_ids"),
         F.array(F.concat(F.lit("m"), p), F.concat(F.lit("e"), p * 2)).alias("traceability_path"), F.upper("p_name").alias("gap"),
     )
@@ -371,7 +371,7 @@ ORACLE_SQL = {
           count(*) FILTER (WHERE doc_id % 50 <> 1 AND NOT (NOT bad AND doc_id % 6 = 0) AND (fl > 0 OR conf = 'low')) AS requires_human_definition_count, count(*) FILTER (WHERE doc_id % 50 = 1) AS families_missing_formalization, 0 AS invented_families,
           CASE WHEN count(*) FILTER (WHERE doc_id % 50 = 1) = 0 THEN 'PASS' ELSE 'FAILED' END AS status FROM j""",
     "counter_pairs": f"WITH {_LK} SELECT node_id, record_id, 'ce:' || substr(sha1(node_id || chr(10) || record_id), 1, 16) AS candidate_id, round(score, 6) AS score, round(co, 6) AS contrast, round(gr, 6) AS graph, round(an, 6) AS anchor FROM k WHERE rn <= 20 ORDER BY score DESC, node_id, record_id LIMIT 2000",
-    "counter_lookup": f"""WITH {_LK}, q AS (SELECT 'gap' || p_partkey AS gap_id, p_partkey AS p, upper(p_name) AS gap FROM part WHERE p_partkey < 100),
+    "counter_lookup": f"""WITH {_LK}, q AS (SELECT 'gap' || p_partkey AS gap_id, p_partkey AS p, upper(p_name) AS gap FROM part),
         spots AS (SELECT gap_id, 'm' || p AS node FROM q UNION SELECT gap_id, 'm' || (p + 5) FROM q UNION SELECT gap_id, e FROM (SELECT gap_id, unnest([source, target]) AS e FROM q JOIN ed ON ed.id = 'e' || p * 2) UNION SELECT gap_id, id FROM q JOIN n ON lower(label) = lower(gap) AND type = 'Limitation'),
         ce AS (SELECT * FROM ed WHERE relation IN {lookup.EDGES}) SELECT gap_id, id AS edge_id FROM spots JOIN ce ON node IN (source, target) WHERE node IN (SELECT id FROM n) UNION SELECT gap_id, id FROM q JOIN ce ON ref = gap_id""",
     "counter_edges": f"""WITH c AS (SELECT o_orderkey AS k, o_custkey AS p, CASE WHEN o_orderkey % 13 = 0 THEN 'unclear' ELSE {_sql_pick(['fully_addresses', 'relaxes_assumption', 'unrelated', 'handles_failure_condition', 'unclear'], 'o_orderkey')} END AS label,

@@ -116,7 +116,7 @@ def min_max_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verified_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as gaps that their line items verify and do not know as solved."""
-    seen = table(spark, sf_dir, "lineitem").where("l_linenumber > 3").select(F.col("l_orderkey").alias("gap_id"), F.when(F.col("l_returnflag") == "R", "known_solved").otherwise("novel").alias("novelty_class"))
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("gap_id"), F.when(F.col("l_returnflag") == "R", "known_solved").otherwise("novel").alias("novelty_class"))
     gaps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("gap_id"), "o_orderpriority")
     return runs.verified_gaps(gaps, seen).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
@@ -125,7 +125,7 @@ def family_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as families with their representative's and their problem's fields; families without either stay."""
     families = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("family_id"), (F.col("p_partkey") % 100).alias("representative"), F.array(F.col("p_partkey") % 7, F.col("p_partkey") % 300).alias("members"))
     direct = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("formulation_id"), "s_name")
-    problems = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").groupBy(F.col("l_partkey").alias("family_id")).agg(F.count(F.lit(1)).alias("problems"))
+    problems = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("family_id")).agg(F.count(F.lit(1)).alias("problems"))
     return formal.families_with(families, direct, problems).select("family_id", F.col("representative_row.s_name").alias("representative"), F.size("member_rows").alias("members"), F.coalesce("problems", F.lit(0)).alias("problems"))
 
 
@@ -205,9 +205,9 @@ ORACLE_SQL = {
         SELECT doc_id, len(three) AS three, len(list_filter(list_distinct(regexp_extract_all(x, '[a-z0-9]{{2,}}')), lambda w: NOT list_contains({_PSTOP}, w))) AS content, len(string_split(trim(regexp_replace(text, '[ \\n\\t]+', ' ', 'g')), ' ')) AS spaced,
         len(list_distinct(regexp_extract_all(x, '[a-z][a-z\\-]+'))) AS hyphened, len(list_distinct(regexp_extract_all(x, '[a-z]{{5,}}'))) AS five, list_has_all(three, ['the', 'file', 'code']) AS holds FROM t""",
     "min_max_scores": "SELECT c_custkey, round((c_acctbal::DOUBLE - min(c_acctbal::DOUBLE) OVER ()) / (max(c_acctbal::DOUBLE) OVER () - min(c_acctbal::DOUBLE) OVER ()), 9) AS score FROM customer",
-    "verified_gaps": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3 AND l_returnflag <> 'R') GROUP BY 1",
+    "verified_gaps": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'R') GROUP BY 1",
     "family_problems": """WITH m AS (SELECT DISTINCT p_partkey, unnest([p_partkey % 7, p_partkey % 300]) AS s FROM part), k AS (SELECT p_partkey, count(*) AS n FROM m JOIN supplier ON s_suppkey = s GROUP BY 1)
-        SELECT p.p_partkey AS family_id, s_name AS representative, coalesce(k.n, 0)::INTEGER AS members, (SELECT count(*) FROM lineitem WHERE l_linenumber = 2 AND l_partkey = p.p_partkey) AS problems
+        SELECT p.p_partkey AS family_id, s_name AS representative, coalesce(k.n, 0)::INTEGER AS members, (SELECT count(*) FROM lineitem WHERE l_partkey = p.p_partkey) AS problems
         FROM part p LEFT JOIN supplier ON s_suppkey = p.p_partkey % 100 LEFT JOIN k ON k.p_partkey = p.p_partkey""",
     "titled_extractions": """SELECT coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END, CAST(l_partkey AS VARCHAR)) AS title, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem LEFT JOIN orders ON o_orderkey = l_partkey GROUP BY 1""",
     "personal_ranks": """WITH s AS (SELECT o_orderkey AS id, (o_orderkey % 101) / 101 AS o, least(1, greatest(0, 0.35::DOUBLE * ((o_orderkey % 101) / 101) + 0.30::DOUBLE * ((o_orderkey % 7) / 7) + 0.20::DOUBLE * ((o_orderkey % 13) / 13) + 0.15::DOUBLE * ((o_orderkey % 29) / 29))) AS p FROM orders),

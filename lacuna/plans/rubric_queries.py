@@ -230,7 +230,7 @@ def special_winner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").groupBy(F.col("l_orderkey").alias("domain"), F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("l_linenumber") - 1).alias("kind")).agg(F.max("l_suppkey").alias("candidate_id"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("domain"), F.get(F.array(*[F.lit(k) for k in KINDS]), (F.col("l_linenumber") - 1) % 4).alias("kind")).agg(F.max("l_suppkey").alias("candidate_id"))
     key = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("candidate_id"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("method"))
     return rollups.domain_winners(rows, key, KINDS)
 
@@ -552,7 +552,7 @@ ORACLE_SQL = {
         SELECT am AS candidate_a_method, bm AS candidate_b_method, CASE p WHEN 0 THEN am WHEN 1 THEN bm ELSE 'TIE' END AS preferred_method, count(*) AS n FROM r GROUP BY 1, 2, 3""",
     "rank_rows": "SELECT l_orderkey AS domain, l_suppkey % 4 AS candidate_id, " + ", ".join(f"max(l_partkey % 4 + 1) FILTER (WHERE l_linenumber % 3 = {i}) AS {c}" for i, c in enumerate(_CRIT3)) + " FROM lineitem GROUP BY 1, 2",
     "special_winner_counts": "SELECT o_orderpriority AS method, " + ", ".join(f"count(*) FILTER (WHERE o_orderkey % 4 = {i}) AS {k}_count" for i, k in enumerate(KINDS)) + " FROM orders GROUP BY 1",
-    "domain_winners": "WITH r AS (SELECT l_orderkey AS domain, l_linenumber AS n, max(l_suppkey) AS c FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2), m AS (SELECT r.*, coalesce('n' || s_nationkey, 'UNKNOWN') AS m FROM r LEFT JOIN supplier ON s_suppkey = c AND s_suppkey % 3 <> 0) SELECT domain, "
+    "domain_winners": "WITH r AS (SELECT l_orderkey AS domain, (l_linenumber - 1) % 4 + 1 AS n, max(l_suppkey) AS c FROM lineitem GROUP BY 1, 2), m AS (SELECT r.*, coalesce('n' || s_nationkey, 'UNKNOWN') AS m FROM r LEFT JOIN supplier ON s_suppkey = c AND s_suppkey % 3 <> 0) SELECT domain, "
         + ", ".join(f"max(m) FILTER (WHERE n = {i + 1}) AS {k}_method, max(c) FILTER (WHERE n = {i + 1}) AS {k}_candidate_id" for i, k in enumerate(KINDS)) + " FROM m GROUP BY 1",
     "calibration_checks": f"""WITH s AS (SELECT l_orderkey AS id, {_sql_pick(list(_CRIT3), 'l_linenumber')} AS c, max(l_partkey) % 11 AS score FROM lineitem GROUP BY 1, 2),
         r AS (SELECT o_orderkey AS id, {_sql_pick(list(_CRIT3), 'o_orderkey')} AS c, o_orderkey % 2 = 0 AS mn, o_orderkey % 9 AS e FROM orders),

@@ -117,10 +117,10 @@ def openreview(responses: DataFrame, wanted: list[str], least: int = 2) -> DataF
     from lacuna.operators.retrieval_run import phrase_hit
 
     c = F.col
-    p = responses.select(F.from_json("body", schema).alias("i"), "query").where("i.id IS NOT NULL")
+    p = responses.select(F.from_json("body", schema).alias("i"), "query", "body").where("i.id IS NOT NULL")
     p = p.withColumns({"title": F.trim(F.coalesce(c("i.content.title.value"), F.lit(""))), "abstract": F.coalesce(c("i.content.abstract.value"), F.lit(""))})
     p = p.where(phrase_hit(wanted, least)) if wanted else p
-    p = p.groupBy(c("i.id").alias("note")).agg(F.first(F.struct("i", "title", "abstract")).alias("r"), F.array_sort(F.collect_set("query")).alias("queries"))
+    p = p.groupBy(c("i.id").alias("note")).agg(F.min_by(F.struct("i", "title", "abstract"), F.struct("query", "body")).alias("r"), F.array_sort(F.collect_set("query")).alias("queries"))
     empty = F.array().cast("array<string>")
     return _record(p, {
         "paper_id": F.concat(F.lit("openreview:"), "note"), "title": c("r.title"), "abstract": c("r.abstract"), "authors": F.coalesce(c("r.i.content.authors.value"), empty), "venue": c("r.i.content.venue.value"),

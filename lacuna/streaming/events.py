@@ -1,10 +1,9 @@
-"""Append streams: deduplicated, resumable sinks and windowed counts with watermarks."""
+"""Append streams: deduplicated rows and windowed counts with watermarks; sinks are in ``ledger``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -18,13 +17,3 @@ def deduplicated(stream: DataFrame, key: str, time: str, delay: str = "1 hour")
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str, delay: str) -> DataFrame:
     return stream.withWatermark(time, delay).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"))
-
-
-def split_sink(stream: DataFrame, done: str, failed: str, ok: str, checkpoint: str) -> StreamingQuery:
-    """Rows that satisfy ``ok`` go to one folder, the others to another; everything available is taken, then the query ends."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.where(ok).write.mode("append").parquet(done)
-        batch.where(f"NOT coalesce({ok}, false)").write.mode("append").parquet(failed)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

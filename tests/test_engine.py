@@ -12,7 +12,7 @@ from lacuna.functions import vectorised
 from lacuna.operators import counterevidence, evolution, families, gaps, graph, judging, models, motifs, profiles, retrieval, similarity
 from lacuna.plans import catalogue
 from lacuna.sources import html, readers, sinks
-from lacuna.streaming import events
+from lacuna.streaming import events, ledger
 
 SF = "/root/testdata/sf0.001"
 
@@ -163,8 +163,8 @@ def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", "a"), (1, "2024-01-01 00:00:01", "a"), (2, "2024-01-01 00:00:02", None)], "id long, t string, kind string").withColumn("t", F.to_timestamp("t"))
     rows.write.parquet(str(tmp_path / "in"))
     stream = events.deduplicated(events.read(spark, str(tmp_path / "in"), "id long, t timestamp, kind string"), "id", "t")
-    events.split_sink(stream, str(tmp_path / "ok"), str(tmp_path / "bad"), "kind IS NOT NULL", str(tmp_path / "cp")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "ok")).count() == 1 and spark.read.parquet(str(tmp_path / "bad")).count() == 1
+    ledger.split(stream, str(tmp_path / "out"), "kind IS NOT NULL", str(tmp_path / "cp")).awaitTermination(60)
+    assert [ledger.committed(spark, str(tmp_path / "out"), p, "id long, t timestamp, kind string").count() for p in ("done", "failed")] == [1, 1]
 
 
 def test_config_and_cli(tmp_path, capsys):
