@@ -163,15 +163,15 @@ def rerank(rows: DataFrame, query: list[float], weight: float = 12.0) -> DataFra
     return rows.withColumn("score", F.col("base") + weight * cosine)
 
 
-#: Blocks of rows that a selection is divided into; blocks looked at together.
-BLOCKS, AT_ONCE = 512, 8
+#: Most blocks that a selection's rows are divided into; rows of a block, until there are that many; blocks looked at together.
+BLOCKS, BLOCK_ROWS, AT_ONCE = 512, 1024, 8
 
 
-def mmr(rows: DataFrame, k: int, balance: float = 0.75, blocks: int = BLOCKS, seen: list[int] | None = None) -> DataFrame:
+def mmr(rows: DataFrame, k: int, balance: float = 0.75, blocks: int | None = None, seen: list[int] | None = None) -> DataFrame:
     """Maximal marginal relevance over all rows (id, score, embedding): (id, position).  Ties go to the larger score, then to the lesser id.
 
     A row's value only falls as more are chosen, so a value from an earlier round is an upper bound.  Rows are written in blocks by score, and the driver keeps one
-    bound for each of the ``blocks``; a round reads the blocks with the largest bounds until no other block can hold a better row.  ``seen`` takes
+    bound for each of the blocks (``BLOCKS`` at most); a round reads the blocks with the largest bounds until no other block can hold a better row.  ``seen`` takes
     the number of blocks read in each round.
     """
     rows = rows.select("id", F.col("score").cast("double").alias("score"), "embedding")
@@ -180,6 +180,7 @@ def mmr(rows: DataFrame, k: int, balance: float = 0.75, blocks: int = BLOCKS, se
     if n <= k:
         all_rows = rows.orderBy(F.desc("score"), "id").collect()
         return spark.createDataFrame([(r["id"], i) for i, r in enumerate(all_rows, 1)], schema)
+    blocks = blocks or min(BLOCKS, -(-n // BLOCK_ROWS))
     relevance = lambda score: (score - low) / (high - low) if high > low else score
     place = ranked(rows, [F.desc("score"), F.asc("id")], "place").withColumn("block", F.floor((F.col("place") - 1) * blocks / n).cast("int"))
     table = kept(place.drop("place").repartition("block"), "mmr", "block")

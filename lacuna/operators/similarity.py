@@ -1,7 +1,7 @@
 """Exact set-similarity joins and entity resolution.
 
 Pairs come from the prefix filter: tokens are ordered rarest first, and two sets with a Jaccard similarity of t or more share one of their first
-n - ceil(t n) + 1 tokens.  Pairs are then checked on the full sets.  Vectors are compared with all others, in blocks.
+n - ceil(t n) + 1 tokens, behind which either has enough tokens left.  Pairs are then checked on the full sets.  Vectors are compared with all others, in blocks.
 """
 
 from __future__ import annotations
@@ -34,9 +34,12 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     # a set's rarest tokens: those of one set only come first, and as many tokens of the prefix are spent on them
     ordered = each.join(df, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("o"))
-    prefix = kept(ordered.where(keep > 0).select("id", "n", F.explode(F.slice("o", 1, keep)).alias("p")).select("id", "n", F.col("p.t").alias("t")), "prefix")
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
-    fits = (F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - 1e-9)) & (F.col("a") < F.col("b"))
+    shown = ordered.where(keep > 0).select("id", "n", F.size("o").alias("met"), F.posexplode(F.slice("o", 1, keep)).alias("i", "p"))
+    prefix = kept(shown.select("id", "n", (F.col("met") - F.col("i")).alias("left"), F.col("p.t").alias("t")), "prefix")  # tokens from this place on
+    a, b = (prefix.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("left").alias(f"l{k}"), "t") for k in "ab")
+    # at a pair's first common token, as many tokens must be left on either side as they need to have in common
+    needed = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
+    fits = (F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - 1e-9)) & (F.least("la", "lb") >= needed) & (F.col("a") < F.col("b"))
     pairs = a.join(b, "t").where(fits).select("a", "b").distinct()
     side = lambda k, v: classes.select(F.col("id").alias(k), F.col("t").alias(v))
     near = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)

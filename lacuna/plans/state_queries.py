@@ -17,7 +17,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, o = F.col("l_partkey"), F.col("l_orderkey")
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("n"), (p % 150).cast("string")).alias("id"), F.col("l_returnflag").alias("type"), F.concat(F.lit("label "), (p % 7).cast("string")).alias("label"), F.concat(F.lit("p"), (o % 40).cast("string")).alias("paper_id"),
-        F.col("l_shipmode").alias("evidence"), F.concat(F.lpad(o.cast("string"), 12, "0"), F.lit("-"), F.col("l_linenumber")).alias("seq"), F.col("l_linenumber").alias("line"), ((p % 11) / 10.0).alias("confidence"),
+        F.concat_ws(" ", "l_linestatus", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("evidence"), F.concat(F.lpad(o.cast("string"), 12, "0"), F.lit("-"), F.col("l_linenumber"), F.lit("-"), F.lpad(p.cast("string"), 9, "0")).alias("seq"), F.col("l_linenumber").alias("line"), ((p % 11) / 10.0).alias("confidence"),
     )
 
 
@@ -69,7 +69,7 @@ def gap_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("item_id"), F.col("id").alias("doc_id"), "place", F.sha1("snippet").alias("snippet"))
 
 
-_FACTS = """f AS (SELECT 'n' || l_partkey % 150 AS id, l_returnflag AS type, 'label ' || l_partkey % 7 AS label, 'p' || l_orderkey % 40 AS paper_id, l_shipmode AS evidence, lpad(l_orderkey::VARCHAR, 12, '0') || '-' || l_linenumber AS seq, (l_partkey % 11) / 10.0::DOUBLE AS confidence FROM lineitem)"""
+_FACTS = """f AS (SELECT 'n' || l_partkey % 150 AS id, l_returnflag AS type, 'label ' || l_partkey % 7 AS label, 'p' || l_orderkey % 40 AS paper_id, l_linestatus || ' ' || strftime(l_shipdate, '%Y-%m-%d') AS evidence, lpad(l_orderkey::VARCHAR, 12, '0') || '-' || l_linenumber || '-' || lpad(l_partkey::VARCHAR, 9, '0') AS seq, (l_partkey % 11) / 10.0::DOUBLE AS confidence FROM lineitem)"""
 
 ORACLE_SQL = {
     "graph_upserts": f"""WITH {_FACTS}, p AS (SELECT id, paper_id, min(seq) AS s FROM f GROUP BY 1, 2), e AS (SELECT DISTINCT id, seq, paper_id, evidence FROM f)
