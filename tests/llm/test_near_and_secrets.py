@@ -140,6 +140,26 @@ def test_field_finds_what_the_patterns_miss(field):
     assert hits >= 0.9 * found  # precision beside secrets
 
 
+UNSEEN = (
+    "postgres://app:Vt7nQ2xLw9Zk@db.internal:5432/main", "ya29.A0ARrdaM-k7Z9qP3xT5vB8nW2mL6sH4dF1gJ0cY", "7423918650:AAHk3Zq9XvT2mNpL5wRy8BcDf1GjKsU0QeI",
+    "$2b$12$KIXQ4hZ8y9uVtR3mN7pLsO1wE5xD6fG2hJ4kB0cA9iUyTzWqSvPe", "MFRGGZDFMZTWQ2LKNNWG23TPOBYXE43U", "dckr_pat_x7Kq2mWv9ZrT4nLpB8sYcDf3", "EAACEdEose0cBA7ZCq9ZAxT3vR5nK8mW2pL6sH4dF1gJ",
+    "sq0csp-Zk7Qx3VtN9mRw2LpB5yHs8DfGj4Kc1Ua6Te0", "pypi-AgEIcHlwaS5vcmcCJGE3ZjQ2x9KvT", "Atlassian-7Qw3ZxN9vT5mK8rL2pB6sY4dF1g",
+)
+
+
+def test_field_finds_shapes_that_its_examples_lack(field):
+    """Prefixes and shapes of none of the made examples: addresses with a password, bot and page tokens, hashes, codes of 32 letters."""
+    assert not any(s.startswith(secret_examples.PREFIXES) for s in UNSEEN)
+    hits = total = 0
+    for k, s in enumerate(UNSEEN):
+        for lead in ("", "pwd: ", "credential "):
+            text = f"{prose(1, k + 200)[0]} {lead}{s} {prose(1, k + 250)[0]}"
+            at = text.index(s)
+            hits += any(a < at + len(s) and b > at and b - a >= len(s) // 4 for a, _, b in field.spans(text))
+            total += 1
+    assert hits >= 0.8 * total, hits / total
+
+
 def test_field_leaves_clean_text_alone(field):
     wrong = [s for k, s in enumerate(CLEAN) if field.spans(f"{prose(1, k)[0]} {s} {prose(1, k + 9)[0]}")]
     assert len(wrong) <= 1, wrong
