@@ -18,13 +18,17 @@ from lacuna.scratch import kept, removed
 
 #: A key is hot from 1/HOT_SHARE of all rows on; by counting, at most HOT_SHARE keys are.
 HOT_SHARE = 1000
+#: Up to so many rows no key is looked for that holds a large share of them; their join is small either way.
+FEW = 200_000
 
 
 def looked_up(rows: DataFrame, key: str, table: DataFrame, name: str, value: str) -> DataFrame:
     """``rows`` with ``value`` of the row of ``table`` whose ``name`` equals ``key``, null where there is none; ``table`` has one row a name."""
     total = rows.count()
-    hot = kept(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max(2, -(-total // HOT_SHARE))).select(key), "hot")
     named = table.select(F.col(name).alias(key), F.col(value).alias(value))
+    if total <= FEW:
+        return rows.join(named, key, "left")
+    hot = kept(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max(2, -(-total // HOT_SHARE))).select(key), "hot")
     few = F.broadcast(named.join(F.broadcast(hot), key, "left_semi"))  # HOT_SHARE rows at most
     cold = rows.join(F.broadcast(hot), key, "left_anti").join(named, key, "left")
     return rows.join(F.broadcast(hot), key, "left_semi").join(few, key, "left").unionByName(cold)

@@ -26,7 +26,8 @@ def united(nodes, links):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_components_equal_union_find(spark, seed):
+def test_components_equal_union_find(spark, monkeypatch, seed):
+    monkeypatch.setattr(contraction, "FEW", 0 if seed else 1000)
     r = random.Random(seed)
     nodes = list(range(200))
     links = [(r.randrange(200), r.randrange(200)) for _ in range(r.choice([60, 110, 190]))] + [(5, 5), (7, 7)]
@@ -50,6 +51,7 @@ def test_long_path_and_hub(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(contraction, "kept", watched)
+    monkeypatch.setattr(contraction, "FEW", 1000)
     name = lambda x: (x * 7919) % n  # noqa: E731  # 7919 is prime to n
     path = spark.range(n - 1).select(name(F.col("id")).alias("a"), name(F.col("id") + 1).alias("b"))
     hub = spark.range(n).select(F.lit(n).cast("long").alias("a"), (F.col("id") + n + 1).alias("b"))
