@@ -8,6 +8,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -145,6 +146,19 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_words_equal_the_pattern():
+    """Every character below U+0300 and the further punctuation, alone and between others; texts of all kinds."""
+    every, split = regex.compile(public_tokenizers.PATTERN).findall, byte_pairs.splitter()
+    r = random.Random(6)
+    chars = [chr(c) for c in (*range(0x300), *range(0x2000, 0x2070), 0x20AC, 0x3000, 0x65E5, 0x1D11E)]
+    for c in chars:
+        for text in (c, f"a{c}b", f" {c} 1{c}", f"{c}{c}'s  {c}", f"x {c}\n\n{c} "):
+            assert split(text) == every(text), repr(text)
+    for _ in range(3000):
+        text = "".join(r.choice(chars if r.random() < 0.5 else "ab 1'\n.é\x1c") for _ in range(r.randint(0, 30)))
+        assert split(text) == every(text) and "".join(every(text)) == text
+
+
 def test_replay_equals_library(library):
     """Together, one by one and in the library; with a vocabulary whose ranks are out of order, too."""
     r = random.Random(4)
@@ -167,7 +181,7 @@ def test_replay_equals_library(library):
 def test_byte_pairs(spark, library, monkeypatch, common, known):
     monkeypatch.setattr(byte_pairs, "COMMON", common)
     r = random.Random(common)
-    texts = [None, "", " ", "don't  stop\n\n now ", "x" * 20_000, " \t  　 é", "１２３ ٣٤ ½", "<|endoftext|> <P>", "​﻿\x85a\x1cb"]
+    texts = [None, "", " ", "don't  stop\n\n now ", "x" * 20_000, " \t  　 é", "１２３ ٣٤ ½", "<|endoftext|> <P>", "​﻿\x85a\x1cb", "plain \x1c\x1f text\x1d"]
     texts += ["".join(r.choice("abcdeiorst  \n'éßü日本1234.,!?\t") for _ in range(r.randint(0, 400))) for _ in range(80)] + ["the same text again"] * 5
     got = by_id(byte_pairs.byte_pair_digests(frame(spark, texts), remembered=known))
     for i, t in enumerate(texts):
