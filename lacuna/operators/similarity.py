@@ -1,20 +1,17 @@
 """Exact set-similarity joins and entity resolution.
 
 Pairs come from the prefix filter: tokens are ordered rarest first, and two sets with a Jaccard similarity of t or more share one of their first
-n - ceil(t n) + 1 tokens, behind which either has enough tokens left.  Pairs are then checked on the full sets.  Vectors are compared with all others, in blocks.
+n - ceil(t n) + 1 tokens, behind which either has enough tokens left.  Pairs are then checked on the full sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import jaccard
 from lacuna.operators.contraction import components  # noqa: F401  (part of this module's interface)
+from lacuna.operators.vectors import nearest  # noqa: F401  (likewise)
 from lacuna.scratch import kept
 
 
@@ -64,84 +61,3 @@ def merged(rows: DataFrame, labels: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"),
         F.max(F.coalesce("citations", F.lit(0))).alias("citations"),
     )
-
-
-#: Vectors in a block, and the most vectors whose neighbours one task seeks.
-BLOCK, SOUGHT = 64, 65536
-
-
-def _packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in parts:
-        for i in range(0, len(p), BLOCK):
-            x = p.iloc[i : i + BLOCK]
-            ids = x["id"].to_numpy(np.int64)
-            yield pd.DataFrame({"first": ids[:1], "ids": [ids.tobytes()], "vectors": [np.stack(x["vector"].to_numpy()).astype(np.float64).tobytes()]})
-
-
-def _unpacked(blocks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(b"".join(blocks["ids"]), np.int64)
-    return ids, np.frombuffer(b"".join(blocks["vectors"]), np.float64).reshape(len(ids), -1)
-
-
-def _closer(ids: np.ndarray, v: np.ndarray, others: np.ndarray, w: np.ndarray, best: np.ndarray, names: np.ndarray) -> None:
-    """Updates best (products in units of the fifth place) and names (ids), which are in order, by what ``w`` has; ``others`` ascend."""
-    k = best.shape[1]
-    s = v @ w.T * 1e5
-    s = np.trunc(s + np.copysign(0.5, s))
-    s[ids[:, None] == others[None, :]] = -np.inf
-    rows = np.flatnonzero(s.max(axis=1) >= best[:, -1])
-    s, found = s[rows], []
-    for _ in range(min(k, len(others)) if len(rows) else 0):
-        at = s.argmax(axis=1)[:, None]  # the first of equals has the least id
-        found.append((np.take_along_axis(s, at, 1), others[at]))
-        np.put_along_axis(s, at, -np.inf, 1)
-    if found:
-        score, name = np.hstack([best[rows], *[x for x, _ in found]]), np.hstack([names[rows], *[x for _, x in found]])
-        order = np.lexsort((name, -score))[:, :k]
-        best[rows], names[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
-
-
-def nearest(rows: DataFrame, k: int) -> DataFrame:
-    """(id, other, rank): for every row (id, vector) the k others with the largest dot products to five places; ties go to the lesser id.
-
-    Exact: every vector meets every other.  Blocks of vectors travel once to each group of sought vectors, a task holds one group, and what leaves it
-    is k rows for each vector.  The work is quadratic, the rows are not.
-    """
-    rows = rows.where("id IS NOT NULL AND vector IS NOT NULL")
-    spark = rows.sparkSession
-    groups = max(2 * spark.sparkContext.defaultParallelism, -(-rows.count() // SOUGHT))
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, own, sought = None, [], None
-
-        def result() -> Iterator[pd.DataFrame]:
-            if sought is not None:
-                ids, _, best, names = sought
-                at, rank = np.nonzero(best > -np.inf)
-                yield pd.DataFrame({"id": ids[at], "other": names[at, rank], "rank": rank + 1})
-
-        for p in parts:
-            for g, x in p.groupby("g", sort=True):
-                if g != group:
-                    yield from result()
-                    group, own, sought = g, [], None
-                if len(mine := x[x["kind"] == 0]):
-                    own.append(mine)
-                x = x[x["kind"] == 1]
-                if not len(x) or not own and sought is None:
-                    continue
-                if sought is None:
-                    ids, v = _unpacked(pd.concat(own))
-                    sought, own = (ids, v, np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)), []
-                for j in range(0, len(x), 32):
-                    others, w = _unpacked(x.iloc[j : j + 32])
-                    order = np.argsort(others, kind="stable")
-                    for i in range(0, len(sought[0]), 1024):
-                        _closer(*(y[i : i + 1024] for y in sought[:2]), others[order], w[order], *(y[i : i + 1024] for y in sought[2:]))
-        yield from result()
-
-    blocks = rows.select(F.col("id").cast("long").alias("id"), "vector").mapInPandas(_packed, "first long, ids binary, vectors binary")
-    own = F.struct(F.pmod(F.xxhash64("first"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"))
-    met = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.struct(g.alias("g"), F.lit(1).alias("kind")))
-    sent = blocks.select(F.explode(F.concat(F.array(own), met)).alias("to"), "ids", "vectors").select("to.g", "to.kind", "ids", "vectors")
-    return sent.repartition("g").sortWithinPartitions("g", "kind").mapInPandas(search, "id long, other long, rank long")
