@@ -2,7 +2,7 @@
 
 Every example has a vector of demands (tokens, segments, loss-bearing tokens) and every sequence a vector of capacities.  One sequence
 is filled at a time from a bounded buffer of waiting examples: among those that fit, the one whose demands have the largest dot product
-with the sequence's remaining capacities goes in.  When none fits, the largest waiting example is cut to fill the rest exactly;
+with the sequence's remaining capacities goes in.  When none fits, or the last segment could take more, the waiting example of which most goes in is cut;
 a sequence that no cut can fill is cut into lengths that are powers of two, which need no padding.  Each task packs the rows it
 reads, so nothing is shuffled, and memory is bounded by the buffer.
 
@@ -92,6 +92,7 @@ class Packer:
         self.cap = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], dtype=float)
         self.items: list[Piece] = []
         self.demand = np.zeros((2 * self.waiting + 8, 3))
+        self.silent = np.zeros(len(self.demand))  # leading ids without loss
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         """Takes one example; yields the sequences that are then complete."""
@@ -117,14 +118,16 @@ class Packer:
     def _wait(self, piece: Piece) -> None:
         if len(self.items) == len(self.demand):
             self.demand = np.vstack([self.demand, np.zeros_like(self.demand)])
+            self.silent = np.append(self.silent, np.zeros_like(self.silent))
         self.demand[len(self.items)] = (len(piece.ids), 1, piece.loss.sum())
+        self.silent[len(self.items)] = int(piece.loss.argmax()) if piece.loss.any() else len(piece.ids)
         self.items.append(piece)
 
     def _take(self, i: int) -> Piece:
         """Removes item i; the last one takes its place."""
         got, last = self.items[i], len(self.items) - 1
         self.items[i] = self.items[last]
-        self.demand[i] = self.demand[last]
+        self.demand[i], self.silent[i] = self.demand[last], self.silent[last]
         self.items.pop()
         return got
 
@@ -135,12 +138,11 @@ class Packer:
             value = d @ (left / self.cap**2)
             value[(d > left).any(axis=1)] = -1
             i = int(value.argmax())
-            if value[i] < 0:  # none fits: cut the longest
-                i = int(d[:, 0].argmax())
-                piece = self.items[i]
-                n = min(int(left[0]), len(piece.ids) - 1)
-                if int(piece.loss[:n].sum()) > left[2]:
-                    n = int(np.searchsorted(np.cumsum(piece.loss), left[2], "right"))
+            most = np.minimum(np.minimum(left[0], d[:, 0] - 1), self.silent[: len(d)] + left[2])  # what a cut could take at least
+            # none fits, or the last segment would take less than a cut could: cut where most goes in
+            if value[i] < 0 or left[1] == 1 and d[i, 0] < min(left[0], most.max()):
+                i = int(most.argmax())
+                piece, n = self.items[i], int(most[i])
                 if n < 1:
                     break
                 head, rest = self._take(i).split(n)
@@ -178,7 +180,7 @@ def _rows(sequences: Iterator[list[Piece]], number: Iterator[int], with_ids: boo
     for pieces in sequences:
         k, at = next(number), 0
         for p in pieces:
-            row = (p.key, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.total, k, at)
+            row = (p.key, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.total, k, at, int(p.loss.sum()))
             yield (*row, p.ids.tolist()) if with_ids else row
             at += len(p.ids)
 
@@ -204,10 +206,24 @@ def pack_examples(examples: DataFrame, key: str, limits: Limits = Limits(), wait
     return _packed(examples.select(key, "ids", "loss"), pieces, key, limits, waiting, with_ids)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Limits(), waiting: int = 256, with_ids: bool = False) -> DataFrame:
-    """Packs documents: one row per piece with doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
+def shares(whole: Piece, context: int, size: int) -> Iterator[Piece]:
+    """A long example as equal shares of its context (its first ids) and of its rest, so that each sequence can take some of both."""
+    n = len(whole.ids)
+    if n <= size or context <= n // size:  # short, or too little context for a share in every sequence
+        yield whole
+        return
+    m = -(-n // size)
+    for i in range(m):
+        for first, end in ((0, context), (context, n)):
+            a, b = first + (end - first) * i // m, first + (end - first) * (i + 1) // m
+            if a < b:
+                yield Piece(whole.key, a, whole.ids[a:b], whole.loss[a:b], whole.total)
 
-    Every id but a document's first bears loss.
+
+def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Limits(), waiting: int = 256, with_ids: bool = False, context: float = 0.0) -> DataFrame:
+    """Packs documents: one row per piece with doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens (and ids).
+
+    The first ids of a document, the share ``context`` of them and one at least, are read without loss, as a prefix language model does; all others bear loss.
     """
     small_batches(docs.sparkSession)
     path = public_tokenizers.path("byte_bpe_50k.json") if path is None else path
@@ -217,15 +233,16 @@ def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Li
         for batch in batches:
             for k, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
                 ids = np.append(encode(text or ""), np.array([END], dtype="<u4"))
+                silent = max(1, int(context * len(ids)))
                 loss = np.ones(len(ids), dtype=bool)
-                loss[0] = False
-                yield Piece(k, 0, ids, loss, len(ids))
+                loss[:silent] = False
+                yield from shares(Piece(k, 0, ids, loss, len(ids)), silent, limits.tokens)
 
     return _packed(docs.select("doc_id", "text"), pieces, "doc_id", limits, waiting, with_ids)
 
 
 def _packed(rows: DataFrame, pieces, key: str, limits: Limits, waiting: int, with_ids: bool) -> DataFrame:
-    fields = [(key, pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+    fields = [(key, pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64())]
     spec = ", ".join(f"{n} long" for n, _ in fields)
     if with_ids:
         fields.append(("ids", pa.list_(pa.int64())))

@@ -16,7 +16,7 @@ from .licenses import oracle_sql as license_sql
 from .middle import middle_digests
 from .middle import oracle_sql as middle_sql
 from .near_dedup import near_duplicates
-from .packing import pack_documents
+from .packing import Limits, pack_documents
 from .quality import quality_scores
 from .ranked_ties import oracle_sql as ranks_sql
 from .ranked_ties import sale_line_ranks
@@ -47,7 +47,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir))
+    """Four segments and 832 loss-bearing tokens a sequence at most; a quarter of every document is context without loss."""
+    return pack_documents(documents(spark, sf_dir), limits=Limits(1024, 4, 832), context=0.25)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

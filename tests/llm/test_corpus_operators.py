@@ -194,6 +194,42 @@ def test_packing_limits(spark):
     assert sum(p.length for p in got) == sum(len(ids or []) for _, ids, _ in rows)
 
 
+def test_packing_limits_decide(spark, texts):
+    """Segments and loss bind: sequences differ from those of tokens alone, none exceeds a limit, none is padded, and long texts fill whole sequences."""
+    r = random.Random(7)
+    more = [*texts, *[" ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(r.choice([5, 60, 300, 900]))) for _ in range(120)], "word " * 30000]
+    docs = frame(spark, more).coalesce(1)
+    got = packing.pack_documents(docs, limits=packing.Limits(1024, 4, 832), context=0.25).collect()
+    plain = packing.pack_documents(docs).collect()
+    seqs, parts = collections.defaultdict(list), collections.defaultdict(list)
+    for x in got:
+        seqs[x.sequence_id].append(x)
+        parts[x.doc_id].append(x)
+        silent = max(1, int(0.25 * x.doc_tokens))
+        assert x.loss_tokens == x.length - max(0, min(silent, x.start + x.length) - x.start)
+    for i, p in parts.items():
+        p.sort(key=lambda x: x.start)
+        assert [x.start for x in p] == [0, *np.cumsum([x.length for x in p])[:-1]] and sum(x.length for x in p) == p[0].doc_tokens, i
+    sizes = [sum(x.length for x in q) for q in seqs.values()]
+    assert all(n == 1024 or n & (n - 1) == 0 for n in sizes) and max(len(q) for q in seqs.values()) == 4
+    assert max(sum(x.loss_tokens for x in q) for q in seqs.values()) == 832
+    assert sum(n for n in sizes if n == 1024) > 0.9 * sum(sizes)
+    assert {(x.doc_id, x.start, x.length) for x in got} != {(x.doc_id, x.start, x.length) for x in plain}
+
+
+def test_packing_by_products_and_not_by_size():
+    """The example whose loss uses the scarcer capacity goes in before larger ones."""
+    def piece(k, n, loss):
+        return packing.Piece(k, 0, np.ones(n, "<u4"), np.arange(n) >= n - loss, n)
+
+    packer = packing.Packer(packing.Limits(100, 10, 40), waiting=8)
+    for p in (piece("a", 60, 0), piece("b", 40, 20), piece("c", 39, 1), piece("d", 30, 30)):
+        assert list(packer.add(p)) == []
+    first = next(packer.finish())
+    assert sum(len(p.ids) for p in first) == 100 and sum(int(p.loss.sum()) for p in first) <= 40
+    assert [p.key for p in first][:2] == ["d", "a"]
+
+
 def test_encoder_equals_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
