@@ -80,6 +80,32 @@ def backed_off(model: Model, waits: tuple[float, ...] = (1.0, 2.0, 4.0)) -> Mode
     return call
 
 
+def timed(model: Model, seconds: float) -> Model:
+    """The model with a limit of wall-clock time: a call that takes longer raises TimeoutError and is left behind in its thread."""
+    import queue
+    import threading
+
+    def call(prompt: str) -> str:
+        out: queue.SimpleQueue = queue.SimpleQueue()
+
+        def run() -> None:
+            try:
+                out.put((model(prompt), None))
+            except Exception as e:
+                out.put((None, e))
+
+        threading.Thread(target=run, daemon=True).start()
+        try:
+            reply, error = out.get(timeout=seconds)
+        except queue.Empty:
+            raise TimeoutError(f"no reply within {seconds} s") from None
+        if error is not None:
+            raise error
+        return reply
+
+    return call
+
+
 def two_pass(model: Model, ask: str = "Give the final JSON object only.") -> Model:
     """A reply without any JSON object (reasoning only) is sent back once with the request for the object."""
 
