@@ -111,3 +111,39 @@ def joined(rows: DataFrame, generation: int, model: models.Model) -> DataFrame:
         F.coalesce(F.nullif("target", F.lit("")), "a_.target").alias("target"), mean("novelty", NOVELTY_BONUS), ((F.col("a_.feasibility") + F.col("b_.feasibility")) / 2).alias("feasibility"),
         mean("impact", IMPACT_BONUS), F.greatest("a_.survival", "b_.survival").alias("survival"), F.lit("cross_gap_synthesis").alias("operator"),
     )
+
+
+# Labels that keep a candidate, and scores of a review.
+ACCEPTABLE = ("STRONG_CANDIDATE", "POSSIBLE_WITH_REWRITE")
+REVIEW_SCORES = ("deep_review_score", "evidence_strength", "remaining_gap_realness", "counterevidence_risk", "impossibility_risk", "already_solved_risk", "specificity", "feasibility", "project_concreteness")
+REVIEW_TEXTS = ("main_reason", "falsification_condition", "clean_rewrite", "recommended_next_step")
+REVIEW = Stage(
+    "Review the hypothesis against its evidence, as JSON {\"review_label\", \"novelty_risk\", \"" + "\", \"".join((*REVIEW_SCORES, *REVIEW_TEXTS)) + "\"}.\n\nHypothesis {id}: {problem_statement}\nEvidence: {evidence_text}",
+    ", ".join(["review_label string", "novelty_risk string", *(f"{k} string" for k in (*REVIEW_SCORES, *REVIEW_TEXTS))]), ("review_label",),
+)
+TITLE = Stage("Name the family of formulations in a short title, as JSON {\"title\"}. Name nothing that its members do not.\n\nFamily {family_id}: {family_title}\nMembers: {members}", "title string", ("title",))
+
+
+def deeply_reviewed(rows: DataFrame, model: models.Model, keywords: tuple[str, ...]) -> DataFrame:
+    """Reviews of rows (id, problem_statement, evidence_text, supporting_papers), one each: label, scores between 0 and 1, texts, ``problem``.
+
+    The impossibility risk is the larger of the reply's and that of the keywords in the evidence; a certain one, or weak evidence from one paper at most, overrides a label that keeps the
+    row.  Without a usable reply the label is WEAK_AFTER_READING.
+    """
+    found = asked(rows, REVIEW, model, {k: F.col(k) for k in ("id", "problem_statement", "evidence_text")})
+    bad = F.col("problem").isNotNull()
+    score = lambda k: F.when(bad, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.expr(f"try_cast(p.{k} AS double)"), F.lit(0.0)))))
+    said = F.when(bad, "WEAK_AFTER_READING").otherwise(F.replace(F.upper(F.trim("p.review_label")), F.lit(" "), F.lit("_")))
+    told = found.select("id", said.alias("review_label"), F.lower(F.when(bad, "medium").otherwise(_text("novelty_risk", "medium"))).alias("novelty_risk"), *[score(k).alias(k) for k in REVIEW_SCORES], *[F.when(bad, "").otherwise(_text(k)).alias(k) for k in REVIEW_TEXTS], "problem")
+    given = evolution.reviewed(rows.select("id", "problem_statement", "evidence_text", "supporting_papers", F.lit("").alias("review_label")), keywords)
+    both = given.drop("review_label").withColumnRenamed("impossibility_risk", "seen").join(told, "id").withColumn("impossibility_risk", F.greatest("impossibility_risk", "seen")).drop("seen")
+    keeps, papers = F.col("review_label").isin(*ACCEPTABLE), F.greatest(F.size(F.coalesce("supporting_papers", F.array().cast("array<string>"))), F.lit(0))
+    label = F.when(keeps & (F.col("impossibility_risk") >= 1), "DROP_IMPOSSIBLE").when(keeps & (papers <= 1) & (F.col("evidence_strength") < 0.4), "DROP_TOO_SINGLE_PAPER_FRAGILE").otherwise(F.col("review_label"))
+    return both.withColumn("review_label", label)
+
+
+def titled(families: DataFrame, model: models.Model) -> DataFrame:
+    """Families (family_id, family_title, members, ...) with the title that a model gives; the own title stays where there is no usable reply."""
+    found = asked(families.withColumn("id", F.col("family_id")), TITLE, model, {k: F.col(k) for k in ("family_id", "family_title", "members")})
+    named = found.where("problem IS NULL").select(F.col("id").alias("family_id"), F.trim("p.title").alias("_named"))
+    return families.join(named, "family_id", "left").withColumn("family_title", F.coalesce(F.nullif("_named", F.lit("")), "family_title")).drop("_named")

@@ -48,6 +48,11 @@ def _joiner(prompt: str) -> str:
     return _answer(prompt, n, {"hypothesis": "too short" if n % 7 == 0 else f'"The problem of {n} joins both"', "mechanism": "m" if n % 2 else "", "target": None if n % 4 == 0 else f"T{n}"})
 
 
+def _reviewer(prompt: str) -> str:
+    n = int(re.search(r"Hypothesis (\d+)", prompt)[1])
+    return _answer(prompt, n, {"review_label": ["strong candidate", "WEAK_AFTER_READING", " Possible_With_Rewrite "][n % 5 % 3], "evidence_strength": [0.39, "0.4", "weak", None][n % 4], "impossibility_risk": n % 13 / 10, "specificity": -1})
+
+
 def expanded_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three variants of every part, judged by a second model: gates, attempts and what went wrong."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("formulation_id"), F.col("p_name").alias("title"), F.col("p_type").alias("problem"), F.lit(0.5).alias("seed_alignment_score"))
@@ -77,6 +82,16 @@ def joint_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deep_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as hypotheses with their texts as evidence: reviews with both overrides."""
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(
+        k.alias("id"), F.concat(F.lit("p"), k).alias("problem_statement"), F.coalesce("text", F.lit("")).alias("evidence_text"), F.slice(F.array(F.lit("a"), F.lit("b")), 1, (k % 3).cast("int")).alias("supporting_papers"),
+    )
+    found = expansion.deeply_reviewed(rows, _reviewer, ("license", "apache", "token"))
+    return found.select("id", "review_label", "novelty_risk", F.round("impossibility_risk", 6).alias("impossibility_risk"), "evidence_strength", "specificity", F.col("problem").isNotNull().alias("problem"))
+
+
 ORACLE_SQL = {
     "expanded_variants": f"""WITH v AS (SELECT p_partkey AS n, kind, p_partkey % 9 = 0 AS bad, (p_partkey + 1) % 9 = 0 AS cbad FROM part, (VALUES ('conservative'), ('generalized'), ('bold')) k(kind)),
         s AS (SELECT *, CASE WHEN bad THEN 'DROP' ELSE ['KEEP', 'MAYBE', 'DROP', 'DROP'][n % 4 + 1] END AS rec,
@@ -90,6 +105,11 @@ ORACLE_SQL = {
     "joint_hypotheses": """SELECT o_orderkey AS first, o_orderpriority AS motif, true AS different, 'The problem of ' || o_orderkey || ' joins both' AS statement, o_orderkey % 2 = 1 AS told,
         CASE WHEN o_orderkey % 4 = 0 THEN 't' ELSE 'T' END || o_orderkey AS target, 0.65::DOUBLE AS novelty, 0.25::DOUBLE AS feasibility, 1.0::DOUBLE AS impact, 0.75::DOUBLE AS survival
         FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 7 <> 0""",
+    "deep_reviews": """WITH h AS (SELECT doc_id AS n, doc_id % 9 = 0 AS bad, doc_id % 3 AS papers, contains(lower(coalesce(text, '')), 'license')::INT + contains(lower(coalesce(text, '')), 'apache')::INT + contains(lower(coalesce(text, '')), 'token')::INT AS hits FROM documents),
+        s AS (SELECT *, CASE WHEN bad THEN 'WEAK_AFTER_READING' ELSE ['STRONG_CANDIDATE', 'WEAK_AFTER_READING', 'POSSIBLE_WITH_REWRITE'][n % 5 % 3 + 1] END AS said, CASE WHEN bad THEN 0.0::DOUBLE ELSE [0.39::DOUBLE, 0.4::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE][n % 4 + 1] END AS e,
+            greatest(CASE WHEN bad THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, (n % 13)::DOUBLE / 10) END, CASE WHEN hits >= 2 THEN 1.0::DOUBLE WHEN hits = 1 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END) AS r FROM h)
+        SELECT n AS id, CASE WHEN said <> 'WEAK_AFTER_READING' AND r >= 1 THEN 'DROP_IMPOSSIBLE' WHEN said <> 'WEAK_AFTER_READING' AND least(papers, 2) <= 1 AND e < 0.4 THEN 'DROP_TOO_SINGLE_PAPER_FRAGILE' ELSE said END AS review_label,
+            'medium' AS novelty_risk, round(r, 6) AS impossibility_risk, e AS evidence_strength, 0.0::DOUBLE AS specificity, bad AS problem FROM s""",
 }
 
-QUERIES = {f.__name__: f for f in (expanded_variants, formal_stage, joint_hypotheses)}
+QUERIES = {f.__name__: f for f in (expanded_variants, formal_stage, joint_hypotheses, deep_reviews)}

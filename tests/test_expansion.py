@@ -90,6 +90,26 @@ def test_joint_hypotheses(spark):
     assert expansion.joined(df, 1, lambda p: '{"hypothesis": "nineteen characters"}').count() == 0
 
 
+def test_reviews_and_their_overrides(spark):
+    rows = [(1, "p", "It is impossible; a lower bound holds.", ["a", "b"]), (2, "p", "fine", ["a"]), (3, "p", "fine", None), (4, "p", None, ["a", "b"]), (5, "p", "", ["a", "b"])]
+    df = spark.createDataFrame(rows, "id long, problem_statement string, evidence_text string, supporting_papers array<string>")
+    replies = {1: {}, 2: {"evidence_strength": 0.3}, 3: {"evidence_strength": "0.9"}, 4: {"impossibility_risk": 7}, 5: {"review_label": None}}
+
+    def model(prompt):
+        i = int(prompt.split("Hypothesis ")[1][0])
+        return json.dumps({"review_label": "strong candidate", **replies[i]})
+
+    got = {r.id: r for r in expansion.deeply_reviewed(df, model, ("impossible", "lower bound")).collect()}
+    assert {i: r.review_label for i, r in got.items()} == {1: "DROP_IMPOSSIBLE", 2: "DROP_TOO_SINGLE_PAPER_FRAGILE", 3: "STRONG_CANDIDATE", 4: "DROP_IMPOSSIBLE", 5: "WEAK_AFTER_READING"}
+    assert got[4].impossibility_risk == 1.0 and got[3].evidence_strength == 0.9 and got[5].problem and got[1].problem is None
+
+
+def test_titles_stay_without_a_reply(spark):
+    df = spark.createDataFrame([(1, "own", "m", 5), (2, "own", "m", 6), (3, "own", "m", 7)], "family_id long, family_title string, members string, extra int")
+    model = lambda p: {"1": '{"title": " New "}', "2": '{"title": " "}'}.get(p.split("Family ")[1][0], "no")
+    assert sorted(map(tuple, expansion.titled(df, model).select("family_id", "family_title", "extra").collect())) == [(1, "New", 5), (2, "own", 6), (3, "own", 7)]
+
+
 def test_a_call_that_takes_too_long():
     slow = models.timed(lambda p: time.sleep(5) or "late", 0.1)
     with pytest.raises(TimeoutError):
