@@ -166,7 +166,7 @@ def nearest_met(rows: DataFrame, k: int) -> DataFrame:
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], "id long, other long, rank long, met long")
-    groups = max(2 * spark.sparkContext.defaultParallelism, min(GROUPS, -(-n // SOUGHT)))
+    groups = min(GROUPS, max(2 * spark.sparkContext.defaultParallelism, -(-n // SOUGHT)))
     blocks = _blocks(rows, k, groups, _pivots(rows, n))
     shelves = _shelves(blocks)
 
