@@ -162,6 +162,7 @@ def _shelves(blocks: DataFrame) -> dict[str, np.ndarray]:
 def nearest_met(rows: DataFrame, k: int) -> DataFrame:
     """(id, other, rank, met): as :func:`nearest`; ``met`` counts the vectors that the id's block was compared with, out of all."""
     rows = rows.where("id IS NOT NULL AND vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = rows.where(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))  # NaN is larger than all numbers
     spark = rows.sparkSession
     n = rows.count()
     if n == 0:
@@ -249,7 +250,7 @@ def nearest_met(rows: DataFrame, k: int) -> DataFrame:
 def nearest(rows: DataFrame, k: int) -> DataFrame:
     """(id, other, rank): for every row (id, vector) the k others with the largest dot products to five places; ties go to the lesser id.
 
-    Exact, and no norm is assumed.  Vectors have one length; rows without id or vector are left out.  Where vectors have no structure that balls can show (random
+    Exact, and no norm is assumed.  Vectors have one length; rows without id or vector, or with an entry that is null or not finite, are left out.  Where vectors have no structure that balls can show (random
     ones of many dimensions), every block still meets every other: the rows stay N for each group, the work quadratic.
     """
     return nearest_met(rows, k).select("id", "other", "rank")

@@ -62,5 +62,7 @@ def test_nearest_defined_cases(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (None, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [0.0, 0.0])], SCHEMA)
     assert sorted(map(tuple, vectors.nearest(rows, 1).collect())) == [(1, 3, 1), (3, 1, 1), (4, 1, 1)]
     assert vectors.nearest(rows.where("id > 9"), 2).count() == 0
+    odd = rows.unionByName(spark.createDataFrame([(7, [float("nan"), 0.0]), (8, [float("inf"), 0.0]), (9, [None, 1.0])], SCHEMA))
+    assert sorted(map(tuple, vectors.nearest(odd, 1).collect())) == [(1, 3, 1), (3, 1, 1), (4, 1, 1)]
     twice = rows.where("id = 1").withColumn("id", F.explode(F.array(F.lit(5), F.lit(6)))).withColumn("noise", F.lit("x"))
     assert sorted(map(tuple, vectors.nearest(twice, 2).collect())) == [(5, 6, 1), (6, 5, 1)]
