@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.text import ascii_words
+
 # Kinds of findings and their patterns.
 PATTERNS = {
     "assigned_secret": r"(?i)(?:api_?key|secret|token|password)\s*[:=]\s*[\"']?[A-Za-z0-9_\-]{12,}",
@@ -16,5 +18,5 @@ PATTERNS = {
 
 def findings(texts: DataFrame) -> DataFrame:
     """(id, kind, n) for every text and pattern with a match."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, p in PATTERNS.items()])
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_count("text", F.lit(ascii_words(p))).cast("long").alias("n")) for k, p in PATTERNS.items()])
     return texts.select("id", F.explode(kinds).alias("f")).select("id", "f.kind", "f.n").where("n > 0")

@@ -8,6 +8,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.functions.text import ascii_words
 from lacuna.operators.rubrics import FIELDS, NOT_PROVIDED, provided
 
 
@@ -125,7 +126,7 @@ def selection_score(text: Column, columns: list[str]) -> Column:
     for k in NUMERIC:
         if k in columns:
             score = score + F.coalesce(F.col(k).cast("string").try_cast("double"), F.lit(0.0))
-    score = score - F.when(F.regexp_count(text, F.lit(GRAND)) > 14, 1.5).otherwise(0.0)
+    score = score - F.when(F.regexp_count(text, F.lit(ascii_words(GRAND))) > 14, 1.5).otherwise(0.0)
     return score - F.when(F.length(text) > 16_000, 1.0).otherwise(0.0)
 
 

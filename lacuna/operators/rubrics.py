@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.functions.text import ascii_words
+
 NOT_PROVIDED = "not provided"
 # The fields of a candidate, the criteria, enumerations and labels of the judging protocol.
 FIELDS = (
@@ -139,54 +141,54 @@ def whole_text(fields: tuple[str, ...] = FIELDS) -> Column:
 
 def concrete_evidence(fields: tuple[str, ...] = FIELDS) -> Column:
     source = F.lower(F.trim(_text("source_context_or_grounding")))
-    return F.lower(whole_text(fields)).rlike(EVIDENCE) | ((source != NOT_PROVIDED) & (F.length(source) > 40))
+    return F.lower(whole_text(fields)).rlike(ascii_words(EVIDENCE)) | ((source != NOT_PROVIDED) & (F.length(source) > 40))
 
 
 def formal_structure(fields: tuple[str, ...] = FIELDS) -> Column:
     """Statement and setup are there, or the text shows three of entities, assumptions, objective and feedback."""
     text = F.lower(whole_text(fields))
-    marks = functools.reduce(operator.add, [text.rlike(p).cast("int") for p in SKELETON])
+    marks = functools.reduce(operator.add, [text.rlike(ascii_words(p)).cast("int") for p in SKELETON])
     return (provided("formal_problem_statement") & provided("assumptions_or_problem_setup")) | (marks >= 3)
 
 
 def action_path() -> Column:
-    return _joined("evaluation_plan", "expected_contribution", "proposed_direction").rlike(ACTION_PATH)
+    return _joined("evaluation_plan", "expected_contribution", "proposed_direction").rlike(ascii_words(ACTION_PATH))
 
 
 def has_variables() -> Column:
-    return _joined("formal_problem_statement", "assumptions_or_problem_setup", "problem_statement").rlike(VARIABLES)
+    return _joined("formal_problem_statement", "assumptions_or_problem_setup", "problem_statement").rlike(ascii_words(VARIABLES))
 
 
 def has_assumptions() -> Column:
-    return _joined("assumptions_or_problem_setup", "formal_problem_statement", "problem_statement").rlike(ASSUMPTIONS)
+    return _joined("assumptions_or_problem_setup", "formal_problem_statement", "problem_statement").rlike(ascii_words(ASSUMPTIONS))
 
 
 def has_objective() -> Column:
-    return _joined("formal_problem_statement", "assumptions_or_problem_setup", "evaluation_plan", "expected_contribution", "problem_statement").rlike(OBJECTIVE)
+    return _joined("formal_problem_statement", "assumptions_or_problem_setup", "evaluation_plan", "expected_contribution", "problem_statement").rlike(ascii_words(OBJECTIVE))
 
 
 def has_evaluation_model() -> Column:
-    return _joined("evaluation_plan", "formal_problem_statement", "assumptions_or_problem_setup", "expected_contribution").rlike(EVALUATION)
+    return _joined("evaluation_plan", "formal_problem_statement", "assumptions_or_problem_setup", "expected_contribution").rlike(ascii_words(EVALUATION))
 
 
 def generic_source(fields: tuple[str, ...] = FIELDS) -> Column:
     source = F.lower(F.trim(_text("source_context_or_grounding")))
-    vague = ~concrete_evidence(fields) | (_contains(source, GENERIC_SOURCE) & ~source.rlike(NAMED_SOURCE))
+    vague = ~concrete_evidence(fields) | (_contains(source, GENERIC_SOURCE) & ~source.rlike(ascii_words(NAMED_SOURCE)))
     return (source != "") & (source != NOT_PROVIDED) & vague
 
 
 def term_soup(fields: tuple[str, ...] = FIELDS) -> Column:
     """Six different fashionable terms or more."""
-    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(whole_text(fields)), F.lit(SOUP), F.lit(1)))) >= 6
+    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(whole_text(fields)), F.lit(ascii_words(SOUP)), F.lit(1)))) >= 6
 
 
 def incremental(fields: tuple[str, ...] = FIELDS) -> Column:
     text = F.lower(whole_text(fields))
-    return text.rlike(KNOWN_VERBS) & text.rlike(KNOWN_NOUNS)
+    return text.rlike(ascii_words(KNOWN_VERBS)) & text.rlike(ascii_words(KNOWN_NOUNS))
 
 
 def loose_terms(fields: tuple[str, ...] = FIELDS) -> Column:
-    return F.regexp_count(F.lower(whole_text(fields)), F.lit(LOOSE))
+    return F.regexp_count(F.lower(whole_text(fields)), F.lit(ascii_words(LOOSE)))
 
 
 def vague_problem() -> Column:
@@ -218,7 +220,7 @@ def formulation_caps(fields: tuple[str, ...] = FIELDS) -> Column:
         (~provided("ambiguity_or_missing_definitions") & (s("ambiguity_hygiene_10") > 6), "ambiguity_missing_definitions_missing_but_ambiguity_hygiene_above_6"),
         (~provided("source_context_or_grounding") & (s("source_grounded_specificity_10") > 4), "source_context_or_grounding_missing_but_source_specificity_above_4"),
         ((loose_terms(fields) >= 8) & (s("scope_control_10") > 4), "many_loose_concepts_but_scope_control_above_4"),
-        (F.lower(whole_text(fields)).rlike(APPLY) & (s("nontriviality_10") > 6), "apply_or_test_x_to_y_but_nontriviality_above_6"),
+        (F.lower(whole_text(fields)).rlike(ascii_words(APPLY)) & (s("nontriviality_10") > 6), "apply_or_test_x_to_y_but_nontriviality_above_6"),
         (~formal_structure(fields) & (s("overall_formulation_quality_10") > 7), "no_clear_formal_skeleton_but_overall_above_7"),
     )
 
@@ -325,7 +327,7 @@ def calibration_flags(fields: tuple[str, ...] = FIELDS) -> Column:
     """Soft flags of independent scores (1 to 5)."""
     s, text = _score, F.lower(whole_text(fields))
     evidence, shape = concrete_evidence(fields), formal_structure(fields)
-    known = text.rlike(r"\b(apply|application|extend|use)\b") & text.rlike(r"\b(known|existing|standard)\b")
+    known = text.rlike(ascii_words(r"\b(apply|application|extend|use)\b")) & text.rlike(ascii_words(r"\b(known|existing|standard)\b"))
     basis = (s("clarity_specificity") >= 4) & (s("significance") >= 4) & (s("feasibility") >= 4) & ((s("evidence_grounding") >= 4) | (s("formalizability") >= 4))
     return _rules(
         (~evidence & (s("evidence_grounding") > 2), "evidence_grounding_above_2_without_concrete_source_evidence"),
