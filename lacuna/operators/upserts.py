@@ -1,6 +1,7 @@
 """Nodes and edges as a state that takes deltas: only the buckets a delta touches are read, merged and written anew.
 
-A node keeps its papers in the order in which they first named it and every piece of evidence in order; type and label are the first ones.  An edge's key is its
+A node has its papers in the order in which they first named it and every piece of evidence in order; type and label are the first ones.  Its state is rows of
+facts, each once, and they meet only when the nodes are read.  An edge's key is its
 ends, relation, paper and evidence; the last row of a key holds.  Order is ``seq``'s, so deltas may come late or twice: base and deltas give what a
 rebuild from all rows gives.  Buckets follow the key's hash; a bucket's versions stand beside one another, and a ledger row, written last, makes one current.
 """
@@ -12,39 +13,43 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NODE = "id string, type string, label string, first string, papers array<struct<seq:string,paper_id:string>>, evidence array<struct<seq:string,paper_id:string,text:string>>"
+NODE = "id string, paper_id string, evidence string, seq string, type string, label string"
 EDGE = "source string, target string, relation string, paper_id string, evidence string, confidence double, seq string"
+#: What tells buckets apart, and the shares of a bucket.
 KEYS = {"nodes": ("id",), "edges": ("source", "target", "relation", "paper_id", "evidence")}
+SHARE_KEYS = {"nodes": ("id", "paper_id", "evidence", "seq"), "edges": KEYS["edges"]}
+#: Files of a bucket's version at most, each merged by a task of its own.
+SHARES = 8
 
 
 def node_rows(rows: DataFrame) -> DataFrame:
-    """States of (id, type, label, paper_id, evidence, seq): one for each id."""
-    seq, order = F.col("seq").cast("string"), F.struct("seq", "type", "label")
-    facts = rows.select("id", "type", "label", "paper_id", "evidence", seq.alias("seq"))
-    return facts.groupBy("id").agg(
-        F.min_by("type", order).alias("type"), F.min_by("label", order).alias("label"), F.min("seq").alias("first"), _papers(F.collect_list(F.struct("seq", "paper_id"))).alias("papers"),
-        F.array_sort(F.array_distinct(F.collect_list(F.struct("seq", "paper_id", F.col("evidence").alias("text"))))).alias("evidence"),
-    )
+    """Facts of (id, type, label, paper_id, evidence, seq), texts all."""
+    return rows.select("id", "paper_id", "evidence", F.col("seq").cast("string").alias("seq"), "type", "label")
+
 
+def merged_nodes(facts: DataFrame, *by: str) -> DataFrame:
+    """Each fact once; of its types and labels the first ones."""
+    first = F.min(F.struct("type", "label"))
+    return facts.groupBy(*by, *SHARE_KEYS["nodes"]).agg(first.alias("first")).select(*by, *SHARE_KEYS["nodes"], "first.type", "first.label")
 
-def _papers(named: Column) -> Column:
-    """Papers in the order of their first naming, each once."""
-    empty = F.array().cast("array<struct<seq:string,paper_id:string>>")
-    return F.aggregate(F.array_sort(named), empty, lambda out, x: F.when(F.exists(out, lambda o: o["paper_id"].eqNullSafe(x["paper_id"])), out).otherwise(F.array_append(out, x)))
 
+def node_states(facts: DataFrame) -> DataFrame:
+    """(id, type, label, paper_ids, evidence) of merged facts: papers in the order of their first naming, evidence in order.
 
-def merged_nodes(states: DataFrame) -> DataFrame:
-    """One state for each id of several."""
-    order = F.struct("first", "type", "label")
-    return states.groupBy("id").agg(
-        F.min_by("type", order).alias("type"), F.min_by("label", order).alias("label"), F.min("first").alias("first"), _papers(F.flatten(F.collect_list("papers"))).alias("papers"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"),
+    Only a node's own record is gathered: facts and papers are distinct rows before, so nothing is compared within an array.
+    """
+    papers = facts.groupBy("id", "paper_id").agg(F.min(F.struct("seq", "type", "label")).alias("first"))
+    named = papers.groupBy("id").agg(
+        F.min("first").alias("f"), F.transform(F.sort_array(F.collect_list(F.struct("first.seq", "paper_id"))), lambda p: p["paper_id"]).alias("paper_ids"),
     )
+    said = facts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seq", "paper_id", F.col("evidence").alias("text")))).alias("e"))
+    evidence = F.transform("e", lambda e: F.struct(e["paper_id"].alias("paper_id"), e["text"].alias("text")))
+    return named.join(said, F.equal_null(named["id"], said["id"])).select(named["id"], "f.type", "f.label", "paper_ids", evidence.alias("evidence"))
 
 
-def merged_edges(rows: DataFrame) -> DataFrame:
+def merged_edges(rows: DataFrame, *by: str) -> DataFrame:
     """The last row of every key."""
-    return rows.groupBy(*KEYS["edges"]).agg(F.max_by("confidence", "seq").alias("confidence"), F.max("seq").alias("seq"))
+    return rows.groupBy(*by, *KEYS["edges"]).agg(F.max_by("confidence", "seq").alias("confidence"), F.max("seq").alias("seq"))
 
 
 @dataclass
@@ -70,8 +75,7 @@ class State:
 
     def nodes(self) -> DataFrame:
         """(id, type, label, paper_ids, evidence): papers and evidence in order."""
-        rows = self._read("nodes", self._current("nodes"))
-        return rows.select("id", "type", "label", F.transform("papers", lambda p: p["paper_id"]).alias("paper_ids"), F.transform("evidence", lambda e: F.struct(e["paper_id"].alias("paper_id"), e["text"].alias("text"))).alias("evidence"))
+        return node_states(self._read("nodes", self._current("nodes")))
 
     def edges(self) -> DataFrame:
         return self._read("edges", self._current("edges"))
@@ -96,8 +100,9 @@ class State:
         now = self._current(kind)
         version = max(now.values(), default=-1) + 1
         base = self._read(kind, {b: v for b, v in now.items() if b in touched})
-        both = merge(base.unionByName(new.drop("bucket"))).withColumn("bucket", number)
-        both.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{kind}/version={version}")
+        share = F.pmod(F.xxhash64(F.lit(7), *SHARE_KEYS[kind]), F.lit(SHARES)).cast("int")
+        dealt = base.withColumn("bucket", number).unionByName(new).withColumn("share", share).repartition("bucket", "share")  # the one shuffle of the merge
+        merge(dealt, "bucket", "share").drop("share").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{kind}/version={version}")
         self.spark.createDataFrame([(b, version) for b in touched], "bucket int, version int").coalesce(1).write.mode("append").parquet(f"{self.root}/{kind}-ledger")
         removed(new)
         return len(touched)

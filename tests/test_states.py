@@ -76,3 +76,14 @@ def test_lazy_selection_equals_brute_force(spark):
         value = 0.75 * rel - (0.25 * np.max([(u * u[c]).sum(axis=1) for c in want], axis=0) if want else 0)
         want.append(min((i for i in range(n) if i not in want), key=lambda i: (-round(value[i], 12), -score[i], i)))
     assert got == want and len(seen) == k and sum(seen) < 60 * k / 2
+
+
+def test_a_node_of_many_facts_is_not_compared_with_itself(spark, tmp_path):
+    import time
+
+    state, began, n = upserts.State(spark, str(tmp_path / "hub"), 4), time.time(), 60_000
+    rows = spark.range(n).select(F.lit("hub").alias("id"), F.lit("t").alias("type"), F.lit("l").alias("label"), F.concat(F.lit("p"), F.col("id") % 3).alias("paper_id"), F.col("id").cast("string").alias("evidence"), F.lpad(F.col("id").cast("string"), 9, "0").alias("seq"))
+    state.upsert_nodes(rows.where("seq >= '000010000'"))
+    state.upsert_nodes(rows.where("seq < '000020000'"))
+    got = state.nodes().select("paper_ids", F.size("evidence").alias("n"), F.col("evidence")[n - 1]["text"].alias("last")).collect()
+    assert [(r.paper_ids, r.n, r.last) for r in got] == [(["p0", "p1", "p2"], n, str(n - 1))] and time.time() - began < 60
