@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.scratch import kept
@@ -37,11 +37,11 @@ def places(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept(a, "places"), kept(b, "places")
 
 
-def rising(left: DataFrame, right: DataFrame, score: Callable[[DataFrame], DataFrame], bonus: Callable[[Column], Column], levels: tuple[float, ...], k: int, start: DataFrame | None = None) -> DataFrame:
+def rising(left: DataFrame, right: DataFrame, score: Callable[[DataFrame], DataFrame], bonus: Callable[[Column], Column], levels: tuple[float, ...], k: int, start: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
     """Scored pairs (a, b, score, ...) that hold the best ``k`` of every a among those with at least the last level's score.
 
     ``left`` and ``right`` come from :func:`places`; ``score`` scores pairs (a, b); ``bonus`` bounds what a score adds to the similarity of a pair with so many common
-    tokens at most; ``start`` holds pairs that are scored already, among them all whose score may exceed that bound.
+    tokens at most; ``start`` holds pairs that are scored already, among them all whose score may exceed that bound; ``weights`` (b, w) says for how many sets a b stands.
     """
     found, above = start, None
     o = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("s"))
@@ -49,8 +49,9 @@ def rising(left: DataFrame, right: DataFrame, score: Callable[[DataFrame], DataF
     for level in levels:
         active = left
         if found is not None and above is not None:
-            place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-            done = found.where(F.col("score") >= above).withColumn("_r", place).where(F.col("_r") == k).select("a")
+            enough = found.where(F.col("score") >= above).select("a", "b")
+            enough = enough.withColumn("w", F.lit(1)) if weights is None else enough.join(weights, "b")
+            done = enough.groupBy("a").agg(F.sum("w").alias("w")).where(F.col("w") >= k).select("a")
             active = left.join(done, "a", "left_anti")
         near = active.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         met = near.join(right, ["t", "share"]).where(bound >= level - 1e-9).select("a", "b").distinct()
