@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import vectorised
 from lacuna.functions.text import jaccard, squash
 from lacuna.operators.similarity import components
+from lacuna.scratch import kept
 
 # Bounds of the generator's and of the critic's gate, labels and support that the critic must give.
 GENERATOR = {"coherence_score": (">=", 0.75), "specificity_score": (">=", 0.60), "term_soup_risk": ("<=", 0.30), "non_incrementality_score": (">=", 0.70), "incrementality_risk": ("<=", 0.40)}
@@ -123,35 +124,40 @@ def merge_edges(rows: DataFrame, topic: tuple[str, ...] = ()) -> DataFrame:
 
     A and B link the variants of a key to its least id; C meets on papers and E on identity words (both rarest first), D on words of titles and statements without
     framing: titles without a common word are taken to differ.  Through a word that many share, only pairs go on whose characters' counts allow the ratio.
+
+    Variants and keys are written once, and sides of variants are shuffled whatever their size is taken for: small files of them are large in memory, so
+    none goes through the driver as a broadcast.
     """
-    v = rows.select(
+    shuffled = lambda df: df.hint("merge")
+    v = kept(rows.select(
         F.col("variant_id").alias("id"), _t("source_formulation_id").alias("source"), _t("source_verified_gap_id").alias("gap"),
         F.coalesce("supporting_papers", F.array().cast("array<string>")).alias("papers"), identity_words(topic).alias("identity"),
         without_framing(_t("title")).alias("title"), without_framing(_t("problem_statement")).alias("statement"), F.lower(squash(_t("broader_problem_class"))).alias("kind"),
-    )
+    ), "variants")
     out = None
     for rule, key in (("A_same_source_direct_formulation", "source"), ("B_same_source_verified_gap", "gap")):
         least = v.where(F.col(key) != "").groupBy(key).agg(F.min("id").alias("a"))
-        links = v.join(least, key).where("id <> a").select("a", F.col("id").alias("b"), F.lit(rule).alias("rule"))
+        links = v.join(shuffled(least), key).where("id <> a").select("a", F.col("id").alias("b"), F.lit(rule).alias("rule"))
         out = links if out is None else out.unionByName(links)
+    out = kept(out, "links")
     side = lambda s: v.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("papers", "identity", "title", "statement", "kind")])
 
     def met(keys: DataFrame, fit: Column | None = None) -> DataFrame:
         """Pairs that share a key and fit, once each, with their columns; keys of many rows are dealt out, each share of one side meeting a copy of the other."""
         many = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("shares"))
-        dealt = keys.join(many, "key")
+        dealt = kept(keys.join(shuffled(many), "key"), "keys")
         own = [c for c in keys.columns if c not in ("id", "key")]
         one = dealt.select(F.col("id").alias("a"), "key", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), *[F.col(c).alias(f"a_{c}") for c in own])
         two = dealt.select(F.col("id").alias("b"), "key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), *[F.col(c).alias(f"b_{c}") for c in own])
         on = (one["key"] == two["key"]) & (one["share"] == two["share"]) & (F.col("a") < F.col("b"))
-        pairs = one.join(two, on if fit is None else on & fit).select("a", "b").distinct()
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        pairs = kept(one.join(shuffled(two), on if fit is None else on & fit).select("a", "b").distinct(), "pairs")
+        both = pairs.join(shuffled(side("a")), "a").join(shuffled(side("b")), "b")
         return both.withColumn("identity_overlap", F.size(F.array_intersect("a_identity", "b_identity")))
 
     def rarest(keys: DataFrame, n: Column) -> DataFrame:
         """The first ``n`` keys of each row of (id, key), rarest first, of ``F.col("o")``; those of one row only meet nothing."""
         often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-        ordered = keys.join(often, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("o"))
+        ordered = keys.join(shuffled(often), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("o"))
         return ordered.select("id", F.explode(F.slice("o", 1, n)).alias("k")).where("k.df > 1").select("id", "k.key")
 
     # variants that share three words share one besides the two most frequent of either; papers with a Jaccard similarity share one of either's first
@@ -169,7 +175,7 @@ def merge_edges(rows: DataFrame, topic: tuple[str, ...] = ()) -> DataFrame:
         kinds.withColumn("like", vectorised.sequence_ratio("a_kind", "b_kind")).where(F.col("like") >= CLASS).select("a", "b", F.lit("E_same_problem_class_and_identity_overlap").alias("rule"))
     )
     first = near.groupBy("a", "b").agg(F.min("rule").alias("rule"))
-    return out.unionByName(first.join(out.select("a", "b"), ["a", "b"], "left_anti"))
+    return out.unionByName(first.join(shuffled(out.select("a", "b")), ["a", "b"], "left_anti"))
 
 
 def level(x: Column, high: float, middle: float) -> Column:

@@ -71,3 +71,11 @@ def test_pairs_of_a_common_word_stay_few(spark):
     a, b = (both.select([F.col(c).alias(f"{s}_{c}") for c in both.columns]) for s in "ab")
     pairs = a.join(b, (F.col("a_title") < F.col("b_title")) & fo.may_be_like("title", 0.85)).count()
     assert pairs < 400 * 399 / 2 / 3
+
+
+def test_merge_edges_broadcast_no_variants(spark):
+    from lacuna.operators import formulations
+
+    rows = [(i, f"s{i // 2}", f"g{i // 3}", [f"p{i % 4}"], f"alpha{i % 3} beta{i % 3} delta", "kind", f"title {i % 5}", f"statement {i % 7}") for i in range(30)]
+    df = spark.createDataFrame(rows, "variant_id long, source_formulation_id string, source_verified_gap_id string, supporting_papers array<string>, core_setting string, broader_problem_class string, title string, problem_statement string")
+    assert "Broadcast" not in formulations.merge_edges(df)._jdf.queryExecution().executedPlan().toString()
