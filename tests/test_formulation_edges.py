@@ -73,9 +73,11 @@ def test_pairs_of_a_common_word_stay_few(spark):
     assert pairs < 400 * 399 / 2 / 3
 
 
-def test_merge_edges_broadcast_no_variants(spark):
+def test_merge_edges_broadcast_no_variants(spark, tmp_path):
     from lacuna.operators import formulations
 
     rows = [(i, f"s{i // 2}", f"g{i // 3}", [f"p{i % 4}"], f"alpha{i % 3} beta{i % 3} delta", "kind", f"title {i % 5}", f"statement {i % 7}") for i in range(30)]
     df = spark.createDataFrame(rows, "variant_id long, source_formulation_id string, source_verified_gap_id string, supporting_papers array<string>, core_setting string, broader_problem_class string, title string, problem_statement string")
+    df.write.parquet(f"{tmp_path}/v")  # a small file, whatever it is in memory
+    df = spark.read.parquet(f"{tmp_path}/v")
     assert "Broadcast" not in formulations.merge_edges(df)._jdf.queryExecution().executedPlan().toString()
