@@ -137,3 +137,23 @@ def test_matches_ranks_and_copies(spark):
     got = {(x.id, x.rank): x.other for x in likeness.matches(left, right, 0.92, 3).collect()}
     assert got == {(i, k): o for i in (1, 2) for k, o in ((1, 9), (2, 0), (3, 1))}
     assert likeness.matches(left.limit(0), right, 0.92, 3).count() == 0
+
+
+def test_ratio_pairs_of_equal_length(spark):
+    """A letter lost and another doubled: the shorter partners' bound is higher than that of partners as long."""
+    got = likeness.ratio_pairs(spark.createDataFrame([("abdefgghijklm",)], "text string"), spark.createDataFrame([("abcdefghijklm",)], "text string"), 0.92)
+    assert [(x.a, x.b, round(x.ratio, 6)) for x in got.collect()] == [("abdefgghijklm", "abcdefghijklm", 0.923077)]
+
+
+def test_ratio_pairs_in_many_blocks(spark, monkeypatch):
+    """Blocks of a few texts give the same pairs; what is shuffled or kept are texts, not pairs."""
+    r = random.Random(5)
+    some = ["".join(r.choice("abcdefg ") for _ in range(r.randint(1, 40))) for _ in range(60)]
+    left, right = [edited(r, t) for t in some], some
+    monkeypatch.setattr(likeness, "LEFT", (50, 3))
+    monkeypatch.setattr(likeness, "RIGHT", (80, 4))
+    found = likeness.ratio_pairs(spark.createDataFrame([(t,) for t in left], "text string"), spark.createDataFrame([(t,) for t in right], "text string"), 0.85)
+    ratio = lambda a, b: 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+    want = {(a, b): ratio(a, b) for a in set(left) for b in set(right) if a and b and ratio(a, b) >= 0.85}
+    assert {(x.a, x.b): x.ratio for x in found.collect()} == want and len(want) > 20
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
