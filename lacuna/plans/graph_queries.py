@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.operators import gaps, graph, motifs
 from lacuna.plans.views import GRAPH_SQL, evidence_graph, mentions, tuples
+from lacuna.scratch import kept
 
 FLAT = ("motif_type", "motif_id", "node_id", "label", "n_support", "score")
 
@@ -73,6 +74,8 @@ def motif_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diverse_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gaps.gap_rows(motifs.all_motifs(*evidence_graph(spark, sf_dir)))
+    # ranks and sizes both read the gaps, which are thirteen motifs over the graph
+    rows = kept(rows.select("gap_id", "motif_type", "n_papers", "overall_score"), "gaps")
     return gaps.diverse_slots(rows, 40).select("gap_id", "motif_type", "slot")
 
 

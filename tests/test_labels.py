@@ -27,3 +27,18 @@ def test_ids_of_both_ends_are_compiled(spark):
     debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
     stages = debug.codegenStringSeq(plan)
     assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
+def test_diverse_slots_find_their_motifs_once(spark, monkeypatch):
+    """The gaps are written before ranks and sizes read them, so the motifs' plan is not in the result's twice."""
+    from lacuna.plans import graph_queries
+
+    hits = spark.createDataFrame(
+        [(f"m{i % 3}", f"id{i}", "n", "l", ["n"], ["p"] * (i % 4 + 1), 1, 0.5) for i in range(60)],
+        "motif_type string, motif_id string, node_id string, label string, node_ids array<string>, paper_ids array<string>, n_support long, score double",
+    )
+    monkeypatch.setattr(graph_queries, "evidence_graph", lambda *_: (None, None))
+    monkeypatch.setattr(graph_queries.motifs, "all_motifs", lambda *_: hits)
+    got = graph_queries.diverse_slots(spark, "")
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 40 and {r.motif_type for r in got.collect()} == {"m0", "m1", "m2"}
