@@ -1,19 +1,75 @@
 """Exact set-similarity joins and entity resolution.
 
 Pairs come from the prefix filter: tokens are ordered rarest first, and two sets with a Jaccard similarity of t or more share one of their first
-n - ceil(t n) + 1 tokens, behind which either has enough tokens left.  Pairs are then checked on the full sets.
+n - ceil(t n) + 1 tokens, behind which either has enough tokens left.  Pairs are then checked on the full sets, which travel to groups of like
+sets and not to every pair.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.text import jaccard
 from lacuna.operators.contraction import components  # noqa: F401  (part of this module's interface)
 from lacuna.operators.vectors import nearest  # noqa: F401  (likewise)
 from lacuna.scratch import kept
 
+#: Earlier tokens that a place of a prefix knows; sets of a side of a block of pairs, about; tokens counted at once.
+WINDOW, SIDE, TOKENS = 4, 256, 4096
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens any two of the sets have in common."""
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    tokens, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    met = df[at] > 1  # the others are in one set only
+    own, at = own[met], np.unique(at[met], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, TOKENS):
+        i, j = np.searchsorted(at, (low, low + TOKENS))
+        seen = np.zeros((len(sets), min(TOKENS, int(at[-1]) + 1 - low)), np.float32)
+        seen[own[i:j], at[i:j] - low] = 1
+        out += np.rint(seen @ seen.T).astype(np.int64)
+    return out
+
+
+def _checked(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b), a < b, that reach the threshold on their full sets (id, t).
+
+    A pair is checked in the group of the least id that its lesser end meets, so sets that all resemble one another go to one group, once.  A group of many pairs is
+    dealt into blocks of about SIDE sets by SIDE sets, whose number follows the number of its pairs.
+    """
+    pairs = kept(pairs, "pairs")
+    lead = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("lead"))
+    led = kept(pairs.join(lead, "a", "left").select("a", "b", F.coalesce("lead", "a").alias("g")), "led")
+    large = led.groupBy("g").agg(F.ceil(F.sqrt(2.0 * F.count(F.lit(1))) / SIDE).cast("int").alias("sides")).where("sides > 1")
+    side = lambda x: F.pmod(F.xxhash64(x), F.coalesce("sides", F.lit(1))).cast("int")
+    dealt = led.join(large, "g", "left").select("g", F.least(side("a"), side("b")).alias("i"), F.greatest(side("a"), side("b")).alias("j"), "a", "b")
+    # groups are small; some of them travel together
+    bundles = max(1, classes.count() // SIDE)
+    dealt = dealt.withColumn("bundle", F.pmod(F.xxhash64("g", "i", "j"), F.lit(bundles)).cast("int"))
+    named = [F.col(k).alias(f"own_{k}") for k in ("bundle", "g", "i", "j")]
+    needed = dealt.select(*named, F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "t"), "id")
+    kind = dict(pairs.dtypes)["a"]
+
+    def check(p: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        rows, own = [], sets.groupby(["own_g", "own_i", "own_j"]).indices
+        ids, tokens, ends = sets["id"].to_numpy(), sets["t"].to_numpy(), p[["a", "b"]].to_numpy()
+        for key, at in p.groupby(["g", "i", "j"]).indices.items():
+            mine = own[key]
+            place = {x: i for i, x in enumerate(ids[mine])}
+            n, common = np.array([len(t) for t in tokens[mine]]), _overlaps(list(tokens[mine]))
+            a, b = (np.array([place[x] for x in side]) for side in ends[at].T)
+            found = common[a, b] / (n[a] + n[b] - common[a, b])
+            rows += [(*ends[at[k]], found[k]) for k in np.flatnonzero(found >= threshold)]
+        return pd.DataFrame(rows, columns=["a", "b", "similarity"])
+
+    return dealt.groupBy("bundle").cogroup(needed.groupBy("own_bundle")).applyInPandas(check, f"a {kind}, b {kind}, similarity double")
+
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of rows (id, tokens) with a < b; equal sets are one class, whose least id stands for it.
@@ -31,15 +87,17 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     # a set's rarest tokens: those of one set only come first, and as many tokens of the prefix are spent on them
     ordered = each.join(df, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("o"))
-    shown = ordered.where(keep > 0).select("id", "n", F.size("o").alias("met"), F.posexplode(F.slice("o", 1, keep)).alias("i", "p"))
-    prefix = kept(shown.select("id", "n", (F.col("met") - F.col("i")).alias("left"), F.col("p.t").alias("t")), "prefix")  # tokens from this place on
-    a, b = (prefix.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("left").alias(f"l{k}"), "t") for k in "ab")
+    # a place knows the WINDOW tokens before it: a pair that has one of them in common has met there already
+    before = lambda i: F.transform(F.slice("o", F.greatest(F.lit(1), i + 1 - WINDOW), F.least(F.lit(WINDOW), i)), lambda x: x["t"])
+    places = F.transform(F.slice("o", 1, keep), lambda x, i: F.struct(x["t"].alias("t"), (F.size("o") - i).alias("left"), before(i).alias("before")))
+    shown = ordered.where(keep > 0).select("id", "n", F.explode(places).alias("p"))
+    prefix = kept(shown.select("id", "n", "p.left", "p.before", "p.t"), "prefix")  # tokens from this place on
+    a, b = (prefix.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("left").alias(f"l{k}"), F.col("before").alias(f"b{k}"), "t") for k in "ab")
     # at a pair's first common token, as many tokens must be left on either side as they need to have in common
     needed = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
-    fits = (F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - 1e-9)) & (F.least("la", "lb") >= needed) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, "t").where(fits).select("a", "b").distinct()
-    side = lambda k, v: classes.select(F.col("id").alias(k), F.col("t").alias(v))
-    near = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - 1e-9)) & (F.least("la", "lb") >= needed)
+    pairs = a.join(b, "t").where(fits & ~F.arrays_overlap("ba", "bb")).select("a", "b").distinct()
+    near = _checked(pairs, classes, threshold)
     return near.unionByName(copies)
 
 
