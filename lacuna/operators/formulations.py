@@ -191,7 +191,8 @@ def families(rows: DataFrame, edges: DataFrame, topic: tuple[str, ...] = ()) ->
     best = v.groupBy("component").agg(F.min_by(F.struct("variant_id", "title", "problem_statement"), F.struct((-ni).alias("n"), fake.alias("f"), F.col("expanded_rank").alias("r"), F.col("variant_id").alias("i"))).alias("rep"))
     v = v.join(best, "component")
     norm = lambda x: F.lower(squash(F.coalesce(x, F.lit(""))))
-    same = (vectorised.sequence_ratio(norm(F.col("title")), norm(F.col("rep.title"))) >= DUPLICATE) | (vectorised.sequence_ratio(norm(F.col("problem_statement")), norm(F.col("rep.problem_statement"))) >= DUPLICATE)
+    v = v.withColumns({"_t": norm(F.col("title")), "_rt": norm(F.col("rep.title")), "_s": norm(F.col("problem_statement")), "_rs": norm(F.col("rep.problem_statement"))})
+    same = vectorised.alike(F.col("_t"), F.col("_rt"), DUPLICATE) | vectorised.alike(F.col("_s"), F.col("_rs"), DUPLICATE)
     v = v.withColumns({"dup": (F.col("variant_id") != F.col("rep.variant_id")) & same, "object": object_words()})
     support = F.when(F.lower(_t("critic_supported_by_source")) == "strong", 2).when(F.lower(_t("critic_supported_by_source")) == "moderate", 1).otherwise(0)
     labels = F.collect_set(_t("critic_quality_label"))

@@ -1,8 +1,12 @@
 """Work that must not grow faster than its input, on small tables."""
 
+import difflib
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
+from lacuna.functions import vectorised
 from lacuna.operators import similarity
 
 
@@ -19,3 +23,24 @@ def test_near_copies_meet_in_blocks(spark, monkeypatch):
     like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
     want = {(a, b): round(like(sets[a], sets[b]), 9) for a, b in itertools.combinations(sorted(set(sets) - {200}), 2) if like(sets[a], sets[b]) >= 0.85}
     assert len(want) > 500 and got == want | {(3, 200): 1.0}
+
+
+def test_alike_is_the_ratio_and_compares_few(spark):
+    """The bound by edit distance changes no answer, and texts far apart are not compared in Python."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdé𝄞") for _ in range(n))
+    pairs = [("", ""), ("", "a"), (None, ""), ("abcd", "bcda")]
+    for n in (5, 40, 250):
+        for _ in range(60):
+            x = word(n)
+            y = list(x)
+            for _ in range(rng.randrange(max(2, n // 4))):
+                i = rng.randrange(len(y))
+                y[i : i + 1] = rng.choice([[], [rng.choice("abcdé")], [y[i], "z"]])
+                y = y or ["a"]
+            pairs.append((x, "".join(y)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for least in (0.72, 0.86):
+        want = [a == b or difflib.SequenceMatcher(None, a or "", b or "").ratio() >= least for a, b in pairs]
+        got = [r.x for r in df.select(vectorised.alike(F.col("a"), F.col("b"), least).alias("x")).collect()]
+        assert got == want and any(want[4:]) and not all(want)
