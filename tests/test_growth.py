@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import vectorised
 from lacuna.operators import similarity
+from lacuna.sources import paged
 
 
 def test_near_copies_meet_in_blocks(spark, monkeypatch):
@@ -44,3 +45,14 @@ def test_alike_is_the_ratio_and_compares_few(spark):
         want = [a == b or difflib.SequenceMatcher(None, a or "", b or "").ratio() >= least for a, b in pairs]
         got = [r.x for r in df.select(vectorised.alike(F.col("a"), F.col("b"), least).alias("x")).collect()]
         assert got == want and any(want[4:]) and not all(want)
+
+
+def test_many_pages_share_tasks_and_files(spark, tmp_path):
+    """Files and tasks follow the rows, not one to a page; filters choose among the pages of a task as before."""
+    rows = spark.range(20_000).select(F.lit("A").alias("venue"), F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), (2000 + F.col("id") % 10).cast("int").alias("year"), F.col("id").alias("place"))
+    service = paged.Served.write(rows.where("id NOT BETWEEN 3000 AND 3999"), str(tmp_path / "p"), 10)
+    assert len(list((tmp_path / "p").rglob("*.parquet"))) <= 2000 / 64 + 1
+    every = paged.listed(spark, service, ["A"], 10)
+    assert every.rdd.getNumPartitions() <= paged.TASKS
+    got = every.where("page >= 250 AND page < 450 AND year >= 2008").select("id", "page").collect()
+    assert sorted((int(r.id), r.page) for r in got) == [(i, i // 10) for i in range(2500, 4500) if i % 10 >= 8 and not 3000 <= i < 4000]
