@@ -16,12 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import small_batches
 from lacuna.scratch import kept
 
 #: Vectors in a block; vectors of a group; most groups; most pivots, and sampled vectors for each pivot.
 BLOCK, SOUGHT, GROUPS, PIVOTS, SAMPLED = 64, 65536, 8192, 1024, 16
 #: Blocks that are judged together inside a task.
 TILE = 16
+#: Bytes of an Arrow batch: a block's row holds all its vectors, and a task has some copies of a batch.
+BATCH = 4 << 20
 #: Products are compared in units of the fifth place; bounds are widened by this share of a unit for rounding in sums.
 UNIT, SLACK = 1e5, 1e-3
 _LAST = np.iinfo(np.int64).max
@@ -164,6 +167,7 @@ def nearest_met(rows: DataFrame, k: int) -> DataFrame:
     rows = rows.where("id IS NOT NULL AND vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     rows = rows.where(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))  # NaN is larger than all numbers
     spark = rows.sparkSession
+    small_batches(spark, 10_000, BATCH)
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], "id long, other long, rank long, met long")

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from lacuna.functions import vectorised
-from lacuna.operators import similarity
+from lacuna.operators import similarity, vectors
 from lacuna.sources import paged
 
 
@@ -56,3 +56,12 @@ def test_many_pages_share_tasks_and_files(spark, tmp_path):
     assert every.rdd.getNumPartitions() <= paged.TASKS
     got = every.where("page >= 250 AND page < 450 AND year >= 2008").select("id", "page").collect()
     assert sorted((int(r.id), r.page) for r in got) == [(i, i // 10) for i in range(2500, 4500) if i % 10 >= 8 and not 3000 <= i < 4000]
+
+
+def test_batches_of_vectors_are_bounded_by_bytes(spark):
+    """A row of a block holds 64 vectors, so batches by rows alone would hold hundreds of MB."""
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(300)], "id long, vector array<double>")
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(size, "256m")
+    got = vectors.nearest(rows, 1)
+    assert int(spark.conf.get(size)) <= 8 << 20 and got.count() == 300
