@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import vectorised
 from lacuna.operators import similarity, vectors
+from lacuna.plans import catalogue
 from lacuna.sources import paged
 
 
@@ -65,3 +66,11 @@ def test_batches_of_vectors_are_bounded_by_bytes(spark):
     spark.conf.set(size, "256m")
     got = vectors.nearest(rows, 1)
     assert int(spark.conf.get(size)) <= 8 << 20 and got.count() == 300
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    """Whole texts are long, so batches by rows alone have no bound."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(size, "256m")
+    catalogue.QUERIES["contamination"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(size)) <= 8 << 20
