@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna.operators import retrieval, text_index
+from lacuna.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +67,16 @@ def test_blocks_are_skipped(spark):
     assert index.blocks.where("term = 'everywhere'").count() >= 250 and read.where("term = 'everywhere'").count() == 0 and read.count() <= 6
     assert index.search(spark.createDataFrame([(1, "everywhere seldom")], "qid long, text string"), 5).count() == 5
     assert text_index.Index.build(chunks.limit(0)).search(spark.createDataFrame([(1, "everywhere")], "qid long, text string"), 5).count() == 0
+
+
+def test_only_asked_terms_are_posted(spark, chunks, monkeypatch):
+    """An index for known queries posts their terms only, of all chunks, and answers as the whole index does."""
+    asked = spark.createDataFrame([(1, "common word1 word250"), (2, "nowhere"), (3, None)], "qid long, text string")
+    few, whole = text_index.Index.build(chunks, asked=asked), text_index.Index.build(chunks)
+    assert {r.term for r in few.terms.collect()} == {"common", "word1", "word250"} and few.n == whole.n == 604
+    assert sorted(few.search(asked, 700).collect()) == sorted(whole.search(asked, 700).collect())
+    built = []
+    monkeypatch.setattr(text_index.Index, "search", lambda self, queries, k: built.append(self) or queries.selectExpr("qid", "qid AS paper_id", "qid AS chunk_id", "0.0D AS score"))
+    catalogue.QUERIES["bm25_many"](spark, "/root/testdata/sf0.001")
+    texts = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").where("item_id % 20 = 0").collect()
+    assert {r.term for r in built[0].terms.collect()} <= {w for r in texts for w in re.findall("[a-z0-9]{3,}", r.text.lower())}
