@@ -64,7 +64,10 @@ def _read(log: DataFrame, stage: Stage) -> DataFrame:
 
 def asked(rows: DataFrame, stage: Stage, model: models.Model, fields: dict[str, Column]) -> DataFrame:
     """(id, p, attempts, problem) for every row of (id, ...): the parsed reply, how often the model was asked, and null or the last problem."""
-    prompts = kept(rows.select("id", models.prompt(stage.template, fields).alias("prompt")), "prompts")
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = rows.select("id", *[c.alias(f"_{k}") for k, c in fields.items()]).repartition(tasks, "id")  # a small file of many short rows would be asked by one task
+    prompts = kept(dealt.select("id", models.prompt(stage.template, {k: F.col(f"_{k}") for k in fields}).alias("prompt")), "prompts")
     first = kept(_read(models.replies(prompts, _text(model), 1), stage).select("id", "p", "problem"), "replies")
     bad = first.where("problem IS NOT NULL").select("id", "problem")
     head, tail = REPAIR.split("{}")

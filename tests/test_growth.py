@@ -4,10 +4,11 @@ import difflib
 import itertools
 import random
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from lacuna.functions import vectorised
-from lacuna.operators import similarity, vectors
+from lacuna.operators import model_stages, similarity, vectors
 from lacuna.plans import catalogue
 from lacuna.sources import paged
 
@@ -74,3 +75,12 @@ def test_batches_of_texts_are_bounded_by_bytes(spark):
     spark.conf.set(size, "256m")
     catalogue.QUERIES["contamination"](spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get(size)) <= 8 << 20
+
+
+def test_a_model_is_asked_by_many_tasks(spark):
+    """Rows that come in one piece are asked by as many tasks as the session has, the repaired ones too."""
+    stage = model_stages.Stage("Number {n}", "task string", ("task",))
+    model = lambda prompt: f'{{"task": "{TaskContext.get().partitionId()}"}}' if "could not" in prompt or prompt[-1] in "02468" else "no"
+    got = model_stages.asked(spark.range(400).coalesce(1), stage, model, {"n": F.col("id")}).collect()
+    assert sorted((r.id, r.attempts, r.problem) for r in got) == [(i, 1 + i % 2, None) for i in range(400)]
+    assert len({r.p.task for r in got if r.attempts == 1}) == len({r.p.task for r in got if r.attempts == 2}) == 4
