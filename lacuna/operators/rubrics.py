@@ -434,15 +434,16 @@ def ranking_violations(rows: DataFrame, packets: DataFrame, criteria: tuple[str,
     return every.select("packet_id", F.array_sort(F.concat(missing, F.coalesce("bad", F.array().cast("array<string>")))).alias("violations"))
 
 
-def batch_violations(rows: DataFrame, expected: DataFrame) -> DataFrame:
+def batch_violations(rows: DataFrame, expected: DataFrame, tasks: int | None = None) -> DataFrame:
     """(batch, violations) of batch replies (batch, candidate_id, rank, checklist map) against the expected candidates (batch, candidate_id, position).
 
-    Ids agree, ranks are 1..n without ties and not the input's order, checklists have their six keys with YES, PARTIAL or NO.
+    With ``tasks``, which should follow the rows, batches are counted by so many tasks, whatever the session's shuffle partitions.  Ids agree, ranks are 1..n without ties and not the input's order, checklists have their six keys with YES, PARTIAL or NO.
     """
     known = F.array(*[F.lit(c) for c in CHECKLIST])
     keys, values = F.map_keys("checklist"), F.map_values("checklist")
     bad = (F.size(F.array_except(known, keys)) > 0) | (F.size(F.array_except(keys, known)) > 0) | F.exists(values, lambda v: ~v.isin("YES", "PARTIAL", "NO"))
     both = expected.join(rows.select("batch", "candidate_id", "rank", F.coalesce(bad, F.lit(True)).alias("bad"), F.lit(True).alias("given")), ["batch", "candidate_id"], "full")
+    both = both.repartition(tasks, "batch") if tasks else both
     by = both.groupBy("batch").agg(
         F.count_if(F.col("given").isNull()).alias("missing"), F.count_if(F.col("position").isNull()).alias("extra"), F.count(F.lit(1)).alias("n"),
         F.countDistinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.bool_and(F.col("rank") == F.col("position")).alias("same"),

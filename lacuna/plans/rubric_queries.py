@@ -100,6 +100,8 @@ def batch_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _joined(rubrics.batch_caps()).alias("violations"), _joined(rubrics.calibration_flags()).alias("flags"))
 
 
+#: Line items that a task takes where tables and hash maps in memory hold them.
+TASK_ROWS = 1 << 17
 LABELS = ("baseline method", "Method-X", "ALPHA_2")
 RATIONALES = ["sound", "", "better than method-x here", "like an alpha_2b", "ALPHA_2 wins", "the Baseline Method again"]
 
@@ -159,11 +161,12 @@ def ranking_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches: line items of an order as replies about its line numbers."""
-    k = F.col("l_orderkey")
-    rows = table(spark, sf_dir, "lineitem").groupBy(k.alias("batch"), F.col("l_linenumber").alias("candidate_id")).agg(F.min("l_partkey").alias("p"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("candidate_id"), "l_partkey")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // TASK_ROWS + 1)  # the count is in the files' footers
+    rows = lines.repartition(tasks, "batch", "candidate_id").groupBy("batch", "candidate_id").agg(F.min("l_partkey").alias("p"))
     given = rows.select("batch", "candidate_id", F.when(F.col("batch") % 3 == 0, F.col("candidate_id").cast("long")).otherwise(F.col("p") % 7 + 1).alias("rank"), F.create_map(*[x for i, c in enumerate(rubrics.CHECKLIST) for x in (F.lit(c), F.when(F.col("batch") % 29 == i, "MAYBE").otherwise("YES"))]).alias("checklist"))
     expected = rows.where((F.col("batch") % 11 != 0) | (F.col("candidate_id") != 1)).select("batch", "candidate_id", F.col("candidate_id").cast("long").alias("position"))
-    return rubrics.batch_violations(given, expected).select("batch", _joined("violations").alias("violations"))
+    return rubrics.batch_violations(given, expected, tasks).select("batch", _joined("violations").alias("violations"))
 
 
 def merged_roles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import vectorised
 from lacuna.operators import model_stages, similarity, vectors
-from lacuna.plans import catalogue
+from lacuna.plans import catalogue, rubric_queries
 from lacuna.sources import paged
 
 
@@ -84,3 +84,12 @@ def test_a_model_is_asked_by_many_tasks(spark):
     got = model_stages.asked(spark.range(400).coalesce(1), stage, model, {"n": F.col("id")}).collect()
     assert sorted((r.id, r.attempts, r.problem) for r in got) == [(i, 1 + i % 2, None) for i in range(400)]
     assert len({r.p.task for r in got if r.attempts == 1}) == len({r.p.task for r in got if r.attempts == 2}) == 4
+
+
+def test_tasks_of_batches_follow_the_rows(spark, monkeypatch):
+    """More line items are counted by more tasks, not by larger ones, and with the same result."""
+    ask = lambda: catalogue.QUERIES["batch_validation"](spark, "/root/testdata/sf0.001")
+    few = sorted(ask().collect())
+    monkeypatch.setattr(rubric_queries, "TASK_ROWS", 500)
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert ask().rdd.getNumPartitions() >= n // 500 > 4 and sorted(ask().collect()) == few
