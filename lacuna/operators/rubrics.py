@@ -342,24 +342,31 @@ def calibration_flags(fields: tuple[str, ...] = FIELDS) -> Column:
     )
 
 
+def _word(*labels: str) -> str:
+    """A pattern of labels as whole words."""
+    each = ["".join("\\" + c if not c.isalnum() and c != " " else c for c in n.lower()) for n in labels]
+    return r"(?<![\p{L}\p{N}_])(?:" + "|".join(each) + r")(?![\p{L}\p{N}_])"
+
+
 def method_labels(text: Column, labels: tuple[str, ...] = HIDDEN) -> Column:
     """Labels of methods that stand in a text as whole words, whatever the case."""
-    hit = lambda n: F.lower(text).rlike(r"(?<![\p{L}\p{N}_])" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in n.lower()) + r"(?![\p{L}\p{N}_])")
-    return _rules(*[(hit(n), n) for n in labels])
+    return _rules(*[(F.lower(text).rlike(_word(n)), n) for n in labels])
+
+
+def has_method_label(text: Column, labels: tuple[str, ...] = HIDDEN) -> Column:
+    """Whether :func:`method_labels` finds any; the text is lowered once, not for each label."""
+    return F.coalesce(F.lower(text).rlike(_word(*labels)), F.lit(False)) if labels else F.lit(False)
 
 
 def score_keys(criteria: tuple[str, ...], low: int, high: int, scores: str = "scores") -> Column:
     """Criteria that are missing, unknown, no integers, or outside the scale."""
     known, given = F.array(*[F.lit(c) for c in criteria]), F.coalesce(F.map_keys(scores), F.array().cast("array<string>"))
-    entries = F.filter(F.coalesce(F.map_entries(scores), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.array_contains(known, e["key"]))
+    entries = F.coalesce(F.map_entries(scores), F.array().cast("array<struct<key:string,value:string>>"))
     integer = lambda e: F.coalesce(e["value"].rlike(r"^-?\d+$"), F.lit(False))
     tag = lambda name: lambda k: F.concat(F.lit(f"{name}:"), k)
-    return F.array_sort(F.concat(
-        F.transform(F.array_except(known, given), tag("missing")),
-        F.transform(F.array_except(given, known), tag("unknown")),
-        F.transform(F.filter(entries, lambda e: ~integer(e)), lambda e: tag("no_integer")(e["key"])),
-        F.transform(F.filter(entries, lambda e: integer(e) & ~e["value"].try_cast("bigint").between(low, high)), lambda e: tag("range")(e["key"])),
-    ))
+    # each entry is looked at once: lambdas and what they take are evaluated anew wherever they stand
+    fault = lambda e: F.when(~e["key"].isin(*criteria), tag("unknown")(e["key"])).when(~integer(e), tag("no_integer")(e["key"])).when(~e["value"].try_cast("bigint").between(low, high), tag("range")(e["key"]))
+    return F.sort_array(F.concat(F.transform(F.array_except(known, given), tag("missing")), F.array_compact(F.transform(entries, fault))))
 
 
 def _filled(x: str) -> Column:
@@ -379,7 +386,7 @@ def reply_violations(rubric: Rubric, expected: dict[str, Column], labels: tuple[
         (~_filled("strengths"), "no_strengths"),
         (~_filled("weaknesses"), "no_weaknesses"),
         (F.trim(_text("rationale")) == "", "no_rationale"),
-        (F.size(method_labels(own, labels)) > 0, "method_label"),
+        (has_method_label(own, labels), "method_label"),
     ]
     return F.concat(_rules(*checks), score_keys(rubric.criteria, rubric.low, rubric.high))
 
@@ -407,7 +414,7 @@ def preference_violations(pair_id: Column, labels: tuple[str, ...] = HIDDEN) ->
         ((F.size(F.array_except(known, given)) > 0) | (F.size(F.array_except(given, known)) > 0), "criterion_winners_keys"),
         (F.exists(values, lambda v: ~F.coalesce(v.isin("A", "B", "TIE"), F.lit(False))), "criterion_winners_values"),
         *[(F.trim(_text(t)) == "", f"no_{t}") for t in texts],
-        (F.size(method_labels(F.concat_ws("\n", *texts), labels)) > 0, "method_label"),
+        (has_method_label(F.concat_ws("\n", *texts), labels), "method_label"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from lacuna.functions import vectorised
-from lacuna.operators import model_stages, similarity, vectors
+from lacuna.operators import model_stages, rubrics, similarity, vectors
 from lacuna.plans import catalogue, rubric_queries
 from lacuna.sources import paged
 
@@ -93,3 +93,12 @@ def test_tasks_of_batches_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(rubric_queries, "TASK_ROWS", 500)
     n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert ask().rdd.getNumPartitions() >= n // 500 > 4 and sorted(ask().collect()) == few
+
+
+def test_labels_are_sought_in_a_text_lowered_once(spark):
+    """A reply's text is lowered once, whatever the number of labels, and any of them is found as a whole word."""
+    labels = ("baseline method", "Method-X", "a")
+    rows = [("The BASELINE method", True), ("method-x!", True), ("method-xy", False), ("éa", False), ("É a", True), (None, False), ("", False)]
+    df = spark.createDataFrame(rows, "t string, want boolean")
+    assert all(r.x == r.want == (r.n > 0) for r in df.select("want", rubrics.has_method_label(F.col("t"), labels).alias("x"), F.size(rubrics.method_labels(F.col("t"), labels)).alias("n")).collect())
+    assert str(rubrics.reply_violations(rubrics.RUBRICS["idea_quality"], {}, labels)).count("lower(") == 1
