@@ -125,57 +125,125 @@ def merge_edges(rows: DataFrame, topic: tuple[str, ...] = ()) -> DataFrame:
     A and B link the variants of a key to its least id; C meets on papers and E on identity words (both rarest first), D on words of titles and statements without
     framing: titles without a common word are taken to differ.  Through a word that many share, only pairs go on whose characters' counts allow the ratio.
 
-    Variants and keys are written once, and sides of variants are shuffled whatever their size is taken for: small files of them are large in memory, so
-    none goes through the driver as a broadcast.
+    Variants with the same papers, identity words and kind are one class, and C and E are found between classes, at the rarest thing that two have in common.  Words, papers
+    and texts are compared as 64-bit hashes; texts travel only where they differ and a ratio decides.  Variants are written once, and sides of a join are shuffled
+    whatever their size is taken for: small files of them are large in memory, so none goes through the driver as a broadcast.
     """
-    shuffled = lambda df: df.hint("merge")
+    hashes = lambda x: F.array_sort(F.transform(F.array_distinct(F.array_compact(x)), lambda w: F.xxhash64(w)))
     v = kept(rows.select(
         F.col("variant_id").alias("id"), _t("source_formulation_id").alias("source"), _t("source_verified_gap_id").alias("gap"),
-        F.coalesce("supporting_papers", F.array().cast("array<string>")).alias("papers"), identity_words(topic).alias("identity"),
+        hashes(F.coalesce("supporting_papers", F.array().cast("array<string>"))).alias("papers"), hashes(identity_words(topic)).alias("identity"),
         without_framing(_t("title")).alias("title"), without_framing(_t("problem_statement")).alias("statement"), F.lower(squash(_t("broader_problem_class"))).alias("kind"),
-    ), "variants")
+    ).withColumn("class", F.xxhash64(F.size("papers"), "papers", F.size("identity"), "identity", "kind")), "variants")
     out = None
     for rule, key in (("A_same_source_direct_formulation", "source"), ("B_same_source_verified_gap", "gap")):
         least = v.where(F.col(key) != "").groupBy(key).agg(F.min("id").alias("a"))
-        links = v.join(shuffled(least), key).where("id <> a").select("a", F.col("id").alias("b"), F.lit(rule).alias("rule"))
+        links = v.select("id", key).join(_shuffled(least), key).where("id <> a").select("a", F.col("id").alias("b"), F.lit(rule).alias("rule"))
         out = links if out is None else out.unionByName(links)
     out = kept(out, "links")
-    side = lambda s: v.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("papers", "identity", "title", "statement", "kind")])
-
-    def met(keys: DataFrame, fit: Column | None = None) -> DataFrame:
-        """Pairs that share a key and fit, once each, with their columns; keys of many rows are dealt out, each share of one side meeting a copy of the other."""
-        many = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("shares"))
-        dealt = kept(keys.join(shuffled(many), "key"), "keys")
-        own = [c for c in keys.columns if c not in ("id", "key")]
-        one = dealt.select(F.col("id").alias("a"), "key", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), *[F.col(c).alias(f"a_{c}") for c in own])
-        two = dealt.select(F.col("id").alias("b"), "key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), *[F.col(c).alias(f"b_{c}") for c in own])
-        on = (one["key"] == two["key"]) & (one["share"] == two["share"]) & (F.col("a") < F.col("b"))
-        pairs = kept(one.join(shuffled(two), on if fit is None else on & fit).select("a", "b").distinct(), "pairs")
-        both = pairs.join(shuffled(side("a")), "a").join(shuffled(side("b")), "b")
-        return both.withColumn("identity_overlap", F.size(F.array_intersect("a_identity", "b_identity")))
-
-    def rarest(keys: DataFrame, n: Column) -> DataFrame:
-        """The first ``n`` keys of each row of (id, key), rarest first, of ``F.col("o")``; those of one row only meet nothing."""
-        often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-        ordered = keys.join(shuffled(often), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("o"))
-        return ordered.select("id", F.explode(F.slice("o", 1, n)).alias("k")).where("k.df > 1").select("id", "k.key")
-
-    # variants that share three words share one besides the two most frequent of either; papers with a Jaccard similarity share one of either's first
-    rare = rarest(v.select("id", F.explode("identity").alias("key")), F.greatest(F.size("o") - (IDENTITY_E - 1), F.lit(0)))
-    first_papers = rarest(v.select("id", F.explode(F.array_distinct("papers")).alias("key")), F.size("o") - F.ceil(PAPERS * F.size("o") - 1e-9).cast("int") + 1)
-    said = v.select("id", F.explode(F.filter(F.array_union(F.split("title", " "), F.split("statement", " ")), lambda w: (w != "") & ~w.isin(*STOPS))).alias("key"), *counted("title"), *counted("statement"))
-    fits = lambda x, y, t: 2 * F.least(F.length(x), F.length(y)) >= t * (F.length(x) + F.length(y))  # noqa: E731  # the ratio's bound by length
-    by_papers = met(first_papers).where((jaccard("a_papers", "b_papers") >= PAPERS) & (F.col("identity_overlap") >= IDENTITY_C))
-    titles = met(said, may_be_like("title", TITLE) | may_be_like("statement", TITLE))
-    like = F.greatest(vectorised.sequence_ratio("a_title", "b_title"), vectorised.sequence_ratio("a_statement", "b_statement"))
-    kinds = met(rare).where((F.col("identity_overlap") >= IDENTITY_E) & fits("a_kind", "b_kind", CLASS))
-    near = by_papers.select("a", "b", F.lit("C_paper_jaccard_and_identity_overlap").alias("rule"))
-    near = near.unionByName(titles.withColumn("like", like).where(F.col("like") >= TITLE).select("a", "b", F.lit("D_title_problem_similarity").alias("rule")))
-    near = near.unionByName(
-        kinds.withColumn("like", vectorised.sequence_ratio("a_kind", "b_kind")).where(F.col("like") >= CLASS).select("a", "b", F.lit("E_same_problem_class_and_identity_overlap").alias("rule"))
-    )
-    first = near.groupBy("a", "b").agg(F.min("rule").alias("rule"))
-    return out.unionByName(first.join(shuffled(out.select("a", "b")), ["a", "b"], "left_anti"))
+    near = _of_classes(v).unionByName(_of_texts(v)).unionByName(out.select("a", "b", F.lit(0).alias("code")))
+    first = near.groupBy("a", "b").agg(F.min("code").alias("code")).where("code > 0")
+    return out.unionByName(first.select("a", "b", F.get(F.array(*[F.lit(x) for x in RULES]), F.col("code") - 1).alias("rule")))
+
+
+#: What the codes 1 to 3 of a pair's rule stand for.
+RULES = ("C_paper_jaccard_and_identity_overlap", "D_title_problem_similarity", "E_same_problem_class_and_identity_overlap")
+
+
+def _shuffled(df: DataFrame) -> DataFrame:
+    return df.hint("merge")
+
+
+def _shares(n: Column) -> Column:
+    return F.ceil(n / SPLIT).cast("int").alias("shares")
+
+
+def _sides(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of rows (id, key, shares, ...), as a_ and b_ columns, to join on key and share: a key of many rows is dealt out, each share of one side meeting a copy of the other."""
+    own = [c for c in keys.columns if c not in ("id", "key", "shares")]
+    name = lambda s: [F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in own]]
+    one = keys.select(*name("a"), "key", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"))
+    return one, _shuffled(keys.select(*name("b"), "key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")))
+
+
+def _met(keys: DataFrame, fit: Column) -> DataFrame:
+    """Pairs a < b of rows (id, key, shares, ...) that share a key and fit, with their columns, once for each key."""
+    one, two = _sides(keys)
+    return one.join(two, ["key", "share"]).where((F.col("a") < F.col("b")) & fit)
+
+
+def _counted_keys(keys: DataFrame) -> DataFrame:
+    """Adds ``shares`` by the rows of each key; keys of one row meet nothing and go."""
+    return keys.join(_shuffled(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "key").select(*keys.columns, _shares(F.col("n")))
+
+
+def _of_classes(v: DataFrame) -> DataFrame:
+    """(a, b, code) of rules C (1) and E (3): between classes first, then for their members."""
+    classes = kept(v.select(F.col("class").alias("id"), "papers", "identity", "kind").distinct(), "classes")
+    ranked = classes.select("id", F.xxhash64("kind").alias("kind"), F.length("kind").alias("n"))
+    for x in ("papers", "identity"):
+        each = classes.select("id", F.explode(x).alias("key"))
+        often = each.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+        order = each.join(_shuffled(often), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias(x))
+        ranked = ranked.join(_shuffled(order), "id", "left")
+    ranked = kept(ranked, "ranked")
+    plain = lambda x: F.transform(x, lambda k: k["key"])
+
+    def keys(x: str, most: Column, *own: Column) -> DataFrame:
+        """A class's first ``most`` keys, rarest first; those of one class only meet nothing."""
+        rows = ranked.select("id", *own, F.explode(F.slice(x, 1, F.greatest(most, F.lit(0)))).alias("k")).where("k.df > 1")
+        return rows.select(*[c for c in rows.columns if c != "k"], "k.key", _shares(F.col("k.df")))
+
+    common = lambda x: F.array_intersect(f"a_{x}", f"b_{x}")
+    first = lambda x: F.get(common(x), F.lit(0)) == F.col("key")  # noqa: E731  # in order of rarity, so a pair is taken at one key
+    # papers with a Jaccard similarity share one of either's first; sets that share three words share one besides the two most frequent of either
+    size = F.size("papers")
+    first_papers = keys("papers", size - F.ceil(PAPERS * size - 1e-9).cast("int") + 1, plain("papers").alias("papers"), plain("identity").alias("identity"))
+    by_papers = _met(first_papers, first("papers") & (jaccard("a_papers", "b_papers") >= PAPERS) & (F.size(common("identity")) >= IDENTITY_C))
+    rare = keys("identity", F.size("identity") - (IDENTITY_E - 1), plain("identity").alias("identity"), "kind", "n")
+    fits = 2 * F.least("a_n", "b_n") >= CLASS * (F.col("a_n") + F.col("b_n"))  # the ratio's bound by length
+    by_words = kept(_met(rare, first("identity") & (F.size(common("identity")) >= IDENTITY_E) & fits).select("a", "b", "a_kind", "b_kind"), "words")
+    both = by_papers.select("a", "b", F.lit(1).alias("code"), F.lit(0).alias("way")).unionByName(by_words.where("a_kind = b_kind").select("a", "b", F.lit(3).alias("code"), F.lit(0).alias("way")))
+    other = by_words.where("a_kind <> b_kind")
+    if not other.isEmpty():  # kinds' texts are compared once for each two of them, either way: the ratio depends on which variant comes first
+        texts = classes.select(F.xxhash64("kind").alias("h"), "kind").distinct()
+        said = lambda s: _shuffled(texts.select(F.col("h").alias(f"{s}_kind"), F.col("kind").alias(f"{s}_text")))
+        kinds = other.select("a_kind", "b_kind").distinct().join(said("a"), "a_kind").join(said("b"), "b_kind")
+        ahead, back = vectorised.alike(F.col("a_text"), F.col("b_text"), CLASS), vectorised.alike(F.col("b_text"), F.col("a_text"), CLASS)
+        like = kinds.select("a_kind", "b_kind", ahead.alias("ahead"), back.alias("back")).where("ahead OR back")
+        way = F.when(F.col("ahead") & F.col("back"), 0).when(F.col("ahead"), 1).otherwise(2)
+        both = both.unionByName(other.join(_shuffled(like), ["a_kind", "b_kind"]).select("a", "b", F.lit(3).alias("code"), way.alias("way")))
+    n = F.size("identity")
+    own = classes.select("id", F.when((F.size("papers") > 0) & (n >= IDENTITY_C), 1).when(n >= IDENTITY_E, 3).alias("code")).where("code IS NOT NULL")
+    best = both.groupBy("a", "b").agg(F.min(F.struct("code", "way")).alias("m")).select("a", "b", "m.*")
+    met = best.unionByName(own.select(F.col("id").alias("a"), F.col("id").alias("b"), "code", F.lit(1).alias("way")))
+    members = v.select(F.col("class").alias("key"), "id")
+    sizes = v.groupBy(F.col("class").alias("b")).agg(_shares(F.count(F.lit(1))))
+    left = met.join(_shuffled(sizes), "b").join(_shuffled(members.select(F.col("key").alias("a"), F.col("id").alias("x"))), "a")
+    left = left.select("x", "code", "way", F.col("b").alias("key"), F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"))
+    right = members.join(_shuffled(sizes.withColumnRenamed("b", "key")), "key").select("key", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    pairs = left.join(_shuffled(right), ["key", "share"]).where((F.col("way") == 0) | (F.col("way") == F.when(F.col("x") < F.col("y"), 1).when(F.col("x") > F.col("y"), 2)))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "code")
+
+
+def _of_texts(v: DataFrame) -> DataFrame:
+    """(a, b, code) of rule D (2): equal titles and statements by their hashes, others by common words, counts of characters and ratio."""
+    worded = lambda x: F.filter(F.array_distinct(F.split(x, " ")), lambda w: (w != "") & ~w.isin(*STOPS))
+    mark = lambda x: F.when(F.size(worded(x)) > 0, F.xxhash64(F.lit(x), x))  # noqa: E731  # null where no word can be common
+    marks = v.select("id", F.explode(F.array_compact(F.array(mark("title"), mark("statement")))).alias("key"))
+    same = _met(_counted_keys(marks), F.lit(True)).select("a", "b", F.lit(2).alias("code"))
+    said = v.select("id", F.explode(F.array_union(worded("title"), worded("statement"))).alias("key"), mark("title").alias("t"), mark("statement").alias("s"))
+    # a word of one title or one statement only brings no more pairs than that
+    alone = lambda x: (F.count(x) == F.count(F.lit(1))) & (F.min(x) == F.max(x))
+    words = kept(said.groupBy("key").agg(_shares(F.count(F.lit(1))), (alone("t") | alone("s") | (F.count(F.lit(1)) == 1)).alias("alone")).where("NOT alone").drop("alone"), "said")
+    if words.isEmpty():
+        return same
+    keys = v.select("id", F.explode(F.array_union(worded("title"), worded("statement"))).alias("key"), *counted("title"), *counted("statement")).join(_shuffled(words), "key")
+    pairs = kept(_met(keys, may_be_like("title", TITLE) | may_be_like("statement", TITLE)).select("a", "b").distinct(), "pairs")
+    side = lambda s: _shuffled(v.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("title", "statement")]))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    like = vectorised.alike(F.col("a_title"), F.col("b_title"), TITLE) | vectorised.alike(F.col("a_statement"), F.col("b_statement"), TITLE)
+    return same.unionByName(both.where(like).select("a", "b", F.lit(2).alias("code")))
 
 
 def level(x: Column, high: float, middle: float) -> Column:

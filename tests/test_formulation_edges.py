@@ -81,3 +81,14 @@ def test_merge_edges_broadcast_no_variants(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/v")  # a small file, whatever it is in memory
     df = spark.read.parquet(f"{tmp_path}/v")
     assert "Broadcast" not in formulations.merge_edges(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_copies_are_neither_written_nor_joined_with_texts(spark, monkeypatch):
+    """Sixty variants of one object are one class, so no table between the steps has as many rows as they have pairs; two more are met through a like kind, whichever comes first."""
+    sizes, write = {}, fo.kept
+    monkeypatch.setattr(fo, "kept", lambda df, label: sizes.setdefault(label, out := write(df, label)) and out)
+    rows = [(i, f"s{i}", "", ["p1", "p2"], "alpha beta gamma", "kind of thing", "one title here", f"statement{i}") for i in range(60)]
+    rows += [(60 + i, f"s{60 + i}", "", [f"q{i}"], "delta epsilon zeta", f"a class of cases that share much {'x' * i}", f"eta{i} theta{i}", f"other{i}") for i in range(2)]
+    got = {tuple(x) for x in fo.merge_edges(spark.createDataFrame(rows, SCHEMA)).select("a", "b", "rule").collect()}
+    assert got == brute(rows) and len(got) == 60 * 59 // 2 + 1
+    assert max(df.count() for df in sizes.values()) <= len(rows)
