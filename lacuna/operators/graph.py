@@ -42,6 +42,19 @@ def _typed_id(kind: Column, label: Column) -> Column:
     return F.concat(F.lower(kind), F.lit(":"), F.substring(stable_id("n", normalized_label(label)), 3, 16))
 
 
+def _digits(node_id: Column) -> Column:
+    """The 64 bits behind a typed id's kind; with the kind they are shuffled in its place."""
+    return F.conv(F.right(node_id, F.lit(16)), 16, -10).cast("long")
+
+
+def _kind(node_id: Column) -> Column:
+    return F.substring(node_id, F.lit(1), F.length(node_id) - 17)
+
+
+def _joined(kind: Column, digits: Column) -> Column:
+    return F.concat(F.lower(kind), F.lit(":"), F.lower(F.lpad(F.hex(digits), 16, "0")))
+
+
 def typed(tuples: DataFrame) -> DataFrame:
     """Adds the node types of subject and object.
 
@@ -127,38 +140,51 @@ def build(tuples: DataFrame, mentions: DataFrame | None = None) -> tuple[DataFra
 def nodes(typed: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """One row per (type, label); ``mentions`` (paper_id, type, label) adds entities that papers list, and the papers themselves."""
     ends = typed.select(F.explode(F.array(
-        F.struct(F.col("source").alias("id"), F.col("subject_type").alias("type"), F.col("subject").alias("label"), "paper_id"),
-        F.struct(F.col("target").alias("id"), F.col("object_type").alias("type"), F.col("object").alias("label"), "paper_id"),
+        F.struct(_digits(F.col("source")).alias("digits"), F.col("subject_type").alias("type"), F.col("subject").alias("label"), "paper_id"),
+        F.struct(_digits(F.col("target")).alias("digits"), F.col("object_type").alias("type"), F.col("object").alias("label"), "paper_id"),
     )).alias("e")).select("e.*")
     if mentions is not None:
-        ends = ends.unionByName(
-            mentions.select(_typed_id(F.col("type"), F.col("label")).alias("id"), "type", "label", "paper_id")
-        ).unionByName(
-            mentions.select(_paper(F.col("paper_id")).alias("id"), F.lit("Paper").alias("type"), F.col("paper_id").alias("label"), "paper_id")
-        )
-    return ends.groupBy("id", "type").agg(F.min("label").alias("label"), F.sort_array(F.collect_set("paper_id")).alias("paper_ids"))
+        ends = ends.unionByName(mentions.select(_digits(_typed_id(F.col("type"), F.col("label"))).alias("digits"), "type", "label", "paper_id"))
+    out = ends.groupBy("digits", "type").agg(F.min("label").alias("label"), F.sort_array(F.collect_set("paper_id")).alias("paper_ids"))
+    out = out.select(_joined(F.col("type"), F.col("digits")).alias("id"), "type", "label", "paper_ids")
+    if mentions is None:
+        return out
+    papers = mentions.select("paper_id").distinct()
+    return out.unionByName(papers.select(_paper(F.col("paper_id")).alias("id"), F.lit("Paper").alias("type"), F.col("paper_id").alias("label"), _alone("paper_id").alias("paper_ids")))
 
 
 def _paper(paper_id: Column) -> Column:
     return F.concat(F.lit("paper:"), paper_id)
 
 
+def _alone(x: str) -> Column:
+    return F.array_compact(F.array(x))
+
+
 def edges(typed: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
-    """Tuples with one key (source, relation, target, paper, evidence) are one edge, the last by ``seq``; parallel edges are merged."""
-    key = ["source", "target", "relation", "paper_id", "evidence"]
-    rows = typed.select(*key, "confidence", "seq")
-    if mentions is not None:
-        rows = rows.unionByName(mentions.select(
-            _paper(F.col("paper_id")).alias("source"), _typed_id(F.col("type"), F.col("label")).alias("target"),
-            F.lit("mentions").alias("relation"), "paper_id", F.lit("").alias("evidence"), F.lit(1.0).alias("confidence"), F.lit("").alias("seq"),
-        ))
-    last = rows.groupBy(*key).agg(F.max_by("confidence", "seq").alias("confidence"))
-    return last.groupBy("source", "target", "relation").agg(
+    """Tuples with one key (source, relation, target, paper, evidence) are one edge, the last by ``seq``; parallel edges are merged.
+
+    Both steps happen where one shuffle by source, target and relation has brought the rows.  A paper mentions an entity once, so these edges need no more than their ends.
+    """
+    ends = ["source_kind", "source_digits", "target_kind", "target_digits", "relation"]
+    parts = [f(F.col(x)).alias(f"{x}_{n}") for x in ("source", "target") for n, f in (("kind", _kind), ("digits", _digits))]
+    rows = typed.select(*parts, "relation", "paper_id", "evidence", "confidence", "seq").repartition(*ends)
+    last = rows.groupBy(*ends, "paper_id", "evidence").agg(F.max_by("confidence", "seq").alias("confidence"))
+    merged = last.groupBy(*ends).agg(
         F.sort_array(F.collect_set("paper_id")).alias("paper_ids"),
         F.array_join(F.sort_array(F.collect_set("evidence")), " ").alias("evidence"),
         F.max("confidence").alias("confidence"),
         F.count(F.lit(1)).alias("support_count"),
     )
+    own = ["relation", "paper_ids", "evidence", "confidence", "support_count"]
+    out = merged.select(*[_joined(F.col(f"{x}_kind"), F.col(f"{x}_digits")).alias(x) for x in ("source", "target")], *own)
+    if mentions is None:
+        return out
+    listed = mentions.select("paper_id", "type", _digits(_typed_id(F.col("type"), F.col("label"))).alias("digits")).distinct()
+    return out.unionByName(listed.select(
+        _paper(F.col("paper_id")).alias("source"), _joined(F.col("type"), F.col("digits")).alias("target"), F.lit("mentions").alias("relation"), _alone("paper_id").alias("paper_ids"),
+        F.lit("").alias("evidence"), F.lit(1.0).alias("confidence"), F.lit(1).cast("long").alias("support_count"),
+    ))
 
 
 def type_summary(rows: DataFrame, column: str) -> DataFrame:

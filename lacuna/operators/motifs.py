@@ -56,10 +56,10 @@ def _union(*arrays: Column | str) -> Column:
     return F.sort_array(out)
 
 
-def _hits(rows: DataFrame, motif: str, papers: Column, support: Column, score: Column, node_ids: Column, tag: str | None = None, key: list | None = None) -> DataFrame:
+def _hits(rows: DataFrame, motif: str, papers: Column, support: Column, score: Column, node_ids: Column, tag: Column | str | None = None, key: list | None = None) -> DataFrame:
     return rows.select(
         F.lit(motif).alias("motif_type"),
-        stable_id("motif", F.lit(tag or motif), *(key or ["id"])).alias("motif_id"),
+        stable_id("motif", F.lit(motif if tag is None else tag), *(key or ["id"])).alias("motif_id"),
         F.col("id").alias("node_id"),
         "label",
         node_ids.alias("node_ids"),
@@ -73,6 +73,11 @@ def _of(nodes: DataFrame, *types: str) -> DataFrame:
     return nodes.where(F.col("type").isin(*types)).select("id", "label", "paper_ids")
 
 
+def _ends(nodes: DataFrame) -> DataFrame:
+    """Nodes that claims may have as ends: papers are ends of mentions only, and are many."""
+    return nodes.where("type <> 'Paper'")
+
+
 def _out(nodes: DataFrame, edges: DataFrame, relations: list[str], *aggs: Column) -> DataFrame:
     """Methods with aggregates of their outgoing edges of the given relations."""
     by = edges.where(_rel(*relations)).groupBy(F.col("source").alias("id")).agg(*aggs)
@@ -94,9 +99,11 @@ def shared_failure_condition(nodes: DataFrame, edges: DataFrame, min_methods: in
     strong = (F.size("methods") >= min_methods) & (F.size("papers") >= 2)
     weak = ~strong & (F.size("mentions") >= max(2, min_methods))
     m, p, q = F.size("methods"), F.size("papers"), F.size("mentions")
-    first = _hits(rows.where(strong), "shared_failure_condition", F.col("papers"), m, 0.4 + 0.15 * m + 0.1 * p, F.concat(F.array("id"), F.col("methods")))
-    second = _hits(rows.where(weak), "shared_failure_condition", F.col("mentions"), q, 0.35 + 0.1 * q, F.array("id"), "shared_failure_condition_mention")
-    return first.unionByName(second)
+    either = lambda x, y: F.when(strong, x).otherwise(y)
+    return _hits(
+        rows.where(strong | weak), "shared_failure_condition", either(F.col("papers"), F.col("mentions")), either(m, q), either(0.4 + 0.15 * m + 0.1 * p, 0.35 + 0.1 * q),
+        either(F.concat(F.array("id"), F.col("methods")), F.array("id")), either(F.lit("shared_failure_condition"), F.lit("shared_failure_condition_mention")),
+    )
 
 
 def repeated_unaddressed_limitation(nodes: DataFrame, edges: DataFrame, min_papers: int = 2) -> DataFrame:
@@ -109,7 +116,7 @@ def repeated_unaddressed_limitation(nodes: DataFrame, edges: DataFrame, min_pape
 
 
 def explicit_conflicts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ends = nodes.select("id", "label", F.col("paper_ids").alias("own"))
+    ends = _ends(nodes).select("id", "label", F.col("paper_ids").alias("own"))
     rows = edges.where(_rel("contradicts")).join(ends.select(F.col("id").alias("source"), F.col("own").alias("a")), "source").join(
         ends.select(F.col("id").alias("target"), "label", F.col("own").alias("b")), "target"
     )
@@ -122,7 +129,7 @@ def implicit_conflicts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         _papers(_rel(*POSITIVE)).alias("plus"), _papers(_rel(*NEGATIVE)).alias("minus"), _set(F.lit(True), "source").alias("sources")
     )
     rows = by.where((F.size("plus") > 0) & (F.size("minus") > 0)).withColumn("papers", _union("plus", "minus")).where(F.size("papers") >= 2)
-    rows = rows.join(nodes.select("id", "label"), "id")
+    rows = rows.join(_ends(nodes).select("id", "label"), "id")
     p = F.size("papers")
     return _hits(rows, "conflicting_claims", F.col("papers"), p, 0.55 + 0.1 * p, F.slice(F.concat(F.array("id"), F.col("sources")), 1, 10), "implicit_conflict", ["id", F.array_join("papers", "\n")])
 
@@ -135,7 +142,7 @@ def sparse_evaluation(nodes: DataFrame, edges: DataFrame, min_mentions: int = 2,
     by = edges.where(_rel(*EVALUATION, "evaluated_on")).groupBy(F.col("source").alias("id")).agg(
         _n(_rel(*EVALUATION)).alias("n"), _set(_rel("evaluated_on"), "target").alias("tasks")
     )
-    rows = _of(nodes, "Method").join(by, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = _of(nodes, "Method").where("id IS NOT NULL").join(by, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rows = rows.where((F.size("paper_ids") >= min_mentions) & (F.col("n") <= max_evaluations))
     return _hits(
         rows, "sparse_evaluation", F.col("paper_ids"), F.col("n"), 0.45 + 0.1 * F.size("paper_ids") - 0.1 * F.col("n"),
@@ -152,7 +159,7 @@ def assumption_mismatch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _idealized_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of methods to what they assume, harm or are limited by, with ``ideal`` on idealised assumptions."""
-    labels = nodes.select(F.col("id").alias("target"), F.lower("label").alias("target_label"))
+    labels = _ends(nodes).select(F.col("id").alias("target"), F.lower("label").alias("target_label"))
     rows = edges.where(_rel("assumes", *HARM)).join(labels, "target")
     text = F.concat_ws(" ", "target_label", F.lower("evidence"))
     return rows.withColumn("ideal", _rel("assumes") & contains_any(text, IDEALIZED))
@@ -195,7 +202,7 @@ def unresolved_tradeoff(nodes: DataFrame, edges: DataFrame, min_positive_edges:
     methods = methods.where((F.col("plus") >= min_positive_edges) & (F.col("lims") >= min_limitation_mentions))
     solved = edges.where(_rel("addresses")).select("target").distinct()
     limits = edges.where(_rel("limited_by")).join(solved, "target", "left_anti").select(F.col("source").alias("id"), "target", F.col("paper_ids").alias("edge_papers"))
-    ends = nodes.select(F.col("id").alias("target"), F.col("paper_ids").alias("target_papers"), F.col("label").alias("limitation"))
+    ends = _ends(nodes).select(F.col("id").alias("target"), F.col("paper_ids").alias("target_papers"), F.col("label").alias("limitation"))
     rows = methods.join(limits, "id").join(ends, "target").withColumn("papers", _union("paper_ids", "more", "edge_papers"))
     rows = rows.where(F.size("papers") >= min_papers)
     wide = F.when(F.size(_union("edge_papers", "target_papers")) >= 2, 0.10).otherwise(0.0)

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from lacuna.functions import vectorised
-from lacuna.operators import model_stages, rubrics, similarity, vectors
+from lacuna.operators import graph, model_stages, rubrics, similarity, vectors
 from lacuna.plans import catalogue, rubric_queries
 from lacuna.sources import paged
 
@@ -102,3 +102,23 @@ def test_labels_are_sought_in_a_text_lowered_once(spark):
     df = spark.createDataFrame(rows, "t string, want boolean")
     assert all(r.x == r.want == (r.n > 0) for r in df.select("want", rubrics.has_method_label(F.col("t"), labels).alias("x"), F.size(rubrics.method_labels(F.col("t"), labels)).alias("n")).collect())
     assert str(rubrics.reply_violations(rubrics.RUBRICS["idea_quality"], {}, labels)).count("lower(") == 1
+
+
+def test_tuples_are_shuffled_once_for_edges(spark):
+    """Both steps of merging happen behind one exchange, whose rows hold ids' bits; a listing that stands twice is one edge."""
+    rows = [(f"p{i % 5}", f"method {i % 7}", ("assumes", "limited_by", "contradicts")[i % 3], f"thing {i % 4}", f"e{i % 2}", i / 100, f"{i:03}") for i in range(100)]
+    resolved = graph.resolved(spark.createDataFrame(rows, "paper_id string, subject string, relation string, object string, evidence string, confidence double, seq string"))
+    edges = graph.edges(resolved)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    want = {}
+    for r in sorted(resolved.collect(), key=lambda r: r.seq):
+        want.setdefault((r.source, r.target, r.relation), {})[r.paper_id, r.evidence] = r.confidence
+    got = {(r.source, r.target, r.relation): (r.paper_ids, r.evidence, r.confidence, r.support_count) for r in edges.collect()}
+    assert got == {k: (sorted({p for p, _ in v}), " ".join(sorted({e for _, e in v})), max(v.values()), len(v)) for k, v in want.items()}
+    listed = spark.createDataFrame([("p1", "Limitation", "Thing  A"), ("p1", "Limitation", "thing a"), ("p1", "Limitation", "thing a"), ("p2", "Metric", "b")], "paper_id string, type string, label string")
+    both = graph.edges(resolved, listed).where("relation = 'mentions'").collect()
+    assert sorted((r.source, r.target.split(":")[0], r.paper_ids, r.support_count) for r in both) == [("paper:p1", "limitation", ["p1"], 1), ("paper:p2", "metric", ["p2"], 1)]
+    nodes = {r.id: (r.type, r.label, r.paper_ids) for r in graph.nodes(resolved, listed).collect()}
+    assert {r.target for r in both} | {"paper:p1", "paper:p2"} | {k[0] for k in want} <= set(nodes)
+    assert nodes["paper:p1"] == ("Paper", "p1", ["p1"]) and ("Limitation", "Thing  A", ["p1"]) in nodes.values()
