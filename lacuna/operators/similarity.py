@@ -1,12 +1,15 @@
 """Exact set-similarity joins and entity resolution.
 
-Pairs come from the prefix filter: tokens are ordered rarest first, and two sets with a Jaccard similarity of t or more share one of their first
+Pairs come from the prefix filter: tokens are ordered, rare ones first, and two sets with a Jaccard similarity of t or more share one of their first
 n - ceil(t n) + 1 tokens, behind which either has enough tokens left.  Pairs are then checked on the full sets, which travel to groups of like
 sets and not to every pair.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,8 +19,8 @@ from lacuna.operators.contraction import components  # noqa: F401  (part of this
 from lacuna.operators.vectors import nearest  # noqa: F401  (likewise)
 from lacuna.scratch import kept
 
-#: Earlier tokens that a place of a prefix knows; sets of a side of a block of pairs, about; tokens counted at once.
-WINDOW, SIDE, TOKENS = 4, 256, 4096
+#: Earlier tokens that a place of a prefix knows; sets of a side of a block of pairs, about; tokens counted at once; cells in which tokens are counted for their order.
+WINDOW, SIDE, TOKENS, CELLS = 4, 256, 4096, 1 << 22
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -71,33 +74,51 @@ def _checked(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     return dealt.groupBy("bundle").cogroup(needed.groupBy("own_bundle")).applyInPandas(check, f"a {kind}, b {kind}, similarity double")
 
 
+def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, left, before, t): the prefix tokens of sets (id, n, t), with how many tokens stand from each on, and the WINDOW tokens before it.
+
+    The prefix filter holds for any order of all tokens.  This one follows how many tokens fall into a token's cell, of CELLS: a table of fixed size, so that a set is
+    ordered where it lies.  Rare tokens come first but for those that share a cell with a frequent one; a token that has its cell to itself meets no other set.
+    """
+    counted = rows.select(F.explode("t").alias("t")).groupBy(F.pmod("t", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    table = np.zeros(CELLS, np.int32)
+    table[counted["cell"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**31 - 1)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    cells, window = CELLS, WINDOW
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = shared.value
+        for p in batches:
+            out = []
+            for own, n, t in zip(p["id"], p["n"], p["t"], strict=True):
+                t = np.asarray(t)
+                c = often[t % cells]
+                order = np.lexsort((t, c))[: n - math.ceil(threshold * n - 1e-9) + 1]
+                first = t[order]
+                out += [(own, n, n - i, first[max(0, i - window) : i], first[i]) for i in np.flatnonzero(c[order] > 1).tolist()]
+            yield pd.DataFrame(out, columns=["id", "n", "left", "before", "t"])
+
+    kind = dict(rows.dtypes)["id"]
+    return rows.select("id", "n", "t").mapInPandas(run, f"id {kind}, n int, left int, before array<bigint>, t bigint")
+
+
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of rows (id, tokens) with a < b; equal sets are one class, whose least id stands for it.
 
     Rows of one class are linked to that id instead of to one another, so links stay linear in a class's size.  Tokens are compared as 64-bit hashes; the sets are
-    read once and written.
+    read once and written, and no token travels but those of prefixes.
     """
     hashed = F.array_sort(F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)))
     rows = kept(sets.select("id", hashed.alias("t")).where(F.size("tokens") > 0).withColumns({"n": F.size("t"), "digest": F.sha2(F.array_join(F.transform("t", lambda x: x.cast("string")), ","), 256)}), "sets")
     least = rows.groupBy("digest").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("copies"))
-    copies = rows.select("id", "digest").join(least.where("copies > 1"), "digest").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    classes = kept(rows.join(least.select(F.col("a").alias("id")), "id", "left_semi").select("id", "n", "t"), "classes")
-    each = classes.select("id", "n", F.explode("t").alias("t"))
-    df = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")  # tokens of one set only cannot meet another
-    # a set's rarest tokens: those of one set only come first, and as many tokens of the prefix are spent on them
-    ordered = each.join(df, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("o"))
-    # a place knows the WINDOW tokens before it: a pair that has one of them in common has met there already
-    before = lambda i: F.transform(F.slice("o", F.greatest(F.lit(1), i + 1 - WINDOW), F.least(F.lit(WINDOW), i)), lambda x: x["t"])
-    places = F.transform(F.slice("o", 1, keep), lambda x, i: F.struct(x["t"].alias("t"), (F.size("o") - i).alias("left"), before(i).alias("before")))
-    shown = ordered.where(keep > 0).select("id", "n", F.explode(places).alias("p"))
-    prefix = kept(shown.select("id", "n", "p.left", "p.before", "p.t"), "prefix")  # tokens from this place on
+    copies = kept(rows.select("id", "digest").join(least.where("copies > 1"), "digest").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")), "copies")
+    prefix = kept(_prefixes(rows, threshold).join(copies.select(F.col("b").alias("id")), "id", "left_anti"), "prefix")
     a, b = (prefix.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("left").alias(f"l{k}"), F.col("before").alias(f"b{k}"), "t") for k in "ab")
     # at a pair's first common token, as many tokens must be left on either side as they need to have in common
     needed = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - 1e-9)) & (F.least("la", "lb") >= needed)
     pairs = a.join(b, "t").where(fits & ~F.arrays_overlap("ba", "bb")).select("a", "b").distinct()
-    near = _checked(pairs, classes, threshold)
+    near = _checked(pairs, rows, threshold)
     return near.unionByName(copies)
 
 

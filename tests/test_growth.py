@@ -122,3 +122,22 @@ def test_tuples_are_shuffled_once_for_edges(spark):
     nodes = {r.id: (r.type, r.label, r.paper_ids) for r in graph.nodes(resolved, listed).collect()}
     assert {r.target for r in both} | {"paper:p1", "paper:p2"} | {k[0] for k in want} <= set(nodes)
     assert nodes["paper:p1"] == ("Paper", "p1", ["p1"]) and ("Limitation", "Thing  A", ["p1"]) in nodes.values()
+
+
+def test_tokens_travel_in_prefixes_only(spark, monkeypatch):
+    """Sets are ordered where they lie, whatever the cells: all links are found, and what is written besides the sets are their prefixes."""
+    rng = random.Random(8)
+    sets = {i: [f"w{j}" for j in rng.sample(range(3000), 200)] for i in range(40)}
+    sets |= {100 + i: [*sets[i][:190], *(f"v{i}-{j}" for j in range(10))] for i in range(20)} | {200: sets[7], 201: sets[7], 202: []}
+    rows = spark.createDataFrame(list(sets.items()), "id long, tokens array<string>").repartition(3)
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(a, b): round(like(sets[a], sets[b]), 9) for a, b in itertools.combinations(sorted(set(sets) - {200, 201, 202}), 2) if like(sets[a], sets[b]) >= 0.85}
+    assert len(want) == 20
+    write = similarity.kept
+    for cells in (1 << 22, 64, 1):
+        tables = {}
+        monkeypatch.setattr(similarity, "CELLS", cells)
+        monkeypatch.setattr(similarity, "kept", lambda df, label: tables.setdefault(label, write(df, label)))  # noqa: B023
+        near = similarity.similar_pairs(rows, 0.85)
+        assert {(r.a, r.b): round(r.similarity, 9) for r in near.collect()} == want | {(7, 200): 1.0, (7, 201): 1.0}
+        assert tables["prefix"].count() <= 60 * 31 and [k for k, t in tables.items() if "t" in t.columns] == ["sets", "prefix"]
