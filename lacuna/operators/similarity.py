@@ -1,8 +1,8 @@
 """Exact set-similarity joins and entity resolution.
 
 Pairs come from the prefix filter: tokens are ordered, rare ones first, and two sets with a Jaccard similarity of t or more share one of their first
-n - ceil(t n) + 1 tokens, behind which either has enough tokens left.  Pairs are then checked on the full sets, which travel to groups of like
-sets and not to every pair.
+n - ceil(t n) + 1 tokens, behind which either has enough tokens left.  Those whose shapes allow the similarity are then checked on the full sets,
+which travel to groups of like sets and not to every pair.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from lacuna.operators.contraction import components  # noqa: F401  (part of this
 from lacuna.operators.vectors import nearest  # noqa: F401  (likewise)
 from lacuna.scratch import kept
 
-#: Earlier tokens that a place of a prefix knows; sets of a side of a block of pairs, about; tokens counted at once; cells in which tokens are counted for their order.
-WINDOW, SIDE, TOKENS, CELLS = 4, 256, 4096, 1 << 22
+#: Earlier tokens that a place of a prefix knows; sets of a side of a block of pairs, about; tokens counted at once; cells in which tokens are counted for their order, and cells
+#: by which a set's shape counts its own.
+WINDOW, SIDE, TOKENS, CELLS, SHAPE = 4, 256, 4096, 1 << 22, 64
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -102,6 +103,32 @@ def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("id", "n", "t").mapInPandas(run, f"id {kind}, n int, left int, before array<bigint>, t bigint")
 
 
+def _shapes(rows: DataFrame) -> DataFrame:
+    """(id, n, shape) of sets (id, n, t): how many tokens fall into each of SHAPE cells; null where a byte does not hold that."""
+    cells = SHAPE
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            counts = [np.bincount((np.asarray(t) >> 32) % cells, minlength=cells) for t in p["t"]]
+            yield pd.DataFrame({"id": p["id"], "n": p["n"], "shape": [c.astype(np.int8) if c.max() < 128 else None for c in counts]})
+
+    return rows.select("id", "n", "t").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, n int, shape array<tinyint>")
+
+
+def _may_reach(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose shapes allow the threshold: two sets have no more of a cell in common than the one with fewer holds."""
+    shapes = kept(_shapes(rows), "shapes")
+    for k in "ab":
+        pairs = pairs.join(shapes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("shape").alias(f"s{k}")), k)
+    most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda total, x: total + x)
+    return pairs.where(F.coalesce(most >= _least_common(threshold), F.lit(True))).select("a", "b")
+
+
+def _least_common(threshold: float) -> Column:
+    """Tokens that sets of ``na`` and ``nb`` tokens need to have in common."""
+    return F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
+
+
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of rows (id, tokens) with a < b; equal sets are one class, whose least id stands for it.
 
@@ -115,10 +142,9 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     prefix = kept(_prefixes(rows, threshold).join(copies.select(F.col("b").alias("id")), "id", "left_anti"), "prefix")
     a, b = (prefix.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("left").alias(f"l{k}"), F.col("before").alias(f"b{k}"), "t") for k in "ab")
     # at a pair's first common token, as many tokens must be left on either side as they need to have in common
-    needed = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - 1e-9)) & (F.least("la", "lb") >= needed)
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - 1e-9)) & (F.least("la", "lb") >= _least_common(threshold))
     pairs = a.join(b, "t").where(fits & ~F.arrays_overlap("ba", "bb")).select("a", "b").distinct()
-    near = _checked(pairs, rows, threshold)
+    near = _checked(_may_reach(pairs, rows, threshold), rows, threshold)
     return near.unionByName(copies)
 
 

@@ -141,3 +141,15 @@ def test_tokens_travel_in_prefixes_only(spark, monkeypatch):
         near = similarity.similar_pairs(rows, 0.85)
         assert {(r.a, r.b): round(r.similarity, 9) for r in near.collect()} == want | {(7, 200): 1.0, (7, 201): 1.0}
         assert tables["prefix"].count() <= 60 * 31 and [k for k, t in tables.items() if "t" in t.columns] == ["sets", "prefix"]
+
+
+def test_shapes_leave_few_pairs_to_check(spark, monkeypatch):
+    """Sets that share rare tokens and little else are told apart by their shapes; large sets without a shape pass."""
+    rng = random.Random(2)
+    sets = {i: ["rare", *(f"w{j}" for j in rng.sample(range(600), 240))] for i in range(60)}
+    sets |= {100 + i: [*sets[i][:235], *(f"v{i}-{j}" for j in range(6))] for i in range(10)} | {200 + i: [f"x{j}" for j in range(9000 + i)] for i in range(2)}
+    rows = spark.createDataFrame([(i, len(t), t) for i, t in sets.items()], "id long, n int, tokens array<string>")
+    hashed = rows.select("id", "n", F.transform("tokens", lambda x: F.xxhash64(x)).alias("t"))
+    every = spark.createDataFrame([x for x in itertools.combinations(sorted(sets), 2) if (x[0] < 200) == (x[1] < 200)], "a long, b long")
+    left = {(r.a, r.b) for r in similarity._may_reach(every, hashed, 0.85).collect()}
+    assert {(i, 100 + i) for i in range(10)} | {(200, 201)} <= left and len(left) < 40
